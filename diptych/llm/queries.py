@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, quality, substrings
+from . import chat, decontaminate, jaccard, langid, mixing, quality, substrings
 from .frames import table
 
 
@@ -14,6 +15,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("__before")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents, "crc32(cast(doc_id as string)) % 4 <> 2")
+    out = langid.identify(documents.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_language_id": op3_language_id,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,

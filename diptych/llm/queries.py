@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, mixing, quality, substrings, toxicity
+from . import chat, decontaminate, html, jaccard, langid, mixing, quality, substrings, toxicity
 from .frames import table
 
 
@@ -15,6 +15,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("__before")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.fit(pages), keep=["page_id", "url"])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = langid.fit(documents, "crc32(cast(doc_id as string)) % 4 <> 2")
@@ -55,6 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_html_extract": op2_html_extract,
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_toxicity": op6_toxicity,

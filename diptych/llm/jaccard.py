@@ -131,9 +131,39 @@ def similar(documents: DataFrame, percent: int = 90, width: int = 3, frequent: i
     or null text has none and is linked with nothing.  Repeated rows, and rows of one doc_id with different texts, each
     get a row; a null doc_id is never a component's name unless the row stands alone.  Other columns are not read.
     """
-    frequent_class = int(np.log2(frequent))
     n = X.sizes(documents.select("text"), 0.75)
-    chunks = X.chunked(documents.select("doc_id", "text"), n)
+    return _grouped(X.chunked(documents.select("doc_id", "text"), n), n, percent, width, frequent, block).drop("chunk")
+
+
+def one_of_each(documents: DataFrame, percent: int = 80, width: int = 5, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
+    """The documents without those that are not the smallest doc_id of their component; their columns as they were.
+
+    Of rows with one doc_id and the same beginning, the first by text stays.  A null doc_id stays, as does a document
+    without words.
+    """
+    names, schema = documents.columns, documents.schema
+    n = X.sizes(documents.select("text"), 0.75)
+    chunks = X.chunked(documents, n)
+    losers = _grouped(chunks, n, percent, width, frequent, block).where("doc_id <> component_id").select("doc_id", "chunk")
+
+    def keep(table: pa.Table, gone: pa.Table) -> pa.Table:
+        dropped, kept, seen = set(gone.column("doc_id").to_pylist()), [], set()
+        ids = table.column("doc_id").to_pylist()
+        repeated = len(set(ids)) < len(ids)
+        for row in sorted(range(len(ids)), key=lambda r: table.column("text")[r].as_py() or "") if repeated else range(len(ids)):
+            if ids[row] is None or ids[row] not in dropped and ids[row] not in seen:
+                kept.append(row)
+                seen.add(ids[row])
+        return table.select(names).take(kept)
+
+    return X.answered(chunks, losers, keep, schema)
+
+
+def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent: int, block: int) -> DataFrame:
+    """doc_id, chunk, n_shingles and component_id of each row of the chunks."""
+    if not 75 <= percent <= 100:
+        raise ValueError("signatures are complete for a similarity of 75 to 100 per cent")
+    frequent_class = int(np.log2(frequent))
 
     def send(table: pa.Table) -> pa.Table:
         every = np.sort(X.short(np.concatenate([np.zeros(0, np.uint64), *(t for _, t in _sets(table, width))]), n))
@@ -229,5 +259,5 @@ def similar(documents: DataFrame, percent: int = 90, width: int = 3, frequent: i
     named = components(links)
     known = equal.select("n_shingles", "set_a", "set_b", "class").join(named.withColumnRenamed("node", "class"), "class", "left")
     known = known.select("n_shingles", "set_a", "set_b", F.coalesce("component", "class").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(known, ["n_shingles", "set_a", "set_b"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "chunk", "n_shingles", "set_a", "set_b").join(known, ["n_shingles", "set_a", "set_b"], "left")
+    return out.select("doc_id", "chunk", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, jaccard, langid, mixing, quality, substrings, toxicity
+from . import chat, decontaminate, html, jaccard, langid, lines, mixing, quality, substrings, toxicity
 from .frames import table
 
 
@@ -31,6 +31,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 5 <> 0")
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extract": op2_html_extract,
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,

@@ -30,7 +30,7 @@ def human_bytes(n: Column) -> Column:
     """A number of bytes with a fitting unit, one decimal from kilobytes on."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_number(n / 1024**k, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / 1024**k), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

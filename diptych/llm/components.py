@@ -45,3 +45,21 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"links are not settled after {most_rounds} rounds")
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def blocked(links: DataFrame, block: int) -> DataFrame:
+    """node, cell (its component over the links), blocks (into how many the cell is dealt) and place (the node's block)."""
+    cells = components(links)
+    sized = cells.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = cells.join(sized, "component").select("node", F.col("component").alias("cell"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    return members.withColumn("place", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def paired(members: DataFrame, shared: int) -> DataFrame:
+    """A row of the members for each pair of blocks i <= j of their cell that they are in, and the pair's unit of work.
+
+    Small cells share ``shared`` units; each pair of blocks of a larger one is a unit of its own.
+    """
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("place"), k).alias("i"), F.greatest(F.col("place"), k).alias("j")))
+    out = members.withColumn("pair", F.explode(pairs)).withColumns({"i": F.col("pair.i"), "j": F.col("pair.j")}).drop("pair")
+    return out.withColumn("unit", F.when(F.col("blocks") > 1, F.xxhash64("cell", "i", "j")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(shared))))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .components import components
+from .components import blocked, components, paired
 from .frames import checkpointed
 from .words import SPACED, Words, mix, slices, words_of
 
@@ -217,13 +217,7 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
     signed = equal.where(F.size("signed") > 0).select("class", F.explode("signed").alias("signature"))
     hubs = signed.groupBy("signature").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").drop("last")
     met = signed.join(hubs, "signature").select(F.col("class").alias("a"), F.col("hub").alias("b"))
-    cells = components(met)
-
-    sized = cells.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    members = cells.join(sized, "component").select(F.col("node").alias("class"), F.col("component").alias("cell"), blocks.alias("blocks"))
-    members = members.join(equal.select("class", "chunk"), "class")
-    members = members.withColumn("place", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    members = blocked(met, block).withColumnRenamed("node", "class").join(equal.select("class", "chunk"), "class")
 
     # Sets of members, from the rows that gave their classes the name, in the chunks where these are.
     def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -237,10 +231,7 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
         return _table(out, doc_id=pa.int64(), cell=pa.int64(), blocks=pa.int32(), place=pa.int32(), tokens=pa.binary())
 
     sets = X.answered(chunks, members, fetch, "doc_id long, cell long, blocks int, place int, tokens binary")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("place"), k).alias("i"), F.greatest(F.col("place"), k).alias("j")))
-    units = sets.withColumn("pair", F.explode(pairs)).select("doc_id", "cell", "blocks", "place", "tokens", "pair.i", "pair.j")
-    # Small cells share tasks; a large one has its own for each pair of blocks.
-    units = units.withColumn("unit", F.when(F.col("blocks") > 1, F.xxhash64("cell", "i", "j")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(4 * n.buckets))))
+    units = paired(sets, 4 * n.buckets)
 
     def compare(table: pa.Table) -> pa.Table:
         ids, cell, place = (table.column(c).to_numpy() for c in ("doc_id", "cell", "place"))

@@ -6,8 +6,9 @@ that a whole segment can have moved to (shifts that k edits before it and after
 code points.  Pairs that meet are verified with a bit-parallel edit distance over a band of 2k + 1 diagonals.
 
 First only the lower halves of the signatures' hashes meet, to tell which of them occur twice; lines without such a
-signature, most of a corpus, go no further.  Equal lines become one class before pairs are made, so a line of all
-documents is one row in the join.
+signature, most of a corpus, go no further.  Equal lines become one class, so a line of all documents is one row from then
+on.  Classes that share a signature form cells; a cell is dealt into blocks, each pair of blocks is compared in a task, and
+what leaves a task is a count for each class, never a pair.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange as X
+from .components import blocked, paired
 from .frames import checkpointed
 from .words import mix, powers, slices
 
 #: Edits between lines that count as one, and code points that a line must have to be compared at all.
 EDITS, LEAST_CHARS = 2, 20
+#: Texts of a cell that a task compares with as many.
+BLOCK = 256
 
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
@@ -98,6 +102,18 @@ def _lines(table: pa.Table, least: int):
         yield i, j, data, offsets, Lines(data, offsets, least)
 
 
+def _shared(a: str, b: str, most: int) -> int:
+    """How many code points both begin with, ``most`` at most: a search by halves over slices."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether at most ``most`` insertions, deletions and substitutions of code points make a of b.
 
@@ -108,12 +124,9 @@ def within(a: str, b: str, most: int) -> bool:
         return False
     if a == b:
         return True
-    low, high = 0, min(len(a), len(b))
-    while low < high and a[low] == b[low]:
-        low += 1
-    tail = 0
-    while tail < high - low and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
+    high = min(len(a), len(b))
+    low = _shared(a, b, high)
+    tail = _shared(a[::-1], b[::-1], high - low)
     a, b = a[low : len(a) - tail], b[low : len(b) - tail]
     rows, columns = len(a), len(b)
     if not rows or not columns:
@@ -141,11 +154,29 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def _near(lines: list[str], edits: int, least: int):
+    """The pairs of lines within ``edits`` of each other, each once: probes meet segments in a table, and pairs are verified."""
+    data = "".join(lines).encode()
+    offsets = np.r_[0, np.cumsum([len(x.encode()) for x in lines])]
+    part = Lines(np.frombuffer(data, np.uint8), offsets, least)
+    own, probes = part.signatures(np.arange(len(part.hash)), edits, least)
+    table: dict[int, list[int]] = {}
+    for k, row in zip(part.doc.tolist(), own.tolist(), strict=True):
+        for x in row:
+            table.setdefault(x, []).append(k)
+    for k, row in zip(part.doc.tolist(), probes.tolist(), strict=True):
+        met = {m for x in row if x for m in table.get(x, ())}
+        for m in met:
+            # Of two lines of one length both probe the other.
+            if m != k and (m < k or len(lines[m]) < len(lines[k])) and within(lines[m], lines[k], edits):
+                yield m, k
+
+
 def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())})
 
 
-def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, block: int = BLOCK) -> DataFrame:
     """The documents with the lines dropped from their text, and n_lines, n_dropped, n_near and n_links.
 
     A line is a part of the text between line breaks, compared without space and U+0009..U+000D at its ends, if ``least``
@@ -230,24 +261,32 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
             columns = [np.concatenate([r[k] for r in rows]) if rows else [] for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["hash", "kind", "signature"])
 
-    signed = texts.select("hash", "line").mapInArrow(sign, "hash long, kind int, signature long")
-    owns = signed.where("kind = 0").select(F.col("hash").alias("a"), "signature")
-    probed = signed.where("kind = 1").select(F.col("hash").alias("b"), "signature").distinct()
-    pairs = owns.join(probed, "signature").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def verify(batches):
-        for batch in batches:
-            near = [within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    one = texts.select(F.col("hash").alias("a"), F.struct("owner", "line").alias("of_a"))
-    two = texts.select(F.col("hash").alias("b"), F.struct("owner", "line").alias("of_b"))
-    tried = pairs.join(one, "a").join(two, "b")
-    later = F.when(F.col("of_a.owner") > F.col("of_b.owner"), F.col("a")).otherwise(F.col("b"))
-    earlier = F.when(F.col("of_a.owner") > F.col("of_b.owner"), F.col("b")).otherwise(F.col("a"))
-    linked = tried.select(later.alias("a"), earlier.alias("b"), F.col("of_a.line").alias("x"), F.col("of_b.line").alias("y")).mapInArrow(verify, "a long, b long")
-    ends = linked.select(F.explode(F.array(F.struct(F.col("a").alias("hash"), F.lit(1).alias("late")), F.struct(F.col("b").alias("hash"), F.lit(0).alias("late")))).alias("x")).select("x.*")
-    ends = ends.groupBy("hash").agg(F.max("late").alias("late"), F.count(F.lit(1)).alias("links"))
+    # Texts that share a signature, one of them as a segment, form cells; a cell's pairs are compared within tasks.
+    signed = checkpointed(texts.select("hash", "line").mapInArrow(sign, "hash long, kind int, signature long"))
+    hubs = signed.groupBy("signature").agg(F.min("hash").alias("hub"), F.max("hash").alias("last"), F.min("kind").alias("kind")).where("hub < last and kind = 0")
+    met = signed.join(hubs.select("signature", "hub"), "signature").select(F.col("hash").alias("a"), F.col("hub").alias("b"))
+    members = blocked(met, block).withColumnRenamed("node", "hash").join(texts, "hash").select("hash", "cell", "blocks", "place", "owner.id", "owner.number", "line")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = table.select(["hash", "cell", "place", "i", "j", "id", "number", "line"]).to_pylist()
+        found: dict[tuple, list[int]] = {}
+        for k, r in enumerate(rows):
+            found.setdefault((r["cell"], r["i"], r["j"]), []).append(k)
+        out: dict[int, list[int]] = {}
+        for (_, i, j), ks in found.items():
+            for x, y in _near([rows[k]["line"] for k in ks], edits, least):
+                a, b = rows[ks[x]], rows[ks[y]]
+                if i != j and a["place"] == b["place"]:
+                    continue
+                late = a if (a["id"], a["number"]) > (b["id"], b["number"]) else b
+                for r in (a, b):
+                    told = out.setdefault(r["hash"], [0, 0])
+                    told[0] += 1
+                    told[1] |= r is late
+        return _table([(h, *v) for h, v in out.items()], hash=pa.int64(), links=pa.int64(), late=pa.int32())
+
+    ends = paired(members, 4 * n.buckets).groupBy("unit").applyInArrow(compare, "hash long, links long, late int")
+    ends = ends.groupBy("hash").agg(F.max("late").alias("late"), F.sum("links").alias("links"))
     told = texts.select("hash", "owner.id", "owner.number").join(ends, "hash", "left")
     told = lines.select("hash", "chunk").join(told, "hash").select("chunk", "hash", "id", "number", F.coalesce("late", F.lit(0)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, jaccard, langid, lines, mixing, quality, substrings, toxicity
+from . import chat, decontaminate, html, jaccard, langid, lines, mixing, quality, sql, substrings, toxicity
 from .frames import table
 
 
@@ -75,4 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": sql.JACCARD,
+    "op7_chat_format": sql.CHAT,
+    "op8_substring_dedup": sql.SUBSTRINGS,
+    "op9_quality_rules": sql.QUALITY,
+    "op10_decontaminate": sql.DECONTAMINATION,
+}

@@ -1,0 +1,58 @@
+"""SQL, as DuckDB runs it, of the operators that SQL can express, for comparison on small tables."""
+
+from __future__ import annotations
+
+from .quality import STOP_WORDS
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), '{_UPPER}', '{_LOWER}'), '{_SPACED}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+2], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100*k >= 90*(x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(root) FROM r WHERE r.node = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations UNION ALL
+ SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role='assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role='assistant'), '')) AS loss_sha256,
+ CAST(sum(24 + length(role) + len(regexp_extract_all(role, '<\\*n?\|')) + 2*(length(role) - length(replace(role, chr(10), ''))) + length(text) + len(regexp_extract_all(text, '<\\*n?\|'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY 1"""
+
+SUBSTRINGS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), '{_SPACED}') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-48, 1))) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS f FROM x GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, i + k AS p FROM x JOIN f USING (h), (SELECT unnest(range(50)) AS k) WHERE doc_id > f),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w)+1)) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM p ANTI JOIN g USING (doc_id, p) GROUP BY 1),
+r AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''), '{_SPACED}') AS w, list_filter(string_split(coalesce(text,''), chr(10)), lambda l: regexp_matches(l, '{_SPACED}')) AS lines FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-3, 1))) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x), (SELECT unnest(range(5)) AS k) WHERE c > 1 GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+ CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(list_filter(w, lambda v: lower(v) IN ({_STOP}))) AS BIGINT) AS n_stop_words,
+ CAST(length(t) - length(translate(t, '!?', '')) AS BIGINT) AS n_shouts FROM d LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100*n_repeat_words > 20*n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND word_chars/greatest(n_words,1) BETWEEN 2 AND 20 AND n_symbols/greatest(n_words,1) <= 0.3 AND n_shouts/greatest(n_words,1) <= 0.3 AND n_dup_lines/greatest(n_lines,1) <= 0.3 AND n_stop_words/greatest(n_words,1) >= 0.01 AS kept FROM b"""
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i+size-1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, greatest(len(w)-least(10, len(w))+2, 1))) AS i FROM b WHERE len(w) > 0)),
+x AS (SELECT doc_id, i, size, array_to_string(w[i:i+size-1], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(1, greatest(len(w)-size+2, 1))) AS i FROM d, (SELECT DISTINCT size FROM v))),
+h AS (SELECT doc_id, i, x.size, item_id FROM x JOIN v USING (size, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i+size)) AS p FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""

@@ -85,7 +85,7 @@ def test_banded_distance():
             assert lines.within(a, b, most) == (plain.distance(a, b) <= most)
 
 
-@pytest.mark.parametrize("block", [400_000, 12])
+@pytest.mark.parametrize("block", [400_000, 300])
 def test_decontamination(spark, docs, rows, block):
     passages = [(k, " ".join((t or "").split()[2 : 2 + 11 * k])) for k, (_, t) in enumerate(rows[:9])]
     items = [*passages, (70, "Short!"), (71, None), (72, ""), (None, "abc"), (73, rows[12][1])]

@@ -334,7 +334,10 @@ def by_structure(page: str) -> tuple[list[list[str]], list[bool]] | None:
 def fit(pages: DataFrame, seed: int = 3) -> Model:
     """The model of a bounded sample of the pages and of drawn ones."""
     order = F.xxhash64(F.lit(seed), "page_id")
-    sample = pages.where("html is not null").select("html", order.alias("__order"), "page_id").orderBy("__order", "page_id").limit(SAMPLE_PAGES)
+    known = pages.where("html is not null").withColumn("__order", order)
+    # Ids come to the driver first, so that tasks don't each send as many pages.
+    first = [r[0] for r in known.select("__order").orderBy("__order").limit(SAMPLE_PAGES).collect()]
+    sample = known.where(F.col("__order") <= max(first, default=0)).select("html", "__order").limit(SAMPLE_PAGES)
     rng = random.Random(seed)
     drawn = [labelled(*drawn_page(rng)) for _ in range(DRAWN_PAGES)]
     own = [x for x in (by_structure(r["html"]) for r in sorted(sample.collect(), key=lambda r: (r["__order"], r["html"]))) if x]

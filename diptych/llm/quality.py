@@ -6,6 +6,7 @@ thresholds as one Boolean expression.  Words are runs of characters other than s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,26 +43,57 @@ RULES = (
     Rule("stop_word_share", "n_stop_words / greatest(n_words, 1)", least=0.01),
 )
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_shouts")
-
-
 def _words(text: Column) -> Column:
     inner = F.btrim(text, F.lit(_SPACE))
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
-def _repeated_places(few: int = 200) -> Column:
-    """The places, ascending, of windows that occur twice or more, over __windows, __repeated and __pairs.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once however often the body names it.
 
-    With few repeated values each window is looked up among them.  With many that costs too much: __pairs holds the
-    windows sorted with their places, and those that have an equal neighbour are taken.
+    A column of its own would do as much in a projection, but a later filter on a measure would be pushed below it and
+    there have the column's expression in place of every mention of it.
     """
-    looked_up = "filter(sequence(0, size(__windows) - 1), i -> array_contains(__repeated, __windows[i]))"
-    neighbours = (
-        "transform(filter(transform(sequence(1, size(__pairs) - 2), i -> named_struct('p', __pairs[i].p, "
-        "'r', __pairs[i].h <=> __pairs[i - 1].h OR __pairs[i].h <=> __pairs[i + 1].h)), x -> x.r), x -> x.p)"
-    )
-    return F.expr(f"CASE WHEN size(__repeated) = 0 THEN array() WHEN size(__repeated) <= {few} THEN {looked_up} ELSE sort_array({neighbours}) END").cast("array<int>")
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _places(windows: Column, repeated: Column, few: int = 200) -> Column:
+    """The places, ascending, of windows whose value is among the repeated ones.
+
+    With few of these each window is looked up among them.  With many that costs too much: windows are sorted with their
+    places, and those that have an equal neighbour are taken.
+    """
+    looked_up = F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda i: F.array_contains(repeated, F.get(windows, i)))
+    pairs = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+
+    def neighbours(p: Column) -> Column:
+        same = lambda x, i: x["h"].eqNullSafe(F.get(p, i - 1)["h"]) | x["h"].eqNullSafe(F.get(p, i + 1)["h"])
+        return F.sort_array(F.transform(F.filter(p, same), lambda x: x["p"]))
+
+    return F.when(F.size(repeated) <= few, looked_up).otherwise(_let(pairs, neighbours))
+
+
+def _repeat_words(words: Column, width: int) -> Column:
+    """Words inside windows of ``width`` words that occur twice or more.
+
+    A text without a repeated window ends at the first test.  Else the values that repeat are neighbours in a sorted copy;
+    each place that has one adds the words that it covers beyond the place before.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def windows_of(h: Column) -> Column:
+        return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))).otherwise(none)
+
+    def covered(at: Column) -> Column:
+        more = lambda n, i: n + F.when(i < F.size(at), F.least(F.lit(width), F.get(at, i) - F.get(at, i - 1))).otherwise(0)
+        return F.lit(width) + F.aggregate(F.sequence(F.lit(1), F.size(at)), F.lit(0), more)
+
+    def counted(w: Column) -> Column:
+        repeated = lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))
+        found = _let(F.sort_array(w), lambda s: _let(repeated(s), lambda r: _let(_places(w, r), covered)))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(found)
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(windows_of(h), counted))
 
 
 def measured(documents: DataFrame, width: int = 5) -> DataFrame:
@@ -69,37 +101,23 @@ def measured(documents: DataFrame, width: int = 5) -> DataFrame:
 
     n_words; word_chars, the code points in words; n_symbols, the characters of ``#*$%&|<>``; n_lines, the lines with a
     word; n_dup_lines, those equal to an earlier line of the text; n_repeat_words, the words in ``width``-word windows
-    that the text has twice or more; n_stop_words, words of the
-    stop list in lower case; n_shouts, the characters ``!`` and ``?``.
+    that the text has twice or more; n_stop_words, words of the stop list in lower case; n_shouts, the characters ``!``
+    and ``?``.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    step = documents.select(F.col("doc_id"), text.alias("__text"))
-    lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = step.select(
-        "doc_id",
-        _words(F.col("__text")).alias("__words"),
-        lines.alias("__lines"),
-        (F.length("__text") - F.length(F.translate("__text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.length("__text") - F.length(F.translate("__text", "!?", ""))).cast("long").alias("n_shouts"),
-        F.length(F.translate("__text", _SPACE, "")).cast("long").alias("word_chars"),
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of_words = lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        _repeat_words(w, width).cast("long").alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
-    step = step.select(
-        "doc_id", "n_symbols", "n_shouts", "word_chars",
-        F.size("__words").cast("long").alias("n_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.expr("transform(__words, w -> xxhash64(w))").alias("__hash"),
+    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+    without = lambda signs: (F.length(text) - F.length(F.translate(text, signs, ""))).cast("long")
+    step = documents.select(
+        "doc_id", _let(_words(text), of_words).alias("__words"), _let(lines, of_lines).alias("__lines"),
+        without(_SYMBOLS).alias("n_symbols"), without("!?").alias("n_shouts"), F.length(F.translate(text, _SPACE, "")).cast("long").alias("word_chars"),
     )
-    window = ", ".join(f"__hash[i + {k}]" for k in range(width))
-    step = step.withColumn("__windows", F.expr(f"CASE WHEN size(__hash) < {width} THEN array() ELSE transform(sequence(0, size(__hash) - {width}), i -> xxhash64({window})) END").cast("array<bigint>"))
-    step = step.withColumn("__sorted", F.expr("CASE WHEN size(array_distinct(__windows)) = size(__windows) THEN array() ELSE sort_array(__windows) END").cast("array<bigint>"))
-    step = step.withColumn("__repeated", F.expr("array_distinct(filter(__sorted, (x, i) -> i > 0 AND x = __sorted[i - 1]))"))
-    pairs = "concat(array(named_struct('h', CAST(NULL AS BIGINT), 'p', -1)), array_sort(transform(__windows, (x, i) -> named_struct('h', x, 'p', i))), array(named_struct('h', CAST(NULL AS BIGINT), 'p', -1)))"
-    step = step.withColumn("__pairs", F.expr(f"CASE WHEN size(__repeated) > 200 THEN {pairs} END"))
-    step = step.withColumn("__at", _repeated_places())
-    covered = f"CASE WHEN size(__at) = 0 THEN 0 ELSE {width} + aggregate(sequence(1, size(__at)), 0, (a, i) -> a + if(i < size(__at), least({width}, __at[i] - __at[i - 1]), 0)) END"
-    return step.select("doc_id", *MEASURES[:4], F.expr(covered).cast("long").alias("n_repeat_words"), *MEASURES[5:])
+    return step.select("doc_id", "__words.n_words", "word_chars", "n_symbols", "__lines.n_dup_lines", "__words.n_repeat_words", "__lines.n_lines", "__words.n_stop_words", "n_shouts")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -59,6 +59,11 @@ def unpack(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.zeros(0, kind) for x in column]
 
 
+def places(rows: list[int]) -> pa.Array:
+    """Rows to take, of a type even if there are none."""
+    return pa.array(rows, pa.int64())
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys: where each run of equal ones starts, and where it ends."""
     if not len(keys):

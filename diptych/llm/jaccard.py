@@ -154,7 +154,7 @@ def one_of_each(documents: DataFrame, percent: int = 80, width: int = 5, frequen
             if ids[row] is None or ids[row] not in dropped and ids[row] not in seen:
                 kept.append(row)
                 seen.add(ids[row])
-        return table.select(names).take(kept)
+        return table.select(names).take(X.places(kept))
 
     return X.answered(chunks, losers, keep, schema)
 
@@ -224,7 +224,7 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
         asked = {r["class"]: r for r in wanted.to_pylist()}
         ids = table.column("doc_id").to_pylist()
         rows = [i for i, x in enumerate(ids) if x in asked]
-        part, out = table.take(rows), []
+        part, out = table.take(X.places(rows)), []
         for k, tokens in _sets(part, width) if rows else ():
             r = asked[ids[rows[k]]]
             out.append((r["class"], r["cell"], r["blocks"], r["place"], X.pack(tokens)))

@@ -225,7 +225,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
         live = np.intersect1d(twice, np.concatenate(X.unpack(table.column("own"), np.uint32)))
         found = [x[X.is_in(x, live)] for x in every]
         keep = [i for i, x in enumerate(found) if len(x)]
-        return pa.table({"chunk": table.column("chunk").take(keep), "bucket": table.column("bucket").take(keep), "hits": pa.array([X.pack(found[i]) for i in keep], pa.binary())})
+        return pa.table({"chunk": table.column("chunk").take(X.places(keep)), "bucket": table.column("bucket").take(X.places(keep)), "hits": pa.array([X.pack(found[i]) for i in keep], pa.binary())})
 
     def gather(table: pa.Table, hits: pa.Table) -> pa.Table:
         found = [x.astype(np.uint64) | np.uint64(b << 32) for x, b in zip(X.unpack(hits.column("hits"), np.uint32), hits.column("bucket").to_pylist(), strict=True)]

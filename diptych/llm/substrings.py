@@ -80,7 +80,7 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
         live = np.intersect1d(twice, np.concatenate(X.unpack(table.column("anchors"), np.uint32)))
         found = [x[X.is_in(x, live)] for x in every]
         keep = [i for i, x in enumerate(found) if len(x)]
-        return pa.table({"chunk": table.column("chunk").take(keep), "bucket": table.column("bucket").take(keep), "hits": pa.array([X.pack(found[i]) for i in keep], pa.binary())})
+        return pa.table({"chunk": table.column("chunk").take(X.places(keep)), "bucket": table.column("bucket").take(X.places(keep)), "hits": pa.array([X.pack(found[i]) for i in keep], pa.binary())})
 
     def extend(table: pa.Table, hits: pa.Table) -> pa.Table:
         found = [X.unpack(hits.column("hits"), np.uint32)[i].astype(np.uint64) | np.uint64(b << 32) for i, b in enumerate(hits.column("bucket").to_pylist())]
@@ -115,7 +115,7 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
             at += len(h)
             if (told := (m < f) | s).any():
                 out.append((i, X.pack(h[told]), X.pack(m[told])))
-        return pa.table({"chunk": table.column("chunk").take([r[0] for r in out]), "hashes": pa.array([r[1] for r in out], pa.binary()), "least": pa.array([r[2] for r in out], pa.binary())})
+        return pa.table({"chunk": table.column("chunk").take(X.places([r[0] for r in out])), "hashes": pa.array([r[1] for r in out], pa.binary()), "least": pa.array([r[2] for r in out], pa.binary())})
 
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
         hashes = np.concatenate([np.zeros(0, np.uint64), *X.unpack(told.column("hashes"), np.uint64)])

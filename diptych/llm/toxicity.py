@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import add_columns
+from .frames import add_columns, checkpointed
 
 #: Bounds: labelled documents that are learned from, words and exception phrases that are kept.
 SAMPLE, LEXICON, EXCEPTIONS = 40_000, 4000, 1000
@@ -116,7 +116,9 @@ def fit(documents: DataFrame, labels: DataFrame, train: str = "true") -> Model:
     total = chosen.count()
     if total > SAMPLE:
         chosen = chosen.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / total))
-    known = documents.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    # The sample's ids are bounded, so they go to the documents; the sample is read several times, so it is kept.
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = checkpointed(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
 
     def grams(batches):
         for batch in batches:

@@ -63,6 +63,8 @@ def fit(documents: DataFrame, train: str = "true") -> Model:
     first = Window.partitionBy("lang").orderBy("__hash", "doc_id")
     chosen = known.select("lang", "doc_id", F.xxhash64(F.lit(11), "doc_id").alias("__hash")).withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= SAMPLE_DOCUMENTS)
     chosen = chosen.select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"))
+    # The ids are as many as languages times a bound; only a table of very many languages is joined by a shuffle.
+    chosen = F.broadcast(chosen) if len(counts) * SAMPLE_DOCUMENTS <= 500_000 else chosen
     rows = known.join(chosen, (known["doc_id"] == chosen["__id"]) & (known["lang"] == chosen["__lang"])).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):

@@ -29,7 +29,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 #: Bytes of text handled at once; the arrays of a slice take about a hundred times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
@@ -53,7 +53,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept for the next call, at a rounded size."""
-    return _powers(base, max(1 << 21, 1 << (n - 1).bit_length() if n > 1 else 1))[:n]
+    return _powers(base, max(1 << 19, 1 << (n - 1).bit_length() if n > 1 else 1))[:n]
 
 
 @dataclass

@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one has, within two edits; a document may be left without text."""
-    out = lines.dedup_lines(docs)
+    """Documents without the lines that an earlier one has, within two edits (short lines: exactly); a document may be left without text."""
+    out = lines.dedup_lines(docs, shortest=lines.SHORTEST_CHARS)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select([f"`{c}`" for c in docs.columns])

@@ -9,6 +9,9 @@ First only the lower halves of the signatures' hashes meet, to tell which of the
 signature, most of a corpus, go no further.  Equal lines become one class, so a line of all documents is one row from then
 on.  Classes that share a signature form cells; a cell is dealt into blocks, each pair of blocks is compared in a task, and
 what leaves a task is a count for each class, never a pair.
+
+Lines too short for edits to mean anything take part by their whole hash alone: it meets as a signature does, and makes
+them a class, but no cell.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from .components import blocked, paired
 from .frames import checkpointed
 from .words import mix, powers, slices
 
-#: Edits between lines that count as one, and code points that a line must have to be compared at all.
-EDITS, LEAST_CHARS = 2, 20
+#: Edits between lines that count as one, code points from which edits are allowed, and from which equal lines are dropped.
+EDITS, LEAST_CHARS, SHORTEST_CHARS = 2, 20, 1
 #: Texts of a cell that a task compares with as many.
 BLOCK = 256
 
@@ -94,7 +97,12 @@ class Lines:
                     probes.append(found)
                     if not less and not shift:
                         own.append(found)
-        return np.array(own).T.reshape(len(rows), edits + 1), np.array(probes).T.reshape(len(rows), len(probes))
+        own, probes = np.array(own).T.reshape(len(rows), edits + 1), np.array(probes).T.reshape(len(rows), len(probes))
+        # A line under ``least`` meets its equals only, by its hash in place of segments.
+        under = length < least
+        whole = mix(self.hash[rows[under]] ^ _K2)
+        own[under], probes[under], probes[under, 0] = whole[:, None], 0, whole
+        return own, probes
 
 
 def _lines(table: pa.Table, least: int):
@@ -176,11 +184,12 @@ def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())})
 
 
-def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, block: int = BLOCK) -> DataFrame:
+def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, block: int = BLOCK, shortest: int | None = None) -> DataFrame:
     """The documents with the lines dropped from their text, and n_lines, n_dropped, n_near and n_links.
 
-    A line is a part of the text between line breaks, compared without space and U+0009..U+000D at its ends, if ``least``
-    code points or more are left; others stay.  Lines are ordered by doc_id and place.  An occurrence is dropped if an
+    A line is a part of the text between line breaks, compared without space and U+0009..U+000D at its ends, if ``shortest``
+    code points or more are left (None for ``least``); others stay.  One of fewer than ``least`` has no other text within
+    ``edits``, so only equal ones are dropped.  Lines are ordered by doc_id and place.  An occurrence is dropped if an
     earlier one is equal, or if the first occurrence of its text comes after that of another text within ``edits`` of it
     (n_near counts these).  n_lines counts lines that are compared, n_links the other texts within ``edits`` of them.
 
@@ -191,6 +200,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
     added = ("n_lines", "n_dropped", "n_near", "n_links")
     documents = documents.select([f"`{c}`" for c in documents.columns if c.lower() not in added])
     names, fields = documents.columns, documents.schema.fields
+    shortest = least if shortest is None else min(shortest, least)
     n = X.sizes(documents.select("text"), 0.4)
     chunks = X.chunked(documents, n)
 
@@ -199,7 +209,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
 
     def send(table: pa.Table) -> pa.Table:
         seen, own, probes = [], [], []
-        for _, _, _, _, lines in _lines(table, least):
+        for _, _, _, _, lines in _lines(table, shortest):
             o, p = lines.signatures(np.arange(len(lines.hash)), edits, least)
             seen.append(lines.hash)
             own.append(X.short(o, n))
@@ -232,7 +242,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
         live = np.sort(np.concatenate([np.zeros(0, np.uint64), *found]))
         ids, first = keys(table), {}
         chunk = table.column(X.CHUNK)[0].as_py() if table.num_rows else 0
-        for i, _, _, _, lines in _lines(table, least) if len(live) else ():
+        for i, _, _, _, lines in _lines(table, shortest) if len(live) else ():
             _, p = lines.signatures(np.arange(len(lines.hash)), edits, least)
             met = ((p != 0) & X.is_in(X.short(p, n).ravel(), live).reshape(p.shape)).any(axis=1)
             for k in np.flatnonzero(met).tolist():
@@ -296,7 +306,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
         known = known.view(np.uint64) if len(known) else np.zeros(0, np.uint64)
         ids, out = keys(table), []
         texts = table.column("text")
-        for i, j, _, _, lines in _lines(table, least):
+        for i, j, _, _, lines in _lines(table, shortest):
             at = np.minimum(np.searchsorted(known, lines.hash), max(0, len(known) - 1))
             is_known = known[at] == lines.hash if len(known) else np.zeros(len(lines.hash), bool)
             near, linked_to, gone = np.zeros(len(at), bool), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
@@ -328,4 +338,4 @@ def digest(marked: DataFrame) -> DataFrame:
     return marked.select("doc_id", "n_lines", "n_dropped", "n_near", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-__all__ = ["EDITS", "LEAST_CHARS", "Lines", "dedup_lines", "digest", "within"]
+__all__ = ["EDITS", "LEAST_CHARS", "SHORTEST_CHARS", "Lines", "dedup_lines", "digest", "within"]

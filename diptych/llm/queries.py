@@ -32,7 +32,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=lines.SHORTEST_CHARS))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,10 +102,30 @@ def vocabulary(captions: DataFrame, least: int = 2, first_id: int = 4) -> DataFr
     return ranked.join(F.broadcast(before), "part").select("word", "n", (F.col("before") + F.col("r") + (first_id - 1)).cast("long").alias("word_id"))
 
 
-def encoded(captions: DataFrame, words: DataFrame, length: int) -> DataFrame:
-    """id and the caption's word ids between start (1) and end (2), unknown words 3, padded with 0 to ``length`` or cut there."""
+def _whole(captions: DataFrame, words: DataFrame) -> DataFrame:
+    """id and ``whole``: all of the caption's word ids between start (1) and end (2), unknown words 3."""
     placed = captions.select("id", F.posexplode_outer("words").alias("place", "word")).join(words.select("word", "word_id"), "word", "left")
     ids = placed.where("place is not null").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("word_id", F.lit(3)).alias("w")))).alias("x"))
     whole = F.concat(F.array(F.lit(1).cast("long")), F.transform(F.coalesce("x", F.array().cast("array<struct<place:int,w:bigint>>")), lambda e: e["w"]), F.array(F.lit(2).cast("long")))
-    padded = F.slice(F.concat(whole, F.array_repeat(F.lit(0).cast("long"), length)), 1, length)
-    return captions.select("id").join(ids, "id", "left").select("id", padded.alias("ids"))
+    return captions.select("id").join(ids, "id", "left").select("id", whole.alias("whole"))
+
+
+def encoded(captions: DataFrame, words: DataFrame, length: int) -> DataFrame:
+    """id and the caption's word ids between start (1) and end (2), unknown words 3, padded with 0 to ``length`` or cut there."""
+    padded = F.slice(F.concat("whole", F.array_repeat(F.lit(0).cast("long"), length)), 1, length)
+    return _whole(captions, words).select("id", padded.alias("ids"))
+
+
+def batched(captions: DataFrame, words: DataFrame, batch: str) -> DataFrame:
+    """id, ``batch`` (a column of the captions) and the whole caption's ids, padded with 0 to the longest of its batch."""
+    rows = _whole(captions, words).join(captions.select("id", batch), "id")
+    longest = rows.groupBy(batch).agg(F.max(F.size("whole")).alias("longest"))
+    padding = F.array_repeat(F.lit(0).cast("long"), F.col("longest") - F.size("whole"))
+    return rows.join(longest, batch).select("id", batch, F.concat("whole", padding).alias("ids"))
+
+
+def decoded(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """id and ``caption``: the words of ids, joined by spaces; padding, start, end and unknown words are skipped."""
+    placed = rows.select("id", F.posexplode("ids").alias("place", "word_id")).where("word_id > 3").join(words.select("word", "word_id"), "word_id")
+    found = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("x"))
+    return rows.select("id").join(found, "id", "left").select("id", F.coalesce(F.array_join("x.word", " "), F.lit("")).alias("caption"))

@@ -89,6 +89,29 @@ def encode_decode_pad(t: Tables) -> DataFrame:
     return captions.encoded(lines, captions.vocabulary(lines), 16).select("id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
+#: Captions that are padded together.
+BATCH = 8
+
+
+def _texts(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("words"), F.floor(F.col("doc_id") / BATCH).alias("batch"))
+
+
+_ALL_WORDS = """w AS (SELECT doc_id AS id, coalesce(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x<>''), []) AS words FROM documents),
+e AS (SELECT id, unnest(words) AS word, unnest(range(len(words))) AS place FROM w), v AS (SELECT word, count(*) AS n, min(id*10000000+place) AS f FROM e GROUP BY 1 HAVING count(*)>=2), k AS (SELECT word, n, row_number() OVER (ORDER BY f)+3 AS word_id FROM v)"""
+
+
+@query(f"""WITH {_ALL_WORDS}, i AS (SELECT id, list(coalesce(word_id,3) ORDER BY place) AS x, string_agg(word, ' ' ORDER BY place) FILTER (WHERE word_id IS NOT NULL) AS caption FROM e LEFT JOIN k USING (word) GROUP BY 1),
+a AS (SELECT id, id//{BATCH} AS batch, list_concat(list_concat([1], coalesce(x,[])), [2]) AS x, coalesce(caption,'') AS caption FROM w LEFT JOIN i USING (id)), l AS (SELECT batch, max(len(x)) AS longest FROM a GROUP BY 1)
+SELECT id, array_to_string(list_concat(x, list_transform(range(longest-len(x)), lambda z: 0)), ' ') AS ids, caption FROM a JOIN l USING (batch)""")
+def encode_decode_whole(t: Tables) -> DataFrame:
+    """Whole texts encoded with words of whole texts, padded to the longest of their batch, and decoded again."""
+    texts = _texts(t)
+    words = captions.vocabulary(texts)
+    rows = captions.batched(texts, words, "batch")
+    return rows.select("id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")).join(captions.decoded(rows, words), "id")
+
+
 @query("""
 SELECT p_partkey, replace(trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]', '_', 'g'), '_'), '__', '_') AS slug, 'b' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g') AS name FROM part""")
 def slug_and_format(t: Tables) -> DataFrame:

@@ -48,5 +48,5 @@ def gate_logistic(t: Tables) -> DataFrame:
 
 @query()
 def gate_gbt(t: Tables) -> DataFrame:
-    scored = learning.out_of_fold(features(t), learning.boosted(FEATURES["all"], "label", rounds=10), "fold", 3, ["doc_id", "label"])
+    scored = learning.out_of_fold(features(t), learning.boosted(FEATURES["all"], "label"), "fold", 3, ["doc_id", "label"])
     return _judged(scored, "boosted")

@@ -11,6 +11,20 @@ from pyspark.sql import types as T
 from diptych.functions import text
 
 
+def following(rows: DataFrame, group: str) -> DataFrame:
+    """id and ``next``, the next larger id of the same group; the last of a group has none and is left out.
+
+    Ids are ordered in parts of a thousand; only the parts' first ids are ordered for a group as a whole.
+    """
+    from pyspark.sql import Window
+
+    parts = rows.select("id", group, F.floor(F.col("id") / 1000).alias("part"))
+    firsts = parts.groupBy(group, "part").agg(F.min("id").alias("first"))
+    after = firsts.select(group, "part", F.lead("first").over(Window.partitionBy(group).orderBy("part")).alias("after"))
+    near = parts.withColumn("next", F.lead("id").over(Window.partitionBy(group, "part").orderBy("id")))
+    return near.join(after, [group, "part"]).select("id", F.coalesce("next", "after").alias("next")).where("next is not null")
+
+
 def gram_counts(pairs: DataFrame, most: int = 4) -> DataFrame:
     """id, n, gram, and how often each side of the pair has it."""
     sides = pairs.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), text.tokens(F.col(c)).alias("words")) for k, c in enumerate(("hypothesis", "reference"))])).alias("s"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from diptych.functions import text
 from diptych.operators import captions
 
-from .catalog import Tables, query
+from .catalog import SQL, Tables, query
 
 _PAIRS = "p AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS reference, split_part(text, chr(10), 2) AS hypothesis FROM documents WHERE contains(text, chr(10)))"
 _TOKENS = "k AS (SELECT id, list_filter(regexp_split_to_array(lower(hypothesis), '\\s+'), lambda x: x<>'') AS h, list_filter(regexp_split_to_array(lower(reference), '\\s+'), lambda x: x<>'') AS r FROM p)"
@@ -112,6 +112,42 @@ def encode_decode_whole(t: Tables) -> DataFrame:
     return rows.select("id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")).join(captions.decoded(rows, words), "id")
 
 
+@query(f"WITH {_ALL_WORDS} SELECT word, n, word_id FROM k")
+def vocab_whole(t: Tables) -> DataFrame:
+    return captions.vocabulary(_texts(t))
+
+
+#: A whole document as the reference, and the next one of its language as what a model said.
+_WHOLE_PAIRS = "p AS (SELECT * FROM (SELECT doc_id AS id, coalesce(text,'') AS reference, lead(coalesce(text,'')) OVER (PARTITION BY coalesce(lang,'') ORDER BY doc_id) AS hypothesis FROM documents) WHERE hypothesis IS NOT NULL)"
+
+
+def whole_pairs(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    after = captions.following(rows.select("id", "lang"), "lang")
+    said = rows.select(F.col("id").alias("next"), F.col("text").alias("hypothesis"))
+    return rows.select("id", F.col("text").alias("reference")).join(after, "id").join(said, "next").select("id", "reference", "hypothesis")
+
+
+@query(SQL["bleu_corpus"].replace(_PAIRS, _WHOLE_PAIRS))
+def bleu_whole(t: Tables) -> DataFrame:
+    return captions.bleu(whole_pairs(t))
+
+
+@query(SQL["cider_like"].replace(_PAIRS, _WHOLE_PAIRS))
+def cider_whole(t: Tables) -> DataFrame:
+    return captions.consensus(whole_pairs(t)).select("id", F.round("score", 5).alias("score"))
+
+
+@query(SQL["overlap_f1"].replace(_PAIRS, _WHOLE_PAIRS))
+def overlap_f1_whole(t: Tables) -> DataFrame:
+    return captions.overlap_f1(whole_pairs(t)).select("id", F.round("f1", 6).alias("f1"))
+
+
+@query()
+def rouge_l_whole(t: Tables) -> DataFrame:
+    return captions.rouge_l(whole_pairs(t)).select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query("""
 SELECT p_partkey, replace(trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]', '_', 'g'), '_'), '__', '_') AS slug, 'b' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g') AS name FROM part""")
 def slug_and_format(t: Tables) -> DataFrame:

@@ -32,3 +32,28 @@ def test_query_keeps_ends(spark, folder):
     wanted = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), F.size(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("n"))
     told = rows.join(wanted, "id").select("n", F.size(F.filter(ids, lambda x: x != "0")).alias("m"), F.exists(ids, lambda x: x == "2").alias("ended")).collect()
     assert told and all(r.ended and r.m == max(r.n, 0) + 2 for r in told)
+
+
+def test_following_passes_over_parts(spark):
+    rows = [(1, "a"), (5, "b"), (7, "a"), (3100, "a"), (3101, "b"), (9000, "a"), (9001, "c")]
+    found = captions.following(spark.createDataFrame(rows, "id long, lang string"), "lang").collect()
+    assert {r.id: r.next for r in found} == {1: 7, 7: 3100, 3100: 9000, 5: 3101}
+
+
+def test_whole_texts_are_scored_and_counted(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text").orderBy("doc_id").collect()
+    words: dict = {}
+    for r in docs:
+        for w in (r.text or "").lower().split():
+            words[w] = words.get(w, 0) + 1
+    found = {r.word: r.n for r in registry.queries()["vocab_whole"](spark, folder).collect()}
+    assert sum(found.values()) == sum(n for n in words.values() if n > 1)
+    last: dict = {r.lang or "": r for r in docs}
+    rouge = {r.id: (r.precision, r.recall) for r in registry.queries()["rouge_l_whole"](spark, folder).collect()}
+    assert set(rouge) == {r.doc_id for r in docs} - {r.doc_id for r in last.values()}
+    for lang in last:
+        same = [r for r in docs if (r.lang or "") == lang][:6]
+        for a, b in zip(same, same[1:], strict=False):
+            x, y = (b.text or "").lower().split(), (a.text or "").lower().split()
+            n = captions.common_length(x, y)
+            assert rouge[a.doc_id] == (round(n / max(len(x), 1), 6), round(n / max(len(y), 1), 6))

@@ -68,6 +68,56 @@ def consensus(pairs: DataFrame) -> DataFrame:
     return pairs.select("id").join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _counted(rows: DataFrame, text_column: str, keys: list[str], most: int = 4) -> DataFrame:
+    """keys, n, gram, how often the text has it, and how many n-grams of n the text has."""
+    words = rows.select(*keys, text.tokens(F.col(text_column)).alias("words"))
+    grams = words.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), text.ngrams(F.col("words"), n).alias("grams")) for n in range(1, most + 1)])).alias("g"))
+    rows = grams.select(*keys, "g.n", F.size("g.grams").alias("of"), F.explode("g.grams").alias("gram"))
+    return rows.groupBy(*keys, "n", "gram", "of").agg(F.count(F.lit(1)).alias("k"))
+
+
+def bleu_of_several(said: DataFrame, references: DataFrame) -> DataFrame:
+    """Corpus BLEU-1 to BLEU-4 of said (id, hypothesis) against several references (id, place, reference) of each id.
+
+    A gram counts as often as the reference that has it most; lengths are those of the closest reference, the shorter of
+    two; an order without a match is smoothed by method 4 of Chen and Cherry (as NLTK does), unless no word matches.
+    """
+    said = said.join(references.select("id").distinct(), "id", "left_semi")
+    meant = _counted(references, "reference", ["id", "place"]).groupBy("id", "n", "gram").agg(F.max("k").alias("most"))
+    hits = _counted(said, "hypothesis", ["id"]).join(meant, ["id", "n", "gram"]).agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("k", "most"))), F.lit(0)).alias(f"hit{n}") for n in range(1, 5)])
+    sizes = said.select("id", F.size(text.tokens(F.col("hypothesis"))).alias("h")).join(references.select("id", F.size(text.tokens(F.col("reference"))).alias("r")), "id")
+    sizes = sizes.groupBy("id").agg(F.first("h").alias("h"), F.min(F.struct(F.abs(F.col("h") - F.col("r")), "r"))["r"].alias("r"))
+    totals = sizes.agg(F.sum("h").alias("h"), F.sum("r").alias("r"), *[F.sum(F.greatest(F.col("h") - (n - 1), F.lit(1))).alias(f"of{n}") for n in range(1, 5)])
+    missed, logs, out = F.lit(0), F.lit(0.0), []
+    brevity = F.when(F.col("h") > F.col("r"), 1.0).when(F.col("h") == 0, 0.0).otherwise(F.exp(1 - F.col("r") / F.col("h")))
+    for n in range(1, 5):
+        none = F.col(f"hit{n}") == 0
+        missed = missed + none.cast("int")
+        p = F.when(~none, F.col(f"hit{n}") / F.col(f"of{n}")).when(F.col("h") > 1, F.log("h") / (5 * F.pow(F.lit(2.0), missed)) / F.col(f"of{n}"))
+        logs = logs + F.coalesce(F.log(p), F.lit(0.0))
+        out.append(F.round(F.when(F.col("hit1") == 0, 0.0).otherwise(brevity * F.exp(logs / n)), 6).alias(f"bleu{n}"))
+    return hits.join(F.broadcast(totals)).select(*out)
+
+
+def consensus_of_several(said: DataFrame, references: DataFrame) -> DataFrame:
+    """id and ten times the mean, over n of 1 to 4, of the cosine between said and the mean vector of its references.
+
+    A vector has the share of a gram among its text's, times ln((N + 1) / (df + 1)), with df the first references (place
+    0) of N that have it; grams that no first reference has are in no vector.
+    """
+    said = said.join(references.select("id").distinct(), "id", "left_semi")
+    counts = _counted(references, "reference", ["id", "place"])
+    seen = counts.where("place = 0").groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
+    n_all = references.where("place = 0").agg(F.count(F.lit(1)).alias("n_all"))
+    sides = counts.select("id", "n", "gram", F.lit(0.0).alias("a"), (F.col("k") / F.col("of")).alias("b")).unionByName(_counted(said, "hypothesis", ["id"]).select("id", "n", "gram", (F.col("k") / F.col("of")).alias("a"), F.lit(0.0).alias("b")))
+    rows = sides.groupBy("id", "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).join(seen, ["n", "gram"]).join(F.broadcast(n_all)).withColumn("w", F.log((F.col("n_all") + 1) / (F.col("df") + 1)))
+    a, b = F.col("a") * F.col("w"), F.col("b") * F.col("w")
+    parts = rows.groupBy("id", "n").agg(F.sum(a * b).alias("dot"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"))
+    cosine = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("dot") / (F.sqrt("aa") * F.sqrt("bb"))).otherwise(0.0)
+    scores = parts.groupBy("id").agg((F.sum(cosine) * 10 / 4).alias("score"))
+    return said.select("id").join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def overlap_f1(pairs: DataFrame) -> DataFrame:
     """id and the F1 of the words that both sides have, counted as often as both do."""
     words = gram_counts(pairs, 1).groupBy("id").agg(F.sum(F.least("said", "meant")).alias("hit"), F.sum("said").alias("said"), F.sum("meant").alias("meant"))
@@ -143,3 +193,9 @@ def decoded(rows: DataFrame, words: DataFrame) -> DataFrame:
     placed = rows.select("id", F.posexplode("ids").alias("place", "word_id")).where("word_id > 3").join(words.select("word", "word_id"), "word_id")
     found = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("x"))
     return rows.select("id").join(found, "id", "left").select("id", F.coalesce(F.array_join("x.word", " "), F.lit("")).alias("caption"))
+
+
+def shifted(rows: DataFrame) -> DataFrame:
+    """id, what a decoder is given (ids without the last) and what it is to say (ids without the first)."""
+    n = F.size("ids") - 1
+    return rows.select("id", F.slice("ids", F.lit(1), n).alias("given"), F.slice("ids", F.lit(2), n).alias("target"))

@@ -148,6 +148,34 @@ def rouge_l_whole(t: Tables) -> DataFrame:
     return captions.rouge_l(whole_pairs(t)).select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def several(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Whole documents, and for each two references: the next one of its language and the one after that, if there are such."""
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    after = captions.following(rows.select("id", "lang"), "lang")
+    later = after.join(after.select(F.col("id").alias("next"), F.col("next").alias("later")), "next").select("id", "later")
+    places = after.select("id", F.lit(0).alias("place"), F.col("next").alias("of")).unionByName(later.select("id", F.lit(1).alias("place"), F.col("later").alias("of")))
+    references = places.join(rows.select(F.col("id").alias("of"), F.col("text").alias("reference")), "of").select("id", "place", "reference")
+    return rows.select("id", F.col("text").alias("hypothesis")), references
+
+
+@query()
+def bleu_several(t: Tables) -> DataFrame:
+    """SQL is left out; a test compares with a plain version."""
+    return captions.bleu_of_several(*several(t))
+
+
+@query()
+def cider_several(t: Tables) -> DataFrame:
+    """SQL is left out; a test compares with a plain version."""
+    return captions.consensus_of_several(*several(t)).select("id", F.round("score", 5).alias("score"))
+
+
+@query()
+def rouge_l_several(t: Tables) -> DataFrame:
+    said, references = several(t)
+    return captions.rouge_l(said.join(references, "id")).select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query("""
 SELECT p_partkey, replace(trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]', '_', 'g'), '_'), '__', '_') AS slug, 'b' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g') AS name FROM part""")
 def slug_and_format(t: Tables) -> DataFrame:

@@ -1,5 +1,10 @@
 """Captions as wholes: nothing is cut from them, and what is encoded decodes again."""
 
+import math
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from diptych import registry
@@ -57,3 +62,65 @@ def test_whole_texts_are_scored_and_counted(spark, folder):
             x, y = (b.text or "").lower().split(), (a.text or "").lower().split()
             n = captions.common_length(x, y)
             assert rouge[a.doc_id] == (round(n / max(len(x), 1), 6), round(n / max(len(y), 1), 6))
+
+
+def _grams(words, n):
+    return Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
+
+
+def plain_bleu(said, refs):
+    hit, of, h, r = [0] * 5, [0] * 5, 0, 0
+    for i, words in said.items():
+        for n in range(1, 5):
+            most = Counter()
+            for ref in refs[i]:
+                most |= _grams(ref, n)
+            hit[n] += sum((_grams(words, n) & most).values())
+            of[n] += max(1, len(words) - n + 1)
+        h += len(words)
+        r += min((abs(len(x) - len(words)), len(x)) for x in refs[i])[1]
+    if not hit[1]:
+        return [0.0] * 4
+    out, total, missed = [], 0.0, 0
+    for n in range(1, 5):
+        top = hit[n]
+        if not top:
+            missed += 1
+            top = 1 / (2**missed * 5 / math.log(h))
+        total += math.log(top / of[n])
+        out.append((1 if h > r else math.exp(1 - r / h)) * math.exp(total / n))
+    return out
+
+
+def plain_cider(said, refs):
+    out = {}
+    for i, words in said.items():
+        scores = []
+        for n in range(1, 5):
+            df = Counter(g for x in refs.values() for g in _grams(x[0], n))
+            vector = lambda x, n=n, df=df: {g: k / sum(_grams(x, n).values()) * math.log((len(refs) + 1) / (df[g] + 1)) for g, k in _grams(x, n).items() if g in df}
+            a, b = vector(words), Counter()
+            for x in refs[i]:
+                for g, v in vector(x).items():
+                    b[g] += v / len(refs[i])
+            length = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
+            scores.append(sum(v * b[g] for g, v in a.items() if g in b) / length if length else 0.0)
+        out[i] = 10 * sum(scores) / 4
+    return out
+
+
+@pytest.mark.parametrize("letters", ["abc", "abcdefghijklmnopqrstuvwxyz"])
+def test_several_references(spark, letters):
+    rng = random.Random(4)
+    some = lambda: [rng.choice(letters) for _ in range(rng.randint(1, 6))]
+    said = {i: some() for i in range(12)}
+    refs = {i: [some() for _ in range(rng.randint(1, 3))] for i in said}
+    a = spark.createDataFrame([(i, " ".join(x)) for i, x in said.items()] + [(99, "no reference")], "id long, hypothesis string")
+    b = spark.createDataFrame([(i, k, " ".join(x)) for i, xs in refs.items() for k, x in enumerate(xs)], "id long, place int, reference string")
+    assert list(captions.bleu_of_several(a, b).first()) == pytest.approx(plain_bleu(said, refs), abs=2e-6)
+    assert {r.id: r.score for r in captions.consensus_of_several(a, b).collect()} == pytest.approx(plain_cider(said, refs), abs=1e-9)
+
+
+def test_shift(spark):
+    row = captions.shifted(spark.createDataFrame([(1, [1, 7, 2, 0])], "id long, ids array<long>")).first()
+    assert (row.given, row.target) == ([1, 7, 2], [7, 2, 0])

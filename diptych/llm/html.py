@@ -12,8 +12,12 @@ Labelled pages are of two kinds: a bounded sample of the corpus whose blocks lie
 from __future__ import annotations
 
 import html as _html
+import json
 import random
 import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,17 +29,23 @@ from pyspark.sql import types as T
 from .frames import add_columns
 
 #: Bounds of the training set: pages sampled from the corpus by a hash of page_id, blocks used of one, and pages drawn.
-SAMPLE_PAGES, SAMPLE_BLOCKS, DRAWN_PAGES = 150, 200, 300
+SAMPLE_PAGES, SAMPLE_BLOCKS, DRAWN_PAGES = 150, 200, 400
 
 # Element names by how HTML treats them.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("script style noscript template svg math iframe object select textarea button head title canvas video audio".split())
+_RAW = frozenset("script style title textarea iframe".split())
+_CONTROL = frozenset("button select svg canvas video audio object noscript template".split())
 _BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_CLOSES_P = _BLOCK - {"body", "html"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_RAW_ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in _SKIPPED}
+_FRAME = frozenset("html head body hr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+_NAME = re.compile(r"[^\s/>]*")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_STEP = re.compile(r">|=\s*[\"']")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
+_PLACES = re.compile(rf"<(/?)({'|'.join(sorted(_CONTROL | _BLOCK, key=len, reverse=True))})(?=[\s/>])", re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -56,16 +66,55 @@ _KIND = {word: kind for kind, words in _KINDS.items() for word in words.split()}
 
 @dataclass
 class Block:
+    """A leaf block: its text, the names of the elements open around it, the innermost, what their names say, linked share."""
+
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    leaf: str
     kinds: frozenset[str]
     link: float
 
 
-@dataclass
 class _Open:
-    tag: str
-    kinds: frozenset[str]
+    """The open elements that structure a page, with counts by name and by kind, so that each step costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.tags: Counter[str] = Counter()
+        self.kinds: Counter[str] = Counter()
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else "-"
+
+    def push(self, tag: str, kinds: frozenset[str]) -> None:
+        self.stack.append((tag, kinds))
+        self.tags[tag] += 1
+        self.kinds.update(kinds)
+
+    def pop(self) -> None:
+        tag, kinds = self.stack.pop()
+        self.tags[tag] -= 1
+        self.kinds.subtract(kinds)
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost element of that name and all within it; nothing if none is open."""
+        if self.tags[tag]:
+            while self.top() != tag:
+                self.pop()
+            self.pop()
+
+    def imply(self, tag: str) -> None:
+        """Ends what the start of a block ends: a paragraph or heading on top, a control left open, the item or cell before."""
+        while self.top() == "p" or self.top() in _CONTROL or (tag in _HEADINGS and self.top() in _HEADINGS):
+            self.pop()
+        if tag == "li" and self.top() == "li" or tag in ("dt", "dd") and self.top() in ("dt", "dd"):
+            self.pop()
+        if tag in ("td", "th", "tr", "tbody", "thead", "tfoot") and self.top() in ("td", "th"):
+            self.pop()
+        if tag in ("tr", "tbody", "thead", "tfoot") and self.top() == "tr":
+            self.pop()
+        if tag in ("tbody", "thead", "tfoot") and self.top() in ("tbody", "thead", "tfoot"):
+            self.pop()
 
 
 def _kinds(attributes: str) -> frozenset[str]:
@@ -75,20 +124,95 @@ def _kinds(attributes: str) -> frozenset[str]:
     return frozenset(found | ({"hidden"} if _HIDDEN.search(attributes) else set()))
 
 
+class _Reader:
+    """Finds where tags, comments and raw texts end.
+
+    What fails is kept, so that a page of beginnings without ends costs one look at each place, too.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.none: set[str] = set()
+        self.name = (0, -1)
+        self.step: tuple[int, int, re.Match | None] = (0, -1, None)
+        self.failed: set[int] = set()
+        self.controls: dict[str, list[tuple[int, bool]]] | None = None
+        self.starts: list[int] = []
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def name_end(self, at: int) -> int:
+        """Where the name that begins at ``at`` ends."""
+        if not self.name[0] <= at < self.name[1]:
+            self.name = (at, _NAME.match(self.page, at).end())
+        return self.name[1]
+
+    def tag_end(self, at: int) -> int:
+        """The place after the ``>`` of the tag whose name ends at ``at``; -1 without one.  Quoted values may hold ``>``."""
+        if not self.step[0] <= at <= self.step[1]:
+            m = _STEP.search(self.page, at)
+            self.step = (at, m.start() if m else len(self.page), m)
+        m, seen = self.step[2], []
+        while m and m.start() not in self.failed:
+            if m[0] == ">":
+                return m.end()
+            seen.append(m.start())
+            quote = self.find(m[0][-1], m.end())
+            m = _STEP.search(self.page, m.end() if quote < 0 else quote + 1)
+        self.failed.update(seen)
+        return -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The place of the end tag of a raw text; -1 without one."""
+        if f"</{tag}" in self.none:
+            return -1
+        m = _RAW_ENDS[tag].search(self.page, at)
+        if m is None:
+            self.none.add(f"</{tag}")
+            return -1
+        return m.start()
+
+    def control_end(self, tag: str, at: int) -> tuple[int, bool]:
+        """Where the control whose start tag begins at ``at`` has its end tag, if before the next of its kind (else -1), and whether blocks are inside."""
+        if self.controls is None:
+            self.controls = {}
+            for m in _PLACES.finditer(self.page):
+                if (name := m[2].lower()) in _CONTROL:
+                    self.controls.setdefault(name, []).append((m.start(), bool(m[1])))
+                elif not m[1]:
+                    self.starts.append(m.start())
+        own = self.controls.get(tag, [])
+        k = bisect_right(own, (at, True))
+        if k == len(own) or not own[k][1]:
+            return -1, False
+        s = bisect_right(self.starts, at)
+        return own[k][0], s < len(self.starts) and self.starts[s] < own[k][0]
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order, their character references decoded and white space made single spaces."""
+    """The page's leaf blocks in order, their character references decoded and white space made single spaces.
+
+    One pass over the page.  Texts of scripts, styles, titles, text areas and frames are left out, as is what a control (a
+    button, a list of choices, a drawing or a player) holds, unless blocks stand in it: those are read like others.  A control
+    that is never closed ends with the next block.  A ``<`` that no ``>`` follows is text.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[_Open] = []
+    opened, reader = _Open(), _Reader(page)
     pieces: list[str] = []
-    linked, links, at, n = 0, 0, 0, len(page)
+    linked, in_link, at, n = 0, False, 0, len(page)
 
     def close() -> None:
         nonlocal pieces, linked
         text = " ".join("".join(pieces).split())
         if text:
-            kinds = frozenset().union(*(x.kinds for x in stack)) if stack else frozenset()
-            out.append(Block(text, tuple(x.tag for x in stack), kinds, min(1.0, linked / len(text))))
+            out.append(Block(text, frozenset(t for t, k in opened.tags.items() if k), opened.top(), frozenset(t for t, k in opened.kinds.items() if k), min(1.0, linked / len(text))))
         pieces, linked = [], 0
 
     def add(raw: str) -> None:
@@ -96,71 +220,90 @@ def blocks(page: str | None) -> list[Block]:
         if raw:
             text = _html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
-            if links:
+            if in_link:
                 linked += len(text.strip())
 
     while at < n:
         sign = page.find("<", at)
-        m = _TOKEN.match(page, sign) if sign >= 0 else None
-        if m is None:
-            end = n if sign < 0 else sign + 1
-            add(page[at:end])
-            at = end
+        if sign < 0:
+            add(page[at:])
+            break
+        add(page[at:sign])
+        ends = page.startswith("/", sign + 1)
+        begin = sign + 1 + ends
+        if page[begin : begin + 1] not in _LETTERS:
+            if ends or page[begin : begin + 1] in ("!", "?"):
+                at = _declared(reader, sign, add)
+            else:
+                add("<")
+                at = sign + 1
             continue
-        if sign > at:
-            add(page[at:sign])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                add(_html.escape(m[0][9:-3], quote=False))
+        name_end = reader.name_end(begin)
+        end = reader.tag_end(name_end)
+        if end < 0:
+            add("<")
+            at = sign + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        at = end
+        tag, attributes = page[begin:name_end].lower(), page[name_end : end - 1]
+        if ends:
             if tag == "a":
-                links = max(0, links - 1)
-            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-            if tag in _BLOCK:
+                in_link = False
+            elif tag in _BLOCK or tag in _FRAME:
                 close()
-            if place is not None and (tag in _BLOCK or not any(x.tag in _BLOCK for x in stack[place + 1 :])):
-                del stack[place:]
-            continue
-        if tag in _SKIPPED and not m[3].rstrip().endswith("/"):
-            m = _RAW_ENDS[tag].search(page, at)
-            if m is None and tag in ("head", "svg", "object", "video", "audio", "noscript"):
-                continue
-            at = page.find(">", m.start() if m else n) + 1 or n
-            pieces.append(" ")
-            continue
-        if tag == "a":
-            links += 1
-        if tag in _BLOCK:
+                opened.close(tag)
+            elif tag in _CONTROL and opened.tags[tag]:
+                close()
+                opened.close(tag)
+        elif tag in _RAW:
+            place = reader.raw_end(tag, at)
+            if place >= 0:
+                at = reader.tag_end(place + 2 + len(tag))
+                at = n if at < 0 else at
+                pieces.append(" ")
+            elif tag in ("script", "style"):
+                at = n
+        elif tag in _CONTROL and not attributes.endswith("/"):
+            place, holds_blocks = reader.control_end(tag, sign)
+            if place >= 0 and not holds_blocks:
+                at = reader.tag_end(place + 2 + len(tag))
+                at = n if at < 0 else at
+                pieces.append(" ")
+            else:
+                close()
+                opened.push(tag, _kinds(attributes))
+                if holds_blocks:
+                    opened.push("held", frozenset())
+        elif tag in _BLOCK:
             close()
-            if tag in _CLOSES_P:
-                _imply(stack, tag)
-        if tag in _VOID:
+            opened.imply(tag)
+            opened.push(tag, _kinds(attributes))
+        elif tag in _FRAME:
+            close()
+        elif tag == "a":
+            in_link = True
+        elif tag in _VOID and tag != "wbr":
             pieces.append(" ")
-            continue
-        if m[3].rstrip().endswith("/") and tag not in _BLOCK:
-            continue
-        stack.append(_Open(tag, _kinds(m[3])))
-        if len(stack) > 200:
-            del stack[100]
     close()
     return out
 
 
-def _imply(stack: list[_Open], tag: str) -> None:
-    """Ends what an opening block tag ends: an open paragraph, and the same kind of list item or cell before it."""
-    ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-    stops = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "td", "aside", "nav", "footer", "header", "form"}
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k].tag == "p" or stack[k].tag in ends:
-            del stack[k:]
-            if stack and any(x.tag in ends for x in stack[-1:]):
-                continue
-            return
-        if stack[k].tag in stops - set(ends):
-            return
+def _declared(reader: _Reader, sign: int, add: Callable[[str], None]) -> int:
+    """Passes over a comment, a declaration or an instruction; the text of a CDATA section is text.  Returns where it ends."""
+    page = reader.page
+    if page.startswith("<!--", sign):
+        if page.startswith(">", sign + 4) or page.startswith("->", sign + 4):
+            return page.index(">", sign) + 1
+        end = reader.find("-->", sign + 4)
+        return len(page) if end < 0 else end + 3
+    if page.startswith("<![CDATA[", sign) and (end := reader.find("]]>", sign)) >= 0:
+        add(_html.escape(page[sign + 9 : end], quote=False))
+        return end + 3
+    end = reader.find(">", sign)
+    if end < 0:
+        add("<")
+        return sign + 1
+    return end + 1
 
 
 _END = frozenset(".!?…。\"”»")
@@ -168,26 +311,22 @@ _END = frozenset(".!?…。\"”»")
 
 def block_features(page: list[Block]) -> list[list[str]]:
     out = []
-    n = len(page)
-    for k, b in enumerate(page):
+    for b in page:
         text = b.text
         size = len(text)
         words = text.count(" ") + 1
         own = {f"in {t}" for t in b.tags}
         own |= {f"is {x}" for x in b.kinds}
-        own.add(f"leaf {next((t for t in reversed(b.tags) if t in _BLOCK), '-')}")
-        own.add(f"words {min(7, words.bit_length())}")
+        own.add(f"leaf {b.leaf}")
+        if not b.tags & {"article", "main"}:
+            own |= {f"{t} outside" for t in b.tags & {"header", "p", "div", "section"}} | {"outside"}
+        own.add(f"words {min(3, words.bit_length() // 2)}")
         own.add("link all" if b.link > 0.8 else "link some" if b.link > 0.2 else "link none")
         own.add("ends" if text[-1] in _END else "open")
-        if text[0] == "©" or "©" in text or "(c) " in text.lower() or "all rights reserved" in text.lower():
+        if "©" in text or "(c) " in text.lower() or "all rights reserved" in text.lower():
             own.add("copyright")
         if size < 25 and words <= 4:
             own.add("label")
-        own.add("place " + ("first" if k == 0 else "last" if k == n - 1 else str(4 * k // n)))
-        inside = {"article", "main"} & set(b.tags)
-        own.add("article tag" if inside else "no article tag")
-        if inside and not {"nav", "aside", "footer", "form"} & set(b.tags) and not b.kinds - {"article", "frame"}:
-            own.add("plain article")
         out.append(sorted(own))
     return out
 
@@ -219,11 +358,11 @@ def decode(model: Model, features: list[list[str]]) -> list[bool]:
     return out[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 150, rate: float = 0.3, ridge: float = 0.02) -> Model:
+def train(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 150, rate: float = 0.3, ridge: float = 0.005) -> Model:
     """The weights that maximise the labels' likelihood, by AdaGrad over all pages, with forward and backward sums."""
     pages = [(f, y) for f, y in pages if f]
     if not pages:
-        return Model({"article tag": 4.0, "no article tag": -4.0})
+        return Model({"in article": 4.0, "in main": 4.0}, -2.0)
     names = {x: k for k, x in enumerate(sorted({f for page, _ in pages for own in page for f in own}))}
     longest, n = max(len(f) for f, _ in pages), len(pages)
     ids = np.array([names[x] for page, _ in pages for own in page for x in own])
@@ -234,23 +373,30 @@ def train(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 150, ra
     seen = [np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     both = mask[:, 1:] & mask[:, :-1]
     gold_pair = np.array([[(both & (gold[:, :-1] == a) & (gold[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
+    # Time comes first in the arrays, so that a step is over whole rows; the score of rest is 0 everywhere.
+    mask, gold, both = mask.T.copy(), gold.T.copy(), both.T.copy()
+    cell = (cell % longest) * n + cell // longest
     for _ in range(rounds):
-        emit = np.zeros((n, longest, 2))
-        emit[:, :, 1] = np.bincount(cell, weights=w[ids], minlength=n * longest).reshape(n, longest)
-        emit[:, 0, 1] += start
-        ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = emit[:, 0]
+        emit = np.bincount(cell, weights=w[ids], minlength=n * longest).reshape(longest, n)
+        emit[0] += start
+        ahead, behind = np.zeros((2, longest, n)), np.zeros((2, longest, n))
+        ahead[1, 0] = emit[0]
         for t in range(1, longest):
-            step = np.logaddexp.reduce(ahead[:, t - 1, :, None] + pair[None], axis=1) + emit[:, t]
-            ahead[:, t] = np.where(mask[:, t, None], step, ahead[:, t - 1])
+            for y in (0, 1):
+                step = np.logaddexp(ahead[0, t - 1] + pair[0, y], ahead[1, t - 1] + pair[1, y]) + (emit[t] if y else 0.0)
+                ahead[y, t] = np.where(mask[t], step, ahead[y, t - 1])
         for t in range(longest - 2, -1, -1):
-            step = np.logaddexp.reduce(pair[None] + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
-            behind[:, t] = np.where(mask[:, t + 1, None], step, 0.0)
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        p = np.where(mask, np.exp(np.clip(ahead[:, :, 1] + behind[:, :, 1] - total[:, None], -50, 0)), 0.0)
-        joint = ahead[:, :-1, :, None] + pair[None, None] + (emit[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        joint = np.where(both[:, :, None, None], np.exp(np.clip(joint, -50, 0)), 0.0).sum((0, 1))
-        slope = [np.bincount(ids, weights=(gold * mask - p).ravel()[cell], minlength=len(names)) / n - ridge * w / 10, (gold[:, 0] - p[:, 0]).sum() / n, (gold_pair - joint) / n - ridge * pair / 10]
+            for x in (0, 1):
+                step = np.logaddexp(pair[x, 0] + behind[0, t + 1], pair[x, 1] + emit[t + 1] + behind[1, t + 1])
+                behind[x, t] = np.where(mask[t + 1], step, 0.0)
+        total = np.logaddexp(ahead[0, -1], ahead[1, -1])
+        p = np.where(mask, np.exp(np.clip(ahead[1] + behind[1] - total, -50, 0)), 0.0)
+        joint = np.zeros((2, 2))
+        for x in (0, 1):
+            for y in (0, 1):
+                step = ahead[x, :-1] + pair[x, y] + (emit[1:] if y else 0.0) + behind[y, 1:] - total
+                joint[x, y] = np.where(both, np.exp(np.clip(step, -50, 0)), 0.0).sum()
+        slope = [np.bincount(ids, weights=(gold * mask - p).ravel()[cell], minlength=len(names)) / n - ridge * w / 10, (gold[0] - p[0]).sum() / n, (gold_pair - joint) / n - ridge * pair / 10]
         for k, g in enumerate(slope):
             seen[k] = seen[k] + g * g
         w = w + rate * slope[0] / np.sqrt(seen[0])
@@ -285,30 +431,39 @@ def drawn_page(rng: random.Random) -> tuple[str, list[str]]:
     talk = boxed(["section", "div"], ["comments", "comment-list", "disqus"], f"<h2>{words(1, 2)}</h2>" + "".join(rng.choice([f'<div class="comment"><p>{sentence(4, 40)}</p></div>', f"<article class='comment'><p>{sentence(4, 40)}</p></article>"]) for _ in range(rng.randint(1, 4))))
     foot = boxed(["footer", "div"], ["footer", "site-footer", "copyright"], f"&copy; {words(1, 2)} &middot; {sentence(3, 12)}")
     share = boxed(["div"], ["share", "social-links", "tags"], listed(3))
+    # Some pages are bare.
+    often = rng.choice([0.0, 0.2, 0.5, 0.5, 0.5])
     article: list[str] = []
+    lead, terse = "", rng.random() < 0.3
+    if rng.random() < 0.15:
+        article.append(sentence(5, 25))
+        lead = f"<p>{article[-1]}</p>"
     body = ""
     for k in range(rng.choice([1, 2, 3, 5, 8, 14])):
         kind = rng.random()
-        text = words(2, 10).capitalize() if k == 0 and kind < 0.8 else words(2, 6).capitalize() if kind < 0.1 else " ".join(sentence(1, 25) for _ in range(rng.randint(1, 6)))
-        tag = "h1" if k == 0 and kind < 0.8 else "h2" if kind < 0.1 else rng.choice(["p", "p", "p", "p", "blockquote", "li", "div"])
+        text = words(2, 10).capitalize() if k == 0 and kind < 0.8 else words(2, 6).capitalize() if kind < 0.1 else sentence(1, 4) if kind < (1 if terse else 0.25) else " ".join(sentence(1, 25) for _ in range(rng.randint(1, 6)))
+        tag = "h1" if k == 0 and kind < 0.8 else rng.choice(["h2", "h2", "h3", "h4"]) if kind < 0.1 else rng.choice(["p", "p", "p", "p", "blockquote", "li", "div"])
         article.append(text)
         shown = text if rng.random() < 0.8 else f'<b>{text}</b>' if rng.random() < 0.5 else " ".join([f"<a href='x'>{text.split()[0]}</a>", *text.split()[1:]])
-        body += f"<ul><li>{shown}</ul>" if tag == "li" else f"<{tag}>{shown}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>")
-        if rng.random() < 0.06:
-            body += rng.choice([advert, share, side])
-    holder = rng.choice(["article", "article", "main", "main article", "div", "div"])
+        shown = f"<ul><li>{shown}</ul>" if tag == "li" else f"<{tag}>{shown}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>")
+        body += f"<header>{shown}</header>" if tag == "h1" and rng.random() < 0.4 else f"<section>{shown}</section>" if rng.random() < 0.15 else shown
+        if rng.random() < 0.2:
+            body += rng.choice([advert, share, side, f"<button>{words(1, 2).capitalize()}", f"<button>{words(1, 2)}", f"<button><div>{words(1, 4)}</div></button>", f"<select><option>{words(1, 1)}<option>{words(1, 2)}", f"<form><p>{sentence(2, 9)}</p><select><option>{words(1, 1)}</select></form>", f"<template><p>{sentence()}</p></template>", f"<noscript><p>{sentence(3, 9)}</p></noscript>"])
+    holder = rng.choice(["article", "article", "main", "main article", "div", "div"]) if often else rng.choice(["article", "main", "div", ""])
     if holder == "div":
         body = f'<div class="{rng.choice(["content", "post-body", "entry-content", "article-text", "story", "main"])}">{body}</div>'
+    elif not holder:
+        body = f"{body}{rng.choice(['', talk])}"
     elif holder == "main article":
         body = f"<main><article>{body}</article>{rng.choice(['', talk, side])}</main>"
     else:
         body = f"<{holder}>{body}{rng.choice(['', '', talk, share])}</{holder}>"
-    before = [x for x in (head, menu, cookie, advert, form, side) if rng.random() < 0.45]
-    after = [x for x in (share, side, advert, talk, form, cookie) if rng.random() < 0.35] + [foot] * (rng.random() < 0.85)
+    before = [x for x in (head, menu, cookie, advert, form, side) if rng.random() < often]
+    after = [x for x in (share, side, advert, talk, form, cookie) if rng.random() < 0.7 * often] + [foot] * (rng.random() < 1.7 * often)
     rng.shuffle(before)
     rest = "".join(before), "".join(after)
     wrap = rng.choice(["{}", '<div class="container">{}</div>', '<div id="page" class="wrapper">{}</div>'])
-    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style></head><body>" + wrap.format(f"{rest[0]}{body}{rest[1]}") + rng.choice(["</body></html>", ""]), article
+    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style></head><body>" + wrap.format(f"{rest[0]}{lead}{body}{rest[1]}") + rng.choice(["</body></html>", ""]), article
 
 
 def labelled(page: str, article: list[str]) -> tuple[list[list[str]], list[bool]]:
@@ -322,26 +477,32 @@ def labelled(page: str, article: list[str]) -> tuple[list[list[str]], list[bool]
 
 
 def by_structure(page: str) -> tuple[list[list[str]], list[bool]] | None:
-    """A page's features with labels by its markup, where it has one article or main element that holds text."""
+    """A page's features with labels by its markup, where it has an article or main element that holds text."""
     if not re.search(r"<(article|main)\b", page, re.I):
         return None
     found = blocks(page)[:SAMPLE_BLOCKS]
-    outside = {"nav", "aside", "footer", "form"}
-    marks = [bool({"article", "main"} & set(b.tags)) and not outside & set(b.tags) and not b.kinds - {"article"} for b in found]
+    outside = {"nav", "aside", "footer", "form", "button", "select", "template", "noscript"}
+    marks = [bool({"article", "main"} & b.tags) and not outside & b.tags and not b.kinds - {"article"} for b in found]
     return (block_features(found), marks) if any(marks) else None
 
 
 def fit(pages: DataFrame, seed: int = 3) -> Model:
-    """The model of a bounded sample of the pages and of drawn ones."""
+    """The model of a bounded sample of the pages and of drawn ones; tasks read the sample, the driver gets its features."""
     order = F.xxhash64(F.lit(seed), "page_id")
     known = pages.where("html is not null").withColumn("__order", order)
-    # Ids come to the driver first, so that tasks don't each send as many pages.
+    # Ids come to the driver first, so that no pages are sent for that.
     first = [r[0] for r in known.select("__order").orderBy("__order").limit(SAMPLE_PAGES).collect()]
-    sample = known.where(F.col("__order") <= max(first, default=0)).select("html", "__order").limit(SAMPLE_PAGES)
+    sample = known.where(F.col("__order") <= max(first, default=0)).select("__order", "html")
+
+    def read(batches):
+        for batch in batches:
+            told = [by_structure(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(x) if x else None for x in told], pa.string())], names=["order", "told"])
+
+    read_rows = sample.mapInArrow(read, "order long, told string").orderBy("order", "told").limit(SAMPLE_PAGES).collect()
     rng = random.Random(seed)
     drawn = [labelled(*drawn_page(rng)) for _ in range(DRAWN_PAGES)]
-    own = [x for x in (by_structure(r["html"]) for r in sorted(sample.collect(), key=lambda r: (r["__order"], r["html"]))) if x]
-    return train(drawn + own)
+    return train(drawn + [tuple(json.loads(r["told"])) for r in read_rows if r["told"]])
 
 
 def main_text(page: str | None, model: Model) -> str:

@@ -1,6 +1,12 @@
 """Operators that learn, by their accuracy on what they have not seen."""
 
+import math
 import random
+import time
+from functools import cache
+from html.parser import HTMLParser
+
+import zstandard
 
 from diptych.llm import html, langid, toxicity
 from diptych.llm.queries import QUERIES
@@ -28,6 +34,29 @@ def test_language_without_letters_or_models(spark):
     assert {r.lang_pred for r in langid.identify(frame, none).collect()} == {"und"}
 
 
+def test_whole_texts_are_encoded(spark):
+    """Against a loop over blocks with zstandard's plain interface; a language behind 400 kB of nothing else is still told."""
+    rng = random.Random(4)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+    words = {lang: [make(letters) for _ in range(300)] for lang, letters in (("xa", "abcde"), ("xb", "fghij"))}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    train = spark.createDataFrame([(k, text(lang, 200), lang) for k in range(40) for lang in ("xa", "xb")], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    assert set(model.languages) == {"xa", "xb"} and len(set(map(len, model.dictionaries))) == 1
+    coders, noise = model.coders(), " ".join(make("klmnopq") for _ in range(70_000))
+    for lang in ("xa", "xb"):
+        assert langid.predict(noise + " " + text(lang, 400), model.languages, coders)[0] == lang
+    for n in (1, 5, 60, 3000):
+        data = langid.normal(text("xa", n))
+        sizes = {}
+        for lang, own in zip(model.languages, model.dictionaries, strict=True):
+            parameters = zstandard.ZstdCompressionParameters(compression_level=3, min_match=3, strategy=zstandard.STRATEGY_LAZY2, window_log=18, write_content_size=0)
+            dictionary = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress(data[k : k + langid.BLOCK_BYTES] + b"0" * 64)) for k in range(0, len(data), langid.BLOCK_BYTES))
+        best = min(model.languages, key=sizes.get)
+        assert langid.predict(data.decode(), model.languages, coders)[0] == best
+
+
 def test_toxicity_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     found = QUERIES["op6_toxicity"](spark, folder)
@@ -44,12 +73,28 @@ def test_folding_and_exceptions():
     model = toxicity.Model({"idiot": 3.0, "clown": 2.0}, {"clown fish": 2.0}, (-3.0, 1.0, 1.0, 1.0))
     match = lambda t: toxicity.features(t, model.automaton())[1]
     plain = match("you idiot here")
-    for other in ("you 1d10t here", "YOU IDIOT!! here", "you ïdіоt here", "you id!ot, here", "you ｉｄｉｏｔ here", "you i​diot here"):
+    for other in ("you 1d10t here", "YOU IDIOT!! here", "you ïdіоt here", "you id!ot, here", "you ｉｄｉｏｔ here", "you i​diot here", "you !d!0t here", "1d10t"):
         assert match(other) == plain > 0, other
     assert match("a clown fish swims") == 0 and match("a clown swims") > 0
+    assert toxicity.folded("$tupid @sshole 8itch a$$hole x 2024 word5") == " stupid asshole bitch asshole x word "
     assert match(None) == match("") == match("idiotic 2024") == 0
 
 
+def test_matches_are_those_of_a_plain_scan():
+    """The automaton against a search for each word and phrase by itself."""
+    rng = random.Random(9)
+    words = [rng.choice("abc") * rng.randint(1, 2) + rng.choice("xyz") for _ in range(12)]
+    for _ in range(300):
+        lexicon = {w: rng.randint(1, 5) / 2 for w in rng.sample(words, 3)}
+        exceptions = {f"{rng.choice(words)} {w}": lexicon[w] for w in lexicon}
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
+        tokens = text.split()
+        total = sum(lexicon.get(w, 0.0) for w in tokens) - sum(exceptions.get(" ".join(tokens[k : k + 2]), 0.0) for k in range(len(tokens)))
+        found = toxicity.features(text, toxicity.Model(lexicon, exceptions, ()).automaton())
+        assert found == toxicity.measures(f" {text} ", toxicity.Model(lexicon, exceptions, ()).automaton())
+        assert found[0] == (total > 0) and abs(math.expm1(found[1]) - max(0.0, total)) < 1e-9
+
+
 def test_toxicity_without_labels(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -57,9 +102,53 @@ def test_toxicity_without_labels(spark):
     assert all(0 <= r.score < 0.5 and r.predicted == 0 for r in found)
 
 
+@cache
 def _model():
     rng = random.Random(3)
-    return html.train([html.labelled(*html.drawn_page(rng)) for _ in range(200)], rounds=80)
+    return html.train([html.labelled(*html.drawn_page(rng)) for _ in range(html.DRAWN_PAGES)])
+
+
+# Pages and their articles, written and read by hand.
+BY_HAND = [
+    ("<head><title>x</title><body><p>Lead para text.</p><article><header><h1>T</h1></header><p>Body text.</p></article>", "Lead para text.\nT\nBody text."),
+    ("<article><p>One.</p><button>Go<p>Two after button.</p></article>", "One.\nTwo after button."),
+    ("<article><p>One is here.</p><select><option>a<option>b<p>Two after select is here.</p></article><footer>&copy; me</footer>", "One is here.\nTwo after select is here."),
+    ("<div>" * 100 + "<article>" + "<div>" * 150 + "<p>Deep text is here.</p>", "Deep text is here."),
+    ("<article><p>Press <button>Go</button> to go.</p><form><p>Your name</p><input></form></article>", "Press to go."),
+    ("<p>Just one paragraph with some words.</p>", "Just one paragraph with some words."),
+    ("<article><h1>Title of it</h1><p>Word.</p><p>Yes.</p><h2>Sub</h2><p>A text of some length, which goes on, and on, for a while.</p></article>", "Title of it\nWord.\nYes.\nSub\nA text of some length, which goes on, and on, for a while."),
+    (
+        """<!DOCTYPE html><html><head><title>x</title></head><body class="post"><header class="site-header"><a href="/">Site</a><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav></header>
+<div class="cookie-banner"><p>We use cookies to make this site better. <button>Accept</button></p></div><main><article><header><h1>The big story</h1></header>
+<p>First paragraph of the story, with <a href=x>a link</a>.</p><figure><img src=x><figcaption>A picture of a cat.</figcaption></figure><section><h2>Part two</h2><p>Second paragraph.</p><ul><li>One item<li>Two items</ul></section>
+<aside><h3>Related</h3><ul><li><a href=1>Other story</a></ul></aside><blockquote>Quoted words.</blockquote></article><section id="comments"><h2>Comments</h2><article class="comment"><p>Nice story, I liked it very much.</p></article></section></main>
+<aside class="sidebar"><h3>Popular</h3><p>Read this other thing about dogs.</p></aside><footer><p>&copy; 2024 Site. All rights reserved.</p></footer></body></html>""",
+        "The big story\nFirst paragraph of the story, with a link.\nA picture of a cat.\nPart two\nSecond paragraph.\nOne item\nTwo items\nQuoted words.",
+    ),
+    (
+        """<body><div class=menu><a href=1>Start</a> <a href=2>Shop</a></div><div class="post-content"><h1>How to bake bread</h1><p>Take flour &amp; water, and mix them well.</p>
+<div class="ad-banner">Buy our flour now, it is cheap.</div><p>Then wait for an hour<br>or two.</p></div><div class=footer>Copyright 2020. All rights reserved.</div>""",
+        "How to bake bread\nTake flour & water, and mix them well.\nThen wait for an hour or two.",
+    ),
+]
+
+
+def test_pages_by_hand():
+    right = wrong = missed = 0
+    for page, wanted in BY_HAND:
+        found, truth = html.main_text(page, _model()).split("\n"), wanted.split("\n")
+        right += len(set(found) & set(truth))
+        wrong += len(set(found) - set(truth))
+        missed += len(set(truth) - set(found))
+    assert wrong == missed == 0 and right > 30
+
+
+def test_hostile_pages_take_linear_time():
+    pages = ["<" + "a" * 10**6, "<a" * 500_000, "<a " * 300_000 + '=">"', "<a x=\"<a y='" * 80_000, "<svg>" * 80_000 + "<p>" + "</svg>" * 80_000, "<div>" * 80_000 + "</p>" * 80_000, "<title>" * 140_000, "<!--" * 250_000, "<![CDATA[" * 110_000, "<div>x" * 100_000, "<div>" * 80_000 + "<li>" * 80_000]
+    for page in pages:
+        began = time.process_time()
+        html.blocks(page)
+        assert time.process_time() - began < 10, page[:20]
 
 
 def test_articles_of_pages_not_seen():
@@ -100,10 +189,41 @@ def test_viterbi_is_the_best_path():
         assert html.decode(model, page) == best
 
 
+class _Articles(HTMLParser):
+    """The standard library's reading of a page: texts between the tags of blocks inside article elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.texts, self.open = 0, [], []
+
+    def cut(self):
+        if text := " ".join("".join(self.open).split()):
+            self.texts.append(text)
+        self.open = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.open.append(" ")
+        elif tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.cut()
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.cut()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.open.append(data)
+
+
 def test_pages_of_the_corpus(spark, folder):
     found = QUERIES["op2_html_extract"](spark, folder).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     assert len(found) == len(pages)
     for r in found:
-        inside = [b.text for b in html.blocks(pages[r.page_id]) if "article" in b.tags]
-        assert r.text == "\n".join(inside) and r.n_chars == len(r.text)
+        plain = _Articles()
+        plain.feed(pages[r.page_id])
+        plain.close()
+        assert r.text == "\n".join(plain.texts) and r.n_chars == len(r.text)

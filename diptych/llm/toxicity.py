@@ -23,10 +23,13 @@ from pyspark.sql import types as T
 
 from .frames import add_columns, checkpointed
 
-#: Bounds: labelled documents that are learned from, words and exception phrases that are kept.
-SAMPLE, LEXICON, EXCEPTIONS = 40_000, 4000, 1000
-#: A lexicon word is in so many toxic documents at least and has so high a weight (in nats).
-LEAST_DOCUMENTS, LEAST_WEIGHT = 4, 1.8
+#: Bound of the fit: labelled documents that are learned from.
+SAMPLE = 40_000
+#: A lexicon word is in so many toxic documents at least and has so high a weight (in nats); an exception is in so many clean
+#: documents and no toxic one.  These alone decide what is in the model.
+LEAST_DOCUMENTS, LEAST_WEIGHT, LEAST_CLEAN = 4, 1.8, 3
+#: A model of more entries than this is refused: the thresholds then don't fit the labels.
+MOST_ENTRIES = 2_000_000
 
 # Letters of other scripts, and signs, with the Latin letters they look like.
 _LOOKALIKES = {
@@ -48,8 +51,8 @@ def _table() -> dict[int, str]:
 
 
 _FOLD = _table()
-_INSIDE = re.compile(r"(?<=[^\W_])[0134578@$!|€+9](?=[^\W_])")
-_START = re.compile(r"\b[013457](?=[^\W\d_]{2})")
+_INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!|€+9]+(?=[^\W\d_])")
+_START = re.compile(r"(?<![^\W_])[0134578@$!|€+9](?=[^\W\d_]{2})")
 _OTHER = re.compile(r"[\W\d_]+")
 _SUBSTITUTES = _DIGITS | _SIGNS
 
@@ -57,7 +60,7 @@ _SUBSTITUTES = _DIGITS | _SIGNS
 def folded(text: str | None) -> str:
     """The text's words of letters, folded, each between single spaces."""
     text = (text or "").lower().translate(_FOLD)
-    text = _INSIDE.sub(lambda m: _SUBSTITUTES[m[0]], text)
+    text = _INSIDE.sub(lambda m: "".join(_SUBSTITUTES[c] for c in m[0]), text)
     text = _START.sub(lambda m: _SUBSTITUTES[m[0]], text)
     return f" {_OTHER.sub(' ', text).strip()} "
 
@@ -84,7 +87,11 @@ class Model:
 
 def features(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[float, float, float]:
     """Whether anything is matched, the sum of weights, and the sum for the text's length, both as logarithms."""
-    words = folded(text)
+    return measures(folded(text), automaton)
+
+
+def measures(words: str, automaton: ahocorasick.Automaton | None) -> tuple[float, float, float]:
+    """The features of a folded text."""
     total = max(0.0, sum(w for _, w in automaton.iter(words))) if automaton else 0.0
     return float(total > 0), math.log1p(total), math.log1p(100 * total / (words.count(" ") + 20))
 
@@ -94,13 +101,13 @@ def probability(x: tuple[float, float, float], coefficients: tuple[float, ...])
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Coefficients of a ridge logistic regression, by Newton's steps; the first is the constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+    """Coefficients of a ridge logistic regression of y out of n, by Newton's steps; the first is the constant."""
     x = np.c_[np.ones(len(x)), x]
     out, penalty = np.zeros(x.shape[1]), np.diag([1e-3] + [ridge] * (x.shape[1] - 1))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ out, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + penalty, x.T @ (y - p) - penalty @ out)
+        step = np.linalg.solve((x.T * (n * (p * (1 - p) + 1e-6))) @ x + penalty, x.T @ (y - n * p) - penalty @ out)
         out += step
         if np.abs(step).max() < 1e-6:
             break
@@ -116,53 +123,63 @@ def fit(documents: DataFrame, labels: DataFrame, train: str = "true") -> Model:
     total = chosen.count()
     if total > SAMPLE:
         chosen = chosen.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / total))
-    # The sample's ids are bounded, so they go to the documents; the sample is read several times, so it is kept.
+    # The sample's ids are bounded, so they go to the documents.  The sample is folded once and kept, as it is read several times.
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = checkpointed(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
-    def grams(batches):
-        for batch in batches:
-            out: list[tuple[str, int]] = []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += ((w, int(toxic > 0)) for w in set(folded(text).split()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())], names=["gram", "toxic"])
+    def fold(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"words": pa.array([folded(x.as_py()) for x in batch.column("text")], pa.string())}
 
-    sides = {r["t"]: r["count"] for r in known.groupBy((F.col("toxic") > 0).alias("t")).count().collect()}
-    bad, good = sides.get(True, 0), sides.get(False, 0)
+    known = checkpointed(add_columns(sample, T.StructType([T.StructField("words", T.StringType())]), fold, ["toxic"]))
+    sides = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    bad, good = sides.get(1, 0), sides.get(0, 0)
+    if not bad + good:
+        return Model({}, {}, (-3.0, 0.0, 0.0, 0.0))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    counts = known.select("text", "toxic").mapInArrow(grams, "gram string, toxic int").groupBy("gram").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    top = counts.where((F.col("bad") >= LEAST_DOCUMENTS) & (F.length("gram") > 2)).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT).orderBy(F.desc("weight"), F.desc("bad"), "gram").limit(LEXICON)
-    words = {r["gram"]: float(r["weight"]) for r in top.collect()}
-    held = documents.sparkSession.sparkContext.broadcast(words)
+    grams = known.select(F.explode(F.array_distinct(F.split(F.trim("words"), " "))).alias("gram"), "toxic").where(F.length("gram") > 2)
+    counts = grams.groupBy("gram").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    lexicon = counts.where(F.col("bad") >= LEAST_DOCUMENTS).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT).select("gram", "weight")
+    words = _model_rows(lexicon)
+    context = documents.sparkSession.sparkContext
+    held = context.broadcast(words)
 
     def phrases(batches):
         for batch in batches:
-            lexicon, out = held.value, []
+            out: list[tuple[str, str, int]] = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = folded(text).split()
+                tokens = text.split()
                 found = set()
                 for k, w in enumerate(tokens):
-                    if w in lexicon:
+                    if w in held.value:
                         found |= {(" ".join(tokens[a : a + 2]), w) for a in (k - 1, k) if a >= 0 and len(tokens[a : a + 2]) == 2}
-                out += ((p, w, int(toxic > 0)) for p, w in found)
+                out += ((p, w, toxic) for p, w in found)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int32())], names=["phrase", "word", "toxic"])
 
-    pairs = known.select("text", "toxic").mapInArrow(phrases, "phrase string, word string, toxic int").groupBy("phrase", "word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    clean = pairs.where("bad = 0 and good >= 3").orderBy(F.desc("good"), "phrase", "word").limit(EXCEPTIONS).collect()
-    exceptions = {r["phrase"]: words[r["word"]] for r in clean}
-    model = Model(words, exceptions, (0.0, 0.0, 0.0, 0.0))
-    drawn = documents.sparkSession.sparkContext.broadcast(model)
+    pairs = known.select("words", "toxic").mapInArrow(phrases, "phrase string, word string, toxic int").groupBy("phrase", "word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    # A phrase of two lexicon words takes back the greater weight.
+    exceptions: dict[str, float] = {}
+    for phrase, word in _model_rows(pairs.where((F.col("bad") == 0) & (F.col("good") >= LEAST_CLEAN)).select(F.struct("phrase", "word"), F.lit(0.0))):
+        exceptions[phrase] = max(words[word], exceptions.get(phrase, 0.0))
+    drawn = context.broadcast(Model(words, exceptions, (0.0, 0.0, 0.0, 0.0)))
 
     def measure(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         automaton = drawn.value.automaton()
-        rows = [features(x.as_py(), automaton) for x in batch.column("text")]
+        rows = [measures(x.as_py(), automaton) for x in batch.column("words")]
         return {f"x{k}": pa.array([r[k] for r in rows], pa.float64()) for k in range(3)}
 
-    rows = add_columns(known.select("text", "toxic"), T.StructType([T.StructField(f"x{k}", T.DoubleType()) for k in range(3)]), measure, ["toxic"]).collect()
-    if not rows:
-        return Model({}, {}, (-3.0, 0.0, 0.0, 0.0))
-    x = np.array([[r["x0"], r["x1"], r["x2"]] for r in rows])
-    return Model(words, exceptions, _logistic(x, np.array([float(r["toxic"] > 0) for r in rows])))
+    rows = add_columns(known, T.StructType([T.StructField(f"x{k}", T.DoubleType()) for k in range(3)]), measure, ["toxic"])
+    # Documents with equal features are one row: most match nothing.
+    counted = rows.groupBy("x0", "x1", "x2").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).orderBy("x0", "x1", "x2").collect()
+    x, n = np.array([[r["x0"], r["x1"], r["x2"]] for r in counted]), np.array([float(r["n"]) for r in counted])
+    return Model(words, exceptions, _logistic(x, np.array([float(r["bad"]) for r in counted]), n))
+
+
+def _model_rows(rows: DataFrame) -> dict:
+    """The first column's values with the second's; refused if there are more than a model may have."""
+    found = rows.limit(MOST_ENTRIES + 1).collect()
+    if len(found) > MOST_ENTRIES:
+        raise ValueError(f"over {MOST_ENTRIES} entries pass the thresholds; raise LEAST_DOCUMENTS or LEAST_WEIGHT")
+    return dict(sorted((r[0], float(r[1])) for r in found))
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ Operators that compare every word window, shingle or segment of a corpus would s
 a chunk sends one row to each bucket, with the chunk's distinct hashes packed in it, and a bucket answers each chunk in
 one row.  A hash that most documents have is sent once by a chunk, so it weighs as much as there are chunks at most.
 
-The numbers of chunks and of buckets grow with the corpus (``sizes``), so that one of either fits a task whatever the
-input; the text is shuffled once, to its chunks, and every later pass reads that shuffle again.
+Rows stay as long as the corpus grows: chunks and buckets are of fixed sizes up to about 100 GB, and beyond that both grow
+with the square root of the corpus, so that a row holds ``ROW_BYTES`` or more on average and the number of rows is in
+proportion to the corpus.  At 100 TB a chunk has about 230 MB of text, which is what a task then holds.  The text is shuffled
+once, to its chunks, and every later pass reads that shuffle again.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes in a chunk and packed bytes in a bucket, about.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+#: Text bytes in a chunk and packed bytes in a bucket, about and at least; packed bytes that a row has on average at least.
+CHUNK_BYTES, BUCKET_BYTES, ROW_BYTES = 8 << 20, 4 << 20, 256
 
 CHUNK = "__chunk"
 _LOW = np.uint64(0xFFFFFFFF)
@@ -31,15 +33,25 @@ class Sizes:
     buckets: int
 
 
-def sizes(documents: DataFrame, bytes_per_text_byte: float, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Sizes:
+def planned_sizes(total: int, bytes_per_text_byte: float) -> Sizes:
+    """Chunks and buckets for ``total`` bytes of text, of which that share is sent.
+
+    Chunks times buckets is the most rows that are sent; with a chunk of c and a bucket of b bytes these hold
+    b * c / total bytes each, which c * c / 2 >= ROW_BYTES * total and b >= c / 2 keep from shrinking.
+    """
+    chunk = max(CHUNK_BYTES, int((2 * total * ROW_BYTES) ** 0.5))
+    bucket = max(BUCKET_BYTES, chunk // 2)
+    return Sizes(int(total // chunk) + 1, int(total * bytes_per_text_byte // bucket) + 8)
+
+
+def sizes(documents: DataFrame, bytes_per_text_byte: float) -> Sizes:
     """Chunks and buckets for the corpus, from the sum of its texts' lengths (one pass over that column)."""
-    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return Sizes(int(total // chunk_bytes) + 1, int(total * bytes_per_text_byte // bucket_bytes) + 8)
+    return planned_sizes(documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bytes_per_text_byte)
 
 
 def chunked(documents: DataFrame, n: Sizes) -> DataFrame:
-    """The documents with their chunk: a hash of doc_id (and of the text, should ids repeat)."""
-    return documents.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 256)), F.lit(n.chunks)).cast("int"))
+    """The documents with their chunk, by a hash of doc_id and text: one id with many texts, or none, fills no chunk alone."""
+    return documents.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n.chunks)).cast("int"))
 
 
 def bucket_of(hashes: np.ndarray, n: Sizes) -> np.ndarray:
@@ -51,6 +63,15 @@ def short(hashes: np.ndarray, n: Sizes) -> np.ndarray:
     return (bucket_of(hashes, n) << np.uint64(32)) | (hashes & _LOW)
 
 
+def dealt(n: Sizes, *parts: np.ndarray) -> list[tuple]:
+    """Of sorted short hashes: for each bucket that the first part reaches, the bucket and the parts' lower halves, packed."""
+    reached = np.unique(parts[0] >> np.uint64(32))
+    lows = [np.searchsorted(x, reached << np.uint64(32)) for x in parts]
+    highs = [np.searchsorted(x, (reached + np.uint64(1)) << np.uint64(32)) for x in parts]
+    halves = [x.astype(np.uint32) for x in parts]
+    return [(b, *(pack(x[lo[k] : hi[k]]) for x, lo, hi in zip(halves, lows, highs, strict=True))) for k, b in enumerate(reached.tolist())]
+
+
 def pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 

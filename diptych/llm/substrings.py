@@ -5,7 +5,7 @@
 2. Every rolling window of that many words, at every word of every document, probes the blocks: chunks send the hashes
    to buckets, which answer with those that are a block of one place and occur at another.
 3. Hits are extended: each window of ``window`` words around a hit is compared by its own 64-bit hash, and a bucket finds
-   the smallest doc_id that has it.  Runs of such windows are the maximal exact repeats.
+   the smallest doc_id that has it.  Runs of such windows are the maximal exact repeats.  Hashes are keyed anew in each run.
 4. A word is removed if a window over it starts in a document of smaller doc_id as well.  Windows are judged on the
    input, so the order of work does not matter.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .words import SPACED, Words, slices, words_of
+from .words import SPACED, Words, new_key, slices, words_of
 
 _LAST = (1 << 63) - 1
 
@@ -48,7 +48,7 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     documents = documents.select([f"`{c}`" for c in documents.columns if c.lower() not in added])
     names = documents.columns
     n = X.sizes(documents.select("text"), 0.75)
-    chunks = X.chunked(documents, n)
+    chunks, key = X.chunked(documents, n), new_key()
 
     def keys(table: pa.Table) -> np.ndarray:
         return table.column("doc_id").cast(pa.int64()).fill_null(_LAST).to_numpy()
@@ -56,7 +56,7 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
     def probe(table: pa.Table) -> pa.Table:
         every, anchors = [], []
         for _, _, data, offsets in slices(table.column("text")):
-            words = words_of(data, offsets, SPACED)
+            words = words_of(data, offsets, SPACED, key=key)
             hashes, whole = words.windows(block)
             place = np.arange(len(hashes)) - words.first[words.owner()]
             every.append(X.short(hashes[whole], n))
@@ -64,13 +64,8 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
         every, anchors = np.sort(np.concatenate(every)), np.unique(np.concatenate(anchors))
         starts, ends = X.runs(every)
         more, every = every[starts[ends - starts > 1]], every[starts]
-        out = []
-        bounds = np.arange(n.buckets + 1, dtype=np.uint64) << np.uint64(32)
-        cuts = [np.searchsorted(x, bounds) for x in (every, more, anchors)]
         chunk = table.column(X.CHUNK)[0].as_py()
-        for b in range(n.buckets):
-            if cuts[0][b] < cuts[0][b + 1]:
-                out.append((b, chunk, *(X.pack(x[c[b] : c[b + 1]].astype(np.uint32)) for x, c in zip((every, more, anchors), cuts, strict=True))))
+        out = [(b, chunk, *rest) for b, *rest in X.dealt(n, every, more, anchors)]
         return pa.table({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate(zip(("bucket", "chunk", "every", "more", "anchors"), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True))})
 
     def meet(table: pa.Table) -> pa.Table:
@@ -87,7 +82,7 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
         live = np.sort(np.concatenate([np.zeros(0, np.uint64), *found]))
         all_keys, hashes, owners = keys(table) if table.num_rows else np.zeros(0, np.int64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, j, data, offsets in slices(table.column("text")) if len(live) else ():
-            words = words_of(data, offsets, SPACED)
+            words = words_of(data, offsets, SPACED, key=key)
             at, h = _live_windows(words, live, block, window, n)
             hashes.append(h[at])
             owners.append(all_keys[i:j][words.owner()[at]])
@@ -97,9 +92,9 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
         starts, ends = X.runs(hashes)
         first, several = owners[starts], owners[ends - 1] > owners[starts]
         hashes = hashes[starts]
-        cuts = np.searchsorted(X.bucket_of(hashes, n), np.arange(n.buckets + 1))
+        buckets = X.bucket_of(hashes, n)
         chunk = table.column(X.CHUNK)[0].as_py() if table.num_rows else 0
-        out = [(b, chunk, *(X.pack(x[cuts[b] : cuts[b + 1]]) for x in (hashes, first, several))) for b in range(n.buckets) if cuts[b] < cuts[b + 1]]
+        out = [(int(buckets[a]), chunk, *(X.pack(x[a:b]) for x in (hashes, first, several))) for a, b in zip(*X.runs(buckets), strict=True)]
         return pa.table({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate(zip(("bucket", "chunk", "hashes", "first", "several"), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True))})
 
     def earliest(table: pa.Table) -> pa.Table:
@@ -124,7 +119,7 @@ def remove_repeats(documents: DataFrame, window: int = 50) -> DataFrame:
         hashes, least = hashes[order], least[order]
         all_keys, n_words, n_removed, kept = keys(table), [], [], []
         for i, j, data, offsets in slices(table.column("text")):
-            words = words_of(data, offsets, SPACED)
+            words = words_of(data, offsets, SPACED, key=key)
             h, whole = words.windows(window)
             at = np.flatnonzero(whole & X.is_in(h, hashes))
             at = at[all_keys[i:j][words.owner()[at]] > least[np.searchsorted(hashes, h[at])]]

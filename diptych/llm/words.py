@@ -6,13 +6,16 @@ Two word classes are used by the operators of this subpackage:
 * ``ALNUM``: maximal runs of ASCII digits, lower-case ASCII letters and non-ASCII code points, after A-Z are lowered.
 
 Both classes are decided by single bytes (every byte of a non-ASCII code point is 0x80 or above), so a text is
-tokenised by table lookups.  A word's hash is a polynomial over its bytes, a window's a polynomial over its words'
-hashes; both come from running sums modulo 2**64 and are mixed, so a batch costs a few passes whatever its words.
-A null text has no words.
+tokenised by table lookups.  A word's hash takes in eight bytes a round, each mixed with the key and what came before; a
+window's is a polynomial over its words' hashes, from running sums modulo 2**64.  So a batch costs a few passes whatever its
+words.  Operators that decide by hashes draw a key for each run (``new_key``): texts can't be written to collide under a key
+that their writer does not know.  A null text has no words.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,8 +34,17 @@ LOWER[0x41:0x5B] += 32
 #: Bytes of text handled at once; the arrays of a slice take about a hundred times as much.
 SLICE_BYTES = 1 << 19
 
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_WORD_BASE = 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Of the last eight bytes, those that are still in the word.
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Runs of more bytes are hashed one by one, as a round for each eight bytes would be of few runs.
+_LONG = 512
+
+
+def new_key() -> int:
+    return secrets.randbits(64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +68,27 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers(base, max(1 << 19, 1 << (n - 1).bit_length() if n > 1 else 1))[:n]
 
 
+def keyed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash under the key of each run of bytes data[starts[i]:ends[i]]."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), buffer=padded, strides=(1,))
+    length = ends - starts
+    out = mix(np.uint64(key & _MASK) ^ length.astype(np.uint64) * _ODD)
+    for k in np.flatnonzero(length > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=(key & _MASK).to_bytes(8, "little")).digest(), "little")
+    at = np.flatnonzero((length > 0) & (length <= _LONG))
+    place, left, value = starts[at], length[at], out[at]
+    while len(at):
+        value = mix((value ^ eight[place] & _HEADS[np.minimum(left, 8)]) * _ODD)
+        on = left > 8
+        if not on.all():
+            out[at[~on]] = value[~on]
+            at, place, left, value = at[on], place[on], left[on], value[on]
+        place, left = place + 8, left - 8
+    return out
+
+
 @dataclass
 class Words:
     """The words of some texts: byte spans, hashes, and the index of each text's first word (one more at the end)."""
@@ -92,8 +125,8 @@ class Words:
         return self.data[self.starts[i] : self.ends[j - 1]].tobytes() if j > i else b""
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool = False) -> Words:
-    """The words of the texts data[offsets[i]:offsets[i + 1]]."""
+def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool = False, key: int = 0) -> Words:
+    """The words of the texts data[offsets[i]:offsets[i + 1]], hashed under the key."""
     base = int(offsets[0])
     data = data[base : int(offsets[-1])]
     offsets = offsets - base
@@ -108,9 +141,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: boo
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:n]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * powers(pow(_BYTE_BASE, -1, 1 << 64), n)[starts])
+    with np.errstate(over="ignore"):
+        hashes = keyed(data, starts, ends, key)
     return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 

@@ -1,8 +1,8 @@
-"""Connected components of a graph given by its links, by alternating star steps.
+"""Connected components of a graph given by its links, by alternating star steps; and groups dealt into blocks.
 
 A large step points each node's greater neighbours at its smallest neighbour, a small step each node's smaller ones; the
 links never leave their component and end as stars around its smallest node.  Each step is an aggregation, which combines
-before it shuffles, and a join of links with one row a node; a node of many links is one that Spark may split.
+before it shuffles, and a join of links with one row a node, which keeps the links of a hub where they are (``looked_up``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 
 from .frames import checkpointed
 
+#: A key is hot that has over a share of 1 in so many of all rows; there are at most as many such keys.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
+    """The rows with the columns of their key in ``keys``, which has one row a key and its number of rows in ``size``.
+
+    ``total`` is the number of rows.  Keys with over a thousandth of it, a thousand at most, are broadcast, so that their
+    rows stay where they are; the rows of all others meet their key in a shuffle.
+    """
+    hot = F.col(size) * HOT > F.lit(max(total, HOT))
+    few = keys.where(hot)
+    by_broadcast = rows.join(F.broadcast(few), key)
+    return by_broadcast.unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(keys.where(~hot), key))
+
 
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -31,10 +46,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "n")
-        large = both.join(least, both["a"] == least["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(least, large["a"] == least["n"])
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("size"))
+        large = looked_up(both, least, "a", "size", 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size"))
+        small = looked_up(large, least, "a", "size", state[0])
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         links = checkpointed(small.where("a <> b").distinct())
         now = _state(links)
@@ -47,19 +62,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def blocked(links: DataFrame, block: int) -> DataFrame:
-    """node, cell (its component over the links), blocks (into how many the cell is dealt) and place (the node's block)."""
-    cells = components(links)
-    sized = cells.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = cells.join(sized, "component").select("node", F.col("component").alias("cell"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    return members.withColumn("place", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-
-
-def paired(members: DataFrame, shared: int) -> DataFrame:
-    """A row of the members for each pair of blocks i <= j of their cell that they are in, and the pair's unit of work.
+def paired(members: DataFrame, group: str, node: str, size: str, block: int, shared: int) -> DataFrame:
+    """The members of groups, a row for each pair of blocks i <= j that a member is in, with place (its block) and unit.
 
-    Small cells share ``shared`` units; each pair of blocks of a larger one is a unit of its own.
+    A group of ``size`` members is dealt into blocks of about ``block`` by a hash of the node.  Each pair of blocks is a unit
+    of work of its own; groups of one block share ``shared`` units.
     """
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    out = members.withColumn("blocks", blocks).withColumn("place", F.pmod(F.xxhash64(node, group), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("place"), k).alias("i"), F.greatest(F.col("place"), k).alias("j")))
-    out = members.withColumn("pair", F.explode(pairs)).withColumns({"i": F.col("pair.i"), "j": F.col("pair.j")}).drop("pair")
-    return out.withColumn("unit", F.when(F.col("blocks") > 1, F.xxhash64("cell", "i", "j")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(shared))))
+    out = out.withColumn("pair", F.explode(pairs)).withColumns({"i": F.col("pair.i"), "j": F.col("pair.j")}).drop("pair")
+    return out.withColumn("unit", F.when(F.col("blocks") > 1, F.xxhash64(group, "i", "j")).otherwise(F.pmod(F.xxhash64(group), F.lit(shared)))).drop("blocks")

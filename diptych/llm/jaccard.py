@@ -11,25 +11,31 @@ each lacks at most e = size - o of them, and the first shared one is among the f
   These 2-token combinations are its signatures.
 * A token of one document alone can't be shared; a set whose prefix has no other is done.
 
-Equal sets are one class from the start.  Classes with a common signature form cells (connected components of signature
-links), and only their texts are fetched, once.  Within a cell all pairs are decided exactly, by counting shared tokens
-through an inverted index; of the links that are found, a spanning forest is returned.  A cell of over ``block`` classes
-is dealt into blocks, and each pair of blocks is a task of its own, so memory is bounded and no pair is lost.
+Equal sets are one class from the start, and signatures of the same classes are one signature.  What is asked is which
+classes are connected, not every pair, so classes that share a signature are compared in two steps, exactly:
+
+1. Each class is compared with the first class of each of its signatures; links that hold join classes into components.
+2. Signatures that still have classes of more than one component have all pairs across components compared, in blocks of
+   ``block`` classes, each pair of blocks a task's work; shared tokens are counted through an inverted index.
+
+Texts are read again only for the sets of classes that share a signature, once.  Hashes are keyed anew in each run.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .components import blocked, components, paired
+from .components import components, looked_up, paired
 from .frames import checkpointed
-from .words import SPACED, Words, mix, slices, words_of
+from .words import SPACED, Words, mix, new_key, slices, text_bytes, words_of
 
-#: Document frequency from which a token is signed in combination; classes of a cell that a task compares with as many.
+#: Document frequency from which a token is signed in combination; classes of a signature that a task compares with as many.
 FREQUENT, BLOCK = 1024, 256
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -52,11 +58,11 @@ def _tokens(words: Words, width: int) -> list[np.ndarray]:
     return out
 
 
-def _sets(table: pa.Table, width: int):
+def _sets(table: pa.Table, width: int, key: int):
     """Row and token set of each text of the table, lower-cased."""
     for i, _, data, offsets in slices(table.column("text")):
         with np.errstate(over="ignore"):
-            for k, tokens in enumerate(_tokens(words_of(data, offsets, SPACED, lower=True), width)):
+            for k, tokens in enumerate(_tokens(words_of(data, offsets, SPACED, lower=True, key=key), width)):
                 yield i + k, tokens
 
 
@@ -91,8 +97,8 @@ def _merge(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def linked(keys: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets with 100 * shared >= percent * together.
+def linked(keys: np.ndarray, sets: list[np.ndarray], percent: int, apart: np.ndarray, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with 100 * shared >= percent * together that ``apart`` tells apart.
 
     With ``left`` (which sets are of the first of two blocks), only pairs across the blocks count.
     """
@@ -104,6 +110,12 @@ def linked(keys: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndar
     firsts = np.r_[0, np.cumsum(sizes)]
     parent, out = {i: i for i in range(len(sets))}, []
     for i in range(len(sets)):
+        asked = apart != apart[i]
+        asked[: i + 1] = False
+        if left is not None:
+            asked &= left != left[i]
+        if not asked.any():
+            continue
         mine = inverse[firsts[i] : firsts[i + 1]]
         mine = mine[starts[mine + 1] - starts[mine] > 1]
         if not len(mine):
@@ -111,11 +123,7 @@ def linked(keys: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndar
         lengths = starts[mine + 1] - starts[mine]
         at = np.repeat(starts[mine] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
         shared = np.bincount(postings[at], minlength=len(sets))
-        alike = 100 * shared >= percent * (sizes + sizes[i] - shared)
-        alike[: i + 1] = False
-        if left is not None:
-            alike &= left != left[i]
-        for j in np.flatnonzero(alike).tolist():
+        for j in np.flatnonzero(asked & (100 * shared >= percent * (sizes + sizes[i] - shared))).tolist():
             a, b = _merge(parent, i), _merge(parent, j)
             if a != b:
                 parent[a] = b
@@ -123,6 +131,10 @@ def linked(keys: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndar
     return out
 
 
+def _digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
 def similar(documents: DataFrame, percent: int = 90, width: int = 3, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of the documents.
 
@@ -132,46 +144,52 @@ def similar(documents: DataFrame, percent: int = 90, width: int = 3, frequent: i
     get a row; a null doc_id is never a component's name unless the row stands alone.  Other columns are not read.
     """
     n = X.sizes(documents.select("text"), 0.75)
-    return _grouped(X.chunked(documents.select("doc_id", "text"), n), n, percent, width, frequent, block).drop("chunk")
+    return _grouped(X.chunked(documents.select("doc_id", "text"), n), n, percent, width, frequent, block).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(documents: DataFrame, percent: int = 80, width: int = 5, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
-    """The documents without those that are not the smallest doc_id of their component; their columns as they were.
+    """The documents without those that are not the first of their component; their columns as they were.
 
-    Of rows with one doc_id and the same beginning, the first by text stays.  A null doc_id stays, as does a document
-    without words.
+    The first has the smallest doc_id, null last; of rows with one doc_id (or none) the first by a hash of the text, and of
+    equal rows any one.  Documents without words all stay.
     """
     names, schema = documents.columns, documents.schema
     n = X.sizes(documents.select("text"), 0.75)
     chunks = X.chunked(documents, n)
-    losers = _grouped(chunks, n, percent, width, frequent, block).where("doc_id <> component_id").select("doc_id", "chunk")
+    rows = _grouped(chunks, n, percent, width, frequent, block).where("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    winners = rows.groupBy("component").agg(F.min(place).alias("first"))
+    # Only components of several rows have losers; a row alone is its own winner.
+    losers = rows.join(winners, "component").where(place != F.col("first")).select("doc_id", "digest", "chunk").distinct()
 
     def keep(table: pa.Table, gone: pa.Table) -> pa.Table:
-        dropped, kept, seen = set(gone.column("doc_id").to_pylist()), [], set()
-        ids = table.column("doc_id").to_pylist()
-        repeated = len(set(ids)) < len(ids)
-        for row in sorted(range(len(ids)), key=lambda r: table.column("text")[r].as_py() or "") if repeated else range(len(ids)):
-            if ids[row] is None or ids[row] not in dropped and ids[row] not in seen:
+        dropped = set(zip(gone.column("doc_id").to_pylist(), gone.column("digest").to_pylist(), strict=True))
+        data, offsets = text_bytes(table.column("text"))
+        kept, seen = [], set()
+        for row, doc in enumerate(table.column("doc_id").to_pylist()):
+            text = data[offsets[row] : offsets[row + 1]].tobytes()
+            key = (doc, _digest(text))
+            if key not in dropped and key not in seen:
                 kept.append(row)
-                seen.add(ids[row])
+                if SPACED[data[offsets[row] : offsets[row + 1]]].any():
+                    seen.add(key)
         return table.select(names).take(X.places(kept))
 
     return X.answered(chunks, losers, keep, schema)
 
 
 def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent: int, block: int) -> DataFrame:
-    """doc_id, chunk, n_shingles and component_id of each row of the chunks."""
+    """doc_id, chunk, digest (of the text), n_shingles, component_id and component (unique, other than component_id) of each row."""
     if not 75 <= percent <= 100:
         raise ValueError("signatures are complete for a similarity of 75 to 100 per cent")
-    frequent_class = int(np.log2(frequent))
+    frequent_class, key = int(np.log2(frequent)), new_key()
 
     def send(table: pa.Table) -> pa.Table:
-        every = np.sort(X.short(np.concatenate([np.zeros(0, np.uint64), *(t for _, t in _sets(table, width))]), n))
+        every = np.sort(X.short(np.concatenate([np.zeros(0, np.uint64), *(t for _, t in _sets(table, width, key))]), n))
         starts, ends = X.runs(every)
         every, counts = every[starts], np.minimum(ends - starts, 255).astype(np.uint8)
-        cuts = np.searchsorted(every, np.arange(n.buckets + 1, dtype=np.uint64) << np.uint64(32))
-        chunk = table.column(X.CHUNK)[0].as_py()
-        rows = [(b, chunk, X.pack(every[cuts[b] : cuts[b + 1]].astype(np.uint32)), X.pack(counts[cuts[b] : cuts[b + 1]])) for b in range(n.buckets) if cuts[b] < cuts[b + 1]]
+        buckets, chunk = every >> np.uint64(32), table.column(X.CHUNK)[0].as_py()
+        rows = [(int(buckets[a]), chunk, X.pack(every[a:b].astype(np.uint32)), X.pack(counts[a:b])) for a, b in zip(*X.runs(buckets), strict=True)]
         return _table(rows, bucket=pa.int32(), chunk=pa.int32(), tokens=pa.binary(), counts=pa.binary())
 
     def count(table: pa.Table) -> pa.Table:
@@ -196,59 +214,112 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
         tokens, classes = tokens[order], classes[order]
         ids, rows = table.column("doc_id").cast(pa.int64()).to_pylist(), []
         chunk = table.column(X.CHUNK)[0].as_py() if table.num_rows else None
+        data, offsets = text_bytes(table.column("text"))
         with np.errstate(over="ignore"):
-            for row, mine in _sets(table, width):
+            for row, mine in _sets(table, width, key):
                 kind = np.zeros(len(mine), np.uint8)
                 if len(mine):
                     small = X.short(mine, n)
                     known = X.is_in(small, tokens)
                     kind[known] = classes[np.searchsorted(tokens, small[known])]
                 signed = signatures(mine, kind, percent, frequent_class) if kind.any() else mine[:0]
-                both = (int(mix(mine).sum().view(np.int64)), int(mix(mine ^ _ODD).sum().view(np.int64))) if len(mine) else (0, 0)
-                rows.append((ids[row], chunk, len(mine), *both, signed.view(np.int64).tolist()))
-        return _table(rows, doc_id=pa.int64(), chunk=pa.int32(), n_shingles=pa.int64(), set_a=pa.int64(), set_b=pa.int64(), signed=pa.list_(pa.int64()))
+                both = _names(mine) if len(mine) else (0, 0)
+                rows.append((ids[row], chunk, _digest(data[offsets[row] : offsets[row + 1]].tobytes()), len(mine), *both, signed.view(np.int64).tolist()))
+        return _table(rows, doc_id=pa.int64(), chunk=pa.int32(), digest=pa.int64(), n_shingles=pa.int64(), set_a=pa.int64(), set_b=pa.int64(), signed=pa.list_(pa.int64()))
 
     classes = X.per_bucket(X.per_chunk(chunks, send, "bucket int, chunk int, tokens binary, counts binary"), count, "chunk int, bucket int, tokens binary, classes binary")
-    rows = checkpointed(X.answered(chunks, classes, sign, "doc_id long, chunk int, n_shingles long, set_a long, set_b long, signed array<long>"))
+    rows = checkpointed(X.answered(chunks, classes, sign, "doc_id long, chunk int, digest long, n_shingles long, set_a long, set_b long, signed array<long>"))
+
+    # One class for equal sets, with a number of its own: ids may repeat or be null.
+    same = ["n_shingles", "set_a", "set_b"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk")).alias("first")
+    equal = rows.where("n_shingles > 0").groupBy(same).agg(first, F.first("signed").alias("signed"), F.count(F.lit(1)).alias("size"))
+    equal = checkpointed(equal.select(*same, "first.doc_id", "first.chunk", "signed", "size", F.monotonically_increasing_id().alias("class")))
+    signed = equal.where(F.size("signed") > 0).select("class", F.explode(F.array_distinct("signed")).alias("signature"))
+    n_rows, n_signed = (x or 0 for x in equal.agg(F.sum("size"), F.sum(F.size("signed"))).first())
+
+    # Signatures of several classes; of those with the same classes, one.
+    code = F.xxhash64(F.lit(17), "class")
+    live = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("hub"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 1).cast("decimal(38,0)")).alias("y")).where("n > 1")
+    live = live.groupBy("n", "hub", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "hub", "n")
+    met = checkpointed(looked_up(signed, live, "signature", "n", n_signed))
+
+    # A hub and the classes that have it, in parts of a block; a class goes to several hubs, a hub to all its parts.
+    pairs = checkpointed(met.where("class <> hub").select("class", "hub").distinct())
+    hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+    parts = F.ceil(F.col("members") / block).cast("int")
+    sent = looked_up(pairs, hubs, "hub", "members", pairs.count()).select("class", "hub", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"))
+    sent = sent.unionByName(hubs.select(F.col("hub").alias("class"), "hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
+    wanted = sent.groupBy("class").agg(F.collect_list(F.struct("hub", "part")).alias("to")).join(equal.select("class", "doc_id", "chunk", *same), "class")
+
+    # The classes' sets, each from a row that has it.
+    def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        asked = {(d, *k): c for d, c, *k in zip(*(wanted.column(x).to_pylist() for x in ("doc_id", "class", *same)), strict=True)}
+        docs = {k[0] for k in asked}
+        part, found = table.take(X.places([i for i, x in enumerate(table.column("doc_id").to_pylist()) if x in docs])), {}
+        ids = part.column("doc_id").to_pylist()
+        with np.errstate(over="ignore"):
+            for k, tokens in _sets(part, width, key) if len(ids) else ():
+                name = (ids[k], len(tokens), *_names(tokens))
+                if name in asked:
+                    found[asked[name]] = X.pack(tokens)
+        return _table(list(found.items()), **{"class": pa.int64(), "tokens": pa.binary()})
+
+    sets = checkpointed(X.answered(chunks, wanted.drop("to"), fetch, "class long, tokens binary").join(wanted.select("class", "to"), "class"))
+
+    def with_hub(table: pa.Table) -> pa.Table:
+        names, hubs, part = (table.column(c).to_numpy() for c in ("class", "hub", "part"))
+        sets, out = X.unpack(table.column("tokens"), np.uint64), []
+        order = np.lexsort((names != hubs, part, hubs))
+        changes = np.flatnonzero(np.r_[True, (np.diff(hubs[order]) != 0) | (np.diff(part[order]) != 0)]) if len(order) else np.zeros(0, np.int64)
+        for a, b in zip(changes, np.r_[changes[1:], len(order)], strict=True):
+            hub = sets[order[a]]
+            for k in order[a + 1 : b]:
+                small, large = sorted((hub, sets[k]), key=len)
+                if 100 * len(small) >= percent * len(large):
+                    shared = int(X.is_in(small, large).sum())
+                    if 100 * shared >= percent * (len(small) + len(large) - shared):
+                        out.append((int(names[k]), int(names[order[a]])))
+        return _table(out, a=pa.int64(), b=pa.int64())
 
-    # One class for equal sets, named by its smallest doc_id.
-    equal = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class"), F.min_by("signed", "doc_id").alias("signed"), F.min_by("chunk", "doc_id").alias("chunk"))
-    equal = checkpointed(equal)
-    signed = equal.where(F.size("signed") > 0).select("class", F.explode("signed").alias("signature"))
-    hubs = signed.groupBy("signature").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").drop("last")
-    met = signed.join(hubs, "signature").select(F.col("class").alias("a"), F.col("hub").alias("b"))
-    members = blocked(met, block).withColumnRenamed("node", "class").join(equal.select("class", "chunk"), "class")
+    units = sets.select("class", "tokens", F.explode("to").alias("to")).select("class", "tokens", "to.hub", "to.part")
+    units = units.withColumn("unit", F.pmod(F.xxhash64("hub", "part"), F.lit(4 * n.buckets)))
+    known = checkpointed(components(units.repartition(n.buckets, "unit").groupBy("unit").applyInArrow(with_hub, "a long, b long")))
 
-    # Sets of members, from the rows that gave their classes the name, in the chunks where these are.
-    def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        asked = {r["class"]: r for r in wanted.to_pylist()}
-        ids = table.column("doc_id").to_pylist()
-        rows = [i for i, x in enumerate(ids) if x in asked]
-        part, out = table.take(X.places(rows)), []
-        for k, tokens in _sets(part, width) if rows else ():
-            r = asked[ids[rows[k]]]
-            out.append((r["class"], r["cell"], r["blocks"], r["place"], X.pack(tokens)))
-        return _table(out, doc_id=pa.int64(), cell=pa.int64(), blocks=pa.int32(), place=pa.int32(), tokens=pa.binary())
-
-    sets = X.answered(chunks, members, fetch, "doc_id long, cell long, blocks int, place int, tokens binary")
-    units = paired(sets, 4 * n.buckets)
+    # Signatures that are still of several components, with all their classes.
+    tied = met.join(known.select(F.col("node").alias("class"), "component"), "class", "left").select("signature", "class", F.coalesce("component", "class").alias("component"))
+    open_ = tied.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("signature", "n")
+    tied = checkpointed(looked_up(tied, open_, "signature", "n", met.count()))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, cell, place = (table.column(c).to_numpy() for c in ("doc_id", "cell", "place"))
+        names, signature, place, apart = (table.column(c).to_numpy() for c in ("class", "signature", "place", "component"))
         i, j, sets = table.column("i").to_numpy(), table.column("j").to_numpy(), X.unpack(table.column("tokens"), np.uint64)
-        order, out = np.lexsort((ids, j, i, cell)), []
-        starts, ends = X.runs(cell[order])
-        for a, b in zip(starts, ends, strict=True):
-            mine = order[a:b]
-            for p, q in {(int(i[x]), int(j[x])) for x in mine}:
-                part = mine[(i[mine] == p) & (j[mine] == q)]
-                if len(part) > 1:
-                    out += linked(ids[part], [sets[x] for x in part], percent, place[part] == p if p != q else None)
+        order, out = np.lexsort((names, j, i, signature)), []
+        changes = np.flatnonzero(np.r_[True, (np.diff(signature[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)])
+        for a, b in zip(changes, np.r_[changes[1:], len(order)], strict=True):
+            part = order[a:b]
+            if len(part) > 1:
+                p, q = i[part[0]], j[part[0]]
+                out += linked(names[part], [sets[x] for x in part], percent, apart[part], place[part] == p if p != q else None)
         return _table(out, a=pa.int64(), b=pa.int64())
 
-    links = units.groupBy("unit").applyInArrow(compare, "a long, b long")
-    named = components(links)
-    known = equal.select("n_shingles", "set_a", "set_b", "class").join(named.withColumnRenamed("node", "class"), "class", "left")
-    known = known.select("n_shingles", "set_a", "set_b", F.coalesce("component", "class").alias("component_id"))
-    out = rows.select("doc_id", "chunk", "n_shingles", "set_a", "set_b").join(known, ["n_shingles", "set_a", "set_b"], "left")
-    return out.select("doc_id", "chunk", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    units = paired(tied, "signature", "class", "n", block, 4 * n.buckets).join(sets.select("class", "tokens"), "class")
+    more = units.repartition(n.buckets, "unit").groupBy("unit").applyInArrow(compare, "a long, b long")
+    top = known.select(F.col("node").alias("class"), "component")
+    up = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(f"more.{c}"))
+    ends = more.alias("more").join(top.alias("a"), F.col("more.a") == F.col("a.class"), "left").join(top.alias("b"), F.col("more.b") == F.col("b.class"), "left")
+    last = components(ends.select(up("a").alias("a"), up("b").alias("b")))
+
+    of = equal.select(*same, "size", "doc_id", "class").join(top, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    of = of.join(last.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left").withColumn("component", F.coalesce("last", "component")).drop("last")
+    named = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = checkpointed(of.drop("doc_id", "class").join(named, "component"))
+    out = rows.select("doc_id", "chunk", "digest", *same)
+    found = looked_up(out.where("n_shingles > 0"), of, same, "size", n_rows)
+    empty = out.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    return found.drop("size", "set_a", "set_b").unionByName(empty.drop("set_a", "set_b"))
+
+
+def _names(tokens: np.ndarray) -> tuple[int, int]:
+    """Two sums by which sets are told apart, with their sizes."""
+    return int(mix(tokens).sum().view(np.int64)), int(mix(tokens ^ _ODD).sum().view(np.int64))

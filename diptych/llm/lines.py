@@ -7,8 +7,9 @@ code points.  Pairs that meet are verified with a bit-parallel edit distance ove
 
 First only the lower halves of the signatures' hashes meet, to tell which of them occur twice; lines without such a
 signature, most of a corpus, go no further.  Equal lines become one class, so a line of all documents is one row from then
-on.  Classes that share a signature form cells; a cell is dealt into blocks, each pair of blocks is compared in a task, and
-what leaves a task is a count for each class, never a pair.
+on.  Only classes that share a signature are compared: those of a hot signature are dealt into blocks, and each pair of blocks
+is a task's work.  A pair counts where its smallest shared signature is.  What leaves a task is a count for each class, never
+a pair.
 
 Lines too short for edits to mean anything take part by their whole hash alone: it meets as a signature does, and makes
 them a class, but no cell.
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .components import blocked, paired
+from .components import looked_up, paired
 from .frames import checkpointed
-from .words import mix, powers, slices
+from .words import keyed, mix, new_key, powers, slices
 
 #: Edits between lines that count as one, code points from which edits are allowed, and from which equal lines are dropped.
 EDITS, LEAST_CHARS, SHORTEST_CHARS = 2, 20, 1
-#: Texts of a cell that a task compares with as many.
+#: Texts of a signature that a task compares with as many.
 BLOCK = 256
 
 _BASE = 0x9E3779B97F4A7C15
@@ -42,7 +43,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 class Lines:
     """The lines of some texts: code points, and for each line that counts its text, number there, place and hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, key: int = 0):
         raw = data[int(offsets[0]) : int(offsets[-1])]
         points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
         place = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][offsets - offsets[0]]
@@ -70,7 +71,7 @@ class Lines:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self.sums[1:])
         self.inverse = powers(pow(_BASE, -1, 1 << 64), n + 1)
-        self.hash = mix(self.of(self.start, self.stop) + self.length.astype(np.uint64) * _K1)
+        self.hash = keyed(points.view(np.uint8), 4 * self.start, 4 * self.stop, key)
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * self.inverse[start]
@@ -105,9 +106,9 @@ class Lines:
         return own, probes
 
 
-def _lines(table: pa.Table, least: int):
+def _lines(table: pa.Table, least: int, key: int):
     for i, j, data, offsets in slices(table.column("text")):
-        yield i, j, data, offsets, Lines(data, offsets, least)
+        yield i, j, data, offsets, Lines(data, offsets, least, key)
 
 
 def _shared(a: str, b: str, most: int) -> int:
@@ -162,22 +163,23 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-def _near(lines: list[str], edits: int, least: int):
-    """The pairs of lines within ``edits`` of each other, each once: probes meet segments in a table, and pairs are verified."""
-    data = "".join(lines).encode()
-    offsets = np.r_[0, np.cumsum([len(x.encode()) for x in lines])]
-    part = Lines(np.frombuffer(data, np.uint8), offsets, least)
-    own, probes = part.signatures(np.arange(len(part.hash)), edits, least)
-    table: dict[int, list[int]] = {}
-    for k, row in zip(part.doc.tolist(), own.tolist(), strict=True):
-        for x in row:
-            table.setdefault(x, []).append(k)
-    for k, row in zip(part.doc.tolist(), probes.tolist(), strict=True):
-        met = {m for x in row if x for m in table.get(x, ())}
-        for m in met:
-            # Of two lines of one length both probe the other.
-            if m != k and (m < k or len(lines[m]) < len(lines[k])) and within(lines[m], lines[k], edits):
-                yield m, k
+class Meetings:
+    """Lines with their signatures, to tell which pairs that meet at a signature are near and are counted there."""
+
+    def __init__(self, lines: list[str], edits: int, least: int):
+        data = "".join(lines).encode()
+        part = Lines(np.frombuffer(data, np.uint8), np.r_[0, np.cumsum([len(x.encode()) for x in lines])], least)
+        own, probes = part.signatures(np.arange(len(part.doc)), edits, least)
+        self.lines, self.edits = lines, edits
+        self.own = dict(zip(part.doc.tolist(), map(frozenset, own.tolist()), strict=True))
+        self.probes = dict(zip(part.doc.tolist(), (frozenset(row) - {0} for row in probes.tolist()), strict=True))
+
+    def near(self, signature: int, x: int, y: int) -> bool:
+        """Whether lines x and y are within the edits, and this is the smallest signature at which they meet."""
+        if abs(len(self.lines[x]) - len(self.lines[y])) > self.edits:
+            return False
+        shared = self.own[x] & self.probes[y] | self.own[y] & self.probes[x]
+        return min(shared, default=-1) == signature and within(self.lines[x], self.lines[y], self.edits)
 
 
 def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
@@ -202,14 +204,14 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
     names, fields = documents.columns, documents.schema.fields
     shortest = least if shortest is None else min(shortest, least)
     n = X.sizes(documents.select("text"), 0.4)
-    chunks = X.chunked(documents, n)
+    chunks, key = X.chunked(documents, n), new_key()
 
     def keys(table: pa.Table) -> np.ndarray:
         return table.column("doc_id").cast(pa.int64()).fill_null(_LAST).to_numpy()
 
     def send(table: pa.Table) -> pa.Table:
         seen, own, probes = [], [], []
-        for _, _, _, _, lines in _lines(table, shortest):
+        for _, _, _, _, lines in _lines(table, shortest, key):
             o, p = lines.signatures(np.arange(len(lines.hash)), edits, least)
             seen.append(lines.hash)
             own.append(X.short(o, n))
@@ -221,11 +223,8 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
         probes = probes[: np.searchsorted(probes, np.uint64(_LAST))]
         starts, ends = X.runs(probes)
         more, every = np.union1d(probes[starts[ends - starts > 1]], again), probes[starts]
-        bounds = np.arange(n.buckets + 1, dtype=np.uint64) << np.uint64(32)
-        parts = (every, more, own)
-        cuts = [np.searchsorted(x, bounds) for x in parts]
         chunk = table.column(X.CHUNK)[0].as_py()
-        rows = [(b, chunk, *(X.pack(x[c[b] : c[b + 1]].astype(np.uint32)) for x, c in zip(parts, cuts, strict=True))) for b in range(n.buckets) if cuts[0][b] < cuts[0][b + 1]]
+        rows = [(b, chunk, *rest) for b, *rest in X.dealt(n, every, more, own)]
         return _table(rows, bucket=pa.int32(), chunk=pa.int32(), every=pa.binary(), more=pa.binary(), own=pa.binary())
 
     def meet(table: pa.Table) -> pa.Table:
@@ -242,7 +241,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
         live = np.sort(np.concatenate([np.zeros(0, np.uint64), *found]))
         ids, first = keys(table), {}
         chunk = table.column(X.CHUNK)[0].as_py() if table.num_rows else 0
-        for i, _, _, _, lines in _lines(table, shortest) if len(live) else ():
+        for i, _, _, _, lines in _lines(table, shortest, key) if len(live) else ():
             _, p = lines.signatures(np.arange(len(lines.hash)), edits, least)
             met = ((p != 0) & X.is_in(X.short(p, n).ravel(), live).reshape(p.shape)).any(axis=1)
             for k in np.flatnonzero(met).tolist():
@@ -263,39 +262,53 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
             rows: list[tuple] = []
             for i, j, data, offsets in slices(batch.column(1)):
                 part = Lines(data, offsets, least)
-                own, probes = part.signatures(np.arange(len(part.hash)), edits, least)
-                hashes = batch.column(0).to_numpy()[i:j][part.doc]
-                for kind, x in ((0, own), (1, probes)):
-                    at = np.flatnonzero(x.ravel() != 0)
-                    rows.append((hashes[at // x.shape[1]], np.full(len(at), kind, np.int32), x.ravel()[at].view(np.int64)))
+                own, probes = part.signatures(np.arange(len(part.doc)), edits, least)
+                # A line probes its own segments, so one row says both; the first of equal ones is the one of its own.
+                every = np.concatenate([own, probes], axis=1)
+                at = np.flatnonzero(every.ravel() != 0)
+                line, value, kind = at // every.shape[1], every.ravel()[at], at % every.shape[1] >= own.shape[1]
+                order = np.lexsort((kind, value, line))
+                line, value, kind = line[order], value[order], kind[order]
+                first = np.r_[True, (line[1:] != line[:-1]) | (value[1:] != value[:-1])] if len(line) else np.zeros(0, bool)
+                rows.append((batch.column(0).to_numpy()[i:j][part.doc][line[first]], value[first].view(np.int64), ~kind[first]))
             columns = [np.concatenate([r[k] for r in rows]) if rows else [] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["hash", "kind", "signature"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], names=["hash", "signature", "own"])
 
-    # Texts that share a signature, one of them as a segment, form cells; a cell's pairs are compared within tasks.
-    signed = checkpointed(texts.select("hash", "line").mapInArrow(sign, "hash long, kind int, signature long"))
-    hubs = signed.groupBy("signature").agg(F.min("hash").alias("hub"), F.max("hash").alias("last"), F.min("kind").alias("kind")).where("hub < last and kind = 0")
-    met = signed.join(hubs.select("signature", "hub"), "signature").select(F.col("hash").alias("a"), F.col("hub").alias("b"))
-    members = blocked(met, block).withColumnRenamed("node", "hash").join(texts, "hash").select("hash", "cell", "blocks", "place", "owner.id", "owner.number", "line")
+    signed = checkpointed(texts.select("hash", "line").mapInArrow(sign, "hash long, signature long, own boolean"))
+    live = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("met")).where("size > 1 and met").drop("met")
+    met = looked_up(signed, live, "signature", "size", signed.count()).join(texts.select("hash", "owner.id", "owner.number", "line"), "hash")
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.select(["hash", "cell", "place", "i", "j", "id", "number", "line"]).to_pylist()
-        found: dict[tuple, list[int]] = {}
-        for k, r in enumerate(rows):
-            found.setdefault((r["cell"], r["i"], r["j"]), []).append(k)
+        names = ("signature", "i", "j", "place", "own", "hash", "id", "number")
+        signature, i, j, place, own, hashes, ids, numbers = (table.column(c).to_pylist() for c in names)
+        # Lines are the same in all rows of a hash.
+        index: dict[int, int] = {}
+        line_of = [index.setdefault(h, len(index)) for h in hashes]
+        texts = dict(zip(line_of, table.column("line").to_pylist(), strict=True))
+        meetings = Meetings([texts[k] for k in range(len(index))], edits, least)
+        groups: dict[tuple, list[int]] = {}
+        for k, name in enumerate(zip(signature, i, j, strict=True)):
+            groups.setdefault(name, []).append(k)
         out: dict[int, list[int]] = {}
-        for (_, i, j), ks in found.items():
-            for x, y in _near([rows[k]["line"] for k in ks], edits, least):
-                a, b = rows[ks[x]], rows[ks[y]]
-                if i != j and a["place"] == b["place"]:
-                    continue
-                late = a if (a["id"], a["number"]) > (b["id"], b["number"]) else b
-                for r in (a, b):
-                    told = out.setdefault(r["hash"], [0, 0])
-                    told[0] += 1
-                    told[1] |= r is late
+        for (s, one, two), ks in groups.items():
+            at = s & ((1 << 64) - 1)
+            owners = [k for k in ks if own[k]]
+            for x in owners:
+                for y in ks:
+                    # Of two owners the pair is taken once; of two blocks only pairs across them.
+                    if x == y or own[y] and y < x or one != two and place[x] == place[y]:
+                        continue
+                    if meetings.near(at, line_of[x], line_of[y]):
+                        late = x if (ids[x], numbers[x]) > (ids[y], numbers[y]) else y
+                        for k in (x, y):
+                            told = out.setdefault(hashes[k], [0, 0])
+                            told[0] += 1
+                            told[1] |= k == late
         return _table([(h, *v) for h, v in out.items()], hash=pa.int64(), links=pa.int64(), late=pa.int32())
 
-    ends = paired(members, 4 * n.buckets).groupBy("unit").applyInArrow(compare, "hash long, links long, late int")
+    # Work goes with the square of a group, not with bytes, so the number of tasks is set here and not by bytes.
+    units = paired(met, "signature", "hash", "size", block, 4 * n.buckets).repartition(n.buckets, "unit")
+    ends = units.groupBy("unit").applyInArrow(compare, "hash long, links long, late int")
     ends = ends.groupBy("hash").agg(F.max("late").alias("late"), F.sum("links").alias("links"))
     told = texts.select("hash", "owner.id", "owner.number").join(ends, "hash", "left")
     told = lines.select("hash", "chunk").join(told, "hash").select("chunk", "hash", "id", "number", F.coalesce("late", F.lit(0)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -306,7 +319,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
         known = known.view(np.uint64) if len(known) else np.zeros(0, np.uint64)
         ids, out = keys(table), []
         texts = table.column("text")
-        for i, j, _, _, lines in _lines(table, shortest):
+        for i, j, _, _, lines in _lines(table, shortest, key):
             at = np.minimum(np.searchsorted(known, lines.hash), max(0, len(known) - 1))
             is_known = known[at] == lines.hash if len(known) else np.zeros(len(lines.hash), bool)
             near, linked_to, gone = np.zeros(len(at), bool), np.zeros(len(at), np.int64), np.zeros(len(at), bool)

@@ -48,7 +48,10 @@ def _joined(words: Words, i: int, n: int) -> bytes:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """size, hash, words, item for each distinct window of each item; rows without an id, a text or a word give none."""
+    """size, hash, words, item for each distinct window of each item; rows without a text or a word give none.
+
+    A row without an id has windows, but no item: they hit words and are counted as no item.
+    """
     schema = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("item", T.StringType())])
 
     def make(batches):
@@ -64,7 +67,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
                         out += {(n, int(hashes[k].view(np.int64)), _joined(words, k, n), ids[row]) for k in range(a, b - n + 1)}
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.string()))], names=schema.names)
 
-    return benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").mapInArrow(make, schema)
+    return benchmark.where("text is not null").select(F.col("item_id").cast("string"), "text").mapInArrow(make, schema)
 
 
 def _blocks(rows: list) -> list[Block]:
@@ -142,19 +145,19 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     first = scan(documents, parts[0], keep)
     if len(parts) == 1:
         return first
-    key = documents.select("doc_id", "text").withColumn("__text", F.sha2("text", 256)).dropDuplicates(["doc_id", "__text"])
-    hits = [scan(key, p, ["doc_id", "__text"]).where("n_hit > 0").select("doc_id", "__text", "items", "hit_ranges") for p in parts]
+    key = documents.select("doc_id", "text").withColumn("__text_of_blocks", F.sha2("text", 256)).dropDuplicates(["doc_id", "__text_of_blocks"])
+    hits = [scan(key, p, ["doc_id", "__text_of_blocks"]).where("n_hit > 0").select("doc_id", "__text_of_blocks", "items", "hit_ranges") for p in parts]
     merged = hits[0]
     for x in hits[1:]:
         merged = merged.unionByName(x)
-    span = F.flatten(F.transform("__all", lambda r: F.flatten(F.transform(F.sequence(F.lit(0), (F.size(r) / 2).cast("int") - 1), lambda k: F.sequence(r[2 * k], r[2 * k + 1] - 1)))))
-    merged = merged.groupBy("doc_id", "__text").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"), F.collect_list("hit_ranges").alias("__all"))
-    merged = merged.withColumn("__at", F.sort_array(F.array_distinct(span))).drop("__all")
-    runs = F.flatten(F.filter(F.transform("__at", lambda p: F.concat(F.when(~F.array_contains("__at", p - 1), F.array(p)).otherwise(F.array().cast("array<int>")), F.when(~F.array_contains("__at", p + 1), F.array(p + 1)).otherwise(F.array().cast("array<int>")))), lambda x: F.size(x) > 0))
-    merged = merged.select(F.col("doc_id").alias("__id"), "__text", "__items", F.size("__at").cast("long").alias("__n"), runs.alias("__runs"))
-    with_text = scan(documents, parts[0], None if keep is None else [*keep, "doc_id", "text"]).withColumn("__t", F.sha2("text", 256))
-    out = with_text.join(merged, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == merged["__text"]), "left")
-    out = out.withColumns({"n_hit": F.coalesce("__n", F.lit(0).cast("long")), "items": F.coalesce("__items", F.array().cast("array<string>")), "hit_ranges": F.coalesce("__runs", F.array().cast("array<int>"))})
+    span = F.flatten(F.transform("__all_of_blocks", lambda r: F.flatten(F.transform(F.sequence(F.lit(0), (F.size(r) / 2).cast("int") - 1), lambda k: F.sequence(r[2 * k], r[2 * k + 1] - 1)))))
+    merged = merged.groupBy("doc_id", "__text_of_blocks").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items_of_blocks"), F.collect_list("hit_ranges").alias("__all_of_blocks"))
+    merged = merged.withColumn("__at_of_blocks", F.sort_array(F.array_distinct(span))).drop("__all_of_blocks")
+    runs = F.flatten(F.filter(F.transform("__at_of_blocks", lambda p: F.concat(F.when(~F.array_contains("__at_of_blocks", p - 1), F.array(p)).otherwise(F.array().cast("array<int>")), F.when(~F.array_contains("__at_of_blocks", p + 1), F.array(p + 1)).otherwise(F.array().cast("array<int>")))), lambda x: F.size(x) > 0))
+    merged = merged.select(F.col("doc_id").alias("__id_of_blocks"), "__text_of_blocks", "__items_of_blocks", F.size("__at_of_blocks").cast("long").alias("__n_of_blocks"), runs.alias("__runs_of_blocks"))
+    with_text = scan(documents, parts[0], None if keep is None else [*keep, "doc_id", "text"]).withColumn("__t_of_blocks", F.sha2("text", 256))
+    out = with_text.join(merged, F.col("doc_id").eqNullSafe(F.col("__id_of_blocks")) & (F.col("__t_of_blocks") == merged["__text_of_blocks"]), "left")
+    out = out.withColumns({"n_hit": F.coalesce("__n_of_blocks", F.lit(0).cast("long")), "items": F.coalesce("__items_of_blocks", F.array().cast("array<string>")), "hit_ranges": F.coalesce("__runs_of_blocks", F.array().cast("array<int>"))})
     return out.select(first.columns)
 
 

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 #: Text bytes in a chunk and packed bytes in a bucket, about and at least; packed bytes that a row has on average at least.
 CHUNK_BYTES, BUCKET_BYTES, ROW_BYTES = 8 << 20, 4 << 20, 256
 
-CHUNK = "__chunk"
+#: A column of the documents while they are dealt; not a name that tables have.
+CHUNK = "__chunk_of_the_exchange"
 _LOW = np.uint64(0xFFFFFFFF)
 
 

@@ -40,10 +40,13 @@ def hex_digest(data: bytes) -> str:
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame, cut from its lineage through the shared folder that the session names.
 
-    The folder is spark.checkpoint.dir of the session; only where it is unset, as in local tests, a new local folder is set.
+    The folder is spark.checkpoint.dir of the session; where it is unset, a local session gets a local folder and any other
+    is refused, as executors would not see each other's files.
     """
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "diptych-checkpoints"))
     return frame.checkpoint()

@@ -33,6 +33,8 @@ EDITS, LEAST_CHARS, SHORTEST_CHARS = 2, 20, 1
 #: Texts of a signature that a task compares with as many.
 BLOCK = 256
 
+ADDED = ("n_lines", "n_dropped", "n_near", "n_links")
+
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
 _K1, _K2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -199,8 +201,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
     place alone, so that equal rows keep one copy of each line between them only if it is in one place of one row; input
     columns stay, but for those named as an added one.
     """
-    added = ("n_lines", "n_dropped", "n_near", "n_links")
-    documents = documents.select([f"`{c}`" for c in documents.columns if c.lower() not in added])
+    documents = documents.select([f"`{c}`" for c in documents.columns if c.lower() not in ADDED])
     names, fields = documents.columns, documents.schema.fields
     shortest = least if shortest is None else min(shortest, least)
     n = X.sizes(documents.select("text"), 0.4)
@@ -341,9 +342,9 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
                     kept = "\n".join(lines.points[lines.begin_all[k] : lines.end_all[k]].tobytes().decode("utf-32-le") for k in rows)
                 out.append((kept, *(int(c[d]) for c in counts)))
         made = _table(out, text=pa.string(), n_lines=pa.int64(), n_dropped=pa.int64(), n_near=pa.int64(), n_links=pa.int64())
-        return pa.table({c: made["text"] if c == "text" else table.column(c) for c in names} | {c: made[c] for c in added})
+        return pa.table({c: made["text"] if c == "text" else table.column(c) for c in names} | {c: made[c] for c in ADDED})
 
-    schema = T.StructType([*(T.StructField("text", T.StringType()) if f.name == "text" else f for f in fields), *(T.StructField(c, T.LongType()) for c in added)])
+    schema = T.StructType([*(T.StructField("text", T.StringType()) if f.name == "text" else f for f in fields), *(T.StructField(c, T.LongType()) for c in ADDED)])
     return X.answered(chunks, told, cut, schema)
 
 
@@ -351,4 +352,4 @@ def digest(marked: DataFrame) -> DataFrame:
     return marked.select("doc_id", "n_lines", "n_dropped", "n_near", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-__all__ = ["EDITS", "LEAST_CHARS", "SHORTEST_CHARS", "Lines", "dedup_lines", "digest", "within"]
+__all__ = ["ADDED", "EDITS", "LEAST_CHARS", "SHORTEST_CHARS", "Lines", "dedup_lines", "digest", "within"]

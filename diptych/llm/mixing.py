@@ -4,9 +4,10 @@ Each source has a weight schedule, linear between knots over training time 0..1.
 source's target, is its cumulative token demand; inverting it at the tokens that come before a document gives the
 document's training position.  Documents of all sources are then range-sorted by position.
 
-Everything per document is a column expression.  Tokens before a document are a running sum within its source, built in
-two levels so that one source may hold most rows: each source is dealt into ``BUCKETS`` buckets by a hash of the row, the
-buckets' sums are accumulated in a small table, and documents are only ordered within a bucket.
+Everything per document is a column expression.  Tokens before a document are a running sum within its source, in the order
+of an md5 digest of doc_id and size.  It is built in two levels, so that one source may hold most rows: the first digits of
+the digest deal a source into buckets of about ``BUCKET_ROWS`` rows, the buckets' sums are accumulated in a small table, and
+documents are only ordered within a bucket.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a source, by hash.  A bucket is what one task orders: a 1024th of the largest source.
-BUCKETS = 1024
-#: A table of sources up to this size is broadcast to the documents; a larger one is joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+from .frames import checkpointed
+
+#: Documents of a bucket, about; the number of buckets grows with the table.
+BUCKET_ROWS = 20_000
+#: Sources are put in order in one place, so a table of more is refused.
+MOST_SOURCES = 5_000_000
 
 #: (time, weight) knots by source class; a class is a source's weight.  Each averages 1 over time, so that the schedule
 #: moves a source's tokens in time and the target fixes how many there are.
@@ -88,37 +91,51 @@ def position(schedule: Sequence[tuple[float, float]], share: Column) -> Column:
     return out
 
 
+def _digest(seed: int) -> Column:
+    """The order of documents within their source: hexadecimal digits that SQL can make, too."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
+
+
 def planned(documents: DataFrame, cap: float = 3.0, seed: int = 7, schedules: dict[int, tuple[tuple[float, float], ...]] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The documents with size, source_size, target, taken, __before (words of the source's documents before it) and position.
+    """The documents with size, source_size, target, taken, position, weight and before (words of the source's documents before it).
 
-    A source's documents stand in the order of a seeded hash of doc_id and text length; the mix goes through them from the
+    A source's documents stand in the order of an md5 digest of seed, doc_id and size; the mix goes through them from the
     start, again if the target is over the source's size, and cuts the document at which the target is reached.  taken is
     the words it takes of a document, repeats counted, so a source's sum is its target rounded; position is the training
     time at which it first comes to the document (null if it takes nothing).  Null and empty texts have size 0 and are
-    never taken; repeated rows count each; ties of the hash are ordered by doc_id and size, and rows equal in these are alike.
+    never taken; a null doc_id is digested as an empty one; repeated rows count each, and ties of the digest are of rows
+    equal in id and size, which are alike.  Columns of the input (or ``keep`` of them) stay, but for those named as an added one.
     """
     schedules = schedules or SCHEDULES
-    added = ("size", "source_size", "target", "taken", "position", "weight")
-    wanted = [c for c in (keep or documents.columns) if c.lower() not in added]
-    docs = documents.select(*[F.col(f"`{c}`") for c in wanted], n_words(F.col("text")).alias("size"), F.col("source").alias("__source"))
-    docs = docs.withColumn("__order", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    docs = docs.withColumn("__bucket", F.shiftrightunsigned("__order", 64 - (BUCKETS - 1).bit_length()).cast("int"))
-    sums = documents.select(F.col("doc_id"), F.col("source").alias("__source"), n_words(F.col("text")).alias("size"))
-    sums = sums.withColumn("__bucket", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 64 - (BUCKETS - 1).bit_length()).cast("int"))
-    sums = sums.groupBy("__source", "__bucket").agg(F.sum("size").alias("__in_bucket"))
-    within = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__bucket_start", F.coalesce(F.sum("__in_bucket").over(within), F.lit(0)))
-    totals = targets(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("__in_bucket").alias("source_size")), cap)
-    starts = sums.join(totals, sums["__source"].eqNullSafe(totals["source"])).select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__bucket_start", "source_size", "weight", "target")
-    joined = docs.join(starts, docs["__source"].eqNullSafe(starts["__s"]) & (docs["__bucket"] == starts["__b"]))
-    run = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = joined.withColumn("__before", F.col("__bucket_start") + F.coalesce(F.sum("size").over(run), F.lit(0)))
+    added = ("size", "source_size", "target", "taken", "position", "weight", "before")
+    wanted = [c for c in (documents.columns if keep is None else keep) if c.lower() not in added]
+    # What is needed goes under names of this function's own, so that none of the input's can clash.
+    own = [F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(wanted)]
+    docs = documents.select(*own, F.col("doc_id"), F.col("source").alias("of"), n_words(F.col("text")).alias("size")).withColumn("digest", _digest(seed))
+    digits, rows = 1, documents.count()
+    while rows > BUCKET_ROWS * 16**digits and digits < 12:
+        digits += 1
+    docs = docs.withColumn("bucket", F.substring("digest", 1, digits))
+    if "text" not in wanted:
+        docs = checkpointed(docs)
+    sums = docs.groupBy("of", "bucket").agg(F.sum("size").alias("in_bucket"))
+    sizes = sums.groupBy(F.col("of").alias("source")).agg(F.sum("in_bucket").alias("source_size"))
+    if (n_sources := sizes.count()) > MOST_SOURCES:
+        raise ValueError(f"{n_sources} sources; at most {MOST_SOURCES} can be put in order")
+    totals = targets(sizes, cap).withColumnRenamed("source", "named")
+    within = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("bucket_start", F.coalesce(F.sum("in_bucket").over(within), F.lit(0))).drop("in_bucket")
+    starts = sums.join(totals, F.col("of").eqNullSafe(F.col("named"))).drop("named").withColumnRenamed("of", "named").withColumnRenamed("bucket", "named_bucket")
+    joined = docs.join(starts, F.col("of").eqNullSafe(F.col("named")) & (F.col("bucket") == F.col("named_bucket")))
+    run = Window.partitionBy("of", "bucket").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = joined.withColumn("before", F.col("bucket_start") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     goal = F.round("target").cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
-    last = F.least(F.greatest(goal - full * F.col("source_size") - F.col("__before"), F.lit(0)), F.col("size"))
+    last = F.least(F.greatest(goal - full * F.col("source_size") - F.col("before"), F.lit(0)), F.col("size"))
     out = out.withColumn("taken", (full * F.col("size") + last).cast("long"))
-    share = F.when(F.col("target") > 0, F.col("__before") / F.col("target")).otherwise(0.0)
-    return out.withColumn("position", F.when(F.col("taken") > 0, _by_class(schedules, share))).select(*[f"`{c}`" for c in wanted], *added, "__before")
+    share = F.when(F.col("target") > 0, F.col("before") / F.col("target")).otherwise(0.0)
+    out = out.withColumn("position", F.when(F.col("taken") > 0, _by_class(schedules, share)))
+    return out.select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(wanted)], *added)
 
 
 def _by_class(schedules: dict[int, tuple[tuple[float, float], ...]], share: Column) -> Column:
@@ -136,10 +153,19 @@ def mix(documents: DataFrame, cap: float = 3.0, seed: int = 7, schedules: dict[i
     source's target is reached within the document) and position.  Columns of these names are replaced.
     """
     schedules = schedules or SCHEDULES
-    plan = planned(documents.drop("repeat", "words_taken"), cap, seed, schedules)
-    names = [c for c in documents.columns if c.lower() not in {"repeat", "words_taken", "position"} and c in plan.columns]
+    names = [c for c in documents.columns if c.lower() not in {"repeat", "words_taken", "position"}]
+    # The plan's own columns may have names of the input's, so the input's are renamed for it.
+    renamed = documents.select(*[F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(names)], "doc_id", "source", "text")
+    plan = planned(renamed, cap, seed, schedules, [f"kept_{k}" for k in range(len(names))])
     rows = plan.where("taken > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
     rows = rows.withColumn("words_taken", F.least(F.col("size"), F.col("taken") - F.col("repeat") * F.col("size")).cast("long"))
-    share = (F.col("repeat") * F.col("source_size") + F.col("__before")) / F.col("target")
+    share = (F.col("repeat") * F.col("source_size") + F.col("before")) / F.col("target")
     rows = rows.withColumn("position", _by_class(schedules, share))
-    return rows.select(*names, "repeat", "words_taken", "position").repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "repeat")
+    doc_id = f"kept_{names.index('doc_id')}"
+    rows = rows.repartitionByRange("position", doc_id).sortWithinPartitions("position", doc_id, "repeat")
+    return rows.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(names)], "repeat", "words_taken", "position")
+
+
+def in_order(plan: DataFrame) -> DataFrame:
+    """A plan's documents, range-sorted by the position at which the mix first comes to them; those it never takes come first."""
+    return plan.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -12,7 +12,7 @@ from .frames import table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.planned(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("__before")
+    return mixing.in_order(mixing.planned(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": sql.MIXING,
     "op4_ngram_jaccard": sql.JACCARD,
     "op7_chat_format": sql.CHAT,
     "op8_substring_dedup": sql.SUBSTRINGS,

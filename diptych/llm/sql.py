@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import SCHEDULES
 from .quality import STOP_WORDS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -9,6 +10,40 @@ _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
+
+
+def _number(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def _position(schedule: tuple[tuple[float, float], ...]) -> str:
+    """The training time at which a schedule has asked for ``share`` of its tokens."""
+    areas = [0.0]
+    for (t, w), (u, v) in zip(schedule, schedule[1:], strict=False):
+        areas.append(areas[-1] + (u - t) * (w + v) / 2)
+    cases = []
+    for k, ((t, w), (u, v)) in enumerate(zip(schedule, schedule[1:], strict=False)):
+        rest = f"greatest(share * {_number(areas[-1])} - {_number(areas[k])}, {_number(0.0)})"
+        root = f"({_number(w)} + sqrt(greatest({_number(w * w)} + {_number(2 * (v - w) / (u - t))} * {rest}, {_number(0.0)})))"
+        cases.append(f"WHEN share * {_number(areas[-1])} <= {_number(areas[k + 1])} THEN {_number(t)} + CASE WHEN {root} > 0 THEN 2 * {rest} / {root} ELSE 0 END")
+    return f"CASE {' '.join(cases)} ELSE {_number(schedule[-1][0])} END"
+
+
+_POSITION = " ".join(f"WHEN weight = {w} THEN {_position(s)}" for w, s in SCHEDULES.items())
+
+MIXING = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '{_SPACED}')) AS BIGINT) AS size FROM documents),
+o AS (SELECT *, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR)) AS digest FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER) AS weight, CAST(3 AS DOUBLE) * source_size AS most FROM s),
+f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER r, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER r, 0)) AS level FROM w WINDOW r AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(level, most / weight) AS level FROM f WHERE most > level * weight),
+t AS (SELECT source, source_size, weight, CASE WHEN most <= f.level * weight THEN most ELSE least(most, (SELECT level FROM l) * weight) END AS target FROM f),
+b AS (SELECT doc_id, size, source_size, target, weight, CAST(coalesce(sum(size) OVER (PARTITION BY o.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(round(target) AS BIGINT) AS goal FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(goal / source_size) AS BIGINT) ELSE 0 END AS turns, CASE WHEN target > 0 THEN before / target ELSE 0 END AS share FROM b),
+k AS (SELECT *, CAST(turns * size + least(greatest(goal - turns * source_size - before, 0), size) AS BIGINT) AS taken FROM g)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE {_POSITION} ELSE share END END AS position, weight, before FROM k"""
+
 JACCARD = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), '{_UPPER}', '{_LOWER}'), '{_SPACED}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+2], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w)-1, 2))) AS i FROM d WHERE len(w) > 0)),
@@ -54,5 +89,5 @@ v AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i+size-1], ' ') AS g FR
 x AS (SELECT doc_id, i, size, array_to_string(w[i:i+size-1], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(1, greatest(len(w)-size+2, 1))) AS i FROM d, (SELECT DISTINCT size FROM v))),
 h AS (SELECT doc_id, i, x.size, item_id FROM x JOIN v USING (size, g)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i+size)) AS p FROM h) GROUP BY 1),
-t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+t AS (SELECT doc_id, count(item) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""

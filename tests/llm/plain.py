@@ -127,7 +127,7 @@ def contaminated(rows, items, window):
         w = ALNUM.findall(low(t))
         n = min(window, len(w))
         for k in range(len(w) - n + 1) if n else ():
-            wanted[tuple(w[k : k + n])].add(str(item))
+            wanted[tuple(w[k : k + n])].update([] if item is None else [str(item)])
     out = []
     for i, t in rows:
         w, hit, found = ALNUM.findall(low(t)), set(), set()

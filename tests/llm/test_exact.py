@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from diptych.llm import chat, decontaminate, jaccard, lines, mixing, quality, substrings
+from diptych.llm import chat, decontaminate, exchange, jaccard, lines, mixing, quality, substrings, words
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string"
@@ -59,6 +60,47 @@ def test_one_of_each(spark, rows, small):
     assert found.where("doc_id is null").count() == 1
 
 
+def test_one_id_with_several_texts(spark, small):
+    """Texts of one doc_id, or of none, are documents of their own; near copies of either kind are found."""
+    some = [f"w{k}" for k in range(60)]
+    first, second = " ".join(some), " ".join(reversed(some))
+    near = " ".join([*some[:-1], "x"])
+    frame = spark.createDataFrame([(5, first, "a"), (5, second, "b"), (5, second, "c"), (None, near, "d"), (None, second + " y", "e"), (None, "quite alone " * 3, "f")], f"{SCHEMA}, name string")
+    assert sorted(r.name for r in jaccard.one_of_each(frame).collect()) in (["a", "b", "f"], ["a", "c", "f"])
+
+
+def test_chains_are_followed(spark, small):
+    """Copies that drift: neighbours are alike, the ends are not; and documents with shared rare words that are not alike."""
+    some = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join([f"c{j}" for j in range(2 * k)] + some[2 * k :])) for k in range(12)]
+    rows += [(100 + k, " ".join(some[k * 5 : k * 5 + 40] + [f"d{k}"])) for k in range(12)] + [(200 + k, " ".join(some[50:90] + some[k : k + 3])) for k in range(20)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for frequent, block in ((1024, 256), (4, 2), (2, 3)):
+        assert collected(jaccard.similar(frame, 80, 3, frequent, block)) == plain.components(rows, 80, 3)
+
+
+def test_colliding_words_are_told_apart():
+    """Thue-Morse words of 2048 letters collide in any polynomial hash modulo 2**64."""
+    text = "ab"
+    while len(text) < 2048:
+        text += text.translate(str.maketrans("ab", "ba"))
+    texts = [text, text.translate(str.maketrans("ab", "ba"))]
+    data, offsets = words.text_bytes(pa.array(texts))
+    hashes = words.words_of(data, offsets, words.SPACED, key=3).hashes
+    assert hashes[0] != hashes[1]
+    again = words.words_of(data, offsets, words.SPACED, key=4).hashes
+    assert hashes[0] != again[0]
+    held = lines.Lines(data, offsets, 1, key=3)
+    assert held.hash[0] != held.hash[1]
+
+
+def test_rows_of_the_exchange_stay_long():
+    """Rows sent, chunks times buckets at most, are in proportion to the corpus at any size."""
+    for total in (10**6, 10**9, 10**11, 10**13, 10**14, 10**15):
+        n = exchange.planned_sizes(total, 0.75)
+        assert n.chunks * (n.buckets - 8) * exchange.ROW_BYTES <= 0.76 * total + exchange.ROW_BYTES * n.buckets
+
+
 def test_lines(spark, small):
     rng = random.Random(5)
     base = ["".join(rng.choice("abc é日") for _ in range(rng.randint(15, 60))) for _ in range(25)]
@@ -88,11 +130,11 @@ def test_banded_distance():
 @pytest.mark.parametrize("block", [400_000, 300])
 def test_decontamination(spark, docs, rows, block):
     passages = [(k, " ".join((t or "").split()[2 : 2 + 11 * k])) for k, (_, t) in enumerate(rows[:9])]
-    items = [*passages, (70, "Short!"), (71, None), (72, ""), (None, "abc"), (73, rows[12][1])]
+    items = [*passages, (70, "Short!"), (71, None), (72, ""), (None, "abc"), (None, " ".join((rows[20][1] or "").split()[:14])), (73, rows[12][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     marked = decontaminate.decontaminate(docs, bench, block=block)
-    assert collected(decontaminate.digest(marked)) == plain.contaminated(rows, [x for x in items if x[0] is not None], 10)
-    clean = {i for i, _, n, *_ in plain.contaminated(rows, [x for x in items if x[0] is not None], 10) if not n}
+    assert collected(decontaminate.digest(marked)) == plain.contaminated(rows, items, 10)
+    clean = {i for i, _, n, *_ in plain.contaminated(rows, items, 10) if not n}
     assert {r.doc_id for r in decontaminate.remove_documents(docs, bench, block=block).collect()} == clean
     for r in decontaminate.remove_spans(docs, bench, block=block).collect():
         if r.doc_id in clean:

@@ -15,8 +15,11 @@ Equal sets are one class from the start, and signatures of the same classes are
 classes are connected, not every pair, so classes that share a signature are compared in two steps, exactly:
 
 1. Each class is compared with the first class of each of its signatures; links that hold join classes into components.
-2. Signatures that still have classes of more than one component have all pairs across components compared, in blocks of
-   ``block`` classes, each pair of blocks a task's work; shared tokens are counted through an inverted index.
+2. Signatures that still have classes of more than one component form cells (classes that they reach).  Where a cell has
+   fewer pairs than its signatures together, it is compared as a whole, so that copies with many common signatures are not
+   compared for each; else each signature is by itself, so that chains of rare ones cost no more than their own pairs.  All
+   pairs across components are compared, in blocks of ``block`` classes, each pair of blocks a task's work; shared tokens are
+   counted through an inverted index.
 
 Texts are read again only for the sets of classes that share a signature, once.  Hashes are keyed anew in each run.
 """
@@ -29,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange as X
 from .components import components, looked_up, paired
@@ -254,7 +258,7 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
 
     # The classes' sets, each from a row that has it.
     def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        asked = {(d, *k): c for d, c, *k in zip(*(wanted.column(x).to_pylist() for x in ("doc_id", "class", *same)), strict=True)}
+        asked = {(d, *k): i for i, (d, *k) in enumerate(zip(*(wanted.column(x).to_pylist() for x in ("doc_id", *same)), strict=True))}
         docs = {k[0] for k in asked}
         part, found = table.take(X.places([i for i, x in enumerate(table.column("doc_id").to_pylist()) if x in docs])), {}
         ids = part.column("doc_id").to_pylist()
@@ -263,9 +267,11 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
                 name = (ids[k], len(tokens), *_names(tokens))
                 if name in asked:
                     found[asked[name]] = X.pack(tokens)
-        return _table(list(found.items()), **{"class": pa.int64(), "tokens": pa.binary()})
+        taken = wanted.select(["class", "to"]).take(X.places(list(found)))
+        return pa.table({"class": taken["class"], "tokens": pa.array(list(found.values()), pa.binary()), "to": taken["to"]})
 
-    sets = checkpointed(X.answered(chunks, wanted.drop("to"), fetch, "class long, tokens binary").join(wanted.select("class", "to"), "class"))
+    fetched = T.StructType([T.StructField("class", T.LongType()), T.StructField("tokens", T.BinaryType()), wanted.schema["to"]])
+    sets = checkpointed(X.answered(chunks, wanted, fetch, fetched))
 
     def with_hub(table: pa.Table) -> pa.Table:
         names, hubs, part = (table.column(c).to_numpy() for c in ("class", "hub", "part"))
@@ -273,29 +279,55 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
         order = np.lexsort((names != hubs, part, hubs))
         changes = np.flatnonzero(np.r_[True, (np.diff(hubs[order]) != 0) | (np.diff(part[order]) != 0)]) if len(order) else np.zeros(0, np.int64)
         for a, b in zip(changes, np.r_[changes[1:], len(order)], strict=True):
-            hub = sets[order[a]]
-            for k in order[a + 1 : b]:
-                small, large = sorted((hub, sets[k]), key=len)
-                if 100 * len(small) >= percent * len(large):
-                    shared = int(X.is_in(small, large).sum())
-                    if 100 * shared >= percent * (len(small) + len(large) - shared):
-                        out.append((int(names[k]), int(names[order[a]])))
+            hub, others = sets[order[a]], order[a + 1 : b]
+            if not len(others):
+                continue
+            sizes = np.array([len(sets[k]) for k in others])
+            inside = X.is_in(np.concatenate([sets[k] for k in others]), hub)
+            shared = np.add.reduceat(inside.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+            alike = names[others[100 * shared >= percent * (len(hub) + sizes - shared)]]
+            out += [(x, int(names[order[a]])) for x in alike.tolist()]
         return _table(out, a=pa.int64(), b=pa.int64())
 
     units = sets.select("class", "tokens", F.explode("to").alias("to")).select("class", "tokens", "to.hub", "to.part")
     units = units.withColumn("unit", F.pmod(F.xxhash64("hub", "part"), F.lit(4 * n.buckets)))
     known = checkpointed(components(units.repartition(n.buckets, "unit").groupBy("unit").applyInArrow(with_hub, "a long, b long")))
 
-    # Signatures that are still of several components, with all their classes.
+    # Signatures that are still of several components, with all their classes, and the cells that they form.
     tied = met.join(known.select(F.col("node").alias("class"), "component"), "class", "left").select("signature", "class", F.coalesce("component", "class").alias("component"))
-    open_ = tied.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("signature", "n")
+    open_ = tied.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("low < high").select("signature", "first", "n")
     tied = checkpointed(looked_up(tied, open_, "signature", "n", met.count()))
+    top = known.select(F.col("node").alias("class"), "component")
+    of = equal.select(*same, "size", "doc_id", "class").join(top, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    if not tied.isEmpty():
+        last = components(_across(tied, sets, top, n, percent, block))
+        of = of.join(last.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left").withColumn("component", F.coalesce("last", "component")).drop("last")
+    named = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = checkpointed(of.drop("doc_id", "class").join(named, "component"))
+    out = rows.select("doc_id", "chunk", "digest", *same)
+    found = looked_up(out.where("n_shingles > 0"), of, same, "size", n_rows)
+    empty = out.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+    return found.drop("size", "set_a", "set_b").unionByName(empty.drop("set_a", "set_b"))
+
+
+def _across(tied: DataFrame, sets: DataFrame, top: DataFrame, n: X.Sizes, percent: int, block: int) -> DataFrame:
+    """Links between components (a, b), from all pairs of classes of different components that share a signature."""
+    cells = checkpointed(components(tied.select(F.col("class").alias("a"), F.col("first").alias("b"))))
+    cells = cells.withColumnRenamed("component", "cell")
+    costs = tied.where("class = first").join(cells, F.col("first") == F.col("node")).groupBy("cell").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    sized = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).join(costs, "cell")
+    sized = sized.withColumn("whole", F.col("members").cast("double") * F.col("members") <= F.col("apart")).drop("apart")
+    placed = looked_up(cells, sized, "cell", "members", tied.count()).withColumnRenamed("node", "class")
+    by_class = tied.select("class", "component").distinct().join(placed.where("whole"), "class")
+    by_class = by_class.select("class", "component", F.xxhash64(F.lit(0), "cell").alias("group"), F.col("members").alias("n"))
+    by_signature = tied.join(placed.where("not whole").select("class"), "class").select("class", "component", F.xxhash64(F.lit(1), "signature").alias("group"), "n")
+    groups = by_class.unionByName(by_signature)
 
     def compare(table: pa.Table) -> pa.Table:
-        names, signature, place, apart = (table.column(c).to_numpy() for c in ("class", "signature", "place", "component"))
+        names, group, place, apart = (table.column(c).to_numpy() for c in ("class", "group", "place", "component"))
         i, j, sets = table.column("i").to_numpy(), table.column("j").to_numpy(), X.unpack(table.column("tokens"), np.uint64)
-        order, out = np.lexsort((names, j, i, signature)), []
-        changes = np.flatnonzero(np.r_[True, (np.diff(signature[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)])
+        order, out = np.lexsort((names, j, i, group)), []
+        changes = np.flatnonzero(np.r_[True, (np.diff(group[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)])
         for a, b in zip(changes, np.r_[changes[1:], len(order)], strict=True):
             part = order[a:b]
             if len(part) > 1:
@@ -303,21 +335,11 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
                 out += linked(names[part], [sets[x] for x in part], percent, apart[part], place[part] == p if p != q else None)
         return _table(out, a=pa.int64(), b=pa.int64())
 
-    units = paired(tied, "signature", "class", "n", block, 4 * n.buckets).join(sets.select("class", "tokens"), "class")
+    units = paired(groups, "group", "class", "n", block, 4 * n.buckets).join(sets.select("class", "tokens"), "class")
     more = units.repartition(n.buckets, "unit").groupBy("unit").applyInArrow(compare, "a long, b long")
-    top = known.select(F.col("node").alias("class"), "component")
     up = lambda c: F.coalesce(F.col(f"{c}.component"), F.col(f"more.{c}"))
     ends = more.alias("more").join(top.alias("a"), F.col("more.a") == F.col("a.class"), "left").join(top.alias("b"), F.col("more.b") == F.col("b.class"), "left")
-    last = components(ends.select(up("a").alias("a"), up("b").alias("b")))
-
-    of = equal.select(*same, "size", "doc_id", "class").join(top, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    of = of.join(last.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left").withColumn("component", F.coalesce("last", "component")).drop("last")
-    named = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = checkpointed(of.drop("doc_id", "class").join(named, "component"))
-    out = rows.select("doc_id", "chunk", "digest", *same)
-    found = looked_up(out.where("n_shingles > 0"), of, same, "size", n_rows)
-    empty = out.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
-    return found.drop("size", "set_a", "set_b").unionByName(empty.drop("set_a", "set_b"))
+    return ends.select(up("a").alias("a"), up("b").alias("b"))
 
 
 def _names(tokens: np.ndarray) -> tuple[int, int]:

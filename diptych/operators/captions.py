@@ -1,9 +1,12 @@
-"""Caption metrics over a table of pairs (id, hypothesis, reference): n-gram overlap by joins and sums, never by pair of captions."""
+"""Caption metrics over a table of pairs (id, hypothesis, reference): n-gram overlap within rows, and by joins and sums where captions are counted together."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,15 +37,35 @@ def gram_counts(pairs: DataFrame, most: int = 4) -> DataFrame:
     return rows.groupBy("id", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("said"), F.count_if(F.col("side") == 1).alias("meant"))
 
 
+def shared_grams(pairs: DataFrame, most: int = 4) -> DataFrame:
+    """id, h and r (words of hypothesis and reference), and hit1, hit2, ...: n-grams that both have, as often as both do.
+
+    A pair is counted where its row is, so texts are not shuffled.
+    """
+
+    def count(batches):
+        for batch in batches:
+            ids, said, meant = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            hits: list[list[int]] = [[] for _ in range(most)]
+            for h, r in zip(said, meant, strict=True):
+                for n in range(1, most + 1):
+                    one, other = (Counter(zip(*[x[i:] for i in range(n)], strict=False)) for x in (h, r))
+                    hits[n - 1].append((one & other).total())
+            sizes = [pa.array([len(x) for x in side], pa.int64()) for side in (said, meant)]
+            yield pa.RecordBatch.from_arrays([ids, *sizes, *(pa.array(x, pa.int64()) for x in hits)], names=["id", "h", "r", *(f"hit{n}" for n in range(1, most + 1))])
+
+    rows = pairs.select(F.col("id").cast("long"), text.tokens(F.col("hypothesis")), text.tokens(F.col("reference")))
+    return rows.mapInArrow(count, "id long, h long, r long, " + ", ".join(f"hit{n} long" for n in range(1, most + 1)))
+
+
 def bleu(pairs: DataFrame) -> DataFrame:
     """Corpus BLEU-1 to BLEU-4: clipped matches over n-grams said, a geometric mean, and the brevity penalty.
 
     An order without a match counts 0, and so does every BLEU from it on.
     """
-    grams = gram_counts(pairs)
-    by_n = grams.groupBy("n").agg(F.sum(F.least("said", "meant")).alias("hit"), F.sum("said").alias("said"))
-    lengths = pairs.agg(F.sum(F.size(text.tokens(F.col("hypothesis")))).alias("h"), F.sum(F.size(text.tokens(F.col("reference")))).alias("r"))
-    one = by_n.agg(*[F.max(F.when(F.col("n") == n, F.col("hit") / F.col("said"))).alias(f"p{n}") for n in range(1, 5)]).join(F.broadcast(lengths))
+    said = [F.sum(F.greatest(F.col("h") - (n - 1), F.lit(0))).alias(f"of{n}") for n in range(1, 5)]
+    one = shared_grams(pairs).agg(F.sum("h").alias("h"), F.sum("r").alias("r"), *[F.sum(f"hit{n}").alias(f"hit{n}") for n in range(1, 5)], *said)
+    one = one.select("h", "r", *[F.when(F.col(f"of{n}") > 0, F.col(f"hit{n}") / F.col(f"of{n}")).alias(f"p{n}") for n in range(1, 5)])
     brevity = F.when(F.col("h") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("h")))
     out = []
     for n in range(1, 5):
@@ -120,9 +143,8 @@ def consensus_of_several(said: DataFrame, references: DataFrame) -> DataFrame:
 
 def overlap_f1(pairs: DataFrame) -> DataFrame:
     """id and the F1 of the words that both sides have, counted as often as both do."""
-    words = gram_counts(pairs, 1).groupBy("id").agg(F.sum(F.least("said", "meant")).alias("hit"), F.sum("said").alias("said"), F.sum("meant").alias("meant"))
-    f1 = F.when(F.col("said") + F.col("meant") > 0, 2 * F.col("hit") / (F.col("said") + F.col("meant"))).otherwise(0.0)
-    return pairs.select("id").join(words.select("id", f1.alias("f1")), "id", "left").select("id", F.coalesce("f1", F.lit(0.0)).alias("f1"))
+    f1 = F.when(F.col("h") + F.col("r") > 0, 2 * F.col("hit1") / (F.col("h") + F.col("r"))).otherwise(0.0)
+    return shared_grams(pairs, 1).select("id", f1.alias("f1"))
 
 
 def common_length(a: list[str], b: list[str]) -> int:
@@ -174,12 +196,6 @@ def _whole(captions: DataFrame, words: DataFrame) -> DataFrame:
     return captions.select("id").join(ids, "id", "left").select("id", whole.alias("whole"))
 
 
-def encoded(captions: DataFrame, words: DataFrame, length: int) -> DataFrame:
-    """id and the caption's word ids between start (1) and end (2), unknown words 3, padded with 0 to ``length`` or cut there."""
-    padded = F.slice(F.concat("whole", F.array_repeat(F.lit(0).cast("long"), length)), 1, length)
-    return _whole(captions, words).select("id", padded.alias("ids"))
-
-
 def batched(captions: DataFrame, words: DataFrame, batch: str) -> DataFrame:
     """id, ``batch`` (a column of the captions) and the whole caption's ids, padded with 0 to the longest of its batch."""
     rows = _whole(captions, words).join(captions.select("id", batch), "id")

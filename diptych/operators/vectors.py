@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,48 +23,36 @@ def fused(a: Column, b: Column) -> Column:
     return F.concat(a, b, F.zip_with(a, b, lambda x, y: F.abs(x - y)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """The k rows of highest cosine to each query, itself left out: exact, by matrix products of a block of queries with a batch of rows.
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096, batch: int = 1 << 14) -> DataFrame:
+    """The k rows of highest cosine to each query, itself left out, the smaller key first among equal scores: exact.
 
-    Queries are taken in blocks of bounded size, each broadcast; a task keeps k rows for a query, and these are merged.
+    Queries and rows are dealt into blocks by a hash of their keys; each pair of a query block and a row block is a task of
+    its own, which multiplies them as matrices and keeps k rows for a query.  These are merged by query.
     """
-    spark = vectors.sparkSession
-    ordered = [r[0] for r in queries.select(key).orderBy(key).collect()]
-    out = None
-    for start in range(0, len(ordered), block):
-        low, high = ordered[start], ordered[min(start + block, len(ordered)) - 1]
-        rows = queries.where(F.col(key).between(low, high)).select(key, vector).collect()
-        ids = np.array([r[0] for r in rows])
-        q = np.array([r[1] for r in rows], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        held = spark.sparkContext.broadcast((ids, q))
-
-        def scan(batches, held=held):
-            ids, q = held.value
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
-            for batch in batches:
-                if not len(batch):
-                    continue
-                v = np.stack(batch[vector].to_list()).astype(float)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                keys = batch[key].to_numpy()
-                scores = q @ v.T
-                scores[ids[:, None] == keys[None, :]] = -np.inf
-                top = np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k] if scores.shape[1] > k else np.tile(np.arange(scores.shape[1]), (len(ids), 1))
-                for i in range(len(ids)):
-                    for j in top[i]:
-                        if scores[i, j] > -np.inf:
-                            item = (scores[i, j], -int(keys[j]))
-                            if len(best[i]) < k:
-                                heapq.heappush(best[i], item)
-                            else:
-                                heapq.heappushpop(best[i], item)
-            yield pd.DataFrame([(int(ids[i]), -n, s) for i, own in enumerate(best) for s, n in own], columns=["query", "found", "score"])
-
-        part = vectors.select(key, vector).mapInPandas(scan, "query long, found long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query long, found long, score double, place int")
+    n_queries, n_rows = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // batch))
+    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n)).cast("int")
+    asked = queries.select(F.col(key).alias("k"), F.col(vector).alias("v"), place(n_queries, 1).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("r"))
+    given = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), place(n_rows, 2).alias("r"))
+
+    def unit(column: pd.Series) -> np.ndarray:
+        out = np.stack(column.to_list()).astype(float)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+    def best(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(asked) and len(given):
+            rows, keys = unit(given["v"]), given["k"].to_numpy()
+            for start in range(0, len(asked), 256):
+                part = asked.iloc[start : start + 256]
+                scores = np.round(unit(part["v"]) @ rows.T, 12)
+                for one, own in zip(part["k"].to_numpy(), scores, strict=True):
+                    least = np.partition(own, max(0, len(own) - k - 1))[max(0, len(own) - k - 1)]
+                    at = np.flatnonzero((own >= least) & (keys != one))
+                    at = at[np.lexsort((keys[at], -own[at]))[:k]]
+                    found += [(int(one), int(keys[i]), float(own[i])) for i in at]
+        return pd.DataFrame(found, columns=["query", "found", "score"])
+
+    out = asked.groupBy("q", "r").cogroup(given.groupBy("q", "r")).applyInPandas(best, "query long, found long, score double")
     ranked = out.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "found")))
     return ranked.where(F.col("place") <= k)
 

@@ -1,4 +1,4 @@
-"""Captions: a document's first two lines stand for a reference caption and a model's."""
+"""Captions: a whole document stands for a reference caption, and the next one of its language for what a model said."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from diptych.functions import text
 from diptych.operators import captions
 
-from .catalog import SQL, Tables, query
+from .catalog import Tables, query
 
-_PAIRS = "p AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS reference, split_part(text, chr(10), 2) AS hypothesis FROM documents WHERE contains(text, chr(10)))"
+_PAIRS = "p AS (SELECT * FROM (SELECT doc_id AS id, coalesce(text,'') AS reference, lead(coalesce(text,'')) OVER (PARTITION BY coalesce(lang,'') ORDER BY doc_id) AS hypothesis FROM documents) WHERE hypothesis IS NOT NULL)"
 _TOKENS = "k AS (SELECT id, list_filter(regexp_split_to_array(lower(hypothesis), '\\s+'), lambda x: x<>'') AS h, list_filter(regexp_split_to_array(lower(reference), '\\s+'), lambda x: x<>'') AS r FROM p)"
 _GRAMS = (
     "g AS (SELECT id, n, list_aggregate(list_slice(h, i, i+n-1), 'string_agg', ' ') AS gram, 1 AS s, 0 AS m FROM (SELECT id, h, n, unnest(range(1, greatest(len(h)-n+2, 1))) AS i FROM k, (SELECT unnest([1,2,3,4]) AS n)) "
@@ -20,8 +20,10 @@ _GRAMS = (
 
 
 def pairs(t: Tables) -> DataFrame:
-    parts = F.split("text", "\n", 3)
-    return t.documents.where(F.col("text").contains("\n")).select(F.col("doc_id").alias("id"), parts[0].alias("reference"), parts[1].alias("hypothesis"))
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    after = captions.following(rows.select("id", "lang"), "lang")
+    said = rows.select(F.col("id").alias("next"), F.col("text").alias("hypothesis"))
+    return rows.select("id", F.col("text").alias("reference")).join(after, "id").join(said, "next").select("id", "reference", "hypothesis")
 
 
 @query("""
@@ -69,26 +71,6 @@ def rouge_l_best_ref(t: Tables) -> DataFrame:
     return captions.rouge_l(pairs(t)).select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def _first_lines(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("id"), text.tokens(F.split("text", "\n", 2)[0]).alias("words"))
-
-
-_WORDS = """w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1)), '\\s+'), lambda x: x<>'') AS words FROM documents),
-e AS (SELECT id, unnest(words) AS word, unnest(range(len(words))) AS place FROM w), v AS (SELECT word, count(*) AS n, min(id*100000+place) AS f FROM e GROUP BY 1 HAVING count(*)>=2), k AS (SELECT word, n, row_number() OVER (ORDER BY f)+3 AS word_id FROM v)"""
-
-
-@query(f"WITH {_WORDS} SELECT word, n, word_id FROM k")
-def vocab_build(t: Tables) -> DataFrame:
-    return captions.vocabulary(_first_lines(t))
-
-
-@query(f"""WITH {_WORDS}, i AS (SELECT id, list(coalesce(word_id,3) ORDER BY place) AS x FROM e LEFT JOIN k USING (word) GROUP BY 1)
-SELECT id, array_to_string(list_slice(list_concat(list_concat([1], coalesce(x,[])), list_concat([2], list_transform(range(16), lambda z: 0))), 1, 16), ' ') AS ids FROM w LEFT JOIN i USING (id)""")
-def encode_decode_pad(t: Tables) -> DataFrame:
-    lines = _first_lines(t)
-    return captions.encoded(lines, captions.vocabulary(lines), 16).select("id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
-
-
 #: Captions that are padded together.
 BATCH = 8
 
@@ -97,14 +79,14 @@ def _texts(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("words"), F.floor(F.col("doc_id") / BATCH).alias("batch"))
 
 
-_ALL_WORDS = """w AS (SELECT doc_id AS id, coalesce(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x<>''), []) AS words FROM documents),
+_WORDS = """w AS (SELECT doc_id AS id, coalesce(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x<>''), []) AS words FROM documents),
 e AS (SELECT id, unnest(words) AS word, unnest(range(len(words))) AS place FROM w), v AS (SELECT word, count(*) AS n, min(id*10000000+place) AS f FROM e GROUP BY 1 HAVING count(*)>=2), k AS (SELECT word, n, row_number() OVER (ORDER BY f)+3 AS word_id FROM v)"""
 
 
-@query(f"""WITH {_ALL_WORDS}, i AS (SELECT id, list(coalesce(word_id,3) ORDER BY place) AS x, string_agg(word, ' ' ORDER BY place) FILTER (WHERE word_id IS NOT NULL) AS caption FROM e LEFT JOIN k USING (word) GROUP BY 1),
+@query(f"""WITH {_WORDS}, i AS (SELECT id, list(coalesce(word_id,3) ORDER BY place) AS x, string_agg(word, ' ' ORDER BY place) FILTER (WHERE word_id IS NOT NULL) AS caption FROM e LEFT JOIN k USING (word) GROUP BY 1),
 a AS (SELECT id, id//{BATCH} AS batch, list_concat(list_concat([1], coalesce(x,[])), [2]) AS x, coalesce(caption,'') AS caption FROM w LEFT JOIN i USING (id)), l AS (SELECT batch, max(len(x)) AS longest FROM a GROUP BY 1)
 SELECT id, array_to_string(list_concat(x, list_transform(range(longest-len(x)), lambda z: 0)), ' ') AS ids, caption FROM a JOIN l USING (batch)""")
-def encode_decode_whole(t: Tables) -> DataFrame:
+def encode_decode_pad(t: Tables) -> DataFrame:
     """Whole texts encoded with words of whole texts, padded to the longest of their batch, and decoded again."""
     texts = _texts(t)
     words = captions.vocabulary(texts)
@@ -112,42 +94,11 @@ def encode_decode_whole(t: Tables) -> DataFrame:
     return rows.select("id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")).join(captions.decoded(rows, words), "id")
 
 
-@query(f"WITH {_ALL_WORDS} SELECT word, n, word_id FROM k")
-def vocab_whole(t: Tables) -> DataFrame:
+@query(f"WITH {_WORDS} SELECT word, n, word_id FROM k")
+def vocab_build(t: Tables) -> DataFrame:
     return captions.vocabulary(_texts(t))
 
 
-#: A whole document as the reference, and the next one of its language as what a model said.
-_WHOLE_PAIRS = "p AS (SELECT * FROM (SELECT doc_id AS id, coalesce(text,'') AS reference, lead(coalesce(text,'')) OVER (PARTITION BY coalesce(lang,'') ORDER BY doc_id) AS hypothesis FROM documents) WHERE hypothesis IS NOT NULL)"
-
-
-def whole_pairs(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    after = captions.following(rows.select("id", "lang"), "lang")
-    said = rows.select(F.col("id").alias("next"), F.col("text").alias("hypothesis"))
-    return rows.select("id", F.col("text").alias("reference")).join(after, "id").join(said, "next").select("id", "reference", "hypothesis")
-
-
-@query(SQL["bleu_corpus"].replace(_PAIRS, _WHOLE_PAIRS))
-def bleu_whole(t: Tables) -> DataFrame:
-    return captions.bleu(whole_pairs(t))
-
-
-@query(SQL["cider_like"].replace(_PAIRS, _WHOLE_PAIRS))
-def cider_whole(t: Tables) -> DataFrame:
-    return captions.consensus(whole_pairs(t)).select("id", F.round("score", 5).alias("score"))
-
-
-@query(SQL["overlap_f1"].replace(_PAIRS, _WHOLE_PAIRS))
-def overlap_f1_whole(t: Tables) -> DataFrame:
-    return captions.overlap_f1(whole_pairs(t)).select("id", F.round("f1", 6).alias("f1"))
-
-
-@query()
-def rouge_l_whole(t: Tables) -> DataFrame:
-    return captions.rouge_l(whole_pairs(t)).select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
-
-
 def several(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Whole documents, and for each two references: the next one of its language and the one after that, if there are such."""
     rows = t.documents.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
@@ -210,17 +161,8 @@ def citation_numbers(t: Tables) -> DataFrame:
     return first.withColumn("number", F.dense_rank().over(Window.orderBy("first")).cast("long"))
 
 
-@F.udtf(returnType="place int, word string")
-class WordRows:
-    """The words of a text as rows."""
-
-    def eval(self, text: str):
-        for k, word in enumerate((text or "").split()):
-            yield k, word
-
-
 @query("""
 SELECT item_id, CAST(unnest(range(len(w))) AS INTEGER) AS place, unnest(w) AS word FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x<>'') AS w FROM benchmark)""")
 def udtf_tokens(t: Tables) -> DataFrame:
-    """A table function of Python, called for each row of a table."""
-    return t.benchmark.lateralJoin(WordRows(F.col("text").outer())).select("item_id", "place", "word")
+    """The words of a text as rows, by a table function of Spark's own."""
+    return t.benchmark.select("item_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("place", "word"))

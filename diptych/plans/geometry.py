@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,18 +106,17 @@ def projected_sites(t: Tables) -> DataFrame:
 def farthest_points(t: Tables) -> DataFrame:
     """Five sites of each nation, each as far as can be from those before it, the first being the smallest key.
 
-    A nation's candidates are one group of a few coordinates each; every pick is one pass over them.
+    Each pick is one aggregation over all sites, which combines before it shuffles: a nation's farthest site by its distance to
+    those picked so far, which come to the sites as one row a nation.
     """
     lon, lat = _at("c_custkey")
     sites = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("site"), lon.alias("lon"), lat.alias("lat"))
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("site").reset_index(drop=True)
-        chosen, nearest = [0], ((rows.lon - rows.lon[0]) ** 2 + (rows.lat - rows.lat[0]) ** 2).to_numpy()
-        while len(chosen) < min(5, len(rows)):
-            k = int(nearest.argmax())
-            chosen.append(k)
-            nearest = nearest.clip(max=((rows.lon - rows.lon[k]) ** 2 + (rows.lat - rows.lat[k]) ** 2).to_numpy())
-        return rows.loc[chosen, ["nation", "site"]].assign(place=range(1, len(chosen) + 1))
-
-    return sites.groupBy("nation").applyInPandas(pick, "nation int, site long, place int")
+    first = F.min(F.struct("site", "lon", "lat")).alias("pick")
+    chosen = sites.groupBy("nation").agg(first).select("nation", F.array("pick").alias("picks"))
+    for _ in range(4):
+        gap = lambda p: (F.col("lon") - p["lon"]) * (F.col("lon") - p["lon"]) + (F.col("lat") - p["lat"]) * (F.col("lat") - p["lat"])
+        left = sites.join(chosen, "nation").where(~F.exists("picks", lambda p: p["site"] == F.col("site")))
+        far = left.withColumn("gap", F.array_min(F.transform("picks", gap)))
+        far = far.groupBy("nation").agg(F.min(F.struct((-F.col("gap")).alias("less"), "site", "lon", "lat")).alias("next"))
+        chosen = chosen.join(far, "nation", "left").select("nation", F.when(F.col("next").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(F.struct("next.site", "next.lon", "next.lat")))).alias("picks"))
+    return chosen.select("nation", F.posexplode("picks").alias("k", "pick")).select("nation", "pick.site", (F.col("k") + 1).cast("int").alias("place"))

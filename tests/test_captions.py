@@ -32,7 +32,7 @@ def test_batches_are_padded_to_their_longest_and_decode(spark):
 
 
 def test_query_keeps_ends(spark, folder):
-    rows = registry.queries()["encode_decode_whole"](spark, folder)
+    rows = registry.queries()["encode_decode_pad"](spark, folder)
     ids = F.split("ids", " ")
     wanted = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), F.size(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")).alias("n"))
     told = rows.join(wanted, "id").select("n", F.size(F.filter(ids, lambda x: x != "0")).alias("m"), F.exists(ids, lambda x: x == "2").alias("ended")).collect()
@@ -51,10 +51,10 @@ def test_whole_texts_are_scored_and_counted(spark, folder):
     for r in docs:
         for w in (r.text or "").lower().split():
             words[w] = words.get(w, 0) + 1
-    found = {r.word: r.n for r in registry.queries()["vocab_whole"](spark, folder).collect()}
+    found = {r.word: r.n for r in registry.queries()["vocab_build"](spark, folder).collect()}
     assert sum(found.values()) == sum(n for n in words.values() if n > 1)
     last: dict = {r.lang or "": r for r in docs}
-    rouge = {r.id: (r.precision, r.recall) for r in registry.queries()["rouge_l_whole"](spark, folder).collect()}
+    rouge = {r.id: (r.precision, r.recall) for r in registry.queries()["rouge_l_best_ref"](spark, folder).collect()}
     assert set(rouge) == {r.doc_id for r in docs} - {r.doc_id for r in last.values()}
     for lang in last:
         same = [r for r in docs if (r.lang or "") == lang][:6]

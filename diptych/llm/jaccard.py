@@ -11,17 +11,18 @@ each lacks at most e = size - o of them, and the first shared one is among the f
   These 2-token combinations are its signatures.
 * A token of one document alone can't be shared; a set whose prefix has no other is done.
 
-Equal sets are one class from the start, and signatures of the same classes are one signature.  What is asked is which
-classes are connected, not every pair, so classes that share a signature are compared in two steps, exactly:
+Equal sets are one class from the start.  What is asked is which classes are connected, not every pair, so classes that share
+a signature are compared in two steps, exactly:
 
-1. Each class is compared with the first class of each of its signatures; links that hold join classes into components.
-2. Signatures that still have classes of more than one component form cells (classes that they reach).  Where a cell has
+1. Each class is compared with the first class of a few of its signatures, the first by a hash, so that near copies choose
+   the same ones; links that hold join classes into components.
+2. Of all signatures, those that still have classes of more than one component form cells (classes that they reach).  Where a cell has
    fewer pairs than its signatures together, it is compared as a whole, so that copies with many common signatures are not
    compared for each; else each signature is by itself, so that chains of rare ones cost no more than their own pairs.  All
    pairs across components are compared, in blocks of ``block`` classes, each pair of blocks a task's work; shared tokens are
    counted through an inverted index.
 
-Texts are read again only for the sets of classes that share a signature, once.  Hashes are keyed anew in each run.
+Texts are read again only for the sets of classes that have a signature, once.  Hashes are keyed anew in each run.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from .words import SPACED, Words, mix, new_key, slices, text_bytes, words_of
 
 #: Document frequency from which a token is signed in combination; classes of a signature that a task compares with as many.
 FREQUENT, BLOCK = 1024, 256
+#: Signatures of a class, the first by a hash, by which it is compared with hubs; all others are looked at after that.
+FIRST = 4
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -239,22 +242,19 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk")).alias("first")
     equal = rows.where("n_shingles > 0").groupBy(same).agg(first, F.first("signed").alias("signed"), F.count(F.lit(1)).alias("size"))
     equal = checkpointed(equal.select(*same, "first.doc_id", "first.chunk", "signed", "size", F.monotonically_increasing_id().alias("class")))
-    signed = equal.where(F.size("signed") > 0).select("class", F.explode(F.array_distinct("signed")).alias("signature"))
     n_rows, n_signed = (x or 0 for x in equal.agg(F.sum("size"), F.sum(F.size("signed"))).first())
 
-    # Signatures of several classes; of those with the same classes, one.
-    code = F.xxhash64(F.lit(17), "class")
-    live = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("hub"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 1).cast("decimal(38,0)")).alias("y")).where("n > 1")
-    live = live.groupBy("n", "hub", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "hub", "n")
-    met = checkpointed(looked_up(signed, live, "signature", "n", n_signed))
-
-    # A hub and the classes that have it, in parts of a block; a class goes to several hubs, a hub to all its parts.
-    pairs = checkpointed(met.where("class <> hub").select("class", "hub").distinct())
+    # A hub and the classes that share one of their first signatures with it, in parts of a block; a class goes to several hubs.
+    first = F.slice(F.array_sort(F.transform(F.array_distinct("signed"), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, FIRST)
+    leading = equal.where(F.size("signed") > 0).select("class", F.explode(first).alias("s")).select("class", F.col("s.x").alias("signature"))
+    heads = leading.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("hub")).where("n > 1")
+    pairs = checkpointed(looked_up(leading, heads, "signature", "n", n_signed).where("class <> hub").select("class", "hub").distinct())
     hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
     parts = F.ceil(F.col("members") / block).cast("int")
     sent = looked_up(pairs, hubs, "hub", "members", pairs.count()).select("class", "hub", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"))
     sent = sent.unionByName(hubs.select(F.col("hub").alias("class"), "hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
-    wanted = sent.groupBy("class").agg(F.collect_list(F.struct("hub", "part")).alias("to")).join(equal.select("class", "doc_id", "chunk", *same), "class")
+    to = sent.groupBy("class").agg(F.collect_list(F.struct("hub", "part")).alias("to"))
+    wanted = equal.where(F.size("signed") > 0).select("class", "doc_id", "chunk", *same).join(to, "class", "left")
 
     # The classes' sets, each from a row that has it.
     def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -293,11 +293,14 @@ def _grouped(chunks: DataFrame, n: X.Sizes, percent: int, width: int, frequent:
     units = units.withColumn("unit", F.pmod(F.xxhash64("hub", "part"), F.lit(4 * n.buckets)))
     known = checkpointed(components(units.repartition(n.buckets, "unit").groupBy("unit").applyInArrow(with_hub, "a long, b long")))
 
-    # Signatures that are still of several components, with all their classes, and the cells that they form.
-    tied = met.join(known.select(F.col("node").alias("class"), "component"), "class", "left").select("signature", "class", F.coalesce("component", "class").alias("component"))
-    open_ = tied.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("low < high").select("signature", "first", "n")
-    tied = checkpointed(looked_up(tied, open_, "signature", "n", met.count()))
+    # Signatures that are still of several components, with all their classes; of those with the same classes, one.
     top = known.select(F.col("node").alias("class"), "component")
+    signed = equal.where(F.size("signed") > 0).join(top, "class", "left").select("class", F.coalesce("component", "class").alias("component"), F.explode(F.array_distinct("signed")).alias("signature"))
+    code = F.xxhash64(F.lit(17), "class")
+    same_classes = [F.min("class").alias("first"), F.count(F.lit(1)).alias("n"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 1).cast("decimal(38,0)")).alias("y")]
+    open_ = signed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), *same_classes).where("low < high")
+    open_ = open_.groupBy("n", "first", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "first", "n")
+    tied = checkpointed(looked_up(signed, open_, "signature", "n", n_signed))
     of = equal.select(*same, "size", "doc_id", "class").join(top, "class", "left").withColumn("component", F.coalesce("component", "class"))
     if not tied.isEmpty():
         last = components(_across(tied, sets, top, n, percent, block))

@@ -441,7 +441,7 @@ def drawn_page(rng: random.Random) -> tuple[str, list[str]]:
     body = ""
     for k in range(rng.choice([1, 2, 3, 5, 8, 14])):
         kind = rng.random()
-        text = words(2, 10).capitalize() if k == 0 and kind < 0.8 else words(2, 6).capitalize() if kind < 0.1 else sentence(1, 4) if kind < (1 if terse else 0.25) else " ".join(sentence(1, 25) for _ in range(rng.randint(1, 6)))
+        text = words(2, 10).capitalize() if k == 0 and kind < 0.8 else words(2, 6).capitalize() if kind < 0.1 else sentence(1, 4) if kind < (1 if terse else 0.25) else " | ".join(words(1, 3) for _ in range(rng.randint(1, 9))) if kind < 0.35 else " ".join(sentence(1, 25) for _ in range(rng.randint(1, 6)))
         tag = "h1" if k == 0 and kind < 0.8 else rng.choice(["h2", "h2", "h3", "h4"]) if kind < 0.1 else rng.choice(["p", "p", "p", "p", "blockquote", "li", "div"])
         article.append(text)
         shown = text if rng.random() < 0.8 else f'<b>{text}</b>' if rng.random() < 0.5 else " ".join([f"<a href='x'>{text.split()[0]}</a>", *text.split()[1:]])

@@ -57,6 +57,24 @@ def folded(events: DataFrame, key: str, kind: str, time: Sequence[str], start: s
     return out.where(F.col("state") != drop)
 
 
+def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The table with the columns of ``changes`` (a row a key) put in: new columns are added, and nulls keep what there was.
+
+    Changes of keys that the table lacks are left out.
+    """
+    new = [c for c in changes.columns if c != key]
+    joined = table.alias("t").join(changes.alias("c"), key, "left")
+    old = [F.coalesce(F.col(f"c.{c}"), F.col(f"t.{c}")).alias(c) if c in new else F.col(f"t.{c}") for c in table.columns if c != key]
+    return joined.select(key, *old, *[F.col(f"c.{c}") for c in new if c not in table.columns])
+
+
+def requeued(jobs: DataFrame, status: str, back: dict[str, str]) -> DataFrame:
+    """Jobs as a restart takes them up: interrupted states go back to those they began from, with requeued."""
+    at = F.col(status)
+    again = F.coalesce(*[F.when(at == interrupted, start) for interrupted, start in back.items()], at)
+    return jobs.withColumns({"requeued": F.coalesce(at.isin(list(back)), F.lit(False)), status: again})
+
+
 def numbered(kept: DataFrame, order: Sequence[str], already: int, by: str | None = None) -> DataFrame:
     """Gap-free numbers that go on after ``already``, counted in two levels: within parts, and over the parts' sizes.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,28 +54,68 @@ def split_by_group(frame: DataFrame, group: str, seed: int, shares: Sequence[tup
     return placed.select(group, split.otherwise(shares[-1][0]).alias("split"))
 
 
-def quota_split(frame: DataFrame, state: str, site: str, seed: int, share: float = 0.1, least: int = 3) -> DataFrame:
+def placed(frame: DataFrame, groups: Sequence[str], seed: int, key: str, first: Column | None = None, digits: int = 3) -> DataFrame:
+    """place: a row's rank in a seeded shuffle of its group, after those for which ``first`` holds.
+
+    Ranks are counted within ranges of the digest's first hexadecimal digits and over the ranges' sizes, so no task orders
+    a whole group.
+    """
+    late = F.lit("1") if first is None else F.when(first, "0").otherwise("1")
+    rows = frame.withColumn("__draw", F.concat(late, draw(seed, key))).withColumn("__part", F.substring("__draw", 1, digits + 1))
+    by = [*groups, "__part"]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    run = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)])
+    out = ranked(rows, by, [F.col("__draw"), F.col(key)], "__r").join(before, same)
+    return out.select(*frame.columns, (F.col("__before") + F.col("__r")).alias("place"))
+
+
+def quota_split(frame: DataFrame, state: str, site: str, seed: int, share: float = 0.1, least: int = 3, earlier: DataFrame | None = None) -> DataFrame:
     """Split of each site by its state's quota: test first, then val, the rest train; states of fewer than ``least`` only train.
 
-    The quota is a tenth of a state's sites, rounded, one at least.
+    The quota is a tenth of a state's sites, rounded, one at least.  Sites that ``earlier`` (a row a site, with split) has
+    keep their split and count for the quota, so a state that grew only fills up.
     """
-    sites = ranked(frame.select(state, site).distinct(), [state], [draw(seed, site), F.col(site)], "__r")
-    totals = sites.groupBy(state).agg(F.count(F.lit(1)).alias("__n"))
+    sites = frame.select(state, site).distinct()
+    kept = F.lit(None).cast("string") if earlier is None else F.col("__kept")
+    if earlier is not None:
+        sites = sites.join(earlier.select(site, F.col("split").alias("__kept")), site, "left")
+    sites = sites.select(state, site, kept.alias("__kept"))
+    has = [F.count_if(F.col("__kept") == name).alias(f"__{name}") for name in ("test", "val")]
+    totals = sites.groupBy(state).agg(F.count(F.lit(1)).alias("__n"), *has)
     quota = F.when(F.col("__n") >= least, F.greatest(F.lit(1), F.bround(F.col("__n") * share, 0).cast("int"))).otherwise(0)
-    split = F.when(F.col("__r") <= quota, "test").when(F.col("__r") <= 2 * quota, "val").otherwise("train")
-    return sites.join(F.broadcast(totals), state).select(state, site, split.alias("split"))
+    test, val = (F.greatest(F.lit(0), quota - F.col(f"__{name}")) for name in ("test", "val"))
+    split = F.when(F.col("place") <= test, "test").when(F.col("place") <= test + val, "val").otherwise("train")
+    new = placed(sites.where("__kept IS NULL"), [state], seed, site).join(totals, state).select(state, site, split.alias("split"))
+    return new.unionByName(sites.where("__kept IS NOT NULL").select(state, site, F.col("__kept").alias("split")))
 
 
-def balanced(frame: DataFrame, flag: str, key: str, seed: int, share: float = 0.5, parts: int = 3) -> DataFrame:
-    """All flagged rows and as many others as make the flagged ``share`` of the selection, or the reverse if others are few."""
-    n = frame.agg(F.count_if(F.col(flag)).alias("__yes"), F.count_if(~F.col(flag)).alias("__no"))
-    rows = frame.withColumn("__draw", draw(seed, key)).withColumn("__part", F.substring("__draw", 1, parts))
-    sizes = rows.groupBy(flag, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select(F.col(flag).alias("__f"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.partitionBy(flag).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = ranked(rows, [flag, "__part"], [F.col("__draw"), F.col(key)], "__r").join(F.broadcast(before), (F.col(flag) == F.col("__f")) & (F.col("__part") == F.col("__p"))).join(F.broadcast(n))
+def balanced(frame: DataFrame, flag: str, key: str, seed: int, share: float = 0.5, earlier: DataFrame | None = None) -> DataFrame:
+    """All flagged rows and as many others as make the flagged ``share`` of the selection, or the reverse if others are few.
+
+    Rows whose key ``earlier`` has, which were selected before, come first in their class.  A null flag is never selected.
+    """
+    rows = frame.where(F.col(flag).isNotNull()).withColumn("__early", F.lit(False))
+    if earlier is not None:
+        old = earlier.select(key).distinct().withColumn("__old", F.lit(True))
+        rows = rows.join(old, key, "left").withColumn("__early", F.col("__old").isNotNull()).drop("__old")
+    n = rows.agg(F.count_if(F.col(flag)).alias("__yes"), F.count_if(~F.col(flag)).alias("__no"))
     want_yes = F.least(F.col("__yes"), F.floor(F.col("__no") * (share / (1 - share))))
     want_no = F.least(F.col("__no"), F.floor(want_yes * ((1 - share) / share)))
-    return placed.where(F.col("__before") + F.col("__r") <= F.when(F.col(flag), want_yes).otherwise(want_no)).select(*frame.columns)
+    ordered = placed(rows, [flag], seed, key, F.col("__early")).join(F.broadcast(n))  # n is one row
+    return ordered.where(F.col("place") <= F.when(F.col(flag), want_yes).otherwise(want_no)).select(*frame.columns)
+
+
+def issued(sites: DataFrame, site: str, earlier: DataFrame, name: str, size: int, seed: int) -> DataFrame:
+    """A new set of ``size`` sites (fewer if there are no more) that no earlier set has; a name that was given before raises.
+
+    ``earlier`` has the sites of all sets so far, with ``set``, their names.
+    """
+    if not earlier.where(F.col("set") == name).isEmpty():
+        raise ValueError(f"there is a set {name} already")
+    free = sites.select(site).distinct().join(earlier.select(site), site, "left_anti")
+    return free.orderBy(draw(seed, site), site).limit(size).select(F.lit(name).alias("set"), site)
 
 
 def apportioned(groups: DataFrame, name: str, area: str, total: int, least: int = 0, capacity: str | None = None) -> DataFrame:

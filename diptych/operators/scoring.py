@@ -76,3 +76,10 @@ def recall_threshold(frame: DataFrame, truth: Column, score: Column, recall: flo
     first = points.where("pos > 0").join(F.broadcast(totals)).where(F.col("tp") >= wanted)
     best = first.agg(F.max(F.struct("score", "tp", "flagged", "positives", "n")).alias("x")).select("x.*")
     return best.select(F.col("score").alias("threshold"), F.round(ratio(F.col("tp"), F.col("positives")), 6).alias("recall"), F.round(F.col("flagged") / F.col("n"), 6).alias("kept_share"))
+
+
+def collapse(predictions: DataFrame, run: str, changed: Column, says_none: Column, caption: Column) -> DataFrame:
+    """Whether a run's captions collapse: n, the share of changed pairs that are said not to differ, and distinct captions."""
+    rows = predictions.select(run, changed.alias("changed"), says_none.alias("none"), F.md5(caption).alias("caption"))
+    share = F.try_divide(F.count_if(F.col("changed") & F.col("none")), F.count_if("changed"))
+    return rows.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.round(share, 6).alias("missed_share"), F.count_distinct("caption").alias("captions"))

@@ -85,3 +85,21 @@ def cross_entropy(frame: DataFrame, scores: Column, target: Column, ignored: int
     return frame.where(target != ignored).agg(F.avg(loss).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
+def distance_stats(pairs: DataFrame, group: str, a: str, b: str, far: float) -> DataFrame:
+    """n, mean, least, most, p90 and the share over ``far`` of each group's cosine distances, which are kept to four places.
+
+    Four places bound the counts that the exact percentile combines before its shuffle: 20,001 values a group.
+    """
+    rows = pairs.select(group, F.round(1 - cosine(F.col(a), F.col(b)), 4).alias("d"))
+    return rows.groupBy(group).agg(
+        F.count("d").alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.min("d").alias("least"), F.max("d").alias("most"),
+        F.round(F.percentile("d", 0.9), 6).alias("p90"), F.round(F.avg((F.col("d") > far).cast("double")), 6).alias("far_share"),
+    )
+
+
+def token_accuracy(frame: DataFrame, batch: Column, scores: Column, target: Column, ignored: int = 0) -> DataFrame:
+    """The mean over batches of each one's share of targets that score highest (the first of equals), without ignored ones."""
+    best = F.array_position(scores, F.array_max(scores)) - 1
+    rows = frame.where(target != ignored).select(batch.alias("batch"), (best == target).cast("double").alias("hit"))
+    batches = rows.groupBy("batch").agg(F.avg("hit").alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return batches.agg(F.avg("accuracy").alias("accuracy"), F.count(F.lit(1)).alias("batches"), F.sum("n").alias("n"))

@@ -112,3 +112,32 @@ def retry_budget_spent(t: Tables) -> DataFrame:
     """Sites that used up three tries, and over how long."""
     hours = F.floor((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 3600).cast("long")
     return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors"), hours.alias("hours")).where("n_errors >= 3")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT l_partkey AS block, l_orderkey AS site FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority='1-URGENT')), o AS (SELECT block, min(site) AS owned_by FROM c GROUP BY 1)
+SELECT block, site, owned_by, site = owned_by AS is_owner FROM c JOIN o USING (block)""")
+def release_claims(t: Tables) -> DataFrame:
+    """Claims after those of some sites are deleted: what these owned goes to the next."""
+    claims = t.lineitem.select(F.col("l_partkey").alias("block"), F.col("l_orderkey").alias("site")).distinct()
+    released = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("site"))
+    return logs.first_claims(logs.left_to_do(claims, released, ["site"]), "block", "site", [])
+
+
+@query("""
+WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS was FROM events GROUP BY 1)
+SELECT user_id, CASE was WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'queued' ELSE was END AS state, was IN ('signup','click') AS requeued FROM s""")
+def requeue_interrupted(t: Tables) -> DataFrame:
+    last = t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+    return logs.requeued(last, "state", {"signup": "pending", "click": "queued"})
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS k, CASE WHEN bool_or(l_returnflag='R') THEN 'R' END AS s, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q FROM lineitem GROUP BY 1)
+SELECT o_orderkey, o_custkey, coalesce(s, o_orderstatus) AS o_orderstatus, CAST(q AS DOUBLE) AS quantity FROM orders LEFT JOIN c ON k=o_orderkey""")
+def batch_stage_update(t: Tables) -> DataFrame:
+    """Stages of some batches are changed, and a column is added to all."""
+    changes = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.when(F.bool_or(F.col("l_returnflag") == "R"), "R").alias("o_orderstatus"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity")
+    )
+    return logs.updated(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), changes, "o_orderkey")

@@ -110,3 +110,35 @@ def largest_remainder(t: Tables) -> DataFrame:
     area = F.greatest(F.sum(F.col("c_acctbal").cast("decimal(18,2)")), F.lit(0)).cast("double")
     nations = t.customer.groupBy(F.col("c_nationkey").alias("nation")).agg(area.alias("area"), F.count(F.lit(1)).alias("n"))
     return samples.apportioned(nations, "nation", "area", 1000, least=10, capacity="n")
+
+
+@query("""
+WITH a AS (SELECT c_nationkey, c_custkey, c_acctbal >= 0 AS old FROM customer), s0 AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('42|'||c_custkey), c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM a WHERE old),
+q0 AS (SELECT *, CASE WHEN n>=3 THEN greatest(1, CAST(round_even(n*0.1,0) AS INTEGER)) ELSE 0 END AS quota FROM s0), e AS (SELECT c_custkey, CASE WHEN r<=quota THEN 'test' WHEN r<=2*quota THEN 'val' ELSE 'train' END AS split FROM q0),
+n AS (SELECT c_nationkey, count(*) AS n, count(*) FILTER (split='test') AS t, count(*) FILTER (split='val') AS v FROM a LEFT JOIN e USING (c_custkey) GROUP BY 1),
+w AS (SELECT *, CASE WHEN n>=3 THEN greatest(1, CAST(round_even(n*0.1,0) AS INTEGER)) ELSE 0 END AS quota FROM n), x AS (SELECT c_nationkey, greatest(0, quota-t) AS wt, greatest(0, quota-v) AS wv FROM w),
+r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('43|'||c_custkey), c_custkey) AS r FROM a WHERE NOT old)
+SELECT c_nationkey, c_custkey, CASE WHEN r<=wt THEN 'test' WHEN r<=wt+wv THEN 'val' ELSE 'train' END AS split FROM r JOIN x USING (c_nationkey) UNION ALL SELECT c_nationkey, c_custkey, split FROM a JOIN e USING (c_custkey)""")
+def state_quota_resplit(t: Tables) -> DataFrame:
+    """Sites that came later are split so that each state has its quota, and those of the first round stay where they are."""
+    first = samples.quota_split(t.customer.where("c_acctbal >= 0"), "c_nationkey", "c_custkey", 42)
+    return samples.quota_split(t.customer, "c_nationkey", "c_custkey", 43, earlier=first)
+
+
+@query("""
+WITH d AS (SELECT d.doc_id, quality=0 AS changed, lang IS NOT DISTINCT FROM (SELECT min(lang) FROM documents) AS early FROM documents d JOIN labels USING (doc_id) WHERE quality IS NOT NULL), n AS (SELECT count(*) FILTER (changed) AS y, count(*) FILTER (NOT changed) AS n FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY changed ORDER BY CASE WHEN early THEN 0 ELSE 1 END, md5('6|'||doc_id), doc_id) AS q FROM d) SELECT doc_id, changed FROM k, n WHERE q <= least(y,n)""")
+def balanced_reselection(t: Tables) -> DataFrame:
+    """A balanced selection in which documents of the first language, selected before, come first."""
+    rows = t.documents.join(t.labels, "doc_id").where("quality IS NOT NULL").select("doc_id", (F.col("quality") == 0).alias("changed"))
+    lang = t.documents.agg(F.min("lang").alias("lang"))
+    return samples.balanced(rows, "changed", "doc_id", 6, earlier=t.documents.join(F.broadcast(lang), "lang", "left_semi"))
+
+
+@query("""
+WITH free AS (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority='1-URGENT')
+SELECT 'trial' AS "set", c_custkey FROM free ORDER BY md5('8|'||c_custkey), c_custkey LIMIT 60""")
+def issue_set(t: Tables) -> DataFrame:
+    """A trial of sixty sites that are in no set so far."""
+    earlier = t.orders.where("o_orderpriority = '1-URGENT'").select(F.lit("urgent").alias("set"), F.col("o_custkey").alias("c_custkey"))
+    return samples.issued(t.customer, "c_custkey", earlier, "trial", 60, 8)

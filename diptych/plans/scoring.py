@@ -71,3 +71,11 @@ SELECT lang, count(*) FILTER (toxic=1 AND n_chars<600) AS both, count(*) FILTER
 def contingency_by_variant(t: Tables) -> DataFrame:
     toxic, short = F.col("toxic") == 1, F.col("n_chars") < 600
     return labelled(t).groupBy("lang").agg(F.count_if(toxic & short).alias("both"), F.count_if(toxic).alias("toxic"), F.count_if(short).alias("short"), F.count_distinct("source").alias("sources"))
+
+
+@query("""
+SELECT source, count(*) AS n, round(CAST(count(*) FILTER (quality=0 AND n_chars<600) AS DOUBLE)/nullif(count(*) FILTER (quality=0),0),6) AS missed_share, count(DISTINCT md5(text)) AS captions FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
+def prediction_collapse(t: Tables) -> DataFrame:
+    """Each source as a run: poor documents stand for changed pairs, short ones for the answer that nothing differs."""
+    rows = t.documents.join(t.labels, "doc_id")
+    return scoring.collapse(rows, "source", F.col("quality") == 0, F.col("n_chars") < 600, F.col("text"))

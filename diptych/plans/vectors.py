@@ -57,3 +57,20 @@ WITH s AS (SELECT label, embedding, (SELECT max(x) FROM (SELECT unnest(embedding
 SELECT round(avg(ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)-m)))) + m - CAST(embedding[label+1] AS DOUBLE)),6) AS loss, count(*) AS n FROM s""")
 def token_cross_entropy(t: Tables) -> DataFrame:
     return vectors.cross_entropy(t.embeddings, F.col("embedding"), F.col("label")).select(F.round("loss", 6).alias("loss"), "n")
+
+
+@query(f"""
+WITH p AS (SELECT x.vec_id//128 AS batch, round(1 - {_COS.format(a="x.embedding", b="y.embedding")}, 4) AS d FROM embeddings x JOIN embeddings y ON y.vec_id=x.vec_id+1 WHERE x.vec_id % 2 = 0)
+SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, round(avg(d),6) AS mean, min(d) AS least, max(d) AS most, round(quantile_cont(d, 0.9),6) AS p90, round(avg(CASE WHEN d>0.9 THEN 1.0 ELSE 0.0 END),6) AS far_share FROM p GROUP BY 1""")
+def vector_distance_stats(t: Tables) -> DataFrame:
+    batched = _pairs(t).withColumn("batch", F.floor(F.col("pair") / 64))
+    return vectors.distance_stats(batched, "batch", "a", "b", 0.9)
+
+
+@query("""
+WITH h AS (SELECT vec_id//64 AS batch, CASE WHEN list_position(embedding, list_max(embedding))-1=label THEN 1.0 ELSE 0.0 END AS hit FROM embeddings WHERE label<>0), b AS (SELECT batch, avg(hit) AS accuracy, count(*) AS n FROM h GROUP BY 1)
+SELECT round(avg(accuracy),9) AS accuracy, count(*) AS batches, CAST(sum(n) AS BIGINT) AS n FROM b""")
+def token_accuracy(t: Tables) -> DataFrame:
+    """A vector's largest place stands for the token predicted, its label for the one meant, label 0 for padding."""
+    out = vectors.token_accuracy(t.embeddings, F.floor(F.col("vec_id") / 64), F.col("embedding"), F.col("label"))
+    return out.withColumn("accuracy", F.round("accuracy", 9))

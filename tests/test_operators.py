@@ -221,3 +221,42 @@ def test_retry_machine_over_batches(spark, tmp_path):
         f.rename(folder / f.name)
     out = queues.finished(queues.retry_machine(queues.events(spark, str(folder), 1), "user_id"), ["key"])
     assert {r.key: (r.state, r.errors, r.n_events) for r in out.collect()} == {1: ("failed", 3, 4), 2: ("running", 0, 2)}
+
+
+def test_later_splits_fill_quotas_up(spark):
+    sites = spark.createDataFrame([("a", k) for k in range(40)] + [("b", k) for k in range(100, 110)] + [("c", 200)], "state string, site int")
+    old = spark.createDataFrame([(0, "test"), (1, "test"), (2, "train"), (100, "val"), (101, "val")], "site int, split string")
+    found = {r.site: r.split for r in samples.quota_split(sites, "state", "site", 5, earlier=old).collect()}
+    assert len(found) == 51 and found[200] == "train"
+    assert [found[k] for k in (0, 1, 2, 100, 101)] == ["test", "test", "train", "val", "val"]
+    n = lambda keys, split: sum(found[k] == split for k in keys)
+    assert (n(range(40), "test"), n(range(40), "val")) == (4, 4)
+    assert (n(range(100, 110), "test"), n(range(100, 110), "val")) == (1, 2), "what was given stays, over the quota too"
+
+
+def test_selections_keep_earlier_ones(spark):
+    rows = spark.createDataFrame([(k, k < 10) for k in range(60)] + [(99, None)], "id int, changed boolean")
+    old = spark.createDataFrame([(k,) for k in (3, 20, 21, 22, 99)], "id int")
+    found = {r.id for r in samples.balanced(rows, "changed", "id", 1, earlier=old).collect()}
+    assert len(found) == 20 and set(range(10)) <= found and {20, 21, 22} <= found and 99 not in found
+    first = {r.id for r in samples.balanced(rows, "changed", "id", 1).collect()}
+    again = {r.id for r in samples.balanced(rows, "changed", "id", 2, earlier=spark.createDataFrame([(k,) for k in first], "id int")).collect()}
+    assert again == first
+
+
+def test_sets_are_issued_once(spark):
+    sites = spark.createDataFrame([(k,) for k in range(20)], "site int")
+    old = spark.createDataFrame([("one", k) for k in range(15)], "set string, site int")
+    found = [tuple(r) for r in samples.issued(sites, "site", old, "two", 9, 3).collect()]
+    assert sorted(found) == [("two", k) for k in range(15, 20)]
+    with pytest.raises(ValueError):
+        samples.issued(sites, "site", old, "one", 2, 3)
+
+
+def test_updates_and_requeues(spark):
+    table = spark.createDataFrame([(1, "running"), (2, "done"), (3, None)], "k int, status string")
+    changes = spark.createDataFrame([(1, "downloading", 5), (2, None, 6), (9, "done", 7)], "k int, status string, size int")
+    new = logs.updated(table, changes, "k")
+    assert {tuple(r) for r in new.collect()} == {(1, "downloading", 5), (2, "done", 6), (3, None, None)}
+    again = logs.requeued(new, "status", {"running": "pending", "downloading": "queued"}).select("k", "status", "requeued")
+    assert {tuple(r) for r in again.collect()} == {(1, "queued", True), (2, "done", False), (3, None, False)}

@@ -185,7 +185,7 @@ def vocabulary(captions: DataFrame, least: int = 2, first_id: int = 4) -> DataFr
     sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
     before = sizes.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("first")))
-    return ranked.join(F.broadcast(before), "part").select("word", "n", (F.col("before") + F.col("r") + (first_id - 1)).cast("long").alias("word_id"))
+    return ranked.join(before, "part").select("word", "n", (F.col("before") + F.col("r") + (first_id - 1)).cast("long").alias("word_id"))
 
 
 def _whole(captions: DataFrame, words: DataFrame) -> DataFrame:

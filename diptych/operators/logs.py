@@ -85,7 +85,7 @@ def numbered(kept: DataFrame, order: Sequence[str], already: int, by: str | None
     sizes = kept.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     ranked = kept.withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.join(F.broadcast(before), by).withColumn("number", F.lit(already) + F.col("__before") + F.col("__rank")).drop("__before", "__rank")
+    return ranked.join(before, by).withColumn("number", F.lit(already) + F.col("__before") + F.col("__rank")).drop("__before", "__rank")
 
 
 def within_budget(frame: DataFrame, cost: Column, order: Sequence[str], cap: float, by: str) -> DataFrame:
@@ -97,5 +97,5 @@ def within_budget(frame: DataFrame, cost: Column, order: Sequence[str], cap: flo
     sums = rows.groupBy(by).agg(F.sum("__cost").alias("__s"))
     before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
     run = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(F.broadcast(before), by).withColumn("spent", F.col("__before") + F.sum("__cost").over(run))
+    rows = rows.join(before, by).withColumn("spent", F.col("__before") + F.sum("__cost").over(run))
     return rows.where(F.col("spent") - F.col("__cost") < cap).drop("__cost", "__before")

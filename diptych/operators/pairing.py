@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def best_scenes(scenes: DataFrame, place: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The k first scenes of each place, as ``rank`` from 1; Spark keeps k of a place in each task before it shuffles."""
@@ -38,52 +39,55 @@ def outcomes(pairs: DataFrame, place: Sequence[str]) -> DataFrame:
 def diverse(pairs: DataFrame, place: str, before: str, after: str, day: str, order: Sequence[str], days: int = 15, most: int = 3) -> DataFrame:
     """The first pairs of each place, in order, that use no scene twice and whose before days lie ``days`` apart.
 
-    Each choice depends on those before it, so a place's pairs are taken through one by one; a place is one group, which
-    best_scenes bounds.
+    Each choice depends on those before it, so a place's pairs are folded in order, as one array; best_scenes bounds them.
     """
-    columns = [place, before, after, day, *order]
-    frame = pairs.select(*dict.fromkeys(columns))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        scenes: set = set()
-        taken: list[int] = []
-        for k, row in group.sort_values([*order, before, after]).iterrows():
-            if len(kept) == most:
-                break
-            if row[before] in scenes or row[after] in scenes or any(abs(int(row[day]) - d) < days for d in taken):
-                continue
-            kept.append(k)
-            scenes |= {row[before], row[after]}
-            taken.append(int(row[day]))
-        return group.loc[kept]
-
-    return frame.groupBy(place).applyInPandas(choose, frame.schema)
+    columns = list(dict.fromkeys([*order, before, after, place, day]))
 
+    def clash(x: Column, y: Column) -> Column:
+        return (x[before] == y[before]) | (x[after] == y[after]) | (F.abs(x[day] - y[day]) < days)
+
+    def choose(kept: Column, x: Column) -> Column:
+        free = (F.size(kept) < most) & ~F.exists(kept, lambda y: clash(x, y))
+        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
+
+    rows = F.array_sort(F.collect_list(F.struct(*columns)))
+    chosen = pairs.groupBy(place).agg(rows.alias("__rows")).select(F.explode(F.aggregate("__rows", F.slice("__rows", 1, 0), choose)).alias("__kept"))
+    return chosen.select(*[F.col(f"__kept.{c}") for c in dict.fromkeys([place, before, after, day, *order])])
 
-def greedy_overlaps(boxes: DataFrame, block: str, key: str, order: str, share: float = 0.1) -> DataFrame:
-    """The boxes that overlap an earlier kept one of their block by more than ``share`` of their own area.
 
-    Boxes have x0, y0, x1, y1.  A box is compared with kept ones only: one that was refused refuses none.  The kept boxes
-    of a block barely overlap, so those that can touch a new box are found in a coarse grid of the block's largest size.
+def overlaps(boxes: DataFrame, block: str, key: str, order: str, share: float) -> DataFrame:
+    """Pairs of boxes of a block, earlier and later in order, that share over ``share`` of the later one's area.
+
+    Boxes meet in the cells that they touch, of the size of a block's largest, and a pair counts in the first cell of both.
     """
-    schema = boxes.select(key, block).schema
-
-    def refuse(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values([order, key])
-        cell = max((rows.x1 - rows.x0).max(), (rows.y1 - rows.y0).max(), 1e-12)
-        grid: dict[tuple[int, int], list[tuple[float, float, float, float]]] = {}
-        refused = []
-        for r in rows.itertuples(index=False):
-            area = (r.x1 - r.x0) * (r.y1 - r.y0)
-            gx, gy = int(r.x0 // cell), int(r.y0 // cell)
-            near = (b for i in range(gx - 1, gx + 2) for j in range(gy - 1, gy + 2) for b in grid.get((i, j), ()))
-            if any(max(0.0, min(r.x1, b[2]) - max(r.x0, b[0])) * max(0.0, min(r.y1, b[3]) - max(r.y0, b[1])) > share * area for b in near):
-                refused.append(getattr(r, key))
-            else:
-                grid.setdefault((gx, gy), []).append((r.x0, r.y0, r.x1, r.y1))
-        return rows[rows[key].isin(refused)][[key, block]]
-
-    return boxes.groupBy(block).applyInPandas(refuse, schema)
+    largest = boxes.groupBy(block).agg(F.greatest(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0")), F.lit(1e-12)).alias("__size"))
+    at = boxes.join(largest, block).select(block, F.struct(order, key).alias("at"), F.col(key).alias("k"), "x0", "y0", "x1", "y1", "__size")
+    span = lambda c: F.sequence(F.floor(F.col(f"{c}0") / F.col("__size")), F.floor(F.col(f"{c}1") / F.col("__size")))
+    cells = at.withColumn("__x", F.explode(span("x"))).withColumn("__y", F.explode(span("y")))
+    a, b = (cells.select(block, "__size", "__x", "__y", *[F.col(c).alias(f"{p}_{c}") for c in ("at", "k", "x0", "y0", "x1", "y1")]) for p in "ab")
+    pairs = a.join(b, [block, "__size", "__x", "__y"]).where(F.col("a_at") < F.col("b_at"))
+    pairs = pairs.where(F.col("__x") == F.floor(F.greatest("a_x0", "b_x0") / F.col("__size")))
+    pairs = pairs.where(F.col("__y") == F.floor(F.greatest("a_y0", "b_y0") / F.col("__size")))
+    wide, high = (F.greatest(F.lit(0.0), F.least(f"a_{c}1", f"b_{c}1") - F.greatest(f"a_{c}0", f"b_{c}0")) for c in "xy")
+    area = (F.col("b_x1") - F.col("b_x0")) * (F.col("b_y1") - F.col("b_y0"))
+    return pairs.where(wide * high > share * area).select(block, F.col("a_k").alias("earlier"), F.col("b_k").alias("later"))
 
 
+def greedy_overlaps(boxes: DataFrame, block: str, key: str, order: str, share: float = 0.1) -> DataFrame:
+    """The boxes that overlap an earlier kept one of their block by more than ``share`` of their own area.
+
+    Boxes have x0, y0, x1, y1 and a key that is unique in its block.  A box that was refused refuses none, so pairs are
+    settled in rounds of joins: a box without an earlier one left is kept, what overlaps it is refused, and the pairs of both
+    go.  In an order that has nothing to do with the places, the rounds are about the logarithm of the boxes; in the worst, a
+    row of boxes each over the next, half of them.
+    """
+    left, refused = cut(overlaps(boxes, block, key, order, share)), None
+    while not left.isEmpty():
+        held = left.select(block, F.col("later").alias("earlier")).distinct()
+        now = cut(left.join(held, [block, "earlier"], "left_anti").select(block, "later").distinct())
+        refused = now if refused is None else refused.unionByName(now)
+        left = left.join(now, [block, "later"], "left_anti").join(now.withColumnRenamed("later", "earlier"), [block, "earlier"], "left_anti")
+        left = cut(left)
+    if refused is None:
+        return boxes.select(key, block).limit(0)
+    return refused.select(F.col("later").alias(key), block)

@@ -44,7 +44,7 @@ def split_by_group(frame: DataFrame, group: str, seed: int, shares: Sequence[tup
     groups = frame.select(group).distinct().withColumn("__draw", draw(seed, group)).withColumn("__part", F.substring("__draw", 1, 3))
     sizes = groups.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    placed = ranked(groups, ["__part"], [F.col("__draw"), F.col(group)], "__r").join(F.broadcast(before), "__part")
+    placed = ranked(groups, ["__part"], [F.col("__draw"), F.col(group)], "__r").join(before, "__part")
     at = (F.col("__before") + F.col("__r") - 1) / F.col("__all")
     split, total = None, 0.0
     for name, share in shares[:-1]:

@@ -56,7 +56,7 @@ def _ordered_sums(scored: DataFrame, score: str) -> DataFrame:
     after = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("__part", F.coalesce(F.sum("p").over(after), F.lit(0)).alias("__p"), F.coalesce(F.sum("m").over(after), F.lit(0)).alias("__m"))
     run = Window.partitionBy("__part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.join(F.broadcast(sums), "__part").select(score, "pos", (F.col("__p") + F.sum("pos").over(run)).alias("tp"), (F.col("__m") + F.sum("n").over(run)).alias("flagged"))
+    return points.join(sums, "__part").select(score, "pos", (F.col("__p") + F.sum("pos").over(run)).alias("tp"), (F.col("__m") + F.sum("n").over(run)).alias("flagged"))
 
 
 def average_precision(frame: DataFrame, truth: Column, score: Column) -> DataFrame:

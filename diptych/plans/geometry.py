@@ -53,9 +53,15 @@ def bbox_overlap_pairs(t: Tables) -> DataFrame:
     return pairs.where(share > 0.1).select(F.col("ak").alias("earlier"), F.col("bk").alias("later"), F.round(share, 6).alias("share"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY k) AS i FROM ({_BOX_SQL})),
+r AS (SELECT DISTINCT block, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS kept, CAST(NULL AS BIGINT) AS k, false AS refused FROM b
+UNION ALL SELECT block, i, CASE WHEN hit THEN kept ELSE list_append(kept, {{'x': x, 'y': y}}) END, k, hit FROM
+ (SELECT r.block, b.i, r.kept, CAST(b.k AS BIGINT) AS k, CAST(b.x0 AS DOUBLE) AS x, CAST(b.y0 AS DOUBLE) AS y,
+   len(list_filter(r.kept, lambda o: greatest(0, 6 - abs(o.x - b.x0)) * greatest(0, 6 - abs(o.y - b.y0)) > 0.1 * 36)) > 0 AS hit FROM r JOIN b ON b.block = r.block AND b.i = r.i + 1))
+SELECT k, block FROM r WHERE refused""")
 def bbox_overlap_greedy(t: Tables) -> DataFrame:
-    """Boxes refused because they overlap an earlier kept one; order matters, so a block is gone through in order."""
+    """Boxes refused because they overlap an earlier kept one."""
     return pairing.greedy_overlaps(_boxes(t), "block", "k", "k")
 
 
@@ -94,15 +100,34 @@ def patch_explode_16(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", row.alias("patch_row"), col.cast("int").alias("patch_col"), name.alias("patch_id"), (col * 2560).cast("long").alias("west"), (-row * 2560).cast("long").alias("north"))
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT *, f/(2-f) AS n FROM (SELECT 6378137.0::DOUBLE AS a, 1/298.257223563::DOUBLE AS f)),
+k AS (SELECT n, 0.9996::DOUBLE*a/(1+n)*(1+n*n/4+n*n*n*n/64) AS scale, 2*sqrt(n)/(1+n) AS e, n/2-2*n*n/3+5*n*n*n/16 AS a1, 13*n*n/48-3*n*n*n/5 AS a2, 61*n*n*n/240 AS a3 FROM c),
+s AS (SELECT s_suppkey, radians(CAST(lat AS DOUBLE)) AS phi, radians(CAST(lon AS DOUBLE)-81) AS lam FROM (SELECT s_suppkey, {_AT_SQL.format(k="s_suppkey")} FROM supplier)),
+t AS (SELECT *, sinh(atanh(sin(phi)) - e*atanh(e*sin(phi))) AS t FROM s, k),
+x AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam)/sqrt(1+t*t)) AS eta FROM t)
+SELECT s_suppkey, round(500000+scale*(eta+a1*cos(2*xi)*sinh(2*eta)+a2*cos(4*xi)*sinh(4*eta)+a3*cos(6*xi)*sinh(6*eta)), 3) AS east,
+ round(scale*(xi+a1*sin(2*xi)*cosh(2*eta)+a2*sin(4*xi)*cosh(4*eta)+a3*sin(6*xi)*cosh(6*eta)), 3) AS north FROM x""")
 def projected_sites(t: Tables) -> DataFrame:
-    """Sites in metres of a transverse Mercator zone; SQL has no such function, a test checks known values."""
+    """Sites in metres of a transverse Mercator zone."""
     lon, lat = _at("s_suppkey")
     east, north = geo.utm(lon, lat, 44)
     return t.supplier.select("s_suppkey", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
 
-@query()
+def _farther(k: int) -> str:
+    """The k-th pick of each nation, as a common table expression over those before it."""
+    before = [f"p{i}" for i in range(1, k)]
+    gaps = ", ".join(f"(c.s.lon-{p}.s.lon)*(c.s.lon-{p}.s.lon)+(c.s.lat-{p}.s.lat)*(c.s.lat-{p}.s.lat)" for p in before)
+    joins = " ".join(f"JOIN {p} ON {p}.nation=c.nation" for p in before)
+    free = " AND ".join(f"c.s.site<>{p}.s.site" for p in before)
+    return f"p{k} AS (SELECT nation, arg_min(s, {{'g': -gap, 's': s.site}}) AS s FROM (SELECT c.nation, c.s, least({gaps}) AS gap FROM c {joins} WHERE {free}) GROUP BY 1)"
+
+
+@query(f"""
+WITH c AS (SELECT c_nationkey AS nation, {{'site': c_custkey, 'lon': lon, 'lat': lat}} AS s FROM (SELECT c_nationkey, c_custkey, {_AT_SQL.format(k="c_custkey")} FROM customer)),
+p1 AS (SELECT nation, arg_min(s, s.site) AS s FROM c GROUP BY 1), {", ".join(_farther(k) for k in range(2, 6))}
+{" UNION ALL ".join(f"SELECT nation, s.site AS site, CAST({k} AS INTEGER) AS place FROM p{k}" for k in range(1, 6))}""")
 def farthest_points(t: Tables) -> DataFrame:
     """Five sites of each nation, each as far as can be from those before it, the first being the smallest key.
 

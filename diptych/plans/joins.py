@@ -49,7 +49,16 @@ def rank_pairs_diagnostics(t: Tables) -> DataFrame:
     return pairing.outcomes(scored_pairs(t), ["place"])
 
 
-@query()
+def _pick(k: int) -> str:
+    """The k-th pick of each place, as a common table expression over those before it."""
+    before = [f"p{i}" for i in range(1, k)]
+    joins = " ".join(f"JOIN {p} ON {p}.place=g.place" for p in before)
+    free = " AND ".join(f"g.s.b<>{p}.s.b AND g.s.a<>{p}.s.a AND abs(g.s.day-{p}.s.day)>=15" for p in before) or "true"
+    return f"p{k} AS (SELECT g.place, min(g.s) AS s FROM g {joins} WHERE {free} GROUP BY 1)"
+
+
+@query(f"""{_SCENES_SQL}, g AS (SELECT place, {{'score': CAST(score AS DOUBLE), 'b': before_scene, 'a': after_scene, 'day': before_day}} AS s FROM pairs WHERE outcome='paired'), {", ".join(_pick(k) for k in (1, 2, 3))}
+{" UNION ALL ".join(f"SELECT place, s.b AS before_scene, s.a AS after_scene, s.day AS before_day, s.score AS score FROM p{k}" for k in (1, 2, 3))}""")
 def diverse_pairs(t: Tables) -> DataFrame:
     """Up to three pairs of a place that share no scene, before days a fortnight apart; each choice depends on the last."""
     pairs = scored_pairs(t).where("outcome = 'paired'").select("place", "before_scene", "after_scene", F.col("before_season_day").alias("before_day"), "score")

@@ -24,7 +24,7 @@ def features(t: Tables) -> DataFrame:
         (upper / F.greatest(F.length("text"), F.lit(1))).alias("upper"), (F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))).alias("distinct_share"),
     )
     labelled = rows.join(t.labels.select("doc_id", (F.col("quality") == 0).cast("double").alias("label")), "doc_id")
-    return labelled.join(F.broadcast(samples.group_folds(labelled, "source", 3, 5)), "source")
+    return labelled.join(samples.group_folds(labelled, "source", 3, 5), "source")
 
 
 def _judged(scored: DataFrame, name: str) -> DataFrame:

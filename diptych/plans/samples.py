@@ -101,7 +101,7 @@ def proportional_draw(t: Tables) -> DataFrame:
 SELECT source, CAST(CAST('0x'||substr(md5('5|'||source),1,8) AS BIGINT) % 5 AS INTEGER) AS fold, count(*) AS n FROM documents GROUP BY 1,2""")
 def group_kfold(t: Tables) -> DataFrame:
     folds = samples.group_folds(t.documents, "source", 5, 5)
-    return t.documents.join(F.broadcast(folds), "source").groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return t.documents.join(folds, "source").groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

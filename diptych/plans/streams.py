@@ -36,7 +36,11 @@ def stream_dedup(t: Tables) -> DataFrame:
     return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER w AS i, lag(event_type = 'error', 1, false) OVER w AS bad1, lag(event_type = 'error', 2, false) OVER w AS bad2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+u AS (SELECT user_id, count(*) AS n_events, bool_or(bad AND bad1 AND bad2) AS spent, count(*) - coalesce(max(i) FILTER (NOT bad), 0) AS last_run FROM e GROUP BY 1)
+SELECT user_id, CASE WHEN spent THEN 'failed' WHEN last_run > 0 THEN 'retrying' ELSE 'running' END AS state, CAST(CASE WHEN spent THEN 3 ELSE last_run END AS INTEGER) AS errors, n_events FROM u""")
 def stream_state_machine(t: Tables) -> DataFrame:
+    """Users by three errors in a row; one batch has all that is there, so that it is in time order."""
     out = queues.finished(queues.retry_machine(_events(t), "user_id"), ["key"])
     return out.select(F.col("key").alias("user_id"), "state", "errors", "n_events")

@@ -26,10 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def events(spark: SparkSession, path: str, files_at_once: int | None = None) -> DataFrame:
     """The events as a stream of Parquet files, a bounded number in a batch if asked for."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)  # the pattern below finds a file and a folder of files alike
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_at_once:
         reader = reader.option("maxFilesPerTrigger", files_at_once)
-    return reader.parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
+    only = f"{path[:-1]}[{path[-1]}]"  # a pattern, which may name a file where a plain path must be a folder, and which fits this name alone
+    return reader.parquet(only).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def finished(stream: DataFrame, keys: Sequence[str] | None, mode: str = "update") -> DataFrame:

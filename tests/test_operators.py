@@ -77,6 +77,29 @@ def test_greedy_overlaps(spark):
     assert {r.k for r in pairing.greedy_overlaps(frame, "block", "k", "k").collect()} == _greedy(boxes)
 
 
+def test_greedy_overlaps_of_a_row_of_boxes_and_of_none(spark):
+    row = [(k, 0.5 * k, 0.0, 0.5 * k + 1, 1.0) for k in range(9)]  # each over half of the next: every other one is kept
+    frame = spark.createDataFrame([(1, *b) for b in row], "block int, k int, x0 double, y0 double, x1 double, y1 double")
+    assert {r.k for r in pairing.greedy_overlaps(frame, "block", "k", "k").collect()} == {1, 3, 5, 7}
+    assert pairing.greedy_overlaps(frame.limit(0), "block", "k", "k").collect() == []
+    twins = frame.where("k = 0").unionByName(frame.where("k = 0").withColumn("k", F.lit(20))).unionByName(frame.where("k = 0").withColumn("block", F.lit(2)))
+    assert [(r.block, r.k) for r in pairing.greedy_overlaps(twins, "block", "k", "k").collect()] == [(1, 20)]
+
+
+def test_diverse_pairs_one_by_one(spark):
+    rng = random.Random(6)
+    pairs = [(p, rng.randrange(8), rng.randrange(8), rng.randrange(60), rng.randrange(20)) for p in range(5) for _ in range(40)]
+    wanted = set()
+    for place in range(5):
+        kept = []
+        for r in sorted((r for r in pairs if r[0] == place), key=lambda r: (r[4], r[1], r[2], r[3])):
+            if len(kept) < 3 and not any(r[1] == k[1] or r[2] == k[2] or abs(r[3] - k[3]) < 15 for k in kept):
+                kept.append(r)
+        wanted |= set(kept)
+    frame = spark.createDataFrame(pairs, "place int, b int, a int, day int, score int")
+    assert {tuple(r) for r in pairing.diverse(frame, "place", "b", "a", "day", ["score"]).collect()} == wanted
+
+
 def _regions(grid, diagonal):
     todo, out = {p for p, v in grid.items() if v}, []
     while todo:

@@ -118,6 +118,40 @@ def issued(sites: DataFrame, site: str, earlier: DataFrame, name: str, size: int
     return free.orderBy(draw(seed, site), site).limit(size).select(F.lit(name).alias("set"), site)
 
 
+def quotas_with_controls(frame: DataFrame, label: str, key: str, quotas: dict[str, int], donors: Sequence[str], controls: int, seed: int) -> DataFrame:
+    """Up to so many rows of each label, and again ``controls`` of those drawn whose label is a donor's, as label control.
+
+    Labels without a quota, null among them, are not drawn; keys are drawn by their digest.
+    """
+    quota = F.coalesce(*[F.when(F.col(label) == name, n) for name, n in quotas.items()])
+    picked = ranked(frame.where(F.col(label).isin(list(quotas))), [label], [draw(seed, key), F.col(key)], "__rank").where(F.col("__rank") <= quota).drop("__rank")
+    again = picked.where(F.col(label).isin(list(donors))).orderBy(draw(seed + 1, key), key).limit(controls)
+    return picked.withColumn("control", F.lit(False)).unionByName(again.withColumns({label: F.lit("control"), "control": F.lit(True)}))
+
+
+def labelled_and_not(frame: DataFrame, labelled: str, key: str, size: int, controls: int, seed: int) -> DataFrame:
+    """``size`` rows: ``controls`` of any kind, which may come twice, and of the others two thirds labelled if there are so many.
+
+    A null in ``labelled`` (boolean) is not labelled.
+    """
+    real = size - controls
+    rows = frame.withColumn(labelled, F.coalesce(labelled, F.lit(False)))
+    ordered = lambda some, n, s: some.orderBy(draw(s, key), key).limit(n)
+    yes = ordered(rows.where(labelled), real * 2 // 3, seed)
+    no = ranked(ordered(rows.where(~F.col(labelled)), real, seed), [], [draw(seed, key), F.col(key)], "__rank")  # at most ``real`` rows
+    no = no.join(F.broadcast(yes.agg(F.count(F.lit(1)).alias("__n"))), F.col("__rank") <= real - F.col("__n")).drop("__rank", "__n")
+    again = ordered(rows, controls, seed + 1)
+    return yes.unionByName(no).withColumn("control", F.lit(False)).unionByName(again.withColumn("control", F.lit(True)))
+
+
+def label_queue(frame: DataFrame, pool: str, key: str, pools: Sequence[str], first: DataFrame, seed: int) -> DataFrame:
+    """Rows of the pools in the order to label them: keys of ``first``, then pool by pool, each shuffled; with turn, the stage."""
+    early = first.select(key).distinct().withColumn("__first", F.lit(True))
+    stage = F.when(F.col("__first"), 0).otherwise(F.coalesce(*[F.when(F.col(pool) == name, k) for k, name in enumerate(pools, 1)]))
+    queued = frame.join(early, key, "left").withColumn("turn", stage).drop("__first").where(F.col("turn").isNotNull())
+    return queued.orderBy("turn", draw(seed, key), key)
+
+
 def apportioned(groups: DataFrame, name: str, area: str, total: int, least: int = 0, capacity: str | None = None) -> DataFrame:
     """Whole shares of ``total`` by area, ``least`` to each and none over its capacity, by largest remainders.
 

@@ -142,3 +142,41 @@ def issue_set(t: Tables) -> DataFrame:
     """A trial of sixty sites that are in no set so far."""
     earlier = t.orders.where("o_orderpriority = '1-URGENT'").select(F.lit("urgent").alias("set"), F.col("o_custkey").alias("c_custkey"))
     return samples.issued(t.customer, "c_custkey", earlier, "trial", 60, 8)
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('17|'||o_orderkey), o_orderkey) AS r FROM orders),
+p AS (SELECT o_orderkey, o_orderstatus FROM r WHERE r <= CASE o_orderstatus WHEN 'F' THEN 30 WHEN 'O' THEN 40 WHEN 'P' THEN 20 ELSE 0 END),
+c AS (SELECT o_orderkey, 'control' AS o_orderstatus FROM p WHERE o_orderstatus IN ('F','O') ORDER BY md5('18|'||o_orderkey), o_orderkey LIMIT 15)
+SELECT *, false AS control FROM p UNION ALL SELECT *, true FROM c""")
+def quotas_with_controls(t: Tables) -> DataFrame:
+    return samples.quotas_with_controls(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", {"F": 30, "O": 40, "P": 20}, ["F", "O"], 15, 17)
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents WHERE n_chars > 300),
+y AS (SELECT * FROM d WHERE labelled ORDER BY md5('30|'||doc_id), doc_id LIMIT 60), n AS (SELECT *, row_number() OVER (ORDER BY md5('30|'||doc_id), doc_id) AS r FROM d WHERE NOT labelled),
+c AS (SELECT * FROM d ORDER BY md5('31|'||doc_id), doc_id LIMIT 10)
+SELECT *, false AS control FROM y UNION ALL SELECT doc_id, labelled, false FROM n WHERE r <= 90 - (SELECT count(*) FROM y) UNION ALL SELECT *, true FROM c""")
+def labelled_and_not(t: Tables) -> DataFrame:
+    """A hundred documents that pass a gate: ten controls, and of the others two thirds labelled."""
+    known = t.labels.select("doc_id").distinct().withColumn("labelled", F.lit(True))
+    passed = t.documents.where("n_chars > 300").select("doc_id").join(known, "doc_id", "left")
+    return samples.labelled_and_not(passed, "labelled", "doc_id", 100, 10, 30)
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus, CAST(CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) THEN 0 WHEN o_orderstatus='P' THEN 1 WHEN o_orderstatus='O' THEN 2 ELSE 3 END AS INTEGER) AS turn
+FROM orders WHERE o_orderstatus IN ('P','O','F') OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)""")
+def label_queue(t: Tables) -> DataFrame:
+    """Orders to be labelled: those of large lines first, then by status, each shuffled."""
+    gold = t.lineitem.where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey"))
+    return samples.label_queue(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", ["P", "O", "F"], gold, 29)
+
+
+@query("""
+SELECT c_nationkey, c_custkey, rich FROM (SELECT c_nationkey, c_custkey, c_acctbal >= 0 AS rich, row_number() OVER (PARTITION BY c_nationkey, c_acctbal >= 0 ORDER BY md5('12|'||c_custkey), c_custkey) AS r FROM customer) WHERE r <= 4""")
+def gallery_sample(t: Tables) -> DataFrame:
+    """Four sites of either kind from each nation, for a gallery."""
+    sites = t.customer.select("c_nationkey", "c_custkey", (F.col("c_acctbal") >= 0).alias("rich"))
+    return samples.first_of_each(sites, ["c_nationkey", "rich"], [samples.draw(12, "c_custkey"), F.col("c_custkey")], 4)

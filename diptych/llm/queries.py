@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, jaccard, langid, lines, mixing, quality, sql, substrings, toxicity
+from . import chat, clusters, decontaminate, divergence, html, jaccard, langid, lines, mixing, quality, sql, substrings, toxicity
 from .frames import table
 
 
@@ -62,6 +62,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(marked)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.digest(*clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_html_extract": op2_html_extract,
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": sql.SUBSTRINGS,
     "op9_quality_rules": sql.QUALITY,
     "op10_decontaminate": sql.DECONTAMINATION,
+    "op11_source_divergence": sql.DIVERGENCE,
+    "op12_centroid_clusters": sql.CLUSTERING,
 }

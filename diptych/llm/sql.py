@@ -91,3 +91,40 @@ h AS (SELECT doc_id, i, x.size, item_id FROM x JOIN v USING (size, g)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i+size)) AS p FROM h) GROUP BY 1),
 t AS (SELECT doc_id, count(item) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang,'') AS lang, coalesce(source,'') AS source, regexp_extract_all(translate(coalesce(text,''), '{_UPPER}', '{_LOWER}'), '{_LETTERS}') AS w FROM documents),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM (SELECT DISTINCT r, lang, term FROM x) GROUP BY 1, 2 HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS c FROM x JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, CAST(1 + (CAST(1000000000 AS HUGEINT)*(coalesce(c.c, 0)+1)) // (coalesce(n.n, 0)+v.v) AS HUGEINT) AS p
+ FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang=g.lang AND n.source=g.source LEFT JOIN c ON c.lang=g.lang AND c.source=g.source AND c.term=k.term),
+q AS (SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT)*(c+1)) // (sum(c) OVER (PARTITION BY lang) + v) AS HUGEINT) AS q FROM (SELECT lang, term, sum(c) AS c FROM p GROUP BY 1, 2) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p-b.p)*(a.p-b.p)//b.p) AS value FROM p a JOIN p b ON a.lang=b.lang AND a.term=b.term AND a.source<>b.source GROUP BY 1, 2, 3),
+o AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value FROM g JOIN g h ON g.lang=h.lang AND g.source<>h.source LEFT JOIN s ON s.lang=g.lang AND s.source=g.source AND s.item=h.source
+ UNION ALL SELECT p.lang, source, 'term', p.term, (p-q)*(p-q)//q FROM p JOIN q ON p.lang=q.lang AND p.term=q.term WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o) WHERE part='pair' OR rank <= 200"""
+
+
+def _clustering(rounds: int, centroids: int, components: int) -> str:
+    """The rounds one after another: a{k} has each vector's cluster and distance, c{k} the centroids before round k."""
+    out = [
+        f"v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE)*256) AS BIGINT)) AS v FROM embeddings WHERE len(embedding)={components} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))={components})",
+        f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS INTEGER) AS cluster, v AS c FROM v QUALIFY cluster < {centroids})",
+    ]
+    for k in range(rounds + 1):
+        out.append(f"e{k} AS MATERIALIZED (SELECT r, vec_id, v, cluster, CAST(list_sum(list_transform(range(1, {components + 1}), lambda i: (v[i]-c[i])*(v[i]-c[i]))) AS BIGINT) AS distance FROM v, c{k})")
+        out.append(f"a{k} AS MATERIALIZED (SELECT * FROM e{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)")
+        if k < rounds:
+            out.append(f"m{k} AS (SELECT cluster, list(CAST(floor(s/n) AS BIGINT) ORDER BY i) AS c FROM (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, {components + 1})) AS i) GROUP BY 1, 2) GROUP BY 1)")
+            out.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} ON m{k}.cluster = c{k}.cluster)")
+    last = f"SELECT vec_id, a.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster"
+    return f"WITH {', '.join(out)} {last}"
+
+
+CLUSTERING = _clustering(5, 40, 64)

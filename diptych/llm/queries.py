@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, clusters, decontaminate, divergence, html, jaccard, langid, lines, mixing, quality, sql, substrings, toxicity
+from . import chat, clusters, decontaminate, divergence, hidden, html, jaccard, langid, lines, mixing, quality, sql, substrings, toxicity
 from .frames import table
 
 
@@ -70,6 +70,11 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.digest(*clusters.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hidden.score(table(spark, sf_dir, "documents").select("doc_id", "text"), "crc32(cast(doc_id as string)) % 7 <> 2", keep=["doc_id"])
+    return out.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_html_extract": op2_html_extract,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_source_divergence": op11_source_divergence,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_hidden_markov": op13_hidden_markov,
 }
 
 ORACLE_SQL: dict[str, str] = {

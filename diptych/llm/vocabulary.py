@@ -58,7 +58,7 @@ def encoded(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Encoded:
     return Encoded(found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(starts, offsets))
 
 
-def _bytes_of(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     terms = terms.cast(pa.large_string())
     _, ends, data = terms.buffers()
     at = np.frombuffer(ends, np.int64)[terms.offset : terms.offset + len(terms) + 1] if len(terms) else np.zeros(1, np.int64)
@@ -66,7 +66,7 @@ def _bytes_of(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(terms: pa.Array, seed: int) -> np.ndarray:
-    data, at = _bytes_of(terms)
+    data, at = bytes_of(terms)
     with np.errstate(over="ignore"):
         return keyed(data[at[0] : at[-1]], at[:-1] - at[0], at[1:] - at[0], seed)
 

@@ -30,7 +30,7 @@ SCALE = 1_000_000_000
 #: Terms and term bytes of a shard, about; of a block of shards, which is broadcast, at most (a shard at least).
 SHARD_TERMS, SHARD_BYTES, BLOCK_TERMS, BLOCK_BYTES = 4096, 1 << 20, 2_000_000, 64 << 20
 #: Slots that a task's groups have together before it sends its counts.
-MOST_CELLS = 1 << 24
+MOST_CELLS = 1 << 23
 #: Sources times slots of a range, about.
 RANGE_CELLS = 1 << 18
 

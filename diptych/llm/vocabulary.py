@@ -20,7 +20,7 @@ from .words import LOWER, keyed, mix
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 4 << 20
 
 #: Places for each key in a bit array, and arrays before a shard's keys are hashed anew.
 _ROOM, _MOST_LEVELS, _MOST_SEEDS = 2, 64, 16

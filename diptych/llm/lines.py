@@ -7,9 +7,12 @@ code points.  Pairs that meet are verified with a bit-parallel edit distance ove
 
 First only the lower halves of the signatures' hashes meet, to tell which of them occur twice; lines without such a
 signature, most of a corpus, go no further.  Equal lines become one class, so a line of all documents is one row from then
-on.  Only classes that share a signature are compared: those of a hot signature are dealt into blocks, and each pair of blocks
-is a task's work.  A pair counts where its smallest shared signature is.  What leaves a task is a count for each class, never
-a pair.
+on.  Only classes that share a signature are compared, and a pair counts where its smallest shared signature is.
+
+A signature of more than ``block`` lines (those made from one template share whole segments) is hot: its segment is cut out of
+its lines, and as k edits must also make the rest of one of the rest of the other, the rests are cut into segments and meet
+in turn, until groups are small or nothing is left but what differs.  So lines of one template cost a few rows each, and
+only those whose other parts meet, too, are compared.  Pairs that are found so, which are near ones only, are made distinct.
 
 Lines too short for edits to mean anything take part by their whole hash alone: it meets as a signature does, and makes
 them a class, but no cell.
@@ -17,6 +20,8 @@ them a class, but no cell.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +35,8 @@ from .words import keyed, mix, new_key, powers, slices
 
 #: Edits between lines that count as one, code points from which edits are allowed, and from which equal lines are dropped.
 EDITS, LEAST_CHARS, SHORTEST_CHARS = 2, 20, 1
-#: Texts of a signature that a task compares with as many.
-BLOCK = 256
+#: Texts of a signature up to which all are compared with each other; beyond it their rests are looked at.
+BLOCK = 64
 
 ADDED = ("n_lines", "n_dropped", "n_near", "n_links")
 
@@ -81,10 +86,11 @@ class Lines:
     def text(self, k: int) -> str:
         return self.points[self.start[k] : self.stop[k]].tobytes().decode("utf-32-le")
 
-    def signatures(self, rows: np.ndarray, edits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the lines in rows: their segments' signatures (a row each), and those that they probe (with 0 for none)."""
+    def segments(self, rows: np.ndarray, edits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Of the lines in rows, a column for each substring that they probe: its signature (0 for none), place and size; and
+        the columns of their own segments."""
         start, length = self.start[rows], self.length[rows]
-        own, probes = [], []
+        probes, places, sizes, own = [], [], [], []
         for less in range(edits + 1):
             of = length - less
             short, longer = of // (edits + 1), of % (edits + 1)
@@ -97,10 +103,18 @@ class Lines:
                     fits = (place >= 0) & (place + size <= length) & (of >= least)
                     place = np.where(fits, place, 0)
                     found = np.where(fits, mix(self.of(start + place, start + np.where(fits, place + size, 0)) ^ mix(tag)), np.uint64(0))
-                    probes.append(found)
                     if not less and not shift:
-                        own.append(found)
-        own, probes = np.array(own).T.reshape(len(rows), edits + 1), np.array(probes).T.reshape(len(rows), len(probes))
+                        own.append(len(probes))
+                    probes.append(found)
+                    places.append(place)
+                    sizes.append(size)
+        return (*(np.array(x).T.reshape(len(rows), len(probes)) for x in (probes, places, sizes)), own)
+
+    def signatures(self, rows: np.ndarray, edits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the lines in rows: their segments' signatures (a row each), and those that they probe (with 0 for none)."""
+        length = self.length[rows]
+        probes, _, _, at = self.segments(rows, edits, least)
+        own = probes[:, at]
         # A line under ``least`` meets its equals only, by its hash in place of segments.
         under = length < least
         whole = mix(self.hash[rows[under]] ^ _K2)
@@ -108,6 +122,43 @@ class Lines:
         return own, probes
 
 
+class Rests(Lines):
+    """Texts as they are, each one line: what is left of lines when segments are cut out."""
+
+    def __init__(self, texts: list[str]):
+        self.points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.stop = np.cumsum(self.length)
+        self.start, self.hash = self.stop - self.length, np.zeros(len(texts), np.uint64)
+        n = len(self.points)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((self.points.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self.sums[1:])
+        self.inverse = powers(pow(_BASE, -1, 1 << 64), n + 1)
+
+
+def _rests(batch: pa.RecordBatch, edits: int, least: int, first: bool) -> pa.RecordBatch:
+    """Rows (path, hash, own, rest) of those of hot paths: for each segment of a text its path, and the text without it.
+
+    ``first``: the texts are whole lines, and only segments whose signature is the row's path are cut out, which keeps the
+    path.  Else all are, and the path goes on with each one's signature.  A text that only probes owns no segment.
+    """
+    paths, own, texts = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()
+    part = Rests(texts)
+    with np.errstate(over="ignore"):
+        found, place, size, mine = part.segments(np.arange(len(texts)), edits, least)
+        row, column = np.nonzero(found == paths[:, None] if first else found != 0)
+        path = paths[row] if first else mix(paths[row] ^ mix(found[row, column]))
+    is_own = own[row] & np.isin(column, mine)
+    rests = [texts[r][:a] + texts[r][a + n :] for r, a, n in zip(row.tolist(), place[row, column].tolist(), size[row, column].tolist(), strict=True)]
+    # Of equal rows of a text the one of its own is kept.
+    once: dict[tuple, bool] = {}
+    for r, p, o, rest in zip(row.tolist(), path.view(np.int64).tolist(), is_own.tolist(), rests, strict=True):
+        once[r, p, rest] = once.get((r, p, rest), False) or o
+    hashes = batch.column(1).to_pylist()
+    columns = [pa.array([p for _, p, _ in once], pa.int64()), pa.array([hashes[r] for r, _, _ in once], pa.int64()), pa.array(list(once.values()), pa.bool_()), pa.array([t for _, _, t in once], pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["path", "hash", "own", "rest"])
+
+
 def _lines(table: pa.Table, least: int, key: int):
     for i, j, data, offsets in slices(table.column("text")):
         yield i, j, data, offsets, Lines(data, offsets, least, key)
@@ -166,22 +217,51 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 class Meetings:
-    """Lines with their signatures, to tell which pairs that meet at a signature are near and are counted there."""
+    """Lines with their signatures, to tell which pairs that meet are near, and at which signature they are counted."""
 
     def __init__(self, lines: list[str], edits: int, least: int):
-        data = "".join(lines).encode()
-        part = Lines(np.frombuffer(data, np.uint8), np.r_[0, np.cumsum([len(x.encode()) for x in lines])], least)
-        own, probes = part.signatures(np.arange(len(part.doc)), edits, least)
-        self.lines, self.edits = lines, edits
-        self.own = dict(zip(part.doc.tolist(), map(frozenset, own.tolist()), strict=True))
-        self.probes = dict(zip(part.doc.tolist(), (frozenset(row) - {0} for row in probes.tolist()), strict=True))
-
-    def near(self, signature: int, x: int, y: int) -> bool:
-        """Whether lines x and y are within the edits, and this is the smallest signature at which they meet."""
-        if abs(len(self.lines[x]) - len(self.lines[y])) > self.edits:
-            return False
-        shared = self.own[x] & self.probes[y] | self.own[y] & self.probes[x]
-        return min(shared, default=-1) == signature and within(self.lines[x], self.lines[y], self.edits)
+        part = Rests(lines)
+        self.own, self.probes = part.signatures(np.arange(len(lines)), edits, least)
+        self.lines, self.edits, self.length = lines, edits, part.length
+        # Numbers of code points by their last five bits: an edit changes two of them by one at most.
+        self.bins = np.zeros((len(lines), 32), np.int32)
+        np.add.at(self.bins, (np.repeat(np.arange(len(lines)), part.length), part.points % 32), 1)
+
+    def shared(self, x: int, y: int) -> set[int]:
+        """The signatures at which lines x and y meet."""
+        one, two = (set(self.own[k].tolist()) & set(self.probes[other].tolist()) for k, other in ((x, y), (y, x)))
+        return (one | two) - {0}
+
+    def may_be_near(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of the other lines have lengths and numbers of code points that the edits can explain."""
+        return (np.abs(self.length[others] - self.length[x]) <= self.edits) & (np.abs(self.bins[others] - self.bins[x]).sum(1) <= 2 * self.edits)
+
+    def near(self, x: int, y: int) -> bool:
+        return within(self.lines[x], self.lines[y], self.edits)
+
+
+def _met(table: pa.Table, edits: int, least: int):
+    """The near pairs of each group (group, i, j: a pair of blocks): the group, both rows, and the signatures that they share
+    and that are not hot."""
+    group, i, j, hashes = (table.column(c).to_pylist() for c in ("group", "i", "j", "hash"))
+    place, own = table.column("place").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
+    hot = [{h & ((1 << 64) - 1) for h in x or ()} for x in table.column("hot").to_pylist()]
+    # Lines are the same in all rows of a hash.
+    index: dict[int, int] = {}
+    line_of = np.array([index.setdefault(h, len(index)) for h in hashes], np.int64)
+    texts = dict(zip(line_of.tolist(), table.column("line").to_pylist(), strict=True))
+    meetings = Meetings([texts[k] for k in range(len(index))], edits, least)
+    groups: dict[tuple, list[int]] = {}
+    for k, name in enumerate(zip(group, i, j, strict=True)):
+        groups.setdefault(name, []).append(k)
+    for (name, one, two), rows in groups.items():
+        rows = np.array(rows)
+        for x in rows[own[rows]].tolist():
+            # Of two owners the pair is taken once; of two blocks only pairs across them.
+            ys = rows[(line_of[rows] != line_of[x]) & ~(own[rows] & (rows < x)) & ((one == two) | (place[rows] != place[x]))]
+            for y in ys[meetings.may_be_near(line_of[x], line_of[ys])].tolist():
+                if meetings.near(line_of[x], line_of[y]):
+                    yield name, x, y, meetings.shared(line_of[x], line_of[y]) - hot[x]
 
 
 def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
@@ -277,39 +357,61 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
 
     signed = checkpointed(texts.select("hash", "line").mapInArrow(sign, "hash long, signature long, own boolean"))
     live = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("met")).where("size > 1 and met").drop("met")
-    met = looked_up(signed, live, "signature", "size", signed.count()).join(texts.select("hash", "owner.id", "owner.number", "line"), "hash")
+    met = checkpointed(looked_up(signed, live, "signature", "size", signed.count()))
+    hot = met.where(F.col("size") > block).groupBy("hash").agg(F.collect_set("signature").alias("hot"))
+    known = texts.select("hash", "owner.id", "owner.number", "line").join(hot, "hash", "left")
+
+    def cut_out(first: bool):
+        def work(batches):
+            for batch in batches:
+                yield _rests(batch, edits, least if first else 0, first)
+
+        return work
+
+    # The lines of hot signatures, cut and met again until groups are small or their owners' rests are no longer than the edits.
+    shape = "path long, hash long, own boolean, rest string"
+    open_ = met.where(F.col("size") > block).join(texts.select("hash", "line"), "hash").select(F.col("signature").alias("path"), "hash", "own", "line")
+    open_, leaves = checkpointed(open_.mapInArrow(cut_out(True), shape)), []
+    while not open_.isEmpty():
+        rows = checkpointed(open_.mapInArrow(cut_out(False), shape))
+        again = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("met"), F.max(F.when(F.col("own"), F.length("rest"))).alias("left")).where("size > 1 and met")
+        found = checkpointed(looked_up(rows, again, "path", "size", rows.count()))
+        small = (F.col("size") <= block) | (F.col("left") <= edits)
+        leaves.append(found.where(small).groupBy(F.col("path").alias("group"), "hash").agg(F.max("own").alias("own"), F.max("size").alias("size")))
+        open_ = found.where(~small).select("path", "hash", "own", "rest")
+
+    def late(table: pa.Table, x: int, y: int) -> int:
+        ids, numbers = table.column("id"), table.column("number")
+        return x if (ids[x].as_py(), numbers[x].as_py()) > (ids[y].as_py(), numbers[y].as_py()) else y
 
     def compare(table: pa.Table) -> pa.Table:
-        names = ("signature", "i", "j", "place", "own", "hash", "id", "number")
-        signature, i, j, place, own, hashes, ids, numbers = (table.column(c).to_pylist() for c in names)
-        # Lines are the same in all rows of a hash.
-        index: dict[int, int] = {}
-        line_of = [index.setdefault(h, len(index)) for h in hashes]
-        texts = dict(zip(line_of, table.column("line").to_pylist(), strict=True))
-        meetings = Meetings([texts[k] for k in range(len(index))], edits, least)
-        groups: dict[tuple, list[int]] = {}
-        for k, name in enumerate(zip(signature, i, j, strict=True)):
-            groups.setdefault(name, []).append(k)
-        out: dict[int, list[int]] = {}
-        for (s, one, two), ks in groups.items():
-            at = s & ((1 << 64) - 1)
-            owners = [k for k in ks if own[k]]
-            for x in owners:
-                for y in ks:
-                    # Of two owners the pair is taken once; of two blocks only pairs across them.
-                    if x == y or own[y] and y < x or one != two and place[x] == place[y]:
-                        continue
-                    if meetings.near(at, line_of[x], line_of[y]):
-                        late = x if (ids[x], numbers[x]) > (ids[y], numbers[y]) else y
-                        for k in (x, y):
-                            told = out.setdefault(hashes[k], [0, 0])
-                            told[0] += 1
-                            told[1] |= k == late
+        hashes, out = table.column("hash").to_pylist(), {}
+        for signature, x, y, shared in _met(table, edits, least):
+            if min(shared) == signature & ((1 << 64) - 1):
+                later = late(table, x, y)
+                for k in (x, y):
+                    told = out.setdefault(hashes[k], [0, 0])
+                    told[0] += 1
+                    told[1] |= k == later
         return _table([(h, *v) for h, v in out.items()], hash=pa.int64(), links=pa.int64(), late=pa.int32())
 
+    def compare_rests(table: pa.Table) -> pa.Table:
+        hashes, out = table.column("hash").to_pylist(), {}
+        for _, x, y, shared in _met(table, edits, least):
+            # Pairs that share a signature that is not hot are counted there.
+            if not shared:
+                out[min(hashes[x], hashes[y]), max(hashes[x], hashes[y])] = hashes[late(table, x, y)]
+        return _table([(*k, v) for k, v in out.items()], one=pa.int64(), two=pa.int64(), late=pa.int64())
+
     # Work goes with the square of a group, not with bytes, so the number of tasks is set here and not by bytes.
-    units = paired(met, "signature", "hash", "size", block, 4 * n.buckets).repartition(n.buckets, "unit")
-    ends = units.groupBy("unit").applyInArrow(compare, "hash long, links long, late int")
+    def dealt(groups: DataFrame) -> DataFrame:
+        return paired(groups.join(known, "hash"), "group", "hash", "size", block, 4 * n.buckets).repartition(n.buckets, "unit").groupBy("unit")
+
+    ends = dealt(met.where(F.col("size") <= block).withColumnRenamed("signature", "group")).applyInArrow(compare, "hash long, links long, late int")
+    if leaves:
+        pairs = dealt(reduce(DataFrame.unionByName, leaves)).applyInArrow(compare_rests, "one long, two long, late long").groupBy("one", "two").agg(F.max("late").alias("late"))
+        each = F.explode(F.array("one", "two")).alias("hash")
+        ends = ends.unionByName(pairs.select(each, "late").select("hash", F.lit(1).cast("long").alias("links"), (F.col("late") == F.col("hash")).cast("int").alias("late")))
     ends = ends.groupBy("hash").agg(F.max("late").alias("late"), F.sum("links").alias("links"))
     told = texts.select("hash", "owner.id", "owner.number").join(ends, "hash", "left")
     told = lines.select("hash", "chunk").join(told, "hash").select("chunk", "hash", "id", "number", F.coalesce("late", F.lit(0)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))

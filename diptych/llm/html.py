@@ -6,7 +6,11 @@ and the block's text (length, links, end punctuation, place).  A chain of two la
 each feature and label and for each pair of neighbouring labels; weights maximise the likelihood of labelled pages.
 
 Labelled pages are of two kinds: a bounded sample of the corpus whose blocks lie inside or outside an ``article`` or
-``main`` element, and pages laid out by ``drawn_page`` in ways that such a sample lacks, with known labels.
+``main`` element, and pages laid out by ``drawn_page`` in ways that such a sample lacks, with known labels.  Each page of the
+sample is learned from twice, the second time without the features that say where these elements are, so that what its text
+and names tell is learned, too.
+
+A ``form`` element round much text and few inputs is a page's wrapper and no form.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ from pyspark.sql import types as T
 
 from .frames import add_columns
 
-#: Bounds of the training set: pages sampled from the corpus by a hash of page_id, blocks used of one, and pages drawn.
-SAMPLE_PAGES, SAMPLE_BLOCKS, DRAWN_PAGES = 150, 200, 400
+#: Bounds of the training set: pages sampled from the corpus by a hash of page_id, and pages drawn.
+SAMPLE_PAGES, DRAWN_PAGES = 150, 500
+#: Long pages are learned from in chains of so many blocks.
+CHAIN = 200
+#: A form has fewer characters of text than this for each of its inputs.
+FORM_CHARS = 100
 
 # Element names by how HTML treats them.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +47,8 @@ _BLOCK = frozenset(
     "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _FRAME = frozenset("html head body hr".split())
+_FIELDS = frozenset("input select textarea button".split())
+_UNSEEN = re.compile(r"\btype\s*=\s*[\"']?hidden", re.I)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _NAME = re.compile(r"[^\s/>]*")
@@ -56,23 +66,31 @@ _KINDS = {
     "frame": "header footer masthead banner site copyright legal bottom top colophon",
     "side": "sidebar aside side rail widget related recommended promo teaser trending popular tags author bio newsletter subscribe signup",
     "ad": "ad ads advert advertisement advertising sponsor sponsored dfp gpt outbrain taboola",
-    "notice": "cookie cookies consent gdpr notice alert modal popup overlay toast privacy warning message",
+    "notice": "cookie cookies consent gdpr notice alert modal popup overlay toast privacy",
     "comment": "comment comments disqus reply replies discussion respond feedback",
     "form": "form search login contact poll survey share social sharing",
     "article": "article content main post entry story body text page paragraph prose wysiwyg",
 }
 _KIND = {word: kind for kind, words in _KINDS.items() for word in words.split()}
+#: Of a name that begins so, what follows says what is elsewhere or how things are shown.
+_STATES = ("has-", "has_", "with-", "no-", "is-", "js-", "hide-", "show-")
+#: What the names of an article's own element may say of it.
+_OF_ARTICLES = frozenset({"comment", "ad", "side", "article", "hidden"})
+_COPYRIGHT = re.compile(r"©|\(c\) |all rights reserved|^copyright\b|\bcopyright\b.{0,12}\d{4}", re.I)
 
 
 @dataclass
 class Block:
-    """A leaf block: its text, the names of the elements open around it, the innermost, what their names say, linked share."""
+    """A leaf block: its text, the names of the elements open around it, the innermost, what their names say, linked share,
+    what the nearest of such names says, and the number of the innermost form."""
 
     text: str
     tags: frozenset[str]
     leaf: str
     kinds: frozenset[str]
     link: float
+    near: frozenset[str] = frozenset()
+    form: int = -1
 
 
 class _Open:
@@ -82,6 +100,9 @@ class _Open:
         self.stack: list[tuple[str, frozenset[str]]] = []
         self.tags: Counter[str] = Counter()
         self.kinds: Counter[str] = Counter()
+        self.named: list[frozenset[str]] = [frozenset()]
+        self.forms: list[int] = [-1]
+        self.inputs: list[int] = []
 
     def top(self) -> str:
         return self.stack[-1][0] if self.stack else "-"
@@ -89,12 +110,26 @@ class _Open:
     def push(self, tag: str, kinds: frozenset[str]) -> None:
         self.stack.append((tag, kinds))
         self.tags[tag] += 1
-        self.kinds.update(kinds)
+        if kinds:
+            self.kinds.update(kinds)
+            self.named.append(kinds)
+        if tag == "form":
+            self.forms.append(len(self.inputs))
+            self.inputs.append(0)
 
     def pop(self) -> None:
         tag, kinds = self.stack.pop()
         self.tags[tag] -= 1
-        self.kinds.subtract(kinds)
+        if kinds:
+            self.kinds.subtract(kinds)
+            self.named.pop()
+        if tag == "form":
+            self.forms.pop()
+
+    def input(self) -> None:
+        """Counts a field for the innermost form."""
+        if self.forms[-1] >= 0:
+            self.inputs[self.forms[-1]] += 1
 
     def close(self, tag: str) -> None:
         """Ends the innermost element of that name and all within it; nothing if none is open."""
@@ -117,11 +152,18 @@ class _Open:
             self.pop()
 
 
-def _kinds(attributes: str) -> frozenset[str]:
-    if "=" not in attributes:
+def _kinds(tag: str, attributes: str) -> frozenset[str]:
+    """What the class, id and role of an element say.  A form is told by its element, and an article by few words."""
+    if "=" not in attributes and "hidden" not in attributes:
         return frozenset()
-    found = {_KIND[w] for m in _NAMES.finditer(attributes) for w in (x.lower() for x in _PARTS.findall(m[1] or m[2] or m[3] or "")) if w in _KIND}
-    return frozenset(found | ({"hidden"} if _HIDDEN.search(attributes) else set()))
+    found = set()
+    for m in _NAMES.finditer(attributes) if tag != "form" else ():
+        for name in (m[1] or m[2] or m[3] or "").split():
+            if not name.lower().startswith(_STATES):
+                found |= {_KIND[w] for w in map(str.lower, _PARTS.findall(name)) if w in _KIND}
+    if _HIDDEN.search(attributes):
+        found.add("hidden")
+    return frozenset(found & _OF_ARTICLES if tag in ("article", "main") else found)
 
 
 class _Reader:
@@ -212,7 +254,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal pieces, linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, frozenset(t for t, k in opened.tags.items() if k), opened.top(), frozenset(t for t, k in opened.kinds.items() if k), min(1.0, linked / len(text))))
+            out.append(Block(text, frozenset(t for t, k in opened.tags.items() if k), opened.top(), frozenset(t for t, k in opened.kinds.items() if k), min(1.0, linked / len(text)), opened.named[-1], opened.forms[-1]))
         pieces, linked = [], 0
 
     def add(raw: str) -> None:
@@ -246,6 +288,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         at = end
         tag, attributes = page[begin:name_end].lower(), page[name_end : end - 1]
+        if not ends and tag in _FIELDS and not _UNSEEN.search(attributes):
+            opened.input()
         if ends:
             if tag == "a":
                 in_link = False
@@ -271,13 +315,13 @@ def blocks(page: str | None) -> list[Block]:
                 pieces.append(" ")
             else:
                 close()
-                opened.push(tag, _kinds(attributes))
+                opened.push(tag, _kinds(tag, attributes))
                 if holds_blocks:
                     opened.push("held", frozenset())
         elif tag in _BLOCK:
             close()
             opened.imply(tag)
-            opened.push(tag, _kinds(attributes))
+            opened.push(tag, _kinds(tag, attributes))
         elif tag in _FRAME:
             close()
         elif tag == "a":
@@ -285,6 +329,13 @@ def blocks(page: str | None) -> list[Block]:
         elif tag in _VOID and tag != "wbr":
             pieces.append(" ")
     close()
+    chars = [0] * len(opened.inputs)
+    for b in out:
+        if b.form >= 0:
+            chars[b.form] += len(b.text)
+    for b in out:
+        if b.form >= 0 and chars[b.form] >= FORM_CHARS * opened.inputs[b.form]:
+            b.tags -= {"form"}
     return out
 
 
@@ -316,15 +367,15 @@ def block_features(page: list[Block]) -> list[list[str]]:
         size = len(text)
         words = text.count(" ") + 1
         own = {f"in {t}" for t in b.tags}
-        own |= {f"is {x}" for x in b.kinds}
+        own |= {f"is {x}" for x in b.kinds} | {f"near {x}" for x in b.near}
         own.add(f"leaf {b.leaf}")
         if not b.tags & {"article", "main"}:
             own |= {f"{t} outside" for t in b.tags & {"header", "p", "div", "section"}} | {"outside"}
         own.add(f"words {min(3, words.bit_length() // 2)}")
         own.add("link all" if b.link > 0.8 else "link some" if b.link > 0.2 else "link none")
         own.add("ends" if text[-1] in _END else "open")
-        if "©" in text or "(c) " in text.lower() or "all rights reserved" in text.lower():
-            own.add("copyright")
+        if _COPYRIGHT.search(text):
+            own.add("copyright" if b.tags & {"article", "main"} else "copyright outside")
         if size < 25 and words <= 4:
             own.add("label")
         out.append(sorted(own))
@@ -358,7 +409,7 @@ def decode(model: Model, features: list[list[str]]) -> list[bool]:
     return out[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 150, rate: float = 0.3, ridge: float = 0.005) -> Model:
+def train(pages: list[tuple[list[list[str]], list[bool]]], rounds: int = 200, rate: float = 0.3, ridge: float = 0.002) -> Model:
     """The weights that maximise the labels' likelihood, by AdaGrad over all pages, with forward and backward sums."""
     pages = [(f, y) for f, y in pages if f]
     if not pages:
@@ -423,13 +474,15 @@ def drawn_page(rng: random.Random) -> tuple[str, list[str]]:
         return f'<{tag}{rng.choice(["", " "]) and f" class={chr(34)}{rng.choice(names)}{chr(34)}" or ("" if tag != "div" else f" class={chr(34)}{rng.choice(names)}{chr(34)}")}>{inside}</{tag}>'
 
     menu = boxed(["nav", "div"], ["menu", "navbar", "main-nav", "breadcrumbs"], listed(rng.randint(3, 8)))
+    aside = f"<aside{rng.choice(['', ' class=related', ' class=note-box'])}>{rng.choice(['', f'<h3>{words(1, 3)}</h3>'])}<p>{sentence(3, 25)}</p></aside>"
     head = boxed(["header", "div"], ["site-header", "masthead", "topbar"], f"<a href='/'>{words(1, 2)}</a><p>{sentence(3, 9)}</p>" + rng.choice(["", menu]))
     side = boxed(["aside", "div"], ["sidebar", "widget", "related-posts", "newsletter"], f"<h3>{words(1, 3)}</h3>" + rng.choice([listed(4), f"<p>{sentence()}</p>"]))
     advert = boxed(["div"], ["ad", "advert banner", "sponsored", "ads-box"], rng.choice([sentence(3, 15), f"<p>{sentence(3, 25)}</p>"]))
     cookie = boxed(["div", "section"], ["cookie-notice", "consent", "gdpr modal"], f"<p>{sentence()}</p><button>OK</button>")
     form = f"<form class='{rng.choice(['search', 'login', 'newsletter'])}'><label>{words(1, 3)}</label><input name=q><p>{sentence(3, 12)}</p></form>"
     talk = boxed(["section", "div"], ["comments", "comment-list", "disqus"], f"<h2>{words(1, 2)}</h2>" + "".join(rng.choice([f'<div class="comment"><p>{sentence(4, 40)}</p></div>', f"<article class='comment'><p>{sentence(4, 40)}</p></article>"]) for _ in range(rng.randint(1, 4))))
-    foot = boxed(["footer", "div"], ["footer", "site-footer", "copyright"], f"&copy; {words(1, 2)} &middot; {sentence(3, 12)}")
+    rights = f"{rng.choice(['&copy;', 'Copyright', 'Copyright &copy;', '(c)'])} {rng.randint(1998, 2026)} {words(1, 2)}"
+    foot = rng.choice([boxed(["footer", "div"], ["footer", "site-footer", "copyright"], f"&copy; {words(1, 2)} &middot; {sentence(3, 12)}"), boxed(["footer", "div"], ["footer", "bottom"], rights), f"<div>{rights}{rng.choice(['', '. All rights reserved.'])}</div>"])
     share = boxed(["div"], ["share", "social-links", "tags"], listed(3))
     # Some pages are bare.
     often = rng.choice([0.0, 0.2, 0.5, 0.5, 0.5])
@@ -447,6 +500,12 @@ def drawn_page(rng: random.Random) -> tuple[str, list[str]]:
         shown = text if rng.random() < 0.8 else f'<b>{text}</b>' if rng.random() < 0.5 else " ".join([f"<a href='x'>{text.split()[0]}</a>", *text.split()[1:]])
         shown = f"<ul><li>{shown}</ul>" if tag == "li" else f"<{tag}>{shown}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>")
         body += f"<header>{shown}</header>" if tag == "h1" and rng.random() < 0.4 else f"<section>{shown}</section>" if rng.random() < 0.15 else shown
+        if rng.random() < 0.2:
+            body += aside
+        elif rng.random() < 0.07:
+            # A note that belongs to the text.
+            article.append(sentence(4, 25))
+            body += f'<div class="{rng.choice(["warning", "note", "message", "tip", "info-box"])}">{rng.choice(["{}", "<p>{}</p>"]).format(article[-1])}</div>'
         if rng.random() < 0.2:
             body += rng.choice([advert, share, side, f"<button>{words(1, 2).capitalize()}", f"<button>{words(1, 2)}", f"<button><div>{words(1, 4)}</div></button>", f"<select><option>{words(1, 1)}<option>{words(1, 2)}", f"<form><p>{sentence(2, 9)}</p><select><option>{words(1, 1)}</select></form>", f"<template><p>{sentence()}</p></template>", f"<noscript><p>{sentence(3, 9)}</p></noscript>"])
     holder = rng.choice(["article", "article", "main", "main article", "div", "div"]) if often else rng.choice(["article", "main", "div", ""])
@@ -455,14 +514,14 @@ def drawn_page(rng: random.Random) -> tuple[str, list[str]]:
     elif not holder:
         body = f"{body}{rng.choice(['', talk])}"
     elif holder == "main article":
-        body = f"<main><article>{body}</article>{rng.choice(['', talk, side])}</main>"
+        body = f"<main><article{rng.choice(['', ' class=message', ' class=%spost has-comments no-sidebar%s' % (chr(34), chr(34))])}>{body}</article>{rng.choice(['', talk, side])}</main>"
     else:
         body = f"<{holder}>{body}{rng.choice(['', '', talk, share])}</{holder}>"
     before = [x for x in (head, menu, cookie, advert, form, side) if rng.random() < often]
     after = [x for x in (share, side, advert, talk, form, cookie) if rng.random() < 0.7 * often] + [foot] * (rng.random() < 1.7 * often)
     rng.shuffle(before)
     rest = "".join(before), "".join(after)
-    wrap = rng.choice(["{}", '<div class="container">{}</div>', '<div id="page" class="wrapper">{}</div>'])
+    wrap = rng.choice(["{}", '<div class="container">{}</div>', '<div id="page" class="wrapper">{}</div>', '<form id="aspnetForm" method="post"><input type="hidden" name="state">{}</form>'])
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style></head><body>" + wrap.format(f"{rest[0]}{lead}{body}{rest[1]}") + rng.choice(["</body></html>", ""]), article
 
 
@@ -480,12 +539,25 @@ def by_structure(page: str) -> tuple[list[list[str]], list[bool]] | None:
     """A page's features with labels by its markup, where it has an article or main element that holds text."""
     if not re.search(r"<(article|main)\b", page, re.I):
         return None
-    found = blocks(page)[:SAMPLE_BLOCKS]
+    found = blocks(page)
     outside = {"nav", "aside", "footer", "form", "button", "select", "template", "noscript"}
     marks = [bool({"article", "main"} & b.tags) and not outside & b.tags and not b.kinds - {"article"} for b in found]
     return (block_features(found), marks) if any(marks) else None
 
 
+_PLACE = re.compile(r"in (article|main)$|.*outside$")
+
+
+def without_place(page: list[list[str]]) -> list[list[str]]:
+    """The features but those that say where article and main elements are."""
+    return [[f for f in own if not _PLACE.match(f)] for own in page]
+
+
+def chains(page: list[list[str]], marks: list[bool]) -> list[tuple[list[list[str]], list[bool]]]:
+    """A page in chains of bounded length, so that a long one has as many as it takes."""
+    return [(page[k : k + CHAIN], marks[k : k + CHAIN]) for k in range(0, len(page), CHAIN)]
+
+
 def fit(pages: DataFrame, seed: int = 3) -> Model:
     """The model of a bounded sample of the pages and of drawn ones; tasks read the sample, the driver gets its features."""
     order = F.xxhash64(F.lit(seed), "page_id")
@@ -502,7 +574,8 @@ def fit(pages: DataFrame, seed: int = 3) -> Model:
     read_rows = sample.mapInArrow(read, "order long, told string").orderBy("order", "told").limit(SAMPLE_PAGES).collect()
     rng = random.Random(seed)
     drawn = [labelled(*drawn_page(rng)) for _ in range(DRAWN_PAGES)]
-    return train(drawn + [tuple(json.loads(r["told"])) for r in read_rows if r["told"]])
+    told = [tuple(json.loads(r["told"])) for r in read_rows if r["told"]]
+    return train([c for page, marks in [*drawn, *told, *((without_place(page), marks) for page, marks in told)] for c in chains(page, marks)])
 
 
 def main_text(page: str | None, model: Model) -> str:

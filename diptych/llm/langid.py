@@ -10,10 +10,10 @@ narrow or there is no letter.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,16 +30,19 @@ BLOCK_BYTES = 1 << 10
 #: A margin under this rejects.
 MARGIN = 0.002
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: All but letters and the marks that belong to them, so that numerals such as ``²`` are no letters and vowel signs stay in words.
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 _FILLER = b"0" * 64
 
 _ADDED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
 
 def normal(text: str | None) -> bytes:
-    """The text in lower case with single spaces for all but letters; empty if it has no letter."""
-    words = _OTHER.sub(" ", (text or "").lower()).strip()
-    return f" {words} ".encode() if words else b""
+    """The text in lower case with single spaces for all but letters and marks; empty if it has no letter."""
+    text = text or ""
+    if not _LETTER.search(text):
+        return b""
+    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
 
 
 def stretch(text: str | None, size: int, draw: int) -> bytes:

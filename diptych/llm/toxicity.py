@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded text.
 
 Folding lowers letters, takes off accents, maps look-alikes of other scripts to Latin letters, and digits and signs that
-stand for letters inside words to those letters; everything but letters then separates words.  The lexicon is learned from
+stand for letters inside words to those letters; everything but letters then separates words.  Such signs at a word's end may
+as well be punctuation, so the word that they would make of it is told beside it, and counts if the lexicon has it.  The
+lexicon is learned from
 labelled documents: a word's weight is how much likelier toxic documents are to have it.  Phrases of a lexicon word and a
 neighbour that only clean documents have are exceptions; a match of one takes the word's weight back.  What a document
 collects, as it is and for its length, is turned into a probability by a logistic model of the same labels.
@@ -53,16 +55,31 @@ def _table() -> dict[int, str]:
 _FOLD = _table()
 _INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!|€+9]+(?=[^\W\d_])")
 _START = re.compile(r"(?<![^\W_])[0134578@$!|€+9](?=[^\W\d_]{2})")
+_END = re.compile(r"([^\W\d_]+)([0134578@$!|€+9]+)(?![^\W_])")
 _OTHER = re.compile(r"[\W\d_]+")
 _SUBSTITUTES = _DIGITS | _SIGNS
 
 
-def folded(text: str | None) -> str:
-    """The text's words of letters, folded, each between single spaces."""
+#: Parts the text's words from those that signs at their ends would make.
+_BESIDE = "\n"
+
+
+def _substituted(text: str | None) -> str:
     text = (text or "").lower().translate(_FOLD)
     text = _INSIDE.sub(lambda m: "".join(_SUBSTITUTES[c] for c in m[0]), text)
-    text = _START.sub(lambda m: _SUBSTITUTES[m[0]], text)
-    return f" {_OTHER.sub(' ', text).strip()} "
+    return _START.sub(lambda m: _SUBSTITUTES[m[0]], text)
+
+
+def folded(text: str | None) -> str:
+    """The text's words of letters, folded, each between single spaces."""
+    return f" {_OTHER.sub(' ', _substituted(text)).strip()} "
+
+
+def told(text: str | None) -> str:
+    """The folded text, and behind _BESIDE, if any of its words has signs at its end, the words that these would make."""
+    text = _substituted(text)
+    beside = [m[1] + "".join(_SUBSTITUTES[c] for c in m[2]) for m in _END.finditer(text)]
+    return f" {_OTHER.sub(' ', text).strip()} " + (f"{_BESIDE} {' '.join(beside)} " if beside else "")
 
 
 @dataclass(frozen=True)
@@ -87,13 +104,13 @@ class Model:
 
 def features(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[float, float, float]:
     """Whether anything is matched, the sum of weights, and the sum for the text's length, both as logarithms."""
-    return measures(folded(text), automaton)
+    return measures(told(text), automaton)
 
 
 def measures(words: str, automaton: ahocorasick.Automaton | None) -> tuple[float, float, float]:
-    """The features of a folded text."""
+    """The features of a text as ``told``."""
     total = max(0.0, sum(w for _, w in automaton.iter(words))) if automaton else 0.0
-    return float(total > 0), math.log1p(total), math.log1p(100 * total / (words.count(" ") + 20))
+    return float(total > 0), math.log1p(total), math.log1p(100 * total / (words.partition(_BESIDE)[0].count(" ") + 20))
 
 
 def probability(x: tuple[float, float, float], coefficients: tuple[float, ...]) -> float:
@@ -122,13 +139,13 @@ def fit(documents: DataFrame, labels: DataFrame, train: str = "true") -> Model:
     chosen = labels.where(F.expr(f"toxic is not null and doc_id is not null and ({train})")).select("doc_id", "toxic")
     total = chosen.count()
     if total > SAMPLE:
-        chosen = chosen.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / total))
+        chosen = chosen.where(F.xxhash64(F.lit(5), "doc_id").cast("double") < (2.0 * SAMPLE / total - 1) * 2.0**63)
     # The sample's ids are bounded, so they go to the documents.  The sample is folded once and kept, as it is read several times.
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
     def fold(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"words": pa.array([folded(x.as_py()) for x in batch.column("text")], pa.string())}
+        return {"words": pa.array([told(x.as_py()) for x in batch.column("text")], pa.string())}
 
     known = checkpointed(add_columns(sample, T.StructType([T.StructField("words", T.StringType())]), fold, ["toxic"]))
     sides = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -136,7 +153,7 @@ def fit(documents: DataFrame, labels: DataFrame, train: str = "true") -> Model:
     if not bad + good:
         return Model({}, {}, (-3.0, 0.0, 0.0, 0.0))
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    grams = known.select(F.explode(F.array_distinct(F.split(F.trim("words"), " "))).alias("gram"), "toxic").where(F.length("gram") > 2)
+    grams = known.select(F.explode(F.array_distinct(F.split(F.trim("words"), r"[ \n]+"))).alias("gram"), "toxic").where("gram <> ''")
     counts = grams.groupBy("gram").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     lexicon = counts.where(F.col("bad") >= LEAST_DOCUMENTS).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT).select("gram", "weight")
     words = _model_rows(lexicon)
@@ -147,7 +164,7 @@ def fit(documents: DataFrame, labels: DataFrame, train: str = "true") -> Model:
         for batch in batches:
             out: list[tuple[str, str, int]] = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = text.split()
+                tokens = text.partition(_BESIDE)[0].split()
                 found = set()
                 for k, w in enumerate(tokens):
                     if w in held.value:

@@ -118,6 +118,22 @@ def test_lines(spark, small):
         assert sorted((tuple(r) for r in found.select("doc_id", "text", "n_lines", "n_dropped", "n_near", "n_links").collect()), key=lambda r: r[0]) == plain.lines(rows, edits, 20)
 
 
+@pytest.mark.parametrize("block", [2, 8, 64])
+def test_lines_of_one_template(spark, small, block):
+    """Lines that share most of their text: segments that all have are cut out, and the rests meet."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    lines_of = [f"Posted in the news on Monday {word(30)}" for _ in range(40)]
+    lines_of += [f"Page {rng.randrange(40)} of the manual, chapter {rng.randrange(9)}" for _ in range(60)]
+    lines_of += [f"{word(2)}aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa{word(rng.randint(0, 3))}" for _ in range(40)]
+    lines_of += [f"{word(12)} is what they said in the end {word(4)}" for _ in range(20)]
+    lines_of += [x[:k] + rng.choice("xyz") + x[k + rng.randrange(2) :] for x in lines_of[:60] for k in [rng.randrange(len(x))]]
+    rng.shuffle(lines_of)
+    rows = [(k, "\n".join(lines_of[4 * k : 4 * k + 4])) for k in range(len(lines_of) // 4)]
+    found = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA), edits=2, least=20, block=block)
+    assert sorted((tuple(r) for r in found.select("doc_id", "text", "n_lines", "n_dropped", "n_near", "n_links").collect()), key=lambda r: r[0]) == plain.lines(rows, 2, 20)
+
+
 def test_banded_distance():
     rng = random.Random(1)
     for _ in range(4000):

@@ -80,6 +80,28 @@ def test_folding_and_exceptions():
     assert match(None) == match("") == match("idiotic 2024") == 0
 
 
+def test_signs_at_the_end_of_words():
+    """A word and the signs behind it count as the word that they make, if the lexicon has it."""
+    model = toxicity.Model({"ass": 3.0, "dumbass": 3.0, "idiot": 2.0}, {}, (-3.0, 1.0, 1.0, 1.0))
+    match = lambda t: toxicity.features(t, model.automaton())[1]
+    for text in ("you a$$", "dumba55 !", "a dumbas$", "dumba$$, he said", "1d1o7"):
+        assert match(text) > 0, text
+    for text in ("hello!", "as if", "item5 and b4", "i$ it", "$ 5 %"):
+        assert match(text) == 0, text
+    # Of an ordinary end nothing changes: neither the matches nor the length.
+    assert toxicity.features("you idiot!", model.automaton()) == toxicity.features("you idiot", model.automaton())
+
+
+def test_letters_are_letters():
+    """Numerals and signs of any kind are none; vowel signs stay in their words; languages that tie go to the more frequent one."""
+    assert [langid.normal(t) for t in ("½ ²", "① 12", "٣٤", "́", "—", None, "")] == [b""] * 7
+    assert langid.normal("A² हिन्दी!") == " a हिन्दी ".encode()
+    same = b"the and of to in is that " * 40
+    model = langid.Model(("xa", "xb"), (same, same))
+    assert langid.predict("the and of to", model.languages, model.coders())[:1] == ("xa",)
+    assert langid.predict("½ ① 7", model.languages, model.coders()) == ("und", 0.0, 0.0)
+
+
 def test_matches_are_those_of_a_plain_scan():
     """The automaton against a search for each word and phrase by itself."""
     rng = random.Random(9)
@@ -133,6 +155,36 @@ BY_HAND = [
 ]
 
 
+_P, _Q = "This is the first paragraph of the story, and it goes on for a while.", "Here is another one. It has two sentences in it."
+# Pages of kinds that markup alone misleads on, with their articles.
+MISLEADING = [
+    (f'<form id="aspnetForm"><div class="content"><h1>Headline</h1><p>{_P}</p><p>{_Q}</p></div></form>', f"Headline\n{_P}\n{_Q}"),
+    (f'<body><form id="f1" method=post><input type=hidden name=s><div class="nav"><ul><li><a href=1>Home</a><li><a href=2>About</a></ul></div><input name=q><h1>Headline</h1><p>{_P}</p><p>{_Q}</p><div>Copyright 2024 Foo</div></form>', f"Headline\n{_P}\n{_Q}"),
+    (f'<main><h1>Title</h1><p>{_P}</p><form><label>Name</label><input><label>Password</label><input type=password><button>Go</button></form><p>{_Q}</p></main>', f"Title\n{_P}\n{_Q}"),
+    (f'<article class="message"><h1>Topic</h1><p>{_P}</p><p>{_Q}</p></article>', f"Topic\n{_P}\n{_Q}"),
+    (f'<div class="post has-comments no-sidebar"><h1>Title</h1><p>{_P}</p><p>{_Q}</p></div>', f"Title\n{_P}\n{_Q}"),
+    (f"<article><h1>Title</h1><p>{_P}</p><aside><p>Related stuff to read.</p></aside><p>{_Q}</p></article>", f"Title\n{_P}\n{_Q}"),
+    (f'<article><h1>Title</h1><aside class="related"><h3>More</h3><p>Another story that you may like.</p></aside><p>{_P}</p></article>', f"Title\n{_P}"),
+    (f'<div class="content"><h1>Title</h1><p>{_P}</p><p>{_Q}</p></div><div>Copyright 2024 Foo</div>', f"Title\n{_P}\n{_Q}"),
+    (f'<main><h1>Manual</h1><p>{_P}</p><div class="warning">Do not open the case while it is on.</div><p>{_Q}</p></main>', f"Manual\n{_P}\nDo not open the case while it is on.\n{_Q}"),
+    (f'<main><article><p>{_P}</p></article><section class="comments"><article class="comment"><p>I do not agree with this at all.</p></article></section></main>', _P),
+]
+
+
+def test_pages_that_markup_alone_misleads_on():
+    for page, wanted in MISLEADING:
+        assert html.main_text(page, _model()) == wanted
+
+
+def test_all_of_a_long_page_is_learned_from():
+    page = "<article>" + "<p>Some words of it.</p>" * 900 + "</article><footer>Foot of it</footer>"
+    features, marks = html.by_structure(page)
+    assert len(features) == 901 and marks[-2:] == [True, False]
+    parts = html.chains(features, marks)
+    assert sum((y for _, y in parts), []) == marks and max(len(f) for f, _ in parts) <= html.CHAIN
+    assert not any(f.startswith(("in article", "in main")) or f.endswith("outside") for own in html.without_place(features) for f in own)
+
+
 def test_pages_by_hand():
     right = wrong = missed = 0
     for page, wanted in BY_HAND:

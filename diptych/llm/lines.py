@@ -11,8 +11,10 @@ on.  Only classes that share a signature are compared, and a pair counts where i
 
 A signature of more than ``block`` lines (those made from one template share whole segments) is hot: its segment is cut out of
 its lines, and as k edits must also make the rest of one of the rest of the other, the rests are cut into segments and meet
-in turn, until groups are small or nothing is left but what differs.  So lines of one template cost a few rows each, and
-only those whose other parts meet, too, are compared.  Pairs that are found so, which are near ones only, are made distinct.
+in turn.  So of lines that share a third of their text only those whose other parts meet, too, are compared.  Lines that
+meet there as well are mostly near ones; they are dealt into blocks, each pair of blocks is a task's work, and numbers of
+letters rule most others out.  A pair that shares hot signatures alone counts where its smallest shared path, a signature and
+one of the rest, is.  What leaves a task is a count for each class, never a pair.
 
 Lines too short for edits to mean anything take part by their whole hash alone: it meets as a signature does, and makes
 them a class, but no cell.
@@ -20,8 +22,6 @@ them a class, but no cell.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +35,8 @@ from .words import keyed, mix, new_key, powers, slices
 
 #: Edits between lines that count as one, code points from which edits are allowed, and from which equal lines are dropped.
 EDITS, LEAST_CHARS, SHORTEST_CHARS = 2, 20, 1
-#: Texts of a signature up to which all are compared with each other; beyond it their rests are looked at.
-BLOCK = 64
+#: Texts of a signature up to which all are compared with each other; beyond it their rests meet, in blocks of as many.
+BLOCK = 256
 
 ADDED = ("n_lines", "n_dropped", "n_near", "n_links")
 
@@ -137,7 +137,7 @@ class Rests(Lines):
 
 
 def _rests(batch: pa.RecordBatch, edits: int, least: int, first: bool) -> pa.RecordBatch:
-    """Rows (path, hash, own, rest) of those of hot paths: for each segment of a text its path, and the text without it.
+    """Rows (path, hash, own, rest): for segments of a text their paths, and the text without them.
 
     ``first``: the texts are whole lines, and only segments whose signature is the row's path are cut out, which keeps the
     path.  Else all are, and the path goes on with each one's signature.  A text that only probes owns no segment.
@@ -241,16 +241,22 @@ class Meetings:
 
 
 def _met(table: pa.Table, edits: int, least: int):
-    """The near pairs of each group (group, i, j: a pair of blocks): the group, both rows, and the signatures that they share
-    and that are not hot."""
+    """The rows of the near pairs of each group (group, i, j: a pair of blocks) that count there.
+
+    A pair counts at the smallest signature that both share and that is not hot; with ``paths`` (of signatures of rests), if
+    there is none, at the smallest path.  The smallest may be no path of theirs in truth, but both have it, so it is one place.
+    """
     group, i, j, hashes = (table.column(c).to_pylist() for c in ("group", "i", "j", "hash"))
     place, own = table.column("place").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
-    hot = [{h & ((1 << 64) - 1) for h in x or ()} for x in table.column("hot").to_pylist()]
     # Lines are the same in all rows of a hash.
     index: dict[int, int] = {}
     line_of = np.array([index.setdefault(h, len(index)) for h in hashes], np.int64)
-    texts = dict(zip(line_of.tolist(), table.column("line").to_pylist(), strict=True))
-    meetings = Meetings([texts[k] for k in range(len(index))], edits, least)
+    first = pa.array(np.unique(line_of, return_index=True)[1])
+    one_each = {c: table.column(c).take(first).to_pylist() for c in table.column_names if c in ("line", "hot", "own_paths", "paths")}
+    meetings = Meetings(one_each["line"], edits, least)
+    hot = [{h & ((1 << 64) - 1) for h in x or ()} for x in one_each["hot"]]
+    by_path = "paths" in one_each
+    own_paths, paths = ([frozenset(x) for x in one_each[c]] if by_path else [] for c in ("own_paths", "paths"))
     groups: dict[tuple, list[int]] = {}
     for k, name in enumerate(zip(group, i, j, strict=True)):
         groups.setdefault(name, []).append(k)
@@ -259,9 +265,15 @@ def _met(table: pa.Table, edits: int, least: int):
         for x in rows[own[rows]].tolist():
             # Of two owners the pair is taken once; of two blocks only pairs across them.
             ys = rows[(line_of[rows] != line_of[x]) & ~(own[rows] & (rows < x)) & ((one == two) | (place[rows] != place[x]))]
-            for y in ys[meetings.may_be_near(line_of[x], line_of[ys])].tolist():
-                if meetings.near(line_of[x], line_of[y]):
-                    yield name, x, y, meetings.shared(line_of[x], line_of[y]) - hot[x]
+            a = int(line_of[x])
+            for y in ys[meetings.may_be_near(a, line_of[ys])].tolist():
+                b = int(line_of[y])
+                if by_path:
+                    here = min(own_paths[a] & paths[b] | own_paths[b] & paths[a]) == name and not meetings.shared(a, b) - hot[a]
+                else:
+                    here = min(meetings.shared(a, b) - hot[a]) == name & ((1 << 64) - 1)
+                if here and meetings.near(a, b):
+                    yield x, y
 
 
 def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
@@ -368,17 +380,14 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
 
         return work
 
-    # The lines of hot signatures, cut and met again until groups are small or their owners' rests are no longer than the edits.
+    # The lines of hot signatures meet again by their rests.
     shape = "path long, hash long, own boolean, rest string"
-    open_ = met.where(F.col("size") > block).join(texts.select("hash", "line"), "hash").select(F.col("signature").alias("path"), "hash", "own", "line")
-    open_, leaves = checkpointed(open_.mapInArrow(cut_out(True), shape)), []
-    while not open_.isEmpty():
-        rows = checkpointed(open_.mapInArrow(cut_out(False), shape))
-        again = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("met"), F.max(F.when(F.col("own"), F.length("rest"))).alias("left")).where("size > 1 and met")
-        found = checkpointed(looked_up(rows, again, "path", "size", rows.count()))
-        small = (F.col("size") <= block) | (F.col("left") <= edits)
-        leaves.append(found.where(small).groupBy(F.col("path").alias("group"), "hash").agg(F.max("own").alias("own"), F.max("size").alias("size")))
-        open_ = found.where(~small).select("path", "hash", "own", "rest")
+    rests = met.where(F.col("size") > block).join(texts.select("hash", "line"), "hash").select(F.col("signature").alias("path"), "hash", "own", "line").mapInArrow(cut_out(True), shape)
+    rests = rests.mapInArrow(cut_out(False), shape).groupBy("path", "hash").agg(F.max("own").alias("own"))
+    rests = checkpointed(rests)
+    again = rests.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("met")).where("size > 1 and met").drop("met")
+    again = checkpointed(looked_up(rests, again, "path", "size", rests.count()))
+    paths = again.groupBy("hash").agg(F.collect_list(F.when(F.col("own"), F.col("path"))).alias("own_paths"), F.collect_list("path").alias("paths"))
 
     def late(table: pa.Table, x: int, y: int) -> int:
         ids, numbers = table.column("id"), table.column("number")
@@ -386,32 +395,21 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, least: int = LEAST_CHA
 
     def compare(table: pa.Table) -> pa.Table:
         hashes, out = table.column("hash").to_pylist(), {}
-        for signature, x, y, shared in _met(table, edits, least):
-            if min(shared) == signature & ((1 << 64) - 1):
-                later = late(table, x, y)
-                for k in (x, y):
-                    told = out.setdefault(hashes[k], [0, 0])
-                    told[0] += 1
-                    told[1] |= k == later
+        for x, y in _met(table, edits, least):
+            later = late(table, x, y)
+            for k in (x, y):
+                told = out.setdefault(hashes[k], [0, 0])
+                told[0] += 1
+                told[1] |= k == later
         return _table([(h, *v) for h, v in out.items()], hash=pa.int64(), links=pa.int64(), late=pa.int32())
 
-    def compare_rests(table: pa.Table) -> pa.Table:
-        hashes, out = table.column("hash").to_pylist(), {}
-        for _, x, y, shared in _met(table, edits, least):
-            # Pairs that share a signature that is not hot are counted there.
-            if not shared:
-                out[min(hashes[x], hashes[y]), max(hashes[x], hashes[y])] = hashes[late(table, x, y)]
-        return _table([(*k, v) for k, v in out.items()], one=pa.int64(), two=pa.int64(), late=pa.int64())
-
     # Work goes with the square of a group, not with bytes, so the number of tasks is set here and not by bytes.
-    def dealt(groups: DataFrame) -> DataFrame:
-        return paired(groups.join(known, "hash"), "group", "hash", "size", block, 4 * n.buckets).repartition(n.buckets, "unit").groupBy("unit")
-
-    ends = dealt(met.where(F.col("size") <= block).withColumnRenamed("signature", "group")).applyInArrow(compare, "hash long, links long, late int")
-    if leaves:
-        pairs = dealt(reduce(DataFrame.unionByName, leaves)).applyInArrow(compare_rests, "one long, two long, late long").groupBy("one", "two").agg(F.max("late").alias("late"))
-        each = F.explode(F.array("one", "two")).alias("hash")
-        ends = ends.unionByName(pairs.select(each, "late").select("hash", F.lit(1).cast("long").alias("links"), (F.col("late") == F.col("hash")).cast("int").alias("late")))
+    def dealt(groups: DataFrame, lines: DataFrame) -> DataFrame:
+        return paired(groups.join(lines, "hash"), "group", "hash", "size", block, 4 * n.buckets).repartition(n.buckets, "unit").groupBy("unit")
+
+    shape = "hash long, links long, late int"
+    ends = dealt(met.where(F.col("size") <= block).withColumnRenamed("signature", "group"), known).applyInArrow(compare, shape)
+    ends = ends.unionByName(dealt(again.withColumnRenamed("path", "group"), known.join(paths, "hash")).applyInArrow(compare, shape))
     ends = ends.groupBy("hash").agg(F.max("late").alias("late"), F.sum("links").alias("links"))
     told = texts.select("hash", "owner.id", "owner.number").join(ends, "hash", "left")
     told = lines.select("hash", "chunk").join(told, "hash").select("chunk", "hash", "id", "number", F.coalesce("late", F.lit(0)).alias("late"), F.coalesce("links", F.lit(0)).alias("links"))

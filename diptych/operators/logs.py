@@ -99,3 +99,32 @@ def within_budget(frame: DataFrame, cost: Column, order: Sequence[str], cap: flo
     run = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(before, by).withColumn("spent", F.col("__before") + F.sum("__cost").over(run))
     return rows.where(F.col("spent") - F.col("__cost") < cap).drop("__cost", "__before")
+
+
+def stale(work: DataFrame, cache: DataFrame, key: str, changed: str, made: str, version: str, now: int | str) -> DataFrame:
+    """Work that the cache (key, ``made``, ``version``) lacks, or has of another version or from before the work ``changed``.
+
+    Adds why: missing, version or older.  A key that was cached several times counts with its last; one whose time of change
+    is not known is taken as unchanged.
+    """
+    last = last_of_each(cache.select(key, made, version), [key], [made]).select(key, F.col(made).alias("__made"), F.col(version).alias("__version"))
+    why = F.when(F.col("__made").isNull(), "missing").when(~F.col("__version").eqNullSafe(F.lit(now)), "version").when(F.col(changed) > F.col("__made"), "older")
+    return work.join(last, key, "left").withColumn("why", why).where("why IS NOT NULL").drop("__made", "__version")
+
+
+def run_table(log: DataFrame, key: str, kind: str, time: str, begins: str, ends: str, done: str, by: str | None = None) -> DataFrame:
+    """A row for each run that the log tells of: run_id, from 1 in the order of their beginnings, its key, began, ended, processed.
+
+    A run begins with its key's first record of kind ``begins``; its last of kind ``ends`` closes it, and records of kind
+    ``done`` between are what it processed.  One that did not end has a null; records of runs that never began are left out.
+    ``by`` names a column (of the beginning) that cuts the order into parts, as in ``numbered``.
+    """
+    began = log.where(F.col(kind) == begins).groupBy(key).agg(F.min(time).alias("began"))
+    rest = log.where(F.col(kind).isin(ends, done)).join(began, key).where(F.col(time) >= F.col("began"))
+    ended = rest.groupBy(key).agg(F.max(F.when(F.col(kind) == ends, F.col(time))).alias("ended"))
+    counted = rest.join(ended, key).where((F.col(kind) == done) & (F.col("ended").isNull() | (F.col(time) <= F.col("ended")))).groupBy(key).agg(F.count(F.lit(1)).alias("processed"))
+    runs = began.join(ended, key, "left").join(counted, key, "left").withColumn("processed", F.coalesce("processed", F.lit(0)))
+    if by is not None:
+        runs = runs.withColumn("__part", F.expr(by))
+    out = numbered(runs, ["began", key], 0, by=None if by is None else "__part")
+    return out.select(F.col("number").alias("run_id"), key, "began", "ended", "processed")

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .images import brightness_fit
+from .images import labels as connected
+
 
 def changed_share(pixels: DataFrame, image: str, before: Column, after: Column, least: float = 40.0) -> DataFrame:
     """For each image the mean absolute difference, the share of pixels over ``least``, and whether it reaches a twentieth."""
@@ -30,20 +33,15 @@ def fitted_line(pixels: DataFrame, image: str, x: str, y: str) -> DataFrame:
     return out.select(image, gain.alias("gain"), (F.col("__y") - gain * F.col("__x")).alias("offset"), "r")
 
 
-def trimmed_line(pixels: DataFrame, image: str, x: str, y: str, rounds: int = 3, keep: float = 40.0, least: int = 20) -> DataFrame:
-    """As fitted_line, fitted again to the pixels of the smallest residuals; an image of pixels is one group."""
+def trimmed_line(pixels: DataFrame, image: str, x: str, y: str, rounds: int = 3, keep: float = 40.0, least: int = 100) -> DataFrame:
+    """As fitted_line, fitted again to the pixels of the smallest residuals; an image of pixels is one group.
+
+    An image of fewer than ``least`` pixels keeps the line y = x, and one whose smallest residuals are fewer the line before.
+    """
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[x].to_numpy(float), group[y].to_numpy(float)
-        used, gain, offset = np.ones(len(a), bool), 1.0, 0.0
-        for _ in range(rounds):
-            if used.sum() < least or a[used].std() == 0:
-                break
-            gain = float(np.clip(np.cov(a[used], b[used], bias=True)[0, 1] / a[used].var(), 0.5, 2.0))
-            offset = float(b[used].mean() - gain * a[used].mean())
-            rest = np.abs(b - gain * a - offset)
-            used = rest <= np.percentile(rest, keep)
-        return pd.DataFrame({image: [group[image].iloc[0]], "gain": [round(gain, 9)], "offset": [round(offset, 9)], "n_used": [int(used.sum())]})
+        gain, offset, used = brightness_fit(group[x].to_numpy(float), group[y].to_numpy(float), rounds, keep, least)
+        return pd.DataFrame({image: [group[image].iloc[0]], "gain": [gain], "offset": [offset], "n_used": [used]})
 
     return pixels.select(image, x, y).groupBy(image).applyInPandas(fit, f"{image} {dict(pixels.dtypes)[image]}, gain double, offset double, n_used long")
 
@@ -64,27 +62,6 @@ def transitions(pixels: DataFrame, image: str, before: str, after: str, classes:
     return counted.select(image, (1 + F.col(before) * classes + F.col(after)).cast("int").alias("code"), "n", F.round(100 * F.col("n") / total, 4).alias("percent"))
 
 
-def _components(marked: np.ndarray, diagonal: bool) -> np.ndarray:
-    """Labels of connected marked cells, from 1: the smallest place of a component is passed on until nothing changes."""
-    h, w = marked.shape
-    place = np.where(marked, np.arange(1, h * w + 1).reshape(h, w), 0)
-    steps = [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * diagonal
-    big = h * w + 1
-    while True:
-        now = np.where(marked, place, big)
-        for dy, dx in steps:
-            for sy, sx in ((dy, dx), (-dy, -dx)):
-                moved = np.full((h, w), big)
-                moved[max(0, sy) : h + min(0, sy), max(0, sx) : w + min(0, sx)] = now[max(0, -sy) : h + min(0, -sy), max(0, -sx) : w + min(0, -sx)]
-                now = np.where(marked, np.minimum(now, moved), big)
-        now = np.where(marked, now, 0)
-        flat = np.r_[0, now.ravel()]
-        now = np.where(marked, flat[now], 0)
-        if (now == place).all():
-            return place
-        place = now
-
-
 def regions(pixels: DataFrame, image: str, score: str, least: float, smallest: int = 1, diagonal: bool = False) -> DataFrame:
     """Connected pixels over ``least``: their box, size and mean score, for regions of ``smallest`` pixels or more; an image is one group."""
 
@@ -92,8 +69,8 @@ def regions(pixels: DataFrame, image: str, score: str, least: float, smallest: i
         y, x = group.y.to_numpy(), group.x.to_numpy()
         grid = np.full((y.max() - y.min() + 1, x.max() - x.min() + 1), -np.inf)
         grid[y - y.min(), x - x.min()] = group[score]
-        labels = _components(grid > least, diagonal)[y - y.min(), x - x.min()]
-        found = group.assign(label=labels)[labels > 0].groupby("label").agg(x0=("x", "min"), y0=("y", "min"), x1=("x", "max"), y1=("y", "max"), pixels=("x", "size"), score=(score, "mean"))
+        found = connected(grid > least, diagonal)[y - y.min(), x - x.min()]
+        found = group.assign(label=found)[found > 0].groupby("label").agg(x0=("x", "min"), y0=("y", "min"), x1=("x", "max"), y1=("y", "max"), pixels=("x", "size"), score=(score, "mean"))
         found = found[found.pixels >= smallest].reset_index(drop=True)
         return found.assign(**{image: group[image].iloc[0], "score": found.score.round(6)})[[image, "x0", "y0", "x1", "y1", "pixels", "score"]]
 

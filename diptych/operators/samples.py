@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def draw(seed: int, key: Column | str) -> Column:
     """The place of a key in a seeded shuffle: the hex digest of seed and key."""
@@ -24,9 +25,27 @@ def first_of_each(frame: DataFrame, groups: Sequence[str], order: Sequence[Colum
     return ranked(frame, groups, order, "__rank").where(F.col("__rank") <= k).drop("__rank")
 
 
-def interleaved(frame: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
-    """place: the first of every group, groups in order, then the second of every group, and so on."""
-    return ranked(frame, [group], order, "turn")
+def by_value(frame: DataFrame, groups: Sequence[str], value: str, key: str, name: str = "rank", parts: int = 256) -> DataFrame:
+    """A row's rank in its group by a number, the greatest first, then by key; nulls come last.
+
+    Ranks are counted within ranges between quantiles of the number, and over the ranges' sizes, so no task orders a whole
+    group unless one value fills it.
+    """
+    cuts = frame.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
+    part = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array()), lambda c: c <= F.col(value))))
+    rows = frame.join(F.broadcast(cuts)).withColumn("__part", part).drop("__cuts")  # one row
+    by = [*groups, "__part"]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    run = Window.partitionBy(*groups).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)])
+    out = ranked(rows, by, [F.desc_nulls_last(value), F.col(key)], "__r").join(before, same)
+    return out.select(*frame.columns, (F.col("__before") + F.col("__r")).alias(name))
+
+
+def interleaved(frame: DataFrame, group: str, value: str, key: str) -> DataFrame:
+    """turn: the first of every group by ``value``, groups in order, then the second of every group, and so on."""
+    return by_value(frame, [group], value, key, "turn")
 
 
 def capped(frame: DataFrame, group: str, subgroup: str, order: Sequence[Column], most_sub: int, most: int) -> DataFrame:
@@ -124,7 +143,8 @@ def quotas_with_controls(frame: DataFrame, label: str, key: str, quotas: dict[st
     Labels without a quota, null among them, are not drawn; keys are drawn by their digest.
     """
     quota = F.coalesce(*[F.when(F.col(label) == name, n) for name, n in quotas.items()])
-    picked = ranked(frame.where(F.col(label).isin(list(quotas))), [label], [draw(seed, key), F.col(key)], "__rank").where(F.col("__rank") <= quota).drop("__rank")
+    some = placed(frame.where(F.col(label).isin(list(quotas))), [label], seed, key)
+    picked = some.where(F.col("place") <= quota).select(*frame.columns)
     again = picked.where(F.col(label).isin(list(donors))).orderBy(draw(seed + 1, key), key).limit(controls)
     return picked.withColumn("control", F.lit(False)).unionByName(again.withColumns({label: F.lit("control"), "control": F.lit(True)}))
 
@@ -152,37 +172,37 @@ def label_queue(frame: DataFrame, pool: str, key: str, pools: Sequence[str], fir
     return queued.orderBy("turn", draw(seed, key), key)
 
 
-def apportioned(groups: DataFrame, name: str, area: str, total: int, least: int = 0, capacity: str | None = None) -> DataFrame:
+def apportioned(groups: DataFrame, name: str, area: str, total: int, least: int = 0, capacity: str | None = None, most_rounds: int = 100) -> DataFrame:
     """Whole shares of ``total`` by area, ``least`` to each and none over its capacity, by largest remainders.
 
-    What capped groups can't take is shared again among the others until all is given out.  The groups (states, regions) are
-    one small table, gone through as one.
+    A round gives each open group the whole part of its share of what is left, or, if all are under one, one each to the
+    largest remainders; what capped groups can't take is shared again until all is given out or nobody can take more.
     """
-    columns = [name, area, *([capacity] if capacity else [])]
-    kind = dict(groups.dtypes)[name]
-
-    def share_out(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(name).reset_index(drop=True)
-        limit = rows[capacity].astype(int).tolist() if capacity else [total] * len(rows)
-        given = [min(least, m) for m in limit]
-        while (rest := total - sum(given)) > 0:
-            open_ = [k for k in range(len(rows)) if given[k] < limit[k] and rows[area][k] > 0]
-            if not open_:
-                break
-            weight = sum(rows[area][k] for k in open_)
-            exact = {k: rest * rows[area][k] / weight for k in open_}
-            whole = {k: min(int(v), limit[k] - given[k]) for k, v in exact.items()}
-            if not sum(whole.values()):
-                for k in sorted(open_, key=lambda k: (-(exact[k] % 1), rows[name][k]))[:rest]:
-                    whole[k] = 1
-            for k, v in whole.items():
-                given[k] += v
-        return pd.DataFrame({name: rows[name], "given": given})
-
-    return groups.select(*columns, F.lit(0).alias("__one")).groupBy("__one").applyInPandas(share_out, f"{name} {kind}, given long")
+    limit = F.col(capacity).cast("long") if capacity else F.lit(total).cast("long")
+    now = groups.select(name, F.col(area).cast("double").alias("__area"), limit.alias("__limit")).withColumn("given", F.least(F.lit(least).cast("long"), F.col("__limit")))
+    for _ in range(most_rounds):
+        now = cut(now)
+        open_ = (F.col("given") < F.col("__limit")) & (F.col("__area") > 0)
+        sums = now.agg(F.coalesce(F.sum("given"), F.lit(0)).alias("given"), F.sum(F.when(open_, F.col("__area"))).alias("area")).first()
+        rest = total - sums["given"]
+        if rest <= 0 or not sums["area"]:
+            break
+        share = F.when(open_, F.lit(rest) * F.col("__area") / F.lit(sums["area"])).otherwise(0.0)
+        whole = F.least(F.floor(share), F.col("__limit") - F.col("given"))
+        shared = now.withColumn("__share", share).withColumn("__whole", whole)
+        if shared.where("__whole > 0").isEmpty():
+            # Under one each: at most ``rest`` groups get one, fewer than there are open ones.
+            ones = shared.where(open_).orderBy(F.desc(F.col("__share") % 1), name).limit(rest).select(F.col(name).alias("__name"))
+            shared = shared.join(ones, F.col(name).eqNullSafe(F.col("__name")), "left").withColumn("__whole", F.col("__name").isNotNull().cast("long"))
+        now = shared.select(name, "__area", "__limit", (F.col("given") + F.col("__whole")).cast("long").alias("given"))
+    return now.select(name, "given")
+
+
+def fold_of(group: str, folds: int, seed: int) -> Column:
+    """A group's fold, from its digest, so that a group is never in two."""
+    return F.pmod(F.conv(F.substring(draw(seed, group), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
 
 
 def group_folds(frame: DataFrame, group: str, folds: int, seed: int) -> DataFrame:
-    """A fold for each group, from its digest, so that a group is never in two."""
-    number = F.conv(F.substring(draw(seed, group), 1, 8), 16, 10).cast("long")
-    return frame.select(group).distinct().withColumn("fold", F.pmod(number, F.lit(folds)).cast("int"))
+    """Each group with its fold."""
+    return frame.select(group).distinct().withColumn("fold", fold_of(group, folds, seed))

@@ -48,10 +48,14 @@ def rules(frame: DataFrame, truth: Column, table: Mapping[str, Column]) -> DataF
     return counted.select(*out)
 
 
-def _ordered_sums(scored: DataFrame, score: str) -> DataFrame:
-    """Distinct scores with the positives and rows at or over each; sums within ranges of scores, and over the ranges."""
+def _ordered_sums(scored: DataFrame, score: str, parts: int = 256) -> DataFrame:
+    """Distinct scores with the positives and rows at or over each; sums within ranges of scores, and over the ranges.
+
+    Ranges lie between quantiles of the distinct scores, so each has about as many whatever the scores are.
+    """
     points = scored.groupBy(score).agg(F.count_if(F.col("y")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    points = points.withColumn("__part", F.floor(F.col(score) * 64))
+    cuts = points.agg(F.percentile_approx(score, [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
+    points = points.join(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda c: c <= F.col(score)))).drop("__cuts")  # one row
     sums = points.groupBy("__part").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
     after = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("__part", F.coalesce(F.sum("p").over(after), F.lit(0)).alias("__p"), F.coalesce(F.sum("m").over(after), F.lit(0)).alias("__m"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diptych.functions import text
-from diptych.operators import learning, samples, scoring
+from diptych.operators import images, learning, samples, scoring
 
+from . import images as views
 from .catalog import Tables, query
 
 #: Feature sets by name.
@@ -24,7 +25,7 @@ def features(t: Tables) -> DataFrame:
         (upper / F.greatest(F.length("text"), F.lit(1))).alias("upper"), (F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))).alias("distinct_share"),
     )
     labelled = rows.join(t.labels.select("doc_id", (F.col("quality") == 0).cast("double").alias("label")), "doc_id")
-    return labelled.join(F.broadcast(samples.group_folds(labelled, "source", 3, 5)), "source")
+    return labelled.withColumn("fold", samples.fold_of("source", 3, 5))
 
 
 def _judged(scored: DataFrame, name: str) -> DataFrame:
@@ -50,3 +51,19 @@ def gate_logistic(t: Tables) -> DataFrame:
 def gate_gbt(t: Tables) -> DataFrame:
     scored = learning.out_of_fold(features(t), learning.boosted(FEATURES["all"], "label"), "fold", 3, ["doc_id", "label"])
     return _judged(scored, "boosted")
+
+
+def image_gate(t: Tables) -> tuple[learning.Gate, list[dict], DataFrame]:
+    """A gate on what sets the views of an image apart; suppliers with a high balance stand for labelled changes."""
+    found = images.gate_features(views.views(t), "image", views.BEFORE, views.AFTER)
+    owner = t.supplier.select(F.col("s_suppkey").alias("image"), F.col("s_nationkey").alias("site"), (F.col("s_acctbal") > 4500).cast("double").alias("label"))
+    rows = found.join(owner, "image").withColumn("fold", samples.fold_of("site", 3, 5))
+    gate, report = learning.fit_gate(rows, images.FEATURE_SETS, {"logistic": learning.logistic}, "label", "fold", 3)
+    return gate, report, rows
+
+
+@query()
+def gate_applied(t: Tables) -> DataFrame:
+    """The best gate of the images' features, fitted to all labels and applied at its held-out threshold."""
+    gate, _, rows = image_gate(t)
+    return gate.apply(rows.select("image", "site", "label", *gate.features)).select("image", "site", "label", F.round("score", 6).alias("score"), "passed", F.lit(gate.name).alias("gate"))

@@ -141,3 +141,26 @@ def batch_stage_update(t: Tables) -> DataFrame:
         F.when(F.bool_or(F.col("l_returnflag") == "R"), "R").alias("o_orderstatus"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity")
     )
     return logs.updated(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), changes, "o_orderkey")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS k, max(CAST(l_shipdate AS DATE)) AS made, arg_max(l_returnflag, (CAST(l_shipdate AS DATE), l_returnflag)) AS v FROM lineitem WHERE l_linenumber <> 2 AND l_quantity < 40 GROUP BY 1)
+SELECT * FROM (SELECT o_orderkey, CASE WHEN made IS NULL THEN 'missing' WHEN v <> 'N' THEN 'version' WHEN CAST(o_orderdate AS DATE) + INTERVAL 60 DAY > made THEN 'older' END AS why FROM orders LEFT JOIN c ON k = o_orderkey) WHERE why IS NOT NULL""")
+def stale_renders(t: Tables) -> DataFrame:
+    """Orders whose render is missing, of another version, or older than the order (sixty days after its date)."""
+    work = t.orders.select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 60).alias("changed"))
+    made = t.lineitem.where("l_linenumber <> 2 AND l_quantity < 40").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").alias("made"), F.col("l_returnflag").alias("version"))
+    # Of renders of one day the greatest version counts.
+    made = made.groupBy("o_orderkey", "made").agg(F.max("version").alias("version"))
+    return logs.stale(work, made, "o_orderkey", "changed", "made", "version", "N").select("o_orderkey", "why")
+
+
+@query("""
+WITH b AS (SELECT user_id, min(ts) AS began FROM events WHERE event_type = 'signup' GROUP BY 1),
+r AS (SELECT e.* FROM events e JOIN b ON b.user_id = e.user_id AND ts >= began), e AS (SELECT user_id, max(ts) AS ended FROM r WHERE event_type = 'error' GROUP BY 1),
+d AS (SELECT r.user_id, count(*) AS n FROM r LEFT JOIN e ON e.user_id = r.user_id WHERE event_type = 'purchase' AND (ended IS NULL OR ts <= ended) GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY began, b.user_id) AS BIGINT) AS run_id, b.user_id, began, ended, coalesce(n, 0) AS processed FROM b LEFT JOIN e ON e.user_id = b.user_id LEFT JOIN d ON d.user_id = b.user_id""")
+def run_table(t: Tables) -> DataFrame:
+    """Runs, numbered as they began, with when they ended and what they processed; a user stands for a run."""
+    log = t.events.select("user_id", "event_type", "ts")
+    return logs.run_table(log, "user_id", "event_type", "ts", "signup", "error", "purchase", by="to_date(began)").withColumn("run_id", F.col("run_id").cast("long"))

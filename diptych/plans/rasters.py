@@ -9,6 +9,7 @@ from diptych.functions import geo
 from diptych.operators import rasters
 
 from .catalog import Tables, query
+from .images import _VIEWS, trimmed_rounds, views
 
 _PIXELS = "(SELECT l_suppkey AS image, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(min(l_quantity*5) AS DOUBLE) AS a, CAST(max(l_quantity*5) AS DOUBLE) AS b FROM (SELECT *, (l_partkey // 10) % 20 AS y, l_partkey % 20 AS x FROM lineitem) GROUP BY 1,2,3)"
 
@@ -56,9 +57,13 @@ def linear_match(t: Tables) -> DataFrame:
     return rasters.fitted_line(pixels(t), "image", "a", "b").select("image", F.round("gain", 6).alias("gain"), F.round("offset", 5).alias("offset"), F.round("r", 6).alias("r"))
 
 
-@query()
+@query(f"""
+WITH v AS {_VIEWS},
+w0 AS (SELECT image, y, x, CAST(rb AS DOUBLE) AS a, CAST(ra AS DOUBLE) AS b, CAST(1 AS DOUBLE) AS gain, CAST(0 AS DOUBLE) AS off, true AS used FROM v),
+{trimmed_rounds(3, "image")}
+SELECT image, round(max(gain), 4) AS gain, round(max(off), 3) AS "offset", count(*) FILTER (used) AS n_used FROM w3 GROUP BY 1""")
 def trimmed_linear_match(t: Tables) -> DataFrame:
-    return rasters.trimmed_line(pixels(t), "image", "a", "b")
+    return rasters.trimmed_line(views(t), "image", "rb", "ra")
 
 
 @query(f"""

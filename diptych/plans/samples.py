@@ -14,7 +14,7 @@ from .catalog import Tables, query
 SELECT c_custkey, n_name, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS turn FROM customer JOIN nation ON c_nationkey=n_nationkey""")
 def interleave_by_state(t: Tables) -> DataFrame:
     sites = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "c_acctbal")
-    return samples.interleaved(sites, "n_name", [F.desc("c_acctbal"), F.col("c_custkey")]).drop("c_acctbal")
+    return samples.interleaved(sites, "n_name", "c_acctbal", "c_custkey").drop("c_acctbal")
 
 
 @query("""
@@ -93,8 +93,8 @@ def proportional_draw(t: Tables) -> DataFrame:
     counts = sites.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     quota = counts.join(F.broadcast(total)).select("region", F.bround(200 * F.col("n") / F.col("total"), 0).cast("int").alias("quota"))
-    placed = samples.ranked(sites, ["region"], [samples.draw(4, "c_custkey"), F.col("c_custkey")], "r")
-    return placed.join(F.broadcast(quota), "region").where("r <= quota").select("region", "c_custkey")
+    placed = samples.placed(sites, ["region"], 4, "c_custkey")
+    return placed.join(F.broadcast(quota), "region").where("place <= quota").select("region", "c_custkey")
 
 
 @query("""
@@ -104,7 +104,19 @@ def group_kfold(t: Tables) -> DataFrame:
     return t.documents.join(folds, "source").groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _remainder_round(k: int) -> str:
+    """Round k of a thousand shared out: what is given before it is in g{k}, after it in g{k+1}."""
+    open_ = "given < lim AND area > 0"
+    return f"""s{k} AS (SELECT 1000 - sum(given) AS rest, sum(area) FILTER ({open_}) AS whole FROM g{k}),
+h{k} AS (SELECT g{k}.*, {open_} AS is_open, rest, whole, CASE WHEN {open_} THEN rest*area/whole ELSE 0 END AS share FROM g{k}, s{k}),
+r{k} AS (SELECT *, least(floor(share), lim - given) AS portion, max(least(floor(share), lim - given)) OVER () AS most, row_number() OVER (ORDER BY is_open DESC, share - floor(share) DESC, nation) AS place FROM h{k}),
+g{k + 1} AS MATERIALIZED (SELECT nation, area, lim, CAST(given + CASE WHEN rest <= 0 OR whole IS NULL THEN 0 WHEN most > 0 THEN portion WHEN is_open AND place <= rest THEN 1 ELSE 0 END AS BIGINT) AS given FROM r{k})"""
+
+
+@query(f"""
+WITH g0 AS (SELECT c_nationkey AS nation, CAST(greatest(sum(CAST(c_acctbal AS DECIMAL(18,2))), 0) AS DOUBLE) AS area, count(*) AS lim, CAST(least(10, count(*)) AS BIGINT) AS given FROM customer GROUP BY 1),
+{", ".join(_remainder_round(k) for k in range(16))}
+SELECT nation, given FROM g16""")
 def largest_remainder(t: Tables) -> DataFrame:
     """A thousand samples shared out to nations by their customers' balance, ten at least and none over its customers."""
     area = F.greatest(F.sum(F.col("c_acctbal").cast("decimal(18,2)")), F.lit(0)).cast("double")

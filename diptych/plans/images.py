@@ -13,6 +13,8 @@ _Y, _X = "(l_orderkey*7 + l_linenumber*3) % 20", "(l_partkey + l_linenumber*5 +
 _RED, _GREEN, _BLUE = "l_quantity*5", "(l_partkey*37 + l_linenumber*11) % 250 + 1", "(l_orderkey*17 + l_suppkey) % 250 + 1"
 _BANDS = ", ".join(f"CAST({kind}({band}) AS INTEGER) AS {name}{date}" for kind, date in (("min", "b"), ("max", "a")) for name, band in (("r", _RED), ("g", _GREEN), ("b", _BLUE)))
 _VIEWS = f"(SELECT l_suppkey AS image, CAST({_Y} AS INTEGER) AS y, CAST({_X} AS INTEGER) AS x, {_BANDS} FROM lineitem GROUP BY 1, 2, 3)"
+#: The mean difference is a multiple of a fraction that often lies halfway between numbers of six places.
+_PLACES = {"colour_mean": 3}
 BEFORE, AFTER = ["rb", "gb", "bb"], ["ra", "ga", "ba"]
 
 
@@ -59,11 +61,11 @@ v AS (SELECT image, y, x, y*1000+x AS label FROM k WHERE changed UNION SELECT n.
 b AS (SELECT image, label, count(*) AS size, (max(y)-min(y)+1)*(max(x)-min(x)+1) AS box FROM (SELECT image, y, x, min(label) AS label FROM v GROUP BY 1, 2, 3) GROUP BY 1, 2),
 z AS (SELECT image, count(*) AS n, max(size) AS top, arg_min(box, label - 1000000*size) AS box FROM b GROUP BY 1),
 f AS (SELECT image, count(*) AS area, avg(gap) AS colour_mean, {", ".join(f"avg(CASE WHEN {what} THEN 1.0 ELSE 0.0 END) AS {name}" for name, what in (("colour_frac25", "gap > 25"), ("colour_frac40", "gap > 40"), ("edge_new", "is_new"), ("edge_lost", "is_lost"), ("bright_new", "became"), ("blob_struct", "changed")))}, corr(eb, ea) AS edge_corr FROM k GROUP BY 1)
-SELECT f.image, {", ".join(f"round({n}, 6) AS {n}" for n in images.FEATURES if not n.startswith("blob") or n == "blob_struct")}, round(coalesce(top, 0)/area, 6) AS blob_max, CAST(coalesce(n, 0) AS DOUBLE) AS blob_n, round(coalesce(top/box, 0), 6) AS blob_fill FROM f LEFT JOIN z ON z.image = f.image""")
+SELECT f.image, {", ".join(f"round({n}, {_PLACES.get(n, 6)}) AS {n}" for n in images.FEATURES if not n.startswith("blob") or n == "blob_struct")}, round(coalesce(top, 0)/area, 6) AS blob_max, CAST(coalesce(n, 0) AS DOUBLE) AS blob_n, round(coalesce(top/box, 0), 6) AS blob_fill FROM f LEFT JOIN z ON z.image = f.image""")
 def image_pair_features(t: Tables) -> DataFrame:
     """What sets the two views of each image apart: colour, edges, new bright surfaces, and the blobs of these."""
     out = images.gate_features(views(t), "image", BEFORE, AFTER)
-    return out.select("image", *[F.round(f, 6).alias(f) for f in images.FEATURES])
+    return out.select("image", *[F.round(f, _PLACES.get(f, 6)).alias(f) for f in images.FEATURES])
 
 
 def _around(inner: str, kind: str, name: str) -> str:

@@ -44,3 +44,14 @@ def stream_state_machine(t: Tables) -> DataFrame:
     """Users by three errors in a row; one batch has all that is there, so that it is in time order."""
     out = queues.finished(queues.retry_machine(_events(t), "user_id"), ["key"])
     return out.select(F.col("key").alias("user_id"), "state", "errors", "n_events")
+
+
+@query("""
+SELECT event_type, event_type <> 'error' AS accepted, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2""")
+def stream_queue(t: Tables) -> DataFrame:
+    """Events worked off as a queue, in which all but errors are accepted; counts of what it kept."""
+    work = queues.Queue(t.spark)
+    rows = _events(t).select("event_id", "event_type", F.col("value").cast("decimal(18,2)").alias("value"))
+    work.run(rows, lambda batch: batch.withColumn("accepted", F.col("event_type") != "error"))
+    kept = work.results("event_id long, event_type string, value decimal(18,2), accepted boolean")
+    return kept.groupBy("event_type", "accepted").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("double").alias("total"))

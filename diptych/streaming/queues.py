@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,9 +20,11 @@ EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that the session names for checkpoints, or, where it names none, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "diptych-streams")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder in the one that the session names for checkpoints; only a local session may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or os.path.join(tempfile.gettempdir(), 'diptych-streams')}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, path: str, files_at_once: int | None = None) -> DataFrame:
@@ -90,3 +93,72 @@ def retry_machine(stream: DataFrame, key: str, budget: int = 3) -> DataFrame:
 
     grouped = stream.select(key, "ts", "event_id", "event_type").groupBy(key)
     return grouped.applyInPandasWithState(advance, out, "errors int, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+_LOG = "batch int, level string, message string, n long"
+_ENOUGH = "the queue stops here and goes on from this batch when it is run again"
+
+
+class Queue:
+    """A stream worked off in batches: results, failures and a log of levels, all in one shared folder.
+
+    ``step`` makes of a batch its results, with a boolean ``accepted``.  A step that fails does not end the stream: the batch's
+    rows are kept under failures and the log says why.  The stream stops before a batch once ``most`` rows were accepted, or
+    rows that ``stop`` holds for have come; run again in the same folder, it goes on with that batch.  A batch that is tried
+    again after a crash takes the place of its first try, so results and log have each batch once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder or shared_folder(spark)
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        none = self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").select(none.columns) if there else none
+
+    def log(self) -> DataFrame:
+        """batch, level (info, error or stop), message and the number of rows that it is about."""
+        return self._table("log", _LOG)
+
+    def results(self, schema: str) -> DataFrame:
+        return self._table("out", schema)
+
+    def failures(self, schema: str) -> DataFrame:
+        return self._table("failed", schema)
+
+    def accepted(self) -> int:
+        return self.log().where("level = 'info'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def run(self, stream: DataFrame, step: Callable[[DataFrame], DataFrame], most: int | None = None, stop: Column | None = None) -> bool:
+        """Works off what there is; returns whether it was stopped before the end."""
+        # A stop that was asked for in an earlier run has been obeyed by ending it.
+        obeyed = self.log().where("level = 'stop'").count()
+
+        def work(batch: DataFrame, number: int) -> None:
+            if most is not None and self.accepted() >= most or self.log().where("level = 'stop'").count() > obeyed:
+                raise RuntimeError(_ENOUGH)
+            place, lines = f"batch={number}", []
+            batch = batch.persist()
+            try:
+                step(batch).write.mode("overwrite").parquet(f"{self.folder}/out/{place}")
+                done = self.spark.read.parquet(f"{self.folder}/out/{place}")
+                lines.append((number, "info", "accepted", done.where("accepted").count()))
+            except Exception as error:  # noqa: BLE001  whatever a step raises is told and does not end the stream
+                # Nothing of a failed batch counts, so what it may have written is replaced by no rows.
+                batch.limit(0).withColumn("accepted", F.lit(False)).write.mode("overwrite").parquet(f"{self.folder}/out/{place}")
+                batch.write.mode("overwrite").parquet(f"{self.folder}/failed/{place}")
+                lines.append((number, "error", str(error).splitlines()[0][:500], batch.count()))
+            asked = batch.where(stop).count() if stop is not None else 0
+            lines += [(number, "stop", "asked for", asked)] if asked else []
+            self.spark.createDataFrame(lines, _LOG).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/log/number={number}")
+            batch.unpersist()
+
+        started = stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{self.folder}/progress").trigger(availableNow=True).start()
+        try:
+            started.awaitTermination()
+        except StreamingQueryException as error:
+            if _ENOUGH not in str(error):
+                raise
+            return True
+        return False

@@ -23,13 +23,21 @@ def fused(a: Column, b: Column) -> Column:
     return F.concat(a, b, F.zip_with(a, b, lambda x, y: F.abs(x - y)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096, batch: int = 1 << 14) -> DataFrame:
+#: Pairs of blocks that even a small search is dealt into, about.
+_UNITS = 64
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1 << 17, batch: int = 1 << 17) -> DataFrame:
     """The k rows of highest cosine to each query, itself left out, the smaller key first among equal scores: exact.
 
-    Queries and rows are dealt into blocks by a hash of their keys; each pair of a query block and a row block is a task of
-    its own, which multiplies them as matrices and keeps k rows for a query.  These are merged by query.
+    Queries and rows are dealt into a grid by hashes of their keys; each pair of a block of queries and one of rows is a task
+    of its own, which multiplies them as matrices and keeps k rows for a query.  These are merged by query.  Rows are sent once
+    for each block of queries and queries once for each block of rows, so both blocks are as large as a task holds (of 64
+    numbers, 131,072 vectors take 70 MB); few queries still get tasks, as rows are dealt finer then.
     """
-    n_queries, n_rows = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // batch))
+    n_all = vectors.count()
+    n_queries = max(1, -(-queries.count() // block))
+    n_rows = max(1, -(-n_all // batch), min(_UNITS // n_queries, -(-n_all // 4096)))
     place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n)).cast("int")
     asked = queries.select(F.col(key).alias("k"), F.col(vector).alias("v"), place(n_queries, 1).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("r"))
     given = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), place(n_rows, 2).alias("r"))
@@ -42,8 +50,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
         found: list[tuple] = []
         if len(asked) and len(given):
             rows, keys = unit(given["v"]), given["k"].to_numpy()
-            for start in range(0, len(asked), 256):
-                part = asked.iloc[start : start + 256]
+            step = max(1, (1 << 22) // len(given))
+            for start in range(0, len(asked), step):
+                part = asked.iloc[start : start + step]
                 scores = np.round(unit(part["v"]) @ rows.T, 12)
                 for one, own in zip(part["k"].to_numpy(), scores, strict=True):
                     least = np.partition(own, max(0, len(own) - k - 1))[max(0, len(own) - k - 1)]

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from diptych.functions import colour
+
 
 # --- arrays of one image
 
@@ -291,3 +293,24 @@ def commonest(pixels: DataFrame, image: str, value: str, classes: int, reach: in
         votes = votes.withColumns({f"__c{k}": F.sum(f"__c{k}").over(_along(image, line, step, reach)) for k in range(classes)})
     first = F.array_position(F.array(*[f"__c{k}" for k in range(classes)]), F.greatest(*[f"__c{k}" for k in range(classes)])) - 1
     return votes.where(own).withColumn(value, first.cast("int")).select(*pixels.columns)
+
+
+# --- colours
+
+
+def distinct(colours: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """group, key and place: ``n`` colours (l, a, b) of each group that are told apart best.
+
+    The first is the one of the smallest key; each next has the greatest CIEDE2000 distance to the nearest of those before, ties
+    by key.  A round is one aggregation over all colours; a group without another different colour has fewer.
+    """
+    own = tuple(F.col(c) for c in "lab")
+    first = F.min(F.struct(key, "l", "a", "b")).alias("pick")
+    chosen = colours.groupBy(group).agg(first).select(group, F.array("pick").alias("picks"))
+    for _ in range(n - 1):
+        gap = F.array_min(F.transform("picks", lambda p: colour.ciede2000(own, (p["l"], p["a"], p["b"]))))
+        far = colours.join(chosen, group).withColumn("__gap", gap).where(F.col("__gap") > 0)
+        far = far.groupBy(group).agg(F.min(F.struct((-F.col("__gap")).alias("less"), key, "l", "a", "b")).alias("next"))
+        added = F.concat("picks", F.array(F.struct(*[F.col(f"next.{c}") for c in (key, "l", "a", "b")])))
+        chosen = chosen.join(far, group, "left").select(group, F.when(F.col("next").isNull(), F.col("picks")).otherwise(added).alias("picks"))
+    return chosen.select(group, F.posexplode("picks").alias("k", "pick")).select(group, F.col(f"pick.{key}").alias(key), (F.col("k") + 1).cast("int").alias("place"))

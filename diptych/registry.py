@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from diptych.plans import captions, geometry, images, joins, learning, logs, placing, rasters, samples, scoring, screening, status, streams, vectors  # noqa: F401
+from diptych.plans import captions, colours, geometry, images, joins, learning, logs, placing, rasters, samples, scoring, screening, status, streams, vectors  # noqa: F401
 from diptych.plans.catalog import QUERIES, SQL, Query
 
 

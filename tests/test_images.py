@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from diptych.functions import colour
 from diptych.operators import images, learning, logs, placing, samples
 
 
@@ -179,3 +180,22 @@ def test_runs(spark):
     log = spark.createDataFrame([("x", "begin", 5), ("x", "did", 6), ("x", "did", 7), ("x", "end", 8), ("x", "did", 9), ("y", "begin", 2), ("y", "did", 3), ("z", "did", 1)], "run string, kind string, t int")
     found = [tuple(r) for r in logs.run_table(log, "run", "kind", "t", "begin", "end", "did").orderBy("run_id").collect()]
     assert found == [(1, "y", 2, None, 1), (2, "x", 5, 8, 2)]
+
+
+# Pairs of Lab colours and their distances, as published with the formula.
+PAIRS = [
+    (50, 2.6772, -79.7751, 50, 0, -82.7485, 2.0425), (50, 3.1571, -77.2803, 50, 0, -82.7485, 2.8615), (50, 2.8361, -74.02, 50, 0, -82.7485, 3.4412), (50, -1.3802, -84.2814, 50, 0, -82.7485, 1.0),
+    (50, 0, 0, 50, -1, 2, 2.3669), (50, 2.49, -0.001, 50, -2.49, 0.0009, 7.1792), (50, -0.001, 2.49, 50, 0.0009, -2.49, 4.8045), (50, 2.5, 0, 73, 25, -18, 27.1492), (50, 2.5, 0, 61, -5, 29, 22.8977),
+    (50, 2.5, 0, 56, -27, -3, 31.903), (50, 2.5, 0, 58, 24, 15, 19.4535), (60.2574, -34.0099, 36.2677, 60.4626, -34.1751, 39.4387, 1.2644), (22.7233, 20.0904, -46.694, 23.0331, 14.973, -42.5619, 2.0373), (2.0776, 0.0795, -1.135, 0.9033, -0.0636, -0.5514, 0.9082),
+]
+
+
+def test_colour_distances(spark):
+    frame = spark.createDataFrame([tuple(map(float, p)) for p in PAIRS], "l double, a double, b double, m double, c double, d double, wanted double")
+    sides = [tuple(F.col(x) for x in side) for side in ("lab", "mcd")]
+    for r in frame.select(colour.ciede2000(*sides).alias("one"), colour.ciede2000(*sides[::-1]).alias("other"), "wanted").collect():
+        assert r.one == pytest.approx(r.wanted, abs=1e-4) == pytest.approx(r.other, abs=1e-4)
+    known = {(255, 255, 255): (100, 0, 0), (0, 0, 0): (0, 0, 0), (255, 0, 0): (53.24, 80.09, 67.20), (0, 0, 255): (32.30, 79.19, -107.86)}
+    rows = spark.createDataFrame(list(known), "r int, g int, b int")
+    for r in rows.select("*", *[c.alias(n) for n, c in zip("xyz", colour.lab(F.col("r"), F.col("g"), F.col("b")))]).collect():
+        assert (r.x, r.y, r.z) == pytest.approx(known[r.r, r.g, r.b], abs=0.02)

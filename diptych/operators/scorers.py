@@ -5,9 +5,13 @@ from __future__ import annotations
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .lineage import cut
 
 
 class Scorer(ABC):
@@ -55,3 +59,26 @@ def scored(frame: DataFrame, prompt: str, scorer: Scorer, name: str = "answer",
             yield batch.assign(**{name: answers})[[*columns, name]]
 
     return frame.mapInPandas(run, f"{', '.join(f'`{n}` {k}' for n, k in frame.dtypes)}, `{name}` string")
+
+
+def decoded(frame: DataFrame, prompt: str, scorer: Scorer, end: str, longest: int, start: str | None = None) -> DataFrame:
+    """The frame with ``tokens``, an array that the scorer makes token by token until it says ``end`` or has said ``longest``.
+
+    The scorer is asked with the JSON of ``prompt`` and the ``tokens`` so far (``start`` before them, if given), and answers the
+    next one.  Each round asks for the sequences that are still open alone, so batches shrink; what is done is kept apart.
+    Neither ``start`` nor ``end`` is among the tokens; a null prompt has none; equal rows are asked for each by itself.
+    """
+    none = F.array().cast("array<string>")
+    open_, done = cut(frame.withColumn("tokens", none)), []
+    done.append(open_.where(F.col(prompt).isNull()))
+    open_ = open_.where(F.col(prompt).isNotNull())
+    for _ in range(longest):
+        if open_.isEmpty():
+            break
+        said = F.col("tokens") if start is None else F.concat(F.array(F.lit(start)), F.col("tokens"))
+        asked = open_.withColumn("__asked", F.to_json(F.struct(F.col(prompt).alias("prompt"), said.alias("tokens"))))
+        told = cut(scored(asked, "__asked", scorer, "__next").drop("__asked"))
+        closed = F.coalesce(F.col("__next") == end, F.lit(True))
+        done.append(told.where(closed).drop("__next"))
+        open_ = told.where(~closed).withColumn("tokens", F.concat("tokens", F.array("__next"))).drop("__next")
+    return reduce(DataFrame.unionByName, [*done, open_])

@@ -55,7 +55,7 @@ def _table() -> dict[int, str]:
 _FOLD = _table()
 _INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!|€+9]+(?=[^\W\d_])")
 _START = re.compile(r"(?<![^\W_])[0134578@$!|€+9](?=[^\W\d_]{2})")
-_END = re.compile(r"([^\W\d_]+)([0134578@$!|€+9]+)(?![^\W_])")
+_END = re.compile(r"[0134578@$!|€+9]+(?![^\W_])")
 _OTHER = re.compile(r"[\W\d_]+")
 _SUBSTITUTES = _DIGITS | _SIGNS
 
@@ -78,7 +78,13 @@ def folded(text: str | None) -> str:
 def told(text: str | None) -> str:
     """The folded text, and behind _BESIDE, if any of its words has signs at its end, the words that these would make."""
     text = _substituted(text)
-    beside = [m[1] + "".join(_SUBSTITUTES[c] for c in m[2]) for m in _END.finditer(text)]
+    beside = []
+    for m in _END.finditer(text):
+        start = m.start()
+        while start and text[start - 1].isalpha():
+            start -= 1
+        if start < m.start():
+            beside.append(text[start : m.start()] + "".join(_SUBSTITUTES[c] for c in m[0]))
     return f" {_OTHER.sub(' ', text).strip()} " + (f"{_BESIDE} {' '.join(beside)} " if beside else "")
 
 

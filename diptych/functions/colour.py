@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # sRGB to XYZ for D65, and its white.
@@ -48,3 +48,37 @@ def ciede2000(one: tuple[Column, Column, Column], other: tuple[Column, Column, C
     near = (h - 275) / 25
     rt = -F.sin(F.radians(60 * F.exp(-near * near))) * 2 * root(F.pow(mean, F.lit(7.0)))
     return F.sqrt((dl / sl) * (dl / sl) + (dc / sc) * (dc / sc) + (dh / sh) * (dh / sh) + rt * (dc / sc) * (dh / sh))
+
+
+def with_ciede2000(frame: DataFrame, one: tuple[Column, Column, Column], other: tuple[Column, Column, Column], name: str) -> DataFrame:
+    """The frame with ``name``, the ``ciede2000`` distance of two Lab colours.
+
+    Each part that is used again is a column of its own for a while, so that it is computed once for a row; as one expression
+    the distance has tens of thousands of terms.
+    """
+    c = lambda n: F.col(f"__{n}")
+    root = lambda x: F.sqrt(x / (x + 25.0**7))
+    hue = lambda a, b: F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)) + 360, F.lit(360.0)))
+    cos = lambda k, off: F.cos(F.radians(k * c("h") + off))
+    rows = frame.withColumns({f"__{n}{k}": x for k, colour in ((1, one), (2, other)) for n, x in zip(("l", "a", "b"), colour, strict=True)})
+    chroma = (F.sqrt(c("a1") * c("a1") + c("b1") * c("b1")) + F.sqrt(c("a2") * c("a2") + c("b2") * c("b2"))) / 2
+    steps = [
+        {"x": F.pow(chroma, F.lit(7.0))},
+        {"g": 0.5 * (1 - root(c("x")))},
+        {"p1": c("a1") * (1 + c("g")), "p2": c("a2") * (1 + c("g"))},
+        {"c1": F.sqrt(c("p1") * c("p1") + c("b1") * c("b1")), "c2": F.sqrt(c("p2") * c("p2") + c("b2") * c("b2")), "h1": hue(c("p1"), c("b1")), "h2": hue(c("p2"), c("b2"))},
+        {"grey": c("c1") * c("c2") == 0, "turn": c("h2") - c("h1"), "whole": c("h1") + c("h2"), "mean": (c("c1") + c("c2")) / 2, "light": (c("l1") + c("l2")) / 2},
+        {
+            "step": F.when(c("grey"), 0.0).when(c("turn") > 180, c("turn") - 360).when(c("turn") < -180, c("turn") + 360).otherwise(c("turn")), "m7": F.pow(c("mean"), F.lit(7.0)),
+            "h": F.when(c("grey"), c("whole")).when(F.abs(c("turn")) <= 180, c("whole") / 2).when(c("whole") < 360, (c("whole") + 360) / 2).otherwise((c("whole") - 360) / 2),
+        },
+        {"t": 1 - 0.17 * cos(1, -30) + 0.24 * cos(2, 0) + 0.32 * cos(3, 6) - 0.20 * cos(4, -63), "near": (c("h") - 275) / 25},
+        {
+            "dl": (c("l2") - c("l1")) / (1 + 0.015 * (c("light") - 50) * (c("light") - 50) / F.sqrt(20 + (c("light") - 50) * (c("light") - 50))), "dc": (c("c2") - c("c1")) / (1 + 0.045 * c("mean")),
+            "dh": (2 * F.sqrt(c("c1") * c("c2")) * F.sin(F.radians(c("step") / 2))) / (1 + 0.015 * c("mean") * c("t")), "rt": -F.sin(F.radians(60 * F.exp(-c("near") * c("near")))) * 2 * root(c("m7")),
+        },
+    ]
+    for step in steps:
+        rows = rows.withColumns({f"__{n}": x for n, x in step.items()})
+    distance = F.sqrt(c("dl") * c("dl") + c("dc") * c("dc") + c("dh") * c("dh") + c("rt") * c("dc") * c("dh"))
+    return rows.select(*[F.col(f"`{n}`") for n in frame.columns], distance.alias(name))

@@ -199,3 +199,16 @@ def test_colour_distances(spark):
     rows = spark.createDataFrame(list(known), "r int, g int, b int")
     for r in rows.select("*", *[c.alias(n) for n, c in zip("xyz", colour.lab(F.col("r"), F.col("g"), F.col("b")))]).collect():
         assert (r.x, r.y, r.z) == pytest.approx(known[r.r, r.g, r.b], abs=0.02)
+
+
+def test_distance_in_steps_is_the_same_and_short(spark):
+    draw = random.Random(8)
+    rows = [tuple(float(x) for _ in range(2) for x in (draw.uniform(0, 100), draw.choice([0, draw.uniform(-90, 90)]), draw.choice([0, draw.uniform(-90, 90)]))) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "l1 double, a1 double, b1 double, l2 double, a2 double, b2 double")
+    one, other = (tuple(F.col(f"{c}{k}") for c in "lab") for k in (1, 2))
+    both = colour.with_ciede2000(frame.withColumn("whole", colour.ciede2000(one, other)), one, other, "d")
+    assert all(r.whole == r.d for r in both.collect())
+    found = images.distinct(spark.createDataFrame([(1, k, 10.0 * (k * 7 % 10), 5.0 * (k % 3), -4.0 * (k % 4)) for k in range(10)] + [(2, 0, 1.0, 0.0, 0.0), (2, 1, 1.0, 0.0, 0.0)], "g int, y int, l double, a double, b double"), "g", "y", 4)
+    # One expression of the distance made plans of many million characters.
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    assert sorted((r.g, r.place) for r in found.collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1)]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,9 +139,38 @@ def counted_grams(said: pa.Array, meant: pa.Array, most: int = 4, digests: bool
         yield n, Grams(groups // top, counts, found)
 
 
-def _of_one(words: pa.Array) -> pa.Array:
-    """A list of one list for each list."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1), pa.int32()), words)
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """gram, n and df: the two-word sequences of rows (id, text), how often they occur, and in how many ids.
+
+    Sequences are counted in slices of rows before any is shuffled.  Texts of one id are gathered first if there are such; a
+    null id is none.
+    """
+
+    def count(batches):
+        for batch in batches:
+            texts = batch.column(1)
+            nothing = pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.string()))
+            for i, j in _slices(nothing, texts):
+                known, part = batch.column(0).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False), texts.slice(i, j - i)
+                sequences = part.flatten()
+                length = sequences.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.repeat(np.arange(j - i), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), length)
+                coded = sequences.flatten().dictionary_encode()
+                words, n_words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+                at = np.flatnonzero(np.repeat(np.cumsum(length), length) - np.arange(len(words)) >= 2)
+                grams, where, n = np.unique(words[at] * n_words + words[np.minimum(at + 1, len(words) - 1)] if len(at) else at, return_inverse=True, return_counts=True)
+                seen = known[row[at]]
+                df = np.bincount(np.unique(where[seen] * (j - i) + row[at][seen]) // (j - i), minlength=len(grams))
+                told = pc.binary_join_element_wise(coded.dictionary.take(pa.array(grams // n_words)), coded.dictionary.take(pa.array(grams % n_words)), " ")
+                yield pa.RecordBatch.from_arrays([told, pa.array(n.astype(np.int64)), pa.array(df.astype(np.int64))], names=["gram", "n", "df"])
+
+    again = rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
+    texts = rows.select("id", F.array("text").alias("texts"))
+    if not again.isEmpty():
+        gathered = rows.join(again, "id", "left_semi").groupBy("id").agg(F.collect_list("text").alias("texts"))
+        texts = texts.join(again, "id", "left_anti").unionByName(gathered)
+    counted = texts.select("id", F.transform("texts", text.tokens).alias("words")).mapInArrow(count, "gram string, n long, df long")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def shared_grams(pairs: DataFrame, most: int = 4) -> DataFrame:

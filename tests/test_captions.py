@@ -179,3 +179,12 @@ def test_rows_are_held_in_slices(spark, monkeypatch):
     parts = list(captions._slices(said, meant))
     assert len(parts) > 10 and [i for i, _ in parts] == [0, *[j for _, j in parts[:-1]]] and parts[-1][1] == 50
     assert all(sum(len(said[k]) + sum(len(x) for x in meant[k]) for k in range(i, j)) <= 40 for i, j in parts if j - i > 1)
+
+
+def test_pairs_are_counted_before_they_are_sent(spark, folder, monkeypatch):
+    rows = [(1, "A b a B a b"), (2, "a b"), (2, "a b c"), (None, "a b"), (3, None), (4, "one"), (5, "")]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    assert {(r.gram, r.n, r.df) for r in captions.pair_counts(frame).collect()} == {("a b", 6, 2), ("b a", 2, 1), ("b c", 1, 1)}
+    assert captions.pair_counts(frame.where("false")).collect() == []
+    plan = registry.queries()["ngram_counts"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "doc_id" not in plan.split("MapInArrow")[0]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .images import brightness_fit
+from .images import brightness_fit, in_place
 from .images import labels as connected
 
 
@@ -46,13 +46,18 @@ def trimmed_line(pixels: DataFrame, image: str, x: str, y: str, rounds: int = 3,
     return pixels.select(image, x, y).groupBy(image).applyInPandas(fit, f"{image} {dict(pixels.dtypes)[image]}, gain double, offset double, n_used long")
 
 
-def blurred(pixels: DataFrame, image: str, value: str, reach: int = 1) -> DataFrame:
-    """Each pixel's mean over the box around it: a pixel is sent to the places whose box holds it, and those are summed."""
+def blurred(pixels: DataFrame, image: str, value: str, reach: int = 1, placed: bool = False) -> DataFrame:
+    """Each pixel's mean over the box around it: a pixel is sent to the places whose box holds it, and those are summed.
+
+    Places are summed where their image lies (``placed``: images are ``in_place`` already), and a place counts the pixels that
+    are its own, so none is joined.
+    """
     steps = F.sequence(F.lit(-reach), F.lit(reach))
-    own = pixels.select(image, "y", "x").withColumn("__here", F.lit(True))
-    sent = pixels.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps)).select(image, (F.col("y") + F.col("__dy")).alias("y"), (F.col("x") + F.col("__dx")).alias("x"), value)
-    sums = sent.groupBy(image, "y", "x").agg(F.avg(value).alias("blurred"))
-    return own.join(sums, [image, "y", "x"]).drop("__here")
+    rows = (pixels if placed else in_place(pixels, image)).where(F.col(image).isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull())
+    sent = rows.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
+    sent = sent.select(image, (F.col("y") + F.col("__dy")).alias("y"), (F.col("x") + F.col("__dx")).alias("x"), value, ((F.col("__dy") == 0) & (F.col("__dx") == 0)).cast("int").alias("__own"))
+    sums = sent.groupBy(image, "y", "x").agg(F.avg(value).alias("blurred"), F.sum("__own").alias("__own")).where("__own > 0")
+    return sums.withColumn("__own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own")))).drop("__own")
 
 
 def transitions(pixels: DataFrame, image: str, before: str, after: str, classes: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from diptych.functions import geo
 from diptych.operators import rasters
+from diptych.operators.images import in_place
 
 from .catalog import Tables, query
 from .images import _VIEWS, trimmed_rounds, views
@@ -15,9 +16,9 @@ _PIXELS = "(SELECT l_suppkey AS image, CAST(y AS INTEGER) AS y, CAST(x AS INTEGE
 
 
 def pixels(t: Tables) -> DataFrame:
-    """image, y, x and the values a and b of the two dates, 0 .. 250."""
+    """image, y, x and the values a and b of the two dates, 0 .. 250, each image in one partition."""
     rows = t.lineitem.select(F.col("l_suppkey").alias("image"), F.pmod(F.floor(F.col("l_partkey") / 10), F.lit(20)).cast("int").alias("y"), F.pmod("l_partkey", F.lit(20)).cast("int").alias("x"), (F.col("l_quantity") * 5).alias("v"))
-    return rows.groupBy("image", "y", "x").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return in_place(rows, "image", t.lineitem.count()).groupBy("image", "y", "x").agg(F.min("v").alias("a"), F.max("v").alias("b"))
 
 
 @query(f"""SELECT image, round(avg(abs(b-a)),6) AS mean_gap, round(avg(CASE WHEN abs(b-a)>40 THEN 1.0 ELSE 0.0 END),6) AS share, avg(CASE WHEN abs(b-a)>40 THEN 1.0 ELSE 0.0 END)>=0.05 AS changed FROM {_PIXELS} GROUP BY 1""")
@@ -78,7 +79,7 @@ def transition_matrix(t: Tables) -> DataFrame:
 WITH p AS {_PIXELS} SELECT o.image, o.y, o.x, round(avg(n.b-n.a),6) AS blurred FROM p o JOIN p n ON o.image=n.image AND abs(o.y-n.y)<=1 AND abs(o.x-n.x)<=1 GROUP BY 1,2,3""")
 def box_blur(t: Tables) -> DataFrame:
     gap = pixels(t).select("image", "y", "x", (F.col("b") - F.col("a")).alias("gap"))
-    return rasters.blurred(gap, "image", "gap").select("image", "y", "x", F.round("blurred", 6).alias("blurred"))
+    return rasters.blurred(gap, "image", "gap", placed=True).select("image", "y", "x", F.round("blurred", 6).alias("blurred"))
 
 
 @query(f"""

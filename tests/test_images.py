@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from diptych import registry
 from diptych.functions import colour
-from diptych.operators import images, learning, logs, placing, samples
+from diptych.operators import images, learning, logs, placing, rasters, samples
 
 
 def _flooded(mask, diagonal):
@@ -212,3 +213,20 @@ def test_distance_in_steps_is_the_same_and_short(spark):
     # One expression of the distance made plans of many million characters.
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 200_000
     assert sorted((r.g, r.place) for r in found.collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1)]
+
+
+def test_images_in_partitions_of_bounded_size(spark, folder, monkeypatch):
+    monkeypatch.setattr(images, "PIXELS", 500)
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    for name in ("box_blur", "cleaned_masks", "land_cover"):
+        frame = registry.queries()[name](spark, folder)
+        assert frame.rdd.getNumPartitions() == -(-n // 500), "no step deals the pixels to a fixed number of tasks"
+
+
+def test_grids_and_blurs_keep_repeated_and_missing_pixels(spark):
+    frame = spark.createDataFrame([(1, 0, 0, 2.0), (1, 0, 0, 4.0), (1, 2, 1, 9.0), (None, 0, 0, 1.0), (2, 0, 1, None)], "image int, y int, x int, v double")
+    found = sorted((r.image, r.y, r.x, r.v or 0.0, r.there) for r in images.whole_grids(images.in_place(frame, "image"), "image").collect())
+    empty = [(1, y, x, 0.0, False) for y in range(3) for x in range(2) if (y, x) not in {(0, 0), (2, 1)}]
+    assert found == sorted([(1, 0, 0, 2.0, True), (1, 0, 0, 4.0, True), (1, 2, 1, 9.0, True), *empty, (2, 0, 0, 0.0, False), (2, 0, 1, 0.0, True)])
+    blurred = sorted((r.image, r.y, r.x, r.blurred) for r in rasters.blurred(frame, "image", "v").collect())
+    assert blurred == [(1, 0, 0, 3.0), (1, 0, 0, 3.0), (1, 2, 1, 9.0), (2, 0, 1, None)]

@@ -19,9 +19,9 @@ BEFORE, AFTER = ["rb", "gb", "bb"], ["ra", "ga", "ba"]
 
 
 def views(t: Tables) -> DataFrame:
-    """image, y, x and three bands of each date; some places have no pixel."""
+    """image, y, x and three bands of each date, each image in one partition; some places have no pixel."""
     at = t.lineitem.select(F.col("l_suppkey").alias("image"), F.expr(_Y).cast("int").alias("y"), F.expr(_X).cast("int").alias("x"), *[F.expr(band).alias(name) for name, band in (("r", _RED), ("g", _GREEN), ("b", _BLUE))])
-    return at.groupBy("image", "y", "x").agg(*[kind(name).cast("int").alias(f"{name}{date}") for kind, date in ((F.min, "b"), (F.max, "a")) for name in "rgb"])
+    return images.in_place(at, "image", t.lineitem.count()).groupBy("image", "y", "x").agg(*[kind(name).cast("int").alias(f"{name}{date}") for kind, date in ((F.min, "b"), (F.max, "a")) for name in "rgb"])
 
 
 def trimmed_rounds(rounds: int, key: str, least: int = 100) -> str:
@@ -81,10 +81,10 @@ k AS (SELECT image, y, x FROM (SELECT *, count(*) OVER (PARTITION BY image, labe
 SELECT m.image, m.y, m.x, m.v AS marked, m2.v AS opened, CASE WHEN k.image IS NULL THEN 0 ELSE 1 END AS cleaned FROM m JOIN m2 USING (image, y, x) LEFT JOIN k USING (image, y, x)""")
 def cleaned_masks(t: Tables) -> DataFrame:
     """Change masks, opened, and cleaned: opened, closed, and without regions of under six pixels."""
-    mask = images.in_place(views(t).select("image", "y", "x", F.when(F.col("ra") - F.col("rb") > 40, 1).otherwise(0).alias("v")), "image")
-    opened = images.opened(mask.withColumn("marked", F.col("v")), "image", "v").withColumnRenamed("v", "opened")
-    cleaned = images.cleaned(mask, "image", "v", 6).withColumnRenamed("v", "cleaned")
-    return opened.join(cleaned, ["image", "y", "x"])
+    mask = views(t).select("image", "y", "x", F.when(F.col("ra") - F.col("rb") > 40, 1).otherwise(0).alias("marked"))
+    opened = images.opened(mask.withColumn("v", F.col("marked")), "image", "v")
+    closed = images.closed(opened.withColumn("opened", F.col("v")), "image", "v")
+    return images.without_small(closed, "image", "v", 6, ["marked", "opened"]).select("image", "y", "x", "marked", "opened", F.col("v").alias("cleaned"))
 
 
 @query(f"""WITH p AS {_VIEWS}, m AS MATERIALIZED (SELECT image, y, x, ra AS v FROM p),
@@ -93,7 +93,7 @@ e AS (SELECT a.image, a.y, a.x, min(n.dilated) AS closed FROM d a JOIN d n ON n.
 SELECT image, y, x, dilated, closed FROM d JOIN e USING (image, y, x)""")
 def grey_dilation(t: Tables) -> DataFrame:
     """The greatest value in a box of 3 by 5 around each pixel, and of these the least: grey dilation and closing."""
-    out = images.in_place(images.whole_grids(views(t).select("image", "y", "x", F.col("ra").alias("dilated")), "image"), "image")
+    out = images.whole_grids(views(t).select("image", "y", "x", F.col("ra").alias("dilated")), "image")
     out = images.filtered(out, "image", "dilated", F.max, 3, 5)
     # Dilated values of places without a pixel take no part in the closing.
     out = out.withColumn("closed", F.when(F.col("there"), F.col("dilated")))
@@ -125,7 +125,7 @@ SELECT image, y, x, colour, arg_min(k, k - 100*n) AS cover FROM v GROUP BY 1, 2,
 def land_cover(t: Tables) -> DataFrame:
     """Each pixel's class by colour, and the commonest class of the 5 by 5 pixels around it."""
     rows = views(t).select("image", "y", "x", images.cover(*[F.col(c) for c in BEFORE]).alias("colour"))
-    return images.commonest(rows.withColumn("cover", F.col("colour")), "image", "cover", len(images.COVER))
+    return images.commonest(rows.withColumn("cover", F.col("colour")), "image", "cover", len(images.COVER), placed=True)
 
 
 @query(f"""WITH RECURSIVE {_GRID}, a AS MATERIALIZED (SELECT image, h, w, y, x, abs(ra-rb) AS gap FROM g),

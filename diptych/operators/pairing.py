@@ -80,8 +80,20 @@ def greedy_overlaps(boxes: DataFrame, block: str, key: str, order: str, share: f
     settled in rounds of joins: a box without an earlier one left is kept, what overlaps it is refused, and the pairs of both
     go.  In an order that has nothing to do with the places, the rounds are about the logarithm of the boxes; in the worst, a
     row of boxes each over the next, half of them.
+
+    Of boxes that are equal in their block only the first enters these rounds: it is kept and refuses the others, or what refuses
+    it refuses them as well.  So pairs grow with the different boxes that lie over each other, not with their copies.
     """
-    left, refused = cut(overlaps(boxes, block, key, order, share)), None
+    place = [block, "x0", "y0", "x1", "y1"]
+    copies = None
+    if share < 1:
+        # Boxes without an area or a place overlap nothing and are no one's copies.
+        known = boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+        firsts = cut(known.groupBy(*place).agg(F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("k"))).alias("__first"), F.count(F.lit(1)).alias("__n")))
+        several = firsts.where("__n > 1").select(*place, F.col("__first.k").alias("__first"))
+        copies = known.join(several, place).where(F.col(key) != F.col("__first")).select(block, F.col(key).alias("later"))
+        boxes = firsts.select(*place, F.col("__first.k").alias(key), *([F.col("__first.o").alias(order)] if order != key else []))
+    left, refused = cut(overlaps(boxes, block, key, order, share)), copies
     while not left.isEmpty():
         held = left.select(block, F.col("later").alias("earlier")).distinct()
         now = cut(left.join(held, [block, "earlier"], "left_anti").select(block, "later").distinct())

@@ -86,6 +86,17 @@ def test_greedy_overlaps_of_a_row_of_boxes_and_of_none(spark):
     assert [(r.block, r.k) for r in pairing.greedy_overlaps(twins, "block", "k", "k").collect()] == [(1, 20)]
 
 
+def test_greedy_overlaps_of_many_copies(spark, monkeypatch):
+    rng = random.Random(5)
+    places = [(x, y, x + 2.0, y + 2.0) for x, y in ((rng.uniform(0, 8), rng.uniform(0, 8)) for _ in range(12))]
+    boxes = [(k, *rng.choice(places)) for k in range(300)]
+    frame = spark.createDataFrame([(1, *b) for b in boxes], "block int, k int, x0 double, y0 double, x1 double, y1 double")
+    seen, made = [], pairing.overlaps
+    monkeypatch.setattr(pairing, "overlaps", lambda *a: seen.append(made(*a)) or seen[-1])
+    assert {r.k for r in pairing.greedy_overlaps(frame, "block", "k", "k").collect()} == _greedy(boxes)
+    assert seen[0].count() <= 12 * 11 / 2, "copies make no pairs"
+
+
 def test_diverse_pairs_one_by_one(spark):
     rng = random.Random(6)
     pairs = [(p, rng.randrange(8), rng.randrange(8), rng.randrange(60), rng.randrange(20)) for p in range(5) for _ in range(40)]

@@ -38,18 +38,22 @@ def boosted(features: Sequence[str], label: str, rounds: int = 200) -> Pipeline:
 
 
 def out_of_fold(frame: DataFrame, model: Pipeline, fold: str, folds: int, keep: Sequence[str]) -> DataFrame:
-    """``keep`` and score of each row, by a model of the other folds; a fold whose others have one label only is left out."""
-    out = None
+    """``keep`` and score of each row, by a model of the other folds; a fold whose others have one label only is left out.
+
+    Models read their rows many times, so the frame is cut from how it was made; what is returned is cut as well.
+    """
+    label, out = model.getStages()[-1].getLabelCol(), None
+    needed = dict.fromkeys([fold, label, *keep, *model.getStages()[0].getInputCols()])
+    frame = cut(frame.select(*needed))
     for k in range(folds):
         seen, held = frame.where(F.col(fold) != k), frame.where(F.col(fold) == k)
-        label = model.getStages()[-1].getLabelCol()
         if seen.select(label).distinct().count() < 2:
             continue
         scored = model.fit(balanced_weights(seen, label)).transform(held).select(*keep, vector_to_array("probability")[1].alias("score"))
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         raise ValueError("no fold has both labels")
-    return out
+    return cut(out)
 
 
 @dataclass(frozen=True)
@@ -95,7 +99,7 @@ def fit_gate(frame: DataFrame, sets: Mapping[str, Sequence[str]], kinds: Mapping
     for name, columns in sets.items():
         for kind, make in kinds.items():
             model = make([f"__f_{c}" for c in columns], "__label")
-            scored = cut(out_of_fold(rows, model, fold, folds, ["__label"]))
+            scored = out_of_fold(rows, model, fold, folds, ["__label"])
             truth = F.col("__label") == 1
             order = scoring.average_precision(scored, truth, F.col("score")).first()
             at = scoring.recall_threshold(scored, truth, F.col("score"), recall).first()

@@ -30,10 +30,12 @@ from .frames import checkpointed
 from .vocabulary import ENCODED_BYTES, bytes_of, encoded
 from .words import SPACED, mix, slices
 
-#: Hidden states; rounds over the whole training corpus, and before these over a bounded sample, which only sets where they start.
-STATES, ROUNDS, SAMPLE_ROUNDS = 12, 3, 12
-#: The sample: so many documents at most, of so many tokens at most each.
-SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 2000, 2000
+#: Hidden states; rounds over the whole training corpus, and before these over disjoint parts of it, which together are the whole.
+STATES, ROUNDS, PART_ROUNDS = 12, 3, 12
+#: Documents of a part at least; a corpus that has not so many for each of PART_ROUNDS parts has fewer parts and goes through them again.
+PART_DOCUMENTS = 500
+#: What earlier parts' counts weigh when the next part's are added.
+CARRIED = 0.5
 #: A word with one in HEAD of all tokens, and LEAST_OWN of them, is a class of its own; others share TAIL classes.
 HEAD, LEAST_OWN, TAIL = 1 << 18, 20, 1 << 13
 #: Tokens of the unigram distribution that each state is given beforehand, for each class that it met, and transitions to each state.
@@ -211,30 +213,36 @@ def lanes(column: pa.Array, kind: type) -> Iterator[tuple[np.ndarray, _Lanes]]:
         yield rows, _Lanes(values, ends[:-1][rows], length[rows])
 
 
+def _turned(model: Model) -> Model:
+    """The model with ratios by state and class, as the steps of many sequences side by side read them."""
+    return Model(model.first, model.steps, np.ascontiguousarray(model.ratios.T))
+
+
 def _forward(model: Model, at: _Lanes, window: tuple[int, int], now: np.ndarray | None, logs: np.ndarray, keep: bool):
-    """Forward steps through a window from the state shares ``now`` before it; adds each lane's logarithms to ``logs``."""
+    """Forward steps of a turned model through a window from the state shares ``now`` (by state and lane) before it; adds each lane's logarithms to ``logs``."""
     low, high = at.start[window[0]], at.start[window[1]]
-    ratios = model.ratios[at.values[low:high]]
-    shares, norms = (np.empty_like(ratios), np.empty(len(ratios))) if keep else (None, None)
+    ratios = np.take(model.ratios, at.values[low:high], axis=1)
+    shares, norms = (np.empty_like(ratios), np.empty(ratios.shape[1], ratios.dtype)) if keep else (None, None)
+    onward = np.ascontiguousarray(model.steps.T)
     for t in range(*window):
         a, b = at.start[t] - low, at.start[t + 1] - low
-        now = np.repeat(model.first[None], b - a, 0) if now is None else now[: b - a] @ model.steps
-        now *= ratios[a:b]
-        norm = now.sum(1)
-        now /= norm[:, None]
+        now = np.repeat(model.first[:, None], b - a, 1) if now is None else onward @ now[:, : b - a]
+        now *= ratios[:, a:b]
+        norm = now.sum(0)
+        now /= norm
         logs[: b - a] += np.log(norm)
         if keep:
-            shares[a:b], norms[a:b] = now, norm
+            shares[:, a:b], norms[a:b] = now, norm
     return now, ratios, shares, norms
 
 
 def gains(column: pa.Array, model: Model) -> np.ndarray:
     """The log10 likelihood of each sequence of classes relative to that by counts alone."""
-    out = np.zeros(len(column))
+    out, turned = np.zeros(len(column)), _turned(model)
     for rows, at in lanes(column, kind_of(len(model.ratios))):
         now, logs = None, np.zeros(len(rows))
         for window in at.windows():
-            now, *_ = _forward(model, at, window, now, logs, False)
+            now, *_ = _forward(turned, at, window, now, logs, False)
         out[rows] = logs / np.log(10)
     return out
 
@@ -252,38 +260,46 @@ class Expected:
     def none(classes: int, states: int) -> Expected:
         return Expected(np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)), 0.0)
 
+    def after(self, earlier: Expected, weight: float) -> Expected:
+        """These numbers, and earlier ones with that weight."""
+        return Expected(*[getattr(self, c) + weight * getattr(earlier, c) for c in ("first", "steps", "classes", "gain")])
+
     def add(self, column: pa.Array, model: Model) -> None:
+        turned, classes = _turned(model), np.zeros(self.classes.shape[::-1])
         for rows, at in lanes(column, kind_of(len(model.ratios))):
             windows, entries, now, logs = at.windows(), [], None, np.zeros(len(rows))
             for window in windows[:-1]:
                 entries.append(now)
-                now, *_ = _forward(model, at, window, now, logs, False)
+                now, *_ = _forward(turned, at, window, now, logs, False)
             entries.append(now)
             message = None
             for k in range(len(windows) - 1, -1, -1):
                 last = k == len(windows) - 1
-                _, ratios, shares, norms = _forward(model, at, windows[k], entries[k], logs if last else np.zeros(len(rows)), True)
+                _, ratios, shares, norms = _forward(turned, at, windows[k], entries[k], logs if last else np.zeros(len(rows)), True)
                 low = at.start[windows[k][0]]
                 for t in range(windows[k][1] - 1, windows[k][0] - 1, -1):
                     a, b = at.start[t] - low, at.start[t + 1] - low
                     # Ends of sequences weigh 1; of the others, what the next step says.
-                    after = np.ones((b - a, len(model.first)))
+                    after = np.ones((len(model.first), b - a), ratios.dtype)
                     if message is not None:
-                        after[: len(message)] = message @ model.steps.T
-                        self.steps += shares[a : a + len(message)].T @ message
-                    message = ratios[a:b] * after / norms[a:b, None]
-                    shares[a:b] *= after
+                        on = message.shape[1]
+                        after[:, :on] = model.steps @ message
+                        self.steps += shares[:, a : a + on] @ message.T
+                    message = ratios[:, a:b] * after
+                    message /= norms[a:b]
+                    shares[:, a:b] *= after
                 if windows[k][0] == 0:
-                    self.first += shares[: at.start[1]].sum(0)
+                    self.first += shares[:, : at.start[1]].sum(1)
                 values = at.values[low : at.start[windows[k][1]]]
                 for s in range(len(model.first)):
-                    self.classes[:, s] += np.bincount(values, shares[:, s], len(self.classes))
+                    classes[s] += np.bincount(values, shares[s], len(self.classes))
             self.gain += logs.sum()
+        self.classes += classes.T
 
 
 def expected(sequences: DataFrame, model: Model) -> Expected:
-    """Baum-Welch counts of all sequences (__classes): each task's are summed up as rows by class."""
-    held = sequences.sparkSession.sparkContext.broadcast(model)
+    """Baum-Welch counts of all sequences (__classes): each task's are summed up as rows by class.  Steps are in single precision."""
+    held = sequences.sparkSession.sparkContext.broadcast(Model(*[x.astype(np.float32) for x in (model.first, model.steps, model.ratios)]))
     states, classes = len(model.first), len(model.ratios)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +334,7 @@ def model_steps(model: Model) -> np.ndarray:
 
 
 def started(classes: int, states: int) -> Model:
-    """Where the sample's rounds start: states that last, and draw classes a little unlike each other."""
+    """Where the rounds start: states that last, and draw classes a little unlike each other."""
     draw = np.random.default_rng(13)
     steps = np.full((states, states), 0.3 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     if states > 1:
@@ -339,21 +355,23 @@ def learned(found: Expected, sizes: np.ndarray, whole: float) -> Model:
 
 
 def fit(sequences: DataFrame, sizes: np.ndarray, known: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """The model of the training sequences (__classes, n_tokens, __draw): rounds over a sample, then over all of them.
+    """The model of the training sequences (__classes, __draw): rounds over parts of them, then over all.
 
-    Without any, words are as likely as by counts alone.
+    Each document is in one part, and each part in one round of the first ones (in several, if there are fewer parts than
+    rounds); their counts are carried on, so the last rounds start from what the whole corpus says.  Without any documents,
+    words are as likely as by counts alone.
     """
     if not known.tokens:
         return Model(np.ones(1), np.ones((1, 1)), np.ones((len(sizes), 1)))
-    whole = known.tokens + known.distinct + 1
-    short = sequences.where(F.col("n_tokens") <= SAMPLE_TOKENS)
-    # About twice as many as are wanted come by their draw, so that tasks send few rows to be put in order.
-    share = 2 * SAMPLE_DOCUMENTS / max(1, short.count())
-    few = short.where(F.col("__draw").cast("double") < (2 * share - 1) * 2.0**63) if share < 0.5 else short
-    sample = checkpointed(few.orderBy("__draw").limit(SAMPLE_DOCUMENTS).select("__classes").repartition(8))
-    model = started(len(sizes), states)
-    for _ in range(SAMPLE_ROUNDS):
-        model = learned(expected(sample, model), sizes, whole)
+    whole, model, carried = known.tokens + known.distinct + 1, started(len(sizes), states), None
+    parts = max(1, min(PART_ROUNDS, known.ends // PART_DOCUMENTS))
+    # A task sends a row for each class that it met, so a part has fewer tasks than the whole.
+    tasks = max(8, sequences.rdd.getNumPartitions() // parts)
+    for k in range(PART_ROUNDS):
+        part = sequences.where(F.pmod("__draw", F.lit(parts)) == k % parts).coalesce(tasks) if parts > 1 else sequences
+        found = expected(part, model)
+        carried = found.after(carried, CARRIED) if carried and parts > 1 else found
+        model = learned(carried, sizes, whole)
     for _ in range(rounds):
         model = learned(expected(sequences, model), sizes, whole)
     return model

@@ -280,6 +280,26 @@ def test_rounds_raise_the_likelihood_and_shares_sum_to_one():
     assert np.allclose(model.steps.sum(1), 1)
 
 
+@pytest.mark.parametrize("least, parts", [(20, 12), (65, 4), (500, 1)])
+def test_first_rounds_take_every_document(spark, corpus, monkeypatch, least, parts):
+    """Each training document, however long, is in one part; the parts are the whole, and the last rounds take it at once."""
+    real, met = hidden.expected, []
+
+    def watched(sequences, model):
+        met.append(real(sequences, model))
+        return met[-1]
+
+    monkeypatch.setattr(hidden, "expected", watched)
+    monkeypatch.setattr(hidden, "PART_DOCUMENTS", least, raising=False)
+    train = [t for i, t in corpus if i is not None and not is_held_out(i)]
+    hidden.score(spark.createDataFrame(corpus, SCHEMA), "crc32(cast(doc_id as string)) % 7 <> 2", states=2)
+    texts, tokens = [round(float(e.first.sum())) for e in met], [float(e.classes.sum()) for e in met]
+    assert len(met) == hidden.PART_ROUNDS + hidden.ROUNDS and texts[-hidden.ROUNDS :] == [len(train)] * hidden.ROUNDS
+    for k in range(0, hidden.PART_ROUNDS, parts):
+        assert sum(texts[k : k + parts]) == len(train)
+        assert math.isclose(sum(tokens[k : k + parts]), sum(len(tokens_of(t)) for t in train), rel_tol=1e-4)
+
+
 def test_no_training_and_no_rows(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], SCHEMA)
     found = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, round(r.score, 9)) for r in hidden.score(frame, "false").collect())

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from diptych.functions import text
 
+from .lineage import cut
+
 #: Characters of a chunk of rows that are counted together, on average, and words that are held at once.
 CHUNK_CHARS, TOKENS = 4_000_000, 1 << 19
+#: Words, padding among them, of a chunk of captions that is encoded together, on average: the fewest and the most.
+CODED_LEAST, CODED_MOST = 1 << 17, 1 << 23
 
 
 def following(rows: DataFrame, group: str) -> DataFrame:
@@ -405,36 +409,163 @@ def rouge_of_sets(sets: DataFrame) -> DataFrame:
     return sets.select("id", "said", "meant").mapInArrow(measure, f"id {kind}, precision double, recall double, f1 double")
 
 
+def _joined(captions: DataFrame, *columns) -> DataFrame:
+    """The columns, n (words) and text: the words with spaces between, which is less to send than a list."""
+    return captions.select(*columns, F.greatest(F.size("words"), F.lit(0)).alias("n"), F.array_join("words", " ").alias("text"))
+
+
+def _split(n: pa.Array, joined: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of joined texts, one after the other, and how many each has."""
+    lists, n = pc.split_pattern(joined, " "), n.to_numpy()
+    length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    # No words are an empty text, which splits into one empty word.
+    words = lists.flatten().filter(pa.array(np.repeat(n > 0, length))) if (n == 0).any() else lists.flatten()
+    length[n == 0] = 0
+    if (length != n).any():
+        raise ValueError("a word has a space")
+    return words, length
+
+
 def vocabulary(captions: DataFrame, least: int = 2, first_id: int = 4) -> DataFrame:
     """Words that occur ``least`` times or more, with ids from ``first_id`` in the order of their first appearance.
 
-    ``captions`` has id and words; ids 0 to 3 are kept for padding, start, end and unknown words.
+    ``captions`` has id and words; ids 0 to 3 are kept for padding, start, end and unknown words.  Words are counted in slices of
+    rows before any is shuffled, and have no spaces in them.  Those of captions without an id count, and come last if no other
+    caption has them.
     """
     from pyspark.sql import Window
 
-    placed = captions.select("id", F.posexplode("words").alias("place", "word"))
-    words = placed.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("first")).where(F.col("n") >= least)
-    words = words.withColumn("part", F.floor(F.col("first.id") / 1000))
+    def count(batches):
+        for batch in batches:
+            ends, i = np.cumsum(batch.column(1).to_numpy()), 0
+            while i < len(ends):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 4 * TOKENS, "right")))
+                ids, (words, length), i = batch.column(0).slice(i, j - i), _split(batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i)), j
+                coded, of_row = words.dictionary_encode(), ids.dictionary_encode()
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                # Rows in the order of their ids, those without one last.
+                order = pc.array_sort_indices(of_row.dictionary).to_numpy()
+                rank = np.r_[np.argsort(order), len(order)][of_row.indices.fill_null(len(order)).to_numpy(zero_copy_only=False)]
+                top, place = int(length.max(initial=0)) + 1, np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+                first = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+                np.minimum.at(first, codes, np.repeat(rank, length) * top + place)
+                where = pa.array(np.r_[order, 0][first // top], mask=first // top == len(order))
+                n = np.bincount(codes, minlength=len(first))
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n, pa.int64()), of_row.dictionary.take(where), pa.array(first % top, pa.int64())], names=["word", "n", "id", "place"])
+
+    counted = _joined(captions, "id").mapInArrow(count, f"word string, n long, id {dict(captions.dtypes)['id']}, place long")
+    low, high = captions.agg(F.min("id"), F.max("id")).first()
+    # One number for id and place: least numbers are found by hashing, least structs by sorting.  Ids too far apart need more digits.
+    kind = "long" if (high or 0) - (low or 0) < 1 << 31 else "decimal(20,0)"
+    first = (F.col("id") - F.lit(low or 0)).cast(kind) * F.lit(1 << 31).cast("long" if kind == "long" else "decimal(11,0)") + F.col("place")
+    words = cut(counted.groupBy("word").agg(F.sum("n").alias("n"), F.min(first).alias("first")).where(F.col("n") >= least))
+    words = words.withColumn("part", F.coalesce(F.floor(F.col("first") / (1000 << 31)).cast("long"), F.lit((1 << 63) - 1)))
     sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
     before = sizes.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("first")))
+    ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("first", "word")))
     return ranked.join(before, "part").select("word", "n", (F.col("before") + F.col("r") + (first_id - 1)).cast("long").alias("word_id"))
 
 
-def _whole(captions: DataFrame, words: DataFrame) -> DataFrame:
-    """id and ``whole``: all of the caption's word ids between start (1) and end (2), unknown words 3."""
-    placed = captions.select("id", F.posexplode_outer("words").alias("place", "word")).join(words.select("word", "word_id"), "word", "left")
-    ids = placed.where("place is not null").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("word_id", F.lit(3)).alias("w")))).alias("x"))
-    whole = F.concat(F.array(F.lit(1).cast("long")), F.transform(F.coalesce("x", F.array().cast("array<struct<place:int,w:bigint>>")), lambda e: e["w"]), F.array(F.lit(2).cast("long")))
-    return captions.select("id").join(ids, "id", "left").select("id", whole.alias("whole"))
+def _coded(captions: DataFrame, words: DataFrame, batch: str, work, schema: str) -> DataFrame:
+    """What ``work`` makes of each chunk of captions: a table of id, batch, n (words) and text (them, with spaces between), the ids of
+    the chunk's words (word, word_id), and of each row the longest length of its batch.
+
+    A chunk asks for each of its words once, so a common word is asked for as often as there are chunks, and the captions are
+    shuffled once.  A batch may lie in any number of chunks.
+    """
+    from pyspark.sql import Window
+
+    known = captions.where(F.col("id").isNotNull() & F.col(batch).isNotNull())
+    sizes = cut(known.select("id", F.col(batch).alias("batch"), F.greatest(F.size("words"), F.lit(0)).cast("long").alias("n")))
+    # Rows of one id are one caption.
+    whole = sizes.select("id", "batch", (F.sum("n").over(Window.partitionBy("id")) + 2).alias("n"))
+    longest = whole.groupBy("batch").agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("k"))
+    total = longest.agg(F.sum(F.col("longest") * F.col("k"))).first()[0] or 0
+    chunks = total // min(CODED_MOST, max(CODED_LEAST, total // 64)) + 1
+    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")
+    rows = _joined(known, chunk, "id", F.col(batch).alias("batch"))
+
+    def ask(table: pa.Table) -> pa.Table:
+        found = [pc.unique(pc.split_pattern(part, " ").flatten()) for part in table.column("text").chunks]
+        asked = pc.unique(pa.chunked_array(found, pa.string()))
+        return pa.table({"chunk": pa.array(np.full(len(asked), table.column("chunk")[0].as_py()), pa.int32()), "word": asked})
+
+    def answer(table: pa.Table, told: pa.Table) -> pa.Table:
+        of_word = told.column("word").is_valid()
+        sizes = told.filter(pc.invert(of_word))
+        at = pc.index_in(table.column("batch"), value_set=sizes.column("batch").combine_chunks()).to_numpy()
+        return work(table, told.filter(of_word).select(["word", "n"]), sizes.column("n").to_numpy()[at])
+
+    asked = rows.groupBy("chunk").applyInArrow(ask, "chunk int, word string")
+    ids = asked.join(words.select("word", F.col("word_id").alias("n")), "word").select("chunk", "word", "n", F.lit(None).cast(dict(sizes.dtypes)["batch"]).alias("batch"))
+    lengths = sizes.select(chunk, "batch").distinct().join(longest, "batch").select("chunk", F.lit(None).cast("string").alias("word"), F.col("longest").alias("n"), "batch")
+    return rows.groupBy("chunk").cogroup(ids.unionByName(lengths).groupBy("chunk")).applyInArrow(answer, schema)
+
+
+def _ids(table: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The word ids of the table's captions in order, unknown words 3, without start and end; and how many each has."""
+    words, length = _split(table.column("n").combine_chunks(), table.column("text").combine_chunks())
+    coded = words.dictionary_encode()
+    at = pc.index_in(coded.dictionary, value_set=told.column("word").combine_chunks()).fill_null(-1).to_numpy(zero_copy_only=False)
+    ids = np.r_[told.column("n").to_numpy(), 3].astype(np.int64)[at][coded.indices.to_numpy(zero_copy_only=False)]
+    same = table.column("id").combine_chunks().dictionary_encode()
+    if len(same.dictionary) == len(length):
+        return ids, length
+    # Rows of one id say its words by their places.
+    owner = same.indices.to_numpy(zero_copy_only=False)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(length) - length, length)
+    ids = ids[np.lexsort((ids, place, np.repeat(owner, length)))]
+    each = np.bincount(owner, length, len(same.dictionary)).astype(np.int64)
+    starts = (np.cumsum(each) - each)[owner]
+    length = each[owner]
+    return ids[np.repeat(starts - np.cumsum(length) + length, length) + np.arange(length.sum())], length
+
+
+def _lists(values: pa.Array, length: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int64)), values)
+
+
+def _ended(ids: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Captions of ``length`` ids one after the other, each between start and end and followed by zeros up to its size."""
+    out, first = np.zeros(int(size.sum()), np.int64), np.cumsum(size) - size
+    out[first], out[first + length + 1] = 1, 2
+    out[np.repeat(first + 1 - np.cumsum(length) + length, length) + np.arange(len(ids))] = ids
+    return out
 
 
 def batched(captions: DataFrame, words: DataFrame, batch: str) -> DataFrame:
-    """id, ``batch`` (a column of the captions) and the whole caption's ids, padded with 0 to the longest of its batch."""
-    rows = _whole(captions, words).join(captions.select("id", batch), "id")
-    longest = rows.groupBy(batch).agg(F.max(F.size("whole")).alias("longest"))
-    padding = F.array_repeat(F.lit(0).cast("long"), F.col("longest") - F.size("whole"))
-    return rows.join(longest, batch).select("id", batch, F.concat("whole", padding).alias("ids"))
+    """id, ``batch`` (a column of the captions) and the whole caption's ids, padded with 0 to the longest of its batch.
+
+    Words have no spaces in them.
+    """
+
+    def pad(table: pa.Table, told: pa.Table, longest: np.ndarray) -> pa.Table:
+        ids, length = _ids(table, told)
+        return pa.table({"id": table.column("id"), batch: table.column("batch"), "ids": _lists(pa.array(_ended(ids, length, longest)), longest).cast(pa.list_(pa.int64()))})
+
+    kinds = dict(captions.dtypes)
+    return _coded(captions, words, batch, pad, f"id {kinds['id']}, `{batch}` {kinds[batch]}, ids array<long>")
+
+
+def round_trip(captions: DataFrame, words: DataFrame, batch: str) -> DataFrame:
+    """id, ids as ``batched`` gives them, written with spaces between, and caption: what ``decoded`` reads from these ids.
+
+    Captions are decoded where they are encoded, so padded ids are not shuffled.
+    """
+
+    def code(table: pa.Table, told: pa.Table, longest: np.ndarray) -> pa.Table:
+        ids, length = _ids(table, told)
+        whole = _ended(ids, length, length + 2)
+        kinds, which = np.unique(whole, return_inverse=True)
+        written = pc.binary_join(_lists(pa.array(kinds).cast(pa.string()).take(pa.array(which)), length + 2), " ")
+        padded = pc.binary_join_element_wise(written, pc.binary_repeat(" 0", pa.array(longest - length - 2)), "")
+        order = np.argsort(told.column("n").to_numpy(), kind="stable")
+        numbers, said = told.column("n").to_numpy()[order], np.flatnonzero(whole > 3)
+        spoken = told.column("word").combine_chunks().take(pa.array(order)).take(pa.array(np.searchsorted(numbers, whole[said])))
+        each = np.bincount(np.repeat(np.arange(len(length)), length + 2)[said], minlength=len(length))
+        return pa.table({"id": table.column("id"), "ids": padded.cast(pa.string()), "caption": pc.binary_join(_lists(spoken, each), " ").cast(pa.string())})
+
+    return _coded(captions, words, batch, code, f"id {dict(captions.dtypes)['id']}, ids string, caption string")
 
 
 def decoded(rows: DataFrame, words: DataFrame) -> DataFrame:

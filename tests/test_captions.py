@@ -31,6 +31,31 @@ def test_batches_are_padded_to_their_longest_and_decode(spark):
     assert {r.id: r.caption for r in captions.decoded(rows, words).collect()} == {i: " ".join(w for w in (t or "").split() if w in number) for i, t in TEXTS.items()}
 
 
+@pytest.mark.parametrize("most", [8, 1 << 21])
+def test_captions_are_coded_where_they_lie(spark, monkeypatch, most):
+    """Many chunks or one, batches across chunks, rows of one id and rows of none: ids are those of one table of words, and no word is a row."""
+    monkeypatch.setattr(captions, "CODED_LEAST", 1)
+    monkeypatch.setattr(captions, "CODED_MOST", most)
+    rows = [(i, t.split() if t is not None else None, i // 8) for i, t in TEXTS.items()]
+    rows += [(17, ["w0", "w1"], 2), (17, ["w3"], 2), (18, [], 2), (None, ["far", "w0", "far"], None), (19, ["w4", "far"], 2), (None, ["off", "off"], None), (20, ["\u00e9\u00df"], 2)]
+    frame = spark.createDataFrame(rows, "id long, words array<string>, batch long").repartition(3)
+    words = captions.vocabulary(frame)
+    assert [r.word for r in words.orderBy("word_id").collect()] == [*[f"w{k}" for k in range(7)], "far", "off"]
+    number = {r.word: r.word_id for r in words.collect()}
+    assert sorted(number.values()) == list(range(4, 13))
+    told = captions.round_trip(frame, words, "batch")
+    found = sorted((r.id, r.ids, r.caption) for r in told.collect())
+    assert [f[0] for f in found] == [0, 1, 2, 9, 10, 17, 17, 18, 19, 20]
+    assert [f[1:] for f in found[5:]] == [("1 4 7 5 2", "w0 w3 w1")] * 2 + [("1 2 0 0 0", ""), ("1 8 11 2 0", "w4 far"), ("1 3 2 0 0", "")]
+    padded = captions.batched(frame, words, "batch")
+    assert sorted((r.id, " ".join(map(str, r.ids)), r.batch) for r in padded.collect()) == sorted((i, x, i // 8) for i, x, _ in found)
+    once = padded.where("id <> 17")
+    assert {r.id: r.caption for r in captions.decoded(once, words).collect()} == {i: c for i, _, c in found if i != 17}
+    with pytest.raises(Exception, match="a word has a space"):
+        captions.batched(spark.createDataFrame([(1, ["a b"], 1)], frame.schema), words, "batch").collect()
+    assert captions.round_trip(frame.where("false"), words, "batch").collect() == []
+
+
 def test_query_keeps_ends(spark, folder):
     rows = registry.queries()["encode_decode_pad"](spark, folder)
     ids = F.split("ids", " ")

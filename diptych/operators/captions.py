@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -18,6 +18,10 @@ from .lineage import cut
 
 #: Characters of a chunk of rows that are counted together, on average, and words that are held at once.
 CHUNK_CHARS, TOKENS = 4_000_000, 1 << 19
+#: Characters of a chunk of texts that are weighed together, on average: the fewest, and the most up to half a terabyte.
+WEIGHED_LEAST, WEIGHED_MOST = 1 << 20, 1 << 23
+#: Texts that are sent to a second chunk by broadcast of their ids; if there are more, by a shuffled join.
+LENT = 1 << 18
 #: Words, padding among them, of a chunk of captions that is encoded together, on average: the fewest and the most.
 CODED_LEAST, CODED_MOST = 1 << 17, 1 << 23
 
@@ -36,27 +40,53 @@ def following(rows: DataFrame, group: str) -> DataFrame:
     return near.join(after, [group, "part"]).select("id", F.coalesce("next", "after").alias("next")).where("next is not null")
 
 
+def _ranges(rows: DataFrame, n: int) -> list[float]:
+    """Where about n ranges of ids end that have about as many rows each, wherever ids lie dense."""
+    cuts = rows.approxQuantile("id", [k / n for k in range(1, n)], 1 / (8 * n)) if n > 1 else []
+    return [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
+
+
+def _placed(rows: DataFrame, group: str, steps: DataFrame, after: int, ranges: list[float]) -> DataFrame:
+    """The rows (id, group, text) by part, the range of their ids, and own: true, or false for a row of a later part that is lent to
+    this one, where an id ends within ``after`` steps (id, from) of it.
+
+    A text is sent once to its part, and once to each that it is lent to.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    part = lambda frame, **named: Bucketizer(splitsArray=[ranges] * len(named), inputCols=[*named], outputCols=[*named.values()]).transform(frame)
+    earlier, reach = steps, steps
+    for _ in range(after - 1):
+        reach = reach.join(steps.select(F.col("id").alias("from"), F.col("from").alias("further")), "from").select("id", F.col("further").alias("from"))
+        earlier = earlier.unionByName(reach)
+    across = cut(part(earlier.withColumnRenamed("from", "since"), id="of", since="part").where("part <> of").select("id", "part").distinct())
+    own = part(rows, id="part").select("id", group, "text", "part", F.lit(True).alias("own"))
+    lent = rows.join(F.broadcast(across) if across.count() <= LENT else across, "id").select("id", group, "text", "part", F.lit(False).alias("own"))
+    return own.unionByName(lent).withColumn("part", F.col("part").cast("long"))
+
+
+def _steps(rows: DataFrame, group: str) -> DataFrame:
+    """id and ``from``, the next smaller id of the same group, as files: they are read several times."""
+    return cut(following(rows.select("id", group), group).select(F.col("next").alias("id"), F.col("id").alias("from")))
+
+
+def _known(rows: DataFrame, group: str) -> tuple[DataFrame, int]:
+    """The rows (id, group, text) that have an id, and the number of their characters."""
+    rows = rows.where(F.col("id").isNotNull()).select("id", group, "text")
+    return rows, rows.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
 def neighbours(rows: DataFrame, group: str, after: int, chars: int = CHUNK_CHARS) -> DataFrame:
     """id, text, chunk, and next1, next2, ...: the texts of the ``after`` next larger ids of the same group, or null.
 
     A text is sent once, to the chunk of its range of ids, and again only to the chunks before that end within ``after`` ids
-    of it.  Ranges are as wide as ``chars`` characters take on average.
+    of it.  Ranges have ``chars`` characters on average.
     """
     from pyspark.sql import Window
 
-    rows = rows.where(F.col("id").isNotNull()).select("id", group, "text")
-    low, high, total = rows.agg(F.min("id"), F.max("id"), F.sum(F.length("text"))).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * chars // max(1, total or 0))
-    part = lambda c: F.floor(F.col(c) / width)
-    step = following(rows.select("id", group), group).select(F.col("next").alias("id"), F.col("id").alias("from"))
-    earlier, reach = step, step
-    for _ in range(after - 1):
-        reach = reach.join(step.select(F.col("id").alias("from"), F.col("from").alias("further")), "from").select("id", F.col("further").alias("from"))
-        earlier = earlier.unionByName(reach)
-    across = earlier.where(part("id") != part("from")).select("id", part("from").alias("part")).distinct()
-    own = rows.select("id", group, "text", part("id").alias("part"), F.lit(True).alias("own"))
-    lent = rows.join(across, "id").select("id", group, "text", "part", F.lit(False).alias("own"))
-    all_rows = own.unionByName(lent).select("id", "text", "own", F.concat_ws(" ", "part", group).alias("chunk"))
+    rows, total = _known(rows, group)
+    placed = _placed(rows, group, _steps(rows, group), after, _ranges(rows, total // chars + 1))
+    all_rows = placed.select("id", "text", "own", F.concat_ws(" ", "part", group).alias("chunk"))
     in_order = Window.partitionBy("chunk").orderBy("id")
     return all_rows.select("*", *[F.lead("text", k).over(in_order).alias(f"next{k}") for k in range(1, after + 1)]).where("own").drop("own")
 
@@ -75,21 +105,14 @@ def _slices(said: pa.Array, meant: pa.Array) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Grams:
-    """The n-grams of some rows, counted: for each row and gram how often the first side says it, how often the others mean it
-    (by place, from 0), and where asked the gram's 64-bit digest."""
+    """The n-grams of some rows, counted: for each row and gram how often the first side says it, and how often the others mean it
+    (by place, from 0)."""
 
     row: np.ndarray
     counts: np.ndarray
-    digests: np.ndarray | None
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def counted_grams(said: pa.Array, meant: pa.Array, most: int = 4, digests: bool = False) -> Iterator[tuple[int, Grams]]:
+def counted_grams(said: pa.Array, meant: pa.Array, most: int = 4) -> Iterator[tuple[int, Grams]]:
     """n and the n-grams of rows with words said (list) and meant (list of lists), counted exactly by sorting numbers.
 
     A pair of words is numbered among those of the rows; longer grams are numbers of pairs and words.
@@ -106,8 +129,6 @@ def counted_grams(said: pa.Array, meant: pa.Array, most: int = 4, digests: bool
     n_words, n_sides = max(1, len(coded.dictionary)), int(per.max(initial=0)) + 1
     row, side = np.repeat(row, length), np.repeat(side, length)
     left = np.repeat(np.cumsum(length), length) - np.arange(len(words))
-    digest = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False) if digests and len(words) else np.zeros(0, np.uint64)
-    factor = np.uint64(0x9E3779B97F4A7C15)
     two = np.zeros(len(words), np.int64)
     for n in range(1, most + 1):
         at = np.flatnonzero(left >= n)
@@ -129,18 +150,108 @@ def counted_grams(said: pa.Array, meant: pa.Array, most: int = 4, digests: bool
         counts = np.zeros((int(first.sum()), n_sides), np.int64)
         counts[np.cumsum(first) - 1, kind % n_sides] = k
         groups = groups[first]
-        found = None
-        if digests:
-            grams = groups % top
-            with np.errstate(over="ignore"):
-                if n == 1:
-                    found = _mixed(digest[grams] + np.uint64(1))
-                elif n == 2:
-                    of_two = _mixed(digest[pairs // n_words] * factor + digest[pairs % n_words] + np.uint64(2))
-                    found = of_two[grams]
-                else:
-                    found = _mixed(of_two[grams // base] * factor + (digest if n == 3 else of_two)[grams % base] + np.uint64(n))
-        yield n, Grams(groups // top, counts, found)
+        yield n, Grams(groups // top, counts)
+
+
+@dataclass
+class Runs:
+    """The n-grams of some texts, for one n: how often a text has a gram, by gram and within it by text, and the grams' 64-bit digests.
+
+    Grams are numbered in the order of their words' hashes, so by what the texts say and not by the order they come in.
+    """
+
+    n: int
+    gram: np.ndarray
+    text: np.ndarray
+    count: np.ndarray
+    digests: np.ndarray
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: their bytes as digits of one number to an odd base, mixed."""
+    base = 0x9FB21C651E98DF25
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, ends, data = words.buffers()
+    ends, data = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1], np.frombuffer(data, np.uint8)
+    out, i, powers, inverse = np.empty(len(words), np.uint64), 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    while i < len(words):
+        # Words are hashed in slices, as differences of sums over all bytes before.
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 18), "right")) - 1)
+        digits, at = data[ends[i] : ends[j]].astype(np.uint64) + np.uint64(1), ends[i : j + 1] - ends[i]
+        if len(powers) < len(digits):
+            powers, inverse = (np.multiply.accumulate(np.full(len(digits), x, np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(digits * powers[: len(digits)])]
+        out[i:j] = (sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]]
+        i = j
+    return _mixed(out)
+
+
+def _by_key(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising places in the order of their keys, and within a key as they were; and where a key is met first."""
+    shift = int(at[-1]).bit_length() if len(at) else 0
+    if int(key.max(initial=0)) < 1 << (63 - shift):
+        # One number for key and place sorts faster than places by their keys.
+        packed = np.sort(key << shift | at)
+        key, at = packed >> shift, packed & ((1 << shift) - 1)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+    return at, np.r_[True, key[1:] != key[:-1]][: len(key)]
+
+
+def _alike(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of digests in their order, equal ones as they were, and where in it one is met first."""
+    shift = np.uint64(max(1, len(digests)).bit_length())
+    packed = np.sort(digests >> shift << shift | np.arange(len(digests), dtype=np.uint64))
+    at = (packed & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    met = digests[at]
+    fresh, upper = met[1:] != met[:-1], packed >> shift
+    if (fresh & (upper[1:] == upper[:-1])).any():
+        # Digests that differ only in the bits where their places are.
+        at = np.argsort(digests, kind="stable")
+        met = digests[at]
+        fresh = met[1:] != met[:-1]
+    return at, np.r_[True, fresh][: len(at)]
+
+
+def runs_of(words: pa.Array, length: np.ndarray, most: int = 4) -> Iterator[Runs]:
+    """The n-grams of texts with so many words each, one text's words after the other's.
+
+    A word is its place among the hashes of words, a pair of words its place among pairs; longer grams are numbers of pairs and words.
+    """
+    said = _hashes(words)
+    in_order = _alike(said)
+    code = np.empty(len(said), np.int64)
+    code[in_order[0]] = np.cumsum(in_order[1]) - 1
+    of_word = said[in_order[0][in_order[1]]]
+    owner = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(code))
+    pair, of_pair, factor = np.zeros(len(code), np.int64), np.zeros(0, np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    for n in range(1, most + 1):
+        if n == 1:
+            at, fresh = in_order
+        else:
+            at = np.flatnonzero(left >= n)
+            first, last, base = {2: (code, code, len(of_word)), 3: (pair, code, len(of_word)), 4: (pair, pair, len(of_pair))}[n]
+            at, fresh = _by_key(first[at] * base + last[at + min(n - 1, 2)], at)
+        gram, text, one = (np.cumsum(fresh) - 1).astype(np.int32), owner[at], at[fresh]
+        if n == 1:
+            digests = of_word
+        elif n == 2:
+            pair[at] = gram
+            digests = of_pair = _mixed(of_word[code[one]] * factor + of_word[code[one + 1]] + np.uint64(2))
+        else:
+            digests = _mixed(of_pair[pair[one]] * factor + (of_word[code[one + 2]] if n == 3 else of_pair[pair[one + 2]]) + np.uint64(n))
+        starts = np.flatnonzero(fresh | np.r_[True, text[1:] != text[:-1]][: len(text)])
+        yield Runs(n, gram[starts], text[starts], np.diff(np.r_[starts, len(at)]).astype(np.int32), digests)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -224,17 +335,16 @@ def bleu(pairs: DataFrame) -> DataFrame:
     return one.select(*out)
 
 
-def consensus(pairs: DataFrame, n_all: int | None = None, chars: int | None = None) -> DataFrame:
+def consensus(pairs: DataFrame) -> DataFrame:
     """id and ten times the mean, over n of 1 to 4, of the cosine between both sides' n-gram counts weighted by rarity.
 
     A gram's weight is ln((N + 1) / (df + 1)), with df the references that have it of N; a side without weight counts 0.
-    Pairs of one ``chunk``, if they name one, are counted together; N and about how many characters there are may be given.
+    Pairs of one ``chunk``, if they name one, are counted together.
     """
     pairs = pairs.select("*", *([] if "chunk" in pairs.columns else [_chunk_of("id").alias("chunk")]))
     sets = pairs.select("chunk", F.col("id").cast("long").alias("id"), text.tokens(F.col("hypothesis")).alias("said"), F.array(text.tokens(F.col("reference"))).alias("meant"))
-    if n_all is None or chars is None:
-        n_all, chars = pairs.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.length("hypothesis"), F.lit(0)) + F.coalesce(F.length("reference"), F.lit(0)))).first()
-    return _cosines(sets, n_all, chars or 0, shares=False)
+    n_all, chars = pairs.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.length("hypothesis"), F.lit(0)) + F.coalesce(F.length("reference"), F.lit(0)))).first()
+    return _cosines(sets, n_all, chars or 0, _whole_sets, unseen=True)
 
 
 def _chunk_of(column: str):
@@ -290,76 +400,168 @@ def consensus_of_several(said: DataFrame, references: DataFrame) -> DataFrame:
 
 def consensus_of_sets(sets: DataFrame, n_all: int, chars: int) -> DataFrame:
     """``consensus_of_several`` of id, chunk, said and meant (words of each reference, the first of place 0), with N and about how many characters there are."""
-    return _cosines(sets, n_all, chars, shares=True)
+    return _cosines(sets.select("chunk", "id", "said", "meant"), n_all, chars, _whole_sets, unseen=False)
+
 
+def consensus_along(rows: DataFrame, group: str, after: int, backward: bool = False) -> DataFrame:
+    """id and score of each text of rows (id, group, text) that has one after it, by the ``after`` next larger ids of its group.
 
-def _cosines(sets: DataFrame, n_all: int, chars: int, shares: bool) -> DataFrame:
-    """id and score, by document frequencies of all sets.
+    These are its references, the nearest the first, in ``consensus_of_several``; backward, it is the reference of the next one
+    in ``consensus``.  Texts without a group are in no set.  A chunk, a range of ids, has each text once and counts it once,
+    however many sets it is in.
+    """
+    if backward and after != 1:
+        raise ValueError("backward there is one reference")
+    rows, total = _known(rows.where(F.col(group).isNotNull()), group)
+    steps = _steps(rows, group)
+    chars = max(min(WEIGHED_MOST, max(WEIGHED_LEAST, total // 64)), math.isqrt(128 * total))
+    placed = _placed(rows, group, steps, after, _ranges(rows, total // max(1, chars) + 1))
+    texts = placed.select(F.col("part").alias("chunk"), F.col("id").cast("long").alias("id"), F.col(group).alias("group"), F.lower("text").alias("text"), "own")
+    return _cosines(texts, steps.count(), total, lambda table: _in_a_row(table, after, backward), unseen=backward)
+
+
+@dataclass
+class Sets:
+    """Texts of a chunk, as words one after the other and how many each has; how often each is a first reference; the ids of the
+    chunk's sets, and their cosines, of a gram's runs and weights."""
 
-    A chunk's rows are counted where they lie.  It sends its distinct grams' digests, of 64 bits, and how many of its first
-    references have each, as a packed row to each range of digests; the range adds up and answers in the order of asking;
-    the chunk then weighs its grams.  Neither grams nor rows of single grams are shuffled.
+    words: pa.Array
+    length: np.ndarray
+    firsts: np.ndarray
+    ids: pa.Array
+    cosines: Callable[[Runs, np.ndarray], np.ndarray]
+
+
+def _cosine(dot: np.ndarray, aa: np.ndarray, bb: np.ndarray) -> np.ndarray:
+    both = (aa > 0) & (bb > 0)
+    out = np.zeros(len(dot))
+    out[both] = dot[both] / (np.sqrt(aa[both]) * np.sqrt(bb[both]))
+    return out
+
+
+def _shares(runs: Runs, weights: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return runs.count * weights[runs.gram] / np.maximum(length - (runs.n - 1), 1)[runs.text]
+
+
+def _whole_sets(table: pa.Table) -> Sets:
+    """Sets whose rows have all their texts, as said and meant."""
+    said, meant = (table.column(c).combine_chunks() for c in ("said", "meant"))
+    others = meant.flatten()
+    per, length = (x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (meant, said))
+    length = np.r_[length, others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)]
+    n = len(said)
+    of = np.r_[np.arange(n), np.repeat(np.arange(n), per)]
+    firsts = np.zeros(len(of), np.int64)
+    firsts[n + (np.cumsum(per) - per)[per > 0]] = 1
+
+    def cosines(runs: Runs, weights: np.ndarray) -> np.ndarray:
+        shares, says = _shares(runs, weights, length), runs.text < n
+        both, where = np.unique(runs.gram.astype(np.int64) * n + of[runs.text], return_inverse=True)
+        a, b = np.bincount(where[says], shares[says], len(both)), np.bincount(where[~says], shares[~says], len(both))
+        return _cosine(*(np.bincount(both % n, x, n) for x in (a * b, a * a, b * b)))
+
+    return Sets(pa.concat_arrays([said.flatten(), others.flatten()]), length, firsts, table.column("id").combine_chunks(), cosines)
+
+
+def _in_a_row(table: pa.Table, after: int, backward: bool) -> Sets:
+    """Sets of an own text and those after it in its group.
+
+    Texts are numbered by group and id, so those of a set differ by ``after`` at most, and its cosine is a sum of products of
+    texts that lie so near: runs of one gram that are near each other.
+    """
+    group, ids = table.column("group").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False), table.column("id").to_numpy()
+    order = np.lexsort((ids, group))
+    group = group[order]
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(table.column("text").combine_chunks().take(pa.array(order)).fill_null("")))
+    words, length = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    # No words are one empty word.
+    length[(length == 1) & (pc.list_element(lists, 0).to_numpy(zero_copy_only=False) == "")] = 0
+    words = words.filter(pc.not_equal(words, "")) if len(words) > length.sum() else words
+    n = len(order)
+    has = [np.r_[group[k:] == group[:-k], np.zeros(min(k, n), bool)] for k in range(1, after + 1)]
+    own = np.flatnonzero(table.column("own").to_numpy()[order] & has[0])
+    there = [h[own] for h in has]
+
+    def cosines(runs: Runs, weights: np.ndarray) -> np.ndarray:
+        shares = _shares(runs, weights, length)
+        square, near = np.bincount(runs.text, shares * shares, n + after), [np.zeros(n + after) for _ in has]
+        for lag in range(1, after + 1):
+            same = np.flatnonzero(runs.gram[lag:] == runs.gram[:-lag])
+            apart = runs.text[same + lag] - runs.text[same]
+            for far in range(lag, after + 1):
+                here = same[apart == far]
+                near[far - 1] += np.bincount(runs.text[here], shares[here] * shares[here + lag], n + after)
+        dot, bb = np.zeros(len(own)), np.zeros(len(own))
+        for k, known in enumerate(there, 1):
+            dot += known * near[k - 1][own]
+            bb += known * (square[own + k] + 2 * sum(near[k - j - 1][own + j] for j in range(1, k)))
+        return _cosine(dot, square[own], bb)
+
+    firsts = np.bincount(own + (not backward), minlength=n)
+    return Sets(words, length, firsts, pa.array(ids[order][own]), cosines)
+
+
+def _cosines(rows: DataFrame, n_all: int, chars: int, read: Callable[[pa.Table], Sets], unseen: bool) -> DataFrame:
+    """id and score, by document frequencies of all sets; unless ``unseen``, grams that no first reference has weigh nothing.
+
+    A chunk's texts are counted where they lie.  It sends its distinct grams' digests, of 64 bits, and how many of its first
+    references have each, as a packed row to each bucket of digests; the bucket adds up and answers in the order of asking;
+    the chunk then weighs its grams.  Neither grams nor rows of single grams are shuffled.  A bucket has about the grams of half a
+    chunk of the largest size.
     """
-    bits = max(3, (chars // CHUNK_CHARS).bit_length())
+    buckets = max(8, 2 * chars // max(WEIGHED_MOST, math.isqrt(128 * chars)) + 1)
 
-    def rows_of(table: pa.Table) -> Iterator[tuple[int, int, list[tuple[int, Grams]]]]:
-        said, meant = (table.column(c).combine_chunks() for c in ("said", "meant"))
-        for i, j in _slices(said, meant):
-            yield i, j, counted_grams(said.slice(i, j - i), meant.slice(i, j - i), digests=True)
+    def dealt(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of digests by bucket, and how many each bucket has."""
+        bucket = ((digests & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        return np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
 
     def ask(table: pa.Table) -> pa.Table:
-        digests, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, _, grams in rows_of(table):
-            for _, g in grams:
-                known, where = np.unique(g.digests, return_inverse=True)
-                digests.append(known)
-                first.append(np.bincount(where, g.counts[:, 1:2].any(1), len(known)).astype(np.int64))
-        known, where = np.unique(np.concatenate(digests), return_inverse=True)
-        n = np.bincount(where, np.concatenate(first), len(known)).astype(np.uint32)
-        bucket = (known >> np.uint64(64 - bits)).astype(np.int64)
-        at = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int), len(bucket)]
-        cut = [(int(a), int(b)) for a, b in zip(at[:-1], at[1:], strict=True)]
-        chunk = table.column("chunk")[0].as_py()
+        sets, digests, first = read(table), [], []
+        for runs in runs_of(sets.words, sets.length) if len(sets.ids) else ():
+            digests.append(runs.digests)
+            first.append(np.bincount(runs.gram, sets.firsts[runs.text], len(runs.digests)).astype(np.uint32))
+        digests, first = np.concatenate([np.zeros(0, np.uint64), *digests]), np.concatenate([np.zeros(0, np.uint32), *first])
+        order, each = dealt(digests)
+        digests, first, ends = digests[order], first[order], np.cumsum(each)
+        asked = np.flatnonzero(each)
+        spans = list(zip((ends - each)[asked].tolist(), ends[asked].tolist(), strict=True))
         return pa.table({
-            "chunk": pa.array([chunk] * len(cut), pa.string()), "bucket": pa.array([int(bucket[a]) for a, _ in cut], pa.int32()),
-            "digests": pa.array([known[a:b].tobytes() for a, b in cut], pa.binary()), "n": pa.array([n[a:b].tobytes() for a, b in cut], pa.binary()),
+            "chunk": pa.array([table.column("chunk")[0].as_py()] * len(asked), kind), "bucket": pa.array(asked, pa.int32()),
+            "digests": pa.array([digests[a:b].tobytes() for a, b in spans], pa.binary()), "n": pa.array([first[a:b].tobytes() for a, b in spans], pa.binary()),
         })
 
     def answer(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("digests")]
-        _, where = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(where, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("n")])).astype(np.uint32)[where]
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("digests")]
+        first = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("n")])
+        at, fresh = _alike(np.concatenate(parts))
+        starts = np.flatnonzero(fresh)
+        df = np.empty(len(at), np.uint32)
+        df[at] = np.repeat(np.add.reduceat(first[at], starts, dtype=np.uint32), np.diff(np.r_[starts, len(at)]))
         ends = np.cumsum([len(p) for p in parts])
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "df": pa.array([x.tobytes() for x in np.split(total, ends[:-1])], pa.binary())})
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "df": pa.array([x.tobytes() for x in np.split(df, ends[:-1])], pa.binary())})
 
     def weigh(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
+        sets = read(table) if table.num_rows else None
+        if not sets or not len(sets.ids):
             return pa.table({"id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = np.argsort(told.column("bucket").to_numpy(), kind="stable")
-        answers = told.column("df").to_pylist()
-        df = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(answers[k], np.uint32) for k in order]]).astype(float)
-        counted = [(i, j, list(grams)) for i, j, grams in rows_of(table)]
-        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(g.digests) for _, _, grams in counted for _, g in grams]]))
-        score = np.zeros(table.num_rows)
-        for i, j, grams in counted:
-            for _, g in grams:
-                of = df[np.searchsorted(known, g.digests)]
-                w = np.log((n_all + 1) / (of + 1))
-                sides = g.counts.astype(float)
-                if shares:
-                    w[of == 0] = 0.0
-                    totals = np.stack([np.bincount(g.row, sides[:, k], j - i) for k in range(sides.shape[1])], 1)
-                    sides = sides / np.maximum(totals, 1)[g.row]
-                a, b = sides[:, 0] * w, sides[:, 1:].sum(1) * w
-                dot, aa, bb = (np.bincount(g.row, x, j - i) for x in (a * b, a * a, b * b))
-                both = (aa > 0) & (bb > 0)
-                score[i:j][both] += dot[both] / (np.sqrt(aa[both]) * np.sqrt(bb[both]))
-        return pa.table({"id": table.column("id"), "score": pa.array(score * 10 / 4)})
-
-    sets = sets.select("chunk", "id", "said", "meant")
-    asked = sets.groupBy("chunk").applyInArrow(ask, "chunk string, bucket int, digests binary, n binary")
-    told = asked.groupBy("bucket").applyInArrow(answer, "chunk string, bucket int, df binary")
-    return sets.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(weigh, "id long, score double")
+        counted = list(runs_of(sets.words, sets.length))
+        order, _ = dealt(np.concatenate([runs.digests for runs in counted]))
+        answers = told.column("df").combine_chunks()
+        df = np.empty(len(order), np.uint32)
+        df[order] = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(answers[k].as_buffer(), np.uint32) for k in np.argsort(told.column("bucket").to_numpy()).tolist()]])
+        score, at = np.zeros(len(sets.ids)), 0
+        for runs in counted:
+            of, at = df[at : at + len(runs.digests)], at + len(runs.digests)
+            weights = np.log((n_all + 1) / (of + 1.0))
+            score += sets.cosines(runs, weights if unseen else np.where(of > 0, weights, 0.0))
+        return pa.table({"id": sets.ids, "score": pa.array(score * 10 / 4)})
+
+    told_as = dict(rows.dtypes)["chunk"]
+    kind = pa.string() if told_as == "string" else pa.int64()
+    asked = rows.groupBy("chunk").applyInArrow(ask, f"chunk {told_as}, bucket int, digests binary, n binary")
+    told = asked.groupBy("bucket").applyInArrow(answer, f"chunk {told_as}, bucket int, df binary")
+    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(weigh, "id long, score double")
 
 
 def overlap_f1(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -213,3 +214,75 @@ def test_pairs_are_counted_before_they_are_sent(spark, folder, monkeypatch):
     assert captions.pair_counts(frame.where("false")).collect() == []
     plan = registry.queries()["ngram_counts"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "doc_id" not in plan.split("MapInArrow")[0]
+
+
+ODD = [None, "", " \t\r\n", "a", "\x0bb a\x0cB  a\n", "a\x1cb a\u00a0b \u2003a", "\u0130 \u00c9\u00df a b", "b a b a b a"]
+
+
+@pytest.mark.parametrize("chars", [1, 60, 1 << 20])
+def test_texts_in_a_row_are_weighed_as_sets(spark, monkeypatch, chars):
+    """One chunk or many, texts lent by broadcast or by a join, odd white space, groups of one or two, ids far apart and none."""
+    monkeypatch.setattr(captions, "WEIGHED_LEAST", chars)
+    monkeypatch.setattr(captions, "WEIGHED_MOST", chars)
+    if chars == 60:
+        monkeypatch.setattr(captions, "LENT", 0)
+    rng = random.Random(8)
+    rows = [(k * 2 + (k > 50) * 10**6, "ab"[k % 5 == 0], " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))) for k in range(70)]
+    rows += [(500 + 3 * k, "c", t) for k, t in enumerate(ODD)] + [(900, "d", "a b"), (901, "e", "a"), (905, "e", "a b c"), (None, "a", "none"), (7, None, "none")]
+    frame = spark.createDataFrame(rows, "id long, lang string, text string")
+    words = lambda t: [w for w in re.split(r"[ \t\n\x0b\f\r]+", (t or "").lower()) if w]
+    in_order = sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0])
+    refs = {i: found for i, of, _ in in_order if (found := [words(t) for j, lang, t in in_order if lang == of and j > i][:2])}
+    said = {i: words(t) for i, _, t in in_order if i in refs}
+    assert len(refs) == 70 - 2 + len(ODD) - 1 + 1
+    assert {r.id: r.score for r in captions.consensus_along(frame, "lang", 2).collect()} == pytest.approx(plain_cider(said, refs), abs=1e-9)
+    pairs = spark.createDataFrame([(i, " ".join(said[i]), " ".join(refs[i][0])) for i in refs], "id long, reference string, hypothesis string")
+    wanted = {r.id: r.score for r in captions.consensus(pairs).collect()}
+    assert {r.id: r.score for r in captions.consensus_along(frame, "lang", 1, backward=True).collect()} == pytest.approx(wanted, abs=1e-9)
+    assert captions.consensus_along(frame.where("false"), "lang", 2).collect() == []
+
+
+@pytest.mark.parametrize("name", ["cider_like", "cider_several"])
+def test_a_text_is_sent_and_counted_once(spark, folder, name):
+    """Not as the words of each set that it is in, and not with each language as a chunk of its own."""
+    plan = registry.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "next1" not in plan and "concat_ws" not in plan
+
+
+def test_runs_do_not_hang_on_the_order_of_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [[rng.choice(["a", "b", "c", "\u00e9", "long" * 70_000]) for _ in range(rng.randint(0, 8))] for _ in range(60)]
+    flat = lambda xs: (pa.array([w for t in xs for w in t], pa.string()), np.array([len(t) for t in xs]))
+    there, back = list(captions.runs_of(*flat(texts))), list(captions.runs_of(*flat(texts[::-1])))
+    for n, (one, other) in enumerate(zip(there, back, strict=True), 1):
+        assert one.n == n and one.digests.tolist() == other.digests.tolist() and len(set(one.digests.tolist())) == len(one.digests)
+        plain = [_grams(t, n) for t in texts]
+        assert len(one.digests) == len(set().union(*plain))
+        assert sorted(zip(one.text.tolist(), one.count.tolist(), strict=True)) == sorted((i, k) for i, p in enumerate(plain) for k in p.values())
+        keys = list(zip(one.gram.tolist(), one.text.tolist(), strict=True))
+        assert keys == sorted(set(keys)) and sorted(keys) == sorted((g, len(texts) - 1 - t) for g, t in zip(other.gram.tolist(), other.text.tolist(), strict=True))
+    assert list(captions.runs_of(*flat([[], []])))[3].digests.tolist() == []
+    sliced = flat([["x", *t] for t in texts])[0].slice(1)
+    assert captions._hashes(sliced).tolist() == [captions._hashes(pa.array([w.as_py()])).tolist()[0] for w in sliced]
+
+
+def test_equal_numbers_come_together():
+    import numpy as np
+
+    near = np.array([9 << 40 | 1, 9 << 40, 5, 9 << 40 | 1, 9 << 40, 3 << 50, 5], np.uint64)
+    for x in (near, near[:1], near[:0], np.random.default_rng(1).integers(0, 40, 500).astype(np.uint64) << np.uint64(50)):
+        at, fresh = captions._alike(x)
+        assert at.tolist() == np.argsort(x, kind="stable").tolist() and fresh.sum() == len(set(x.tolist()))
+    at = np.array([1, 4, 6, 7])
+    for key in (np.array([5, 2, 5, 2]), np.array([5, 2, 5, 2]) << 59):
+        assert [x.tolist() for x in captions._by_key(key, at)] == [[4, 7, 1, 6], [True, False, True, False]]
+
+
+def test_ranges_follow_where_ids_lie(spark):
+    """Ids in heaps far apart, as of copies with shifted keys: no range has much more than its share."""
+    frame = spark.range(4000).selectExpr("id + floor(id / 1000) * 1000000000 AS id", "'a' AS lang", "'ten letters' AS text")
+    sizes = [r["count"] for r in captions.neighbours(frame, "lang", 1, 1100).groupBy("chunk").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 200 and len(sizes) >= 25

@@ -18,8 +18,8 @@ from .lineage import cut
 
 #: Characters of a chunk of rows that are counted together, on average, and words that are held at once.
 CHUNK_CHARS, TOKENS = 4_000_000, 1 << 19
-#: Characters of a chunk of texts that are weighed together, on average: the fewest, and the most up to half a terabyte.
-WEIGHED_LEAST, WEIGHED_MOST = 1 << 20, 1 << 23
+#: Characters of a chunk of texts that are weighed together, on average: the fewest, and the most up to a hundred gigabytes.
+WEIGHED_LEAST, WEIGHED_MOST = 1 << 20, 1 << 22
 #: Texts that are sent to a second chunk by broadcast of their ids; if there are more, by a shuffled join.
 LENT = 1 << 18
 #: Words, padding among them, of a chunk of captions that is encoded together, on average: the fewest and the most.
@@ -229,20 +229,20 @@ def runs_of(words: pa.Array, length: np.ndarray, most: int = 4) -> Iterator[Runs
     """
     said = _hashes(words)
     in_order = _alike(said)
-    code = np.empty(len(said), np.int64)
-    code[in_order[0]] = np.cumsum(in_order[1]) - 1
+    code = np.empty(len(said), np.int32)
+    code[in_order[0]] = np.cumsum(in_order[1], dtype=np.int32) - 1
     of_word = said[in_order[0][in_order[1]]]
     owner = np.repeat(np.arange(len(length), dtype=np.int32), length)
-    left = np.repeat(np.cumsum(length), length) - np.arange(len(code))
-    pair, of_pair, factor = np.zeros(len(code), np.int64), np.zeros(0, np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    left = np.repeat(np.cumsum(length).astype(np.int32), length) - np.arange(len(code), dtype=np.int32)
+    pair, of_pair, factor = np.zeros(len(code), np.int32), np.zeros(0, np.uint64), np.uint64(0x9E3779B97F4A7C15)
     for n in range(1, most + 1):
         if n == 1:
             at, fresh = in_order
         else:
             at = np.flatnonzero(left >= n)
             first, last, base = {2: (code, code, len(of_word)), 3: (pair, code, len(of_word)), 4: (pair, pair, len(of_pair))}[n]
-            at, fresh = _by_key(first[at] * base + last[at + min(n - 1, 2)], at)
-        gram, text, one = (np.cumsum(fresh) - 1).astype(np.int32), owner[at], at[fresh]
+            at, fresh = _by_key(first[at].astype(np.int64) * base + last[at + min(n - 1, 2)], at)
+        gram, text, one = np.cumsum(fresh, dtype=np.int32) - 1, owner[at], at[fresh]
         if n == 1:
             digests = of_word
         elif n == 2:
@@ -506,10 +506,10 @@ def _cosines(rows: DataFrame, n_all: int, chars: int, read: Callable[[pa.Table],
 
     A chunk's texts are counted where they lie.  It sends its distinct grams' digests, of 64 bits, and how many of its first
     references have each, as a packed row to each bucket of digests; the bucket adds up and answers in the order of asking;
-    the chunk then weighs its grams.  Neither grams nor rows of single grams are shuffled.  A bucket has about the grams of half a
-    chunk of the largest size.
+    the chunk then weighs its grams.  Neither grams nor rows of single grams are shuffled.  A bucket has about as
+    many grams as a chunk of the largest size.
     """
-    buckets = max(8, 2 * chars // max(WEIGHED_MOST, math.isqrt(128 * chars)) + 1)
+    buckets = max(8, chars // max(WEIGHED_MOST, math.isqrt(128 * chars)) + 1)
 
     def dealt(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The order of digests by bucket, and how many each bucket has."""
